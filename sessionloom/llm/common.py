@@ -85,16 +85,15 @@ def words(data: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.n
     size = ends - starts
     if (most := int(size.max())) > len(_POWERS):
         _POWERS = np.cumprod(np.full(2 * most, U64(0x9E3779B97F4A7C15)), dtype=np.uint64)
-    gap = np.zeros(len(raw), np.int64)  # position of each byte within its word
-    letters = np.flatnonzero(inside[1:-1])
     first = np.cumsum(size) - size
-    gap = np.arange(len(letters)) - np.repeat(first, size)
-    value = (_FOLDED if fold else _BYTE)[raw[letters]] * _POWERS[gap]
+    place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)  # of each byte within its word
+    value = (_FOLDED if fold else _BYTE)[raw[inside[1:-1].view(bool)]]
+    value *= _POWERS[place]
     return starts, ends, mix(np.add.reduceat(value, first) + size.astype(U64))
 
 
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SPACES = re.compile(rb"[\x20\x09-\x0d]")
 
 
