@@ -31,10 +31,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written once to the shared folder, read from there by every later step."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df with its lineage cut: written once to the shared folder, read from there by every later step. files: at most so many files, for what is small."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(files) if files else df).checkpoint()
+
+
+def few_files(df: DataFrame, total: int) -> DataFrame:
+    """df, which has short rows, dealt into few partitions: one for each 256 MB of the texts that it comes from."""
+    return df.repartition(groups_for(total, 256 << 20, 4))
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
@@ -142,9 +147,9 @@ def encoded(text: str | None) -> bytes:
 # --- connected components ------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, files: int = 4, rounds: int = 60) -> DataFrame:
     """(node, component) of each node of edges (a, b): component is the smallest node reachable. Large star and small star by turns until nothing changes; every round is a few shuffles of the edges, none goes to the driver, and hubs are met by partial aggregation and joins only."""
-    e = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), files)
     before = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -152,7 +157,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        e = cut(small.distinct())
+        e = cut(small.distinct(), files)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, encoded, factors, groups_for, hashed, prepare, text_bytes, windows
+from .common import U64, encoded, factors, few_files, groups_for, hashed, prepare, text_bytes, windows
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
 
@@ -83,10 +83,10 @@ def _table(columns: dict[str, list], schema: pa.Schema) -> pa.Table:
     return pa.table({k: pa.array(v, schema.field(k).type) for k, v in columns.items()}, schema)
 
 
-def deduplicate(docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words kept, joined by one space) of every row of docs (doc_id, text)."""
+def deduplicate(docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = BUCKET, total: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept (the words kept, joined by one space) of every row of docs (doc_id, text). total: bytes of all texts, where they are known."""
     prepare(docs.sparkSession)
-    total = text_bytes(docs)
+    total = text_bytes(docs) if total is None else total
     n_chunks, n_buckets = groups_for(total, chunk_bytes), groups_for(total, bucket_bytes)
     base = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -201,4 +201,6 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = B
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text)."""
-    return deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    total = text_bytes(docs)
+    short = deduplicate(docs, total=total).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return few_files(short, total)
