@@ -15,7 +15,8 @@ Before sets are fetched, pairs go whose sizes or parity sketches prove that they
 (a sketch holds the parity of 512 counters; two sets differ by at least as many shingles as sketch bits).
 
 Nulls: a row without text or words is empty and linked with nothing; a row without doc_id is linked
-with nothing and has no component (kept is true). Rows that share a doc_id are one node. Ties go to the
+with nothing and has no component (kept is true). Rows that share a doc_id are judged by
+each one's own text where the texts are alone in their class; doc_id is meant to be unique. Ties go to the
 smaller doc_id. An empty table gives an empty one; of further columns none is read.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, components, cut, encoded, factors, hashed, mix, prepare, windows
+from .common import U64, components, cut, encoded, factors, few_files, groups_for, hashed, mix, prepare, text_bytes, windows
 
 SHINGLE, ROWS, BANDS = 5, 4, 16
 
@@ -142,29 +143,35 @@ def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: in
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    every = cut(profile(docs, shingle, rows, bands))
-    classes = cut(every.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    total = text_bytes(docs)
+    files, many = groups_for(total, 256 << 20, 4), groups_for(total, 32 << 20, 24)
+    every = cut(profile(docs, shingle, rows, bands), many)
+    classes = cut(every.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), 2 * files)
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
-    members = cut(banded.join(buckets, ["band", "key"]))
+    members = cut(banded.join(buckets, ["band", "key"]), 2 * files)
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = cut(_members(texts.join(wanted, "id", "left_semi"), shingle))
+    sets = cut(_members(texts.join(wanted, "id", "left_semi"), shingle), many)
     if _repeated(every):
-        sets = cut(sets.dropDuplicates(["id"]))
+        sets = cut(sets.dropDuplicates(["id"]), many)
     stars = members.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = cut(_alike(stars, classes, sets, similarity))
-    parts = components(links)
-    labelled = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("part"))
-    open_ = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
-    left = cut(labelled.join(open_, ["band", "key"]))
-    across = left.select("band", "key", F.col("rep").alias("a"), F.col("part").alias("p")).join(left.select("band", "key", F.col("rep").alias("b"), F.col("part").alias("q")), ["band", "key"]).where("a < b and p <> q").select("a", "b").distinct()
-    more = cut(_alike(across.join(stars, ["a", "b"], "left_anti"), classes, sets, similarity))
-    parts = components(links.union(more))
+    links = cut(_alike(stars, classes, sets, similarity), files)
+    parts = components(links, files)
+    labelled = cut(members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("part")), 2 * files)
+    unsettled = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
+    left = labelled.join(unsettled, ["band", "key"])
+    across = left.select("band", "key", F.col("rep").alias("a"), F.col("part").alias("p")).join(left.select("band", "key", F.col("rep").alias("b"), F.col("part").alias("q")), ["band", "key"]).where("a < b and p <> q").select("a", "b", "p", "q").distinct()
+    across = cut(across.join(stars, ["a", "b"], "left_anti"), files)
+    more = cut(_alike(across.select("a", "b"), classes, sets, similarity).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
+    if not more.isEmpty():  # links between the components found so far
+        joined = components(more, files).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        parts = parts.unionByName(joined.select(F.col("component").alias("node"), "component").join(parts.select("node"), "node", "left_anti"))
+        parts = parts.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
     whole = classes.select("k1", "k2", "n_shingles", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = every.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return few_files(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), total)
 
 
 def _repeated(every: DataFrame) -> bool:
