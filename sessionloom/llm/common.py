@@ -74,15 +74,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of data, as bytes.split() finds them: runs without 0x20 and 0x09 to 0x0D. fold: A-Z count as a-z."""
+#: Bytes that are no letters or digits; bytes above 0x7F belong to letters.
+_MARKS = np.ones(256, bool)
+_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(data: bytes, fold: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words of data, as bytes.split() finds them: runs without 0x20 and 0x09 to 0x0D. fold: A-Z count as a-z. marks: punctuation parts words as well."""
     global _POWERS
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, U64)
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~(_MARKS if marks else _SPACE)[raw]
     step = np.diff(inside)
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if not len(starts):
@@ -102,7 +107,7 @@ BLOCK = 1 << 18
 _SPACES = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def hashed(texts: list[bytes], fold: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed(texts: list[bytes], fold: bool = False, marks: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks (i, counts, hashes): texts i, i+1, ... have counts words each, with these hashes. A block holds about BLOCK bytes, and whole texts; a longer text is a block of its own, hashed bit by bit."""
     i = 0
     while i < len(texts):
@@ -111,7 +116,7 @@ def hashed(texts: list[bytes], fold: bool = False) -> Iterator[tuple[int, np.nda
             while at < len(texts[i]):
                 gap = _SPACES.search(texts[i], at + BLOCK)
                 end = gap.start() if gap else len(texts[i])
-                parts.append(words(texts[i][at:end], fold)[2])
+                parts.append(words(texts[i][at:end], fold, marks)[2])
                 at = end
             h = np.concatenate(parts)
             yield i, np.array([len(h)]), h
@@ -121,7 +126,7 @@ def hashed(texts: list[bytes], fold: bool = False) -> Iterator[tuple[int, np.nda
         while j < len(texts) and size + len(texts[j]) <= BLOCK:
             size += len(texts[j]) + 1
             j += 1
-        starts, _, h = words(b"\n".join(texts[i:j]), fold)
+        starts, _, h = words(b"\n".join(texts[i:j]), fold, marks)
         ends = np.cumsum([len(t) + 1 for t in texts[i:j]])
         yield i, np.diff(np.concatenate([[0], np.searchsorted(starts, ends)])), h
         i = j
