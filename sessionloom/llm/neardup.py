@@ -9,10 +9,11 @@ candidates; a pair of similarity 0.85 misses all bands with probability 8e-6.
 Documents with equal sets form a class, found by a 128-bit sum over the set; only the class's least
 doc_id goes on. In each bucket of a band, members are first paired with the bucket's least member
 and verified on full sets. Then, in what is still unconnected, each pair of members from different
-components of a bucket is verified too, so that every candidate pair is either verified or already
+components of a bucket is looked at too, so that every candidate pair is either decided or already
 connected: a bucket of m alike documents costs m pairs and not m * m, and no candidate is dropped.
-Before sets are fetched, pairs go whose sizes or parity sketches prove that they differ too much
-(a sketch holds the parity of 512 counters; two sets differ by at least as many shingles as sketch bits).
+Pairs whose sizes or parity sketches prove that they differ too much are never made: that is a condition
+of the join itself (a sketch holds the parity of 512 counters; two sets differ by at least as many
+shingles as their sketches by bits). All other pairs are verified on full sets.
 
 Nulls: a row without text or words is empty and linked with nothing; a row without doc_id is linked
 with nothing and has no component (kept is true). Rows that share a doc_id are judged by
@@ -22,9 +23,12 @@ smaller doc_id. An empty table gives an empty one; of further columns none is re
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, components, cut, encoded, factors, few_files, groups_for, hashed, mix, prepare, text_bytes, windows
@@ -119,15 +123,20 @@ def _members(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _facts(classes: DataFrame, rep: str, n: str, s: str) -> DataFrame:
+    """Size and sketch of each class, under other names; the sketch as SKETCH / 64 columns."""
+    return classes.select(F.col("rep").alias(rep), F.col("n_shingles").alias(n), *(F.col("sketch")[k].alias(f"{s}{k}") for k in range(SKETCH // 64)))
+
+
+def _may_be_alike(similarity: int, n: str = "n", m: str = "m", s: str = "s", t: str = "t") -> Column:
+    """False only where sizes or sketches prove that two sets are too different: similar sets differ in at most (100 - s) / (100 + s) of n + m shingles."""
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"{s}{k}").bitwiseXOR(F.col(f"{t}{k}"))) for k in range(SKETCH // 64)))
+    return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & ((100 + similarity) * apart <= (100 - similarity) * (F.col(n) + F.col(m)))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    facts = classes.select("rep", "n_shingles", "sketch")
-    both = pairs.join(facts.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s")), "a").join(facts.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t")), "b")
-    least = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
-    apart = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("int"), lambda x, y: x + y)
-    # similar sets differ in at most (100 - s) / (100 + s) of n + m shingles
-    near = both.where(least).where((100 + similarity) * apart <= (100 - similarity) * (F.col("n") + F.col("m"))).select("a", "b")
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
@@ -156,14 +165,20 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int
     if _repeated(every):
         sets = cut(sets.dropDuplicates(["id"]), many)
     stars = members.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = cut(_alike(stars, classes, sets, similarity), files)
+    near = stars.join(_facts(classes, "a", "n", "s"), "a").join(_facts(classes, "b", "m", "t"), "b").where(_may_be_alike(similarity)).select("a", "b")
+    links = cut(_alike(near, sets, similarity), files)
     parts = components(links, files)
     labelled = cut(members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("part")), 2 * files)
     unsettled = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
-    left = labelled.join(unsettled, ["band", "key"])
-    across = left.select("band", "key", F.col("rep").alias("a"), F.col("part").alias("p")).join(left.select("band", "key", F.col("rep").alias("b"), F.col("part").alias("q")), ["band", "key"]).where("a < b and p <> q").select("a", "b", "p", "q").distinct()
+    left = labelled.join(unsettled, ["band", "key"]).join(_facts(classes, "rep", "n", "s"), "rep")
+    right = left.select("band", "key", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(SKETCH // 64)))
+    # the filter is part of the join, so pairs of a bucket that are plainly unlike are never made
+    meet = ["band", "key"]
+    left, right = left.alias("l"), right.alias("r")
+    on = functools.reduce(operator.and_, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet))
+    across = left.join(right, on & (F.col("rep") < F.col("b")) & (F.col("part") != F.col("q")) & _may_be_alike(similarity)).select(F.col("rep").alias("a"), "b", F.col("part").alias("p"), "q").distinct()
     across = cut(across.join(stars, ["a", "b"], "left_anti"), files)
-    more = cut(_alike(across.select("a", "b"), classes, sets, similarity).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
+    more = cut(_alike(across.select("a", "b"), sets, similarity).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
     if not more.isEmpty():  # links between the components found so far
         joined = components(more, files).select(F.col("node").alias("component"), F.col("component").alias("into"))
         parts = parts.unionByName(joined.select(F.col("component").alias("node"), "component").join(parts.select("node"), "node", "left_anti"))
