@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, neardup, pii, toxicity
-from sessionloom.llm.common import checkpoint_dir
+from sessionloom.llm.common import checkpoint_dir, groups_for, text_bytes
 from sessionloom.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id. Rows without doc_id or words stay."""
     away = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return _columns(docs.join(away, "doc_id", "left_anti"))
+    return _columns(docs.join(away, "doc_id", "left_anti")).coalesce(groups_for(text_bytes(docs), 32 << 20, 24))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
