@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 DEPTH, FIELDS, OUTPUT = 8, 100_000, 1 << 20
 
 
@@ -54,7 +56,7 @@ def readable(data: bytes) -> str | None:
         s = data.decode()
     except UnicodeDecodeError:
         return None
-    good = sum(c.isprintable() or c in "\n\r\t" for c in s)
+    good = sum(unicodedata.category(c) != "Cc" or c.isspace() for c in s)
     return s if good * 10 >= len(s) * 9 else None
 
 
@@ -77,14 +79,34 @@ def strings(data: bytes) -> list[str]:
             text = text.encode()[:budget].decode("utf-8", "ignore")
             budget -= len(text.encode())
             out.append(text)
-        elif stack[-1][1] < DEPTH and (inner := fields(step[2])):
+        elif stack[-1][1] + 1 < DEPTH and (inner := fields(step[2])):
             stack.append((iter(inner), stack[-1][1] + 1))
     return out
 
 
 def references(data: bytes) -> list[str]:
-    """Values of exactly 32 bytes on the first level, as hex."""
-    return [v.hex() for _, kind, v in fields(data) or () if kind == 2 and len(v) == 32]
+    """Values of exactly 32 bytes at any depth, in order, as hex; a reference is not walked itself."""
+    out: list[str] = []
+    stack, seen = [iter(fields(data) or ())], 0
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            continue
+        seen += 1
+        if seen > FIELDS or len(out) * 32 >= OUTPUT:
+            break
+        if step[1] == 2 and len(step[2]) == 32:
+            out.append(step[2].hex())
+        elif step[1] == 2 and len(stack) < DEPTH and (inner := fields(step[2])):
+            stack.append(iter(inner))
+    return out
+
+
+def is_tree_node(data: bytes) -> bool:
+    """Whether a message is not empty and holds nothing but references and varints."""
+    found = fields(data)
+    return bool(found) and all(kind == 0 or kind == 2 and len(v) == 32 for _, kind, v in found)
 
 
 def encode(rows: list[tuple[int, int | bytes]]) -> bytes:

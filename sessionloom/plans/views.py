@@ -1,0 +1,79 @@
+"""Canonical frames projected from plain tables, and the same projections as SQL common table expressions."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.times import stored
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def messages(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations")
+    role = F.when(F.col("role") == "system", "meta").otherwise(F.col("role"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), role.alias("role"), "text")
+
+
+def files(spark, d) -> DataFrame:
+    t = table(spark, d, "documents")
+    status = F.when(F.col("lang") == "en", "parsed").when(F.col("lang") == "fr", "inventoried").when(F.col("lang") == "de", "failed").otherwise("unparsed")
+    return t.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("root"), F.col("lang").alias("store"), F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"),
+        F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"), F.lit(1).cast("long").alias("version"), status.alias("parse_status"), F.col("n_chars").alias("record_count"), "text",
+    )
+
+
+def observations(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    t = F.col("event_type")
+    kind = F.when(t == "view", "file_read").when(t == "click", "command_executed").when(t == "purchase", "file_written").when(t == "signup", "upload_detected").otherwise("anomaly")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), kind.alias("kind"), stored(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("props").alias("details"), "value")
+
+
+def anomalies(spark, d) -> DataFrame:
+    e = table(spark, d, "events").where("event_type = 'error'")
+    severity = F.when(F.col("value") < 10, "info").when(F.col("value") < 100, "warning").otherwise("error")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.lit("malformed_record").alias("kind"), severity.alias("severity"), F.concat(F.lit("value of "), F.pmod(F.col("user_id"), F.lit(7)).cast("string")).alias("message"))
+
+
+def stream(spark, d) -> DataFrame:
+    """Uses and results: clicks and purchases of each user."""
+    e = table(spark, d, "events").where("event_type in ('click', 'purchase')")
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("position"), F.when(F.col("event_type") == "click", "use").otherwise("result").alias("kind"))
+
+
+def records(spark, d) -> DataFrame:
+    """Cards: events of each user, errors hidden, turn keys by type."""
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("stream"), F.col("event_id").alias("position"), F.lit("assistant").alias("role"), F.col("event_type").alias("turn_key"), (F.col("event_type") == "error").alias("hidden"))
+
+
+def forest(spark, d) -> DataFrame:
+    s = table(spark, d, "conversations").select("conv_id").distinct()
+    return s.select(F.col("conv_id").alias("id"), F.when(F.col("conv_id") > 0, F.floor(F.col("conv_id") / 3)).cast("long").alias("parent_id"))
+
+
+TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+CTE = {
+    "messages": "messages AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, turn AS ordinal, CASE WHEN role = 'system' THEN 'meta' ELSE role END AS role, text FROM conversations)",
+    "files": "files AS (SELECT doc_id AS id, source AS root, lang AS store, source || '/' || lang || '/' || doc_id || '.txt' AS rel_path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256, CAST(1 AS BIGINT) AS version, CASE lang WHEN 'en' THEN 'parsed' WHEN 'fr' THEN 'inventoried' WHEN 'de' THEN 'failed' ELSE 'unparsed' END AS parse_status, n_chars AS record_count, text FROM documents)",
+    "observations": f"observations AS (SELECT event_id AS id, user_id AS session_id, CASE event_type WHEN 'view' THEN 'file_read' WHEN 'click' THEN 'command_executed' WHEN 'purchase' THEN 'file_written' WHEN 'signup' THEN 'upload_detected' ELSE 'anomaly' END AS kind, {TS} AS timestamp, props AS details, value FROM events)",
+    "anomalies": "anomalies AS (SELECT event_id AS id, user_id AS session_id, 'malformed_record' AS kind, CASE WHEN value < 10 THEN 'info' WHEN value < 100 THEN 'warning' ELSE 'error' END AS severity, 'value of ' || (user_id % 7) AS message FROM events WHERE event_type = 'error')",
+    "stream": "stream AS (SELECT user_id AS key, event_id AS position, CASE event_type WHEN 'click' THEN 'use' ELSE 'result' END AS kind FROM events WHERE event_type IN ('click', 'purchase'))",
+    "records": "records AS (SELECT user_id AS stream, event_id AS position, 'assistant' AS role, event_type AS turn_key, event_type = 'error' AS hidden FROM events)",
+    "forest": "forest AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id > 0 THEN conv_id // 3 END AS parent_id FROM conversations)",
+}
+
+
+def sql(text: str) -> str:
+    """text with the projections that it names in front."""
+    import re
+
+    used = [c for n, c in CTE.items() if re.search(rf"\b{n}\b", text)]
+    if text.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*used, text.removeprefix("WITH RECURSIVE ")])
+    if text.startswith("WITH "):
+        return "WITH " + ", ".join([*used, text.removeprefix("WITH ")])
+    return ("WITH " + ", ".join(used) + " " if used else "") + text

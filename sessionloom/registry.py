@@ -1,9 +1,11 @@
-"""All registered queries and the SQL that gives the same rows."""
+"""All registered queries of the library, and the SQL that gives the same rows."""
+
+from .plans.bindings import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
