@@ -39,7 +39,8 @@ def phrase(index_: DataFrame, query: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """doc, score, rank over all documents that hold a token of the query; statistics over all documents, in one pass over the texts."""
     wanted = sorted(set(query_tokens(query)))
-    counted = docs.select(F.col(key).alias("doc"), tokens_of(F.col(text)).alias("t")).select("doc", F.size("t").alias("length"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"f{i}") for i, w in enumerate(wanted)))
+    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    counted = docs.select(F.col(key).alias("doc"), tokens_of(F.col(text)).alias("t")).select("doc", F.size("t").alias("length"), *(times(w).alias(f"f{i}") for i, w in enumerate(wanted)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))
     scored = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
