@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, smooth:
     chosen = [marked.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (1, 0)]
     # the sample's ids are at most 2 * per_class rows, so they can be sent to all executors
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-    sample = cut(sample.dropDuplicates(["doc_id"]).select("y", "text"))
+    sample = cut(sample.dropDuplicates(["doc_id"]).select("y", "text"), 8)  # a bounded sample needs few files
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     weights = np.zeros(1 << BITS, np.float32)
