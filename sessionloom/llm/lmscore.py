@@ -76,7 +76,8 @@ def count(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the target and of the background: docs (doc_id, text) with labels (doc_id, quality) of 1, and all docs."""
     prepare(docs.sparkSession)
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") >= 1).alias("good"))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # labels grow with the documents, so they are merged at every size and never sent to all executors
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def gather(batches):
         seen, held, waiting = np.zeros((2, SIZE), np.int64), [], 0
