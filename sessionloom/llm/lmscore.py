@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, encoded, factors, prepare
+from .common import U64, encoded, factors, few_files, prepare
 
 ORDER, BITS4, BITS3 = 4, 20, 18
 
@@ -147,4 +147,5 @@ def score(docs: DataFrame, target: np.ndarray, background: np.ndarray) -> DataFr
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The scores of docs by models that are counted on them."""
-    return score(docs, *count(docs, labels))
+    target, background = count(docs, labels)
+    return few_files(score(docs, target, background), int(background[_AT1:].sum()))  # a token is a byte
