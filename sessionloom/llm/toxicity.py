@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, cut, factors, prepare
+from .common import U64, cut, factors, few_files, prepare, text_bytes
 
 NGRAMS, BITS = (4, 5, 6), 20
 
@@ -171,4 +171,5 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text)."""
     scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    short = scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return few_files(short, text_bytes(docs))
