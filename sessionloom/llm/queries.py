@@ -71,5 +71,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_licences, op4_lm_scoring, op5_neighbours, op6_html, op7_substrings, op8_neardup, op9_pii, op10_bpe, pipeline)}
 
 
+def _words(text: str) -> str:
+    """Rows (doc_id, k, word) of the words of a text, and the number of words of each document."""
+    return f"""d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce({text}, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents),
+      e AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d), n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d)"""
+
+
+def _following(n: int) -> str:
+    return " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER o" for j in range(1, n))])
+
+
+#: Plain windows and sets; the operators find the same rows by anchors and by signatures.
+SUBSTRINGS_SQL = f"""WITH {_words("text")},
+  g AS (SELECT doc_id, k, {_following(13)} AS s FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+  m AS (SELECT s, min(doc_id) AS first FROM g WHERE s IS NOT NULL GROUP BY s),
+  c AS (SELECT DISTINCT doc_id, k + j AS k FROM g JOIN m USING (s), (SELECT unnest(range(0, 13)) AS j) WHERE first < doc_id)
+  SELECT n.doc_id, n.n AS n_words, count(c.k) AS n_removed, sha256(coalesce(string_agg(e.word, ' ' ORDER BY e.k) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+  FROM n LEFT JOIN e USING (doc_id) LEFT JOIN c ON c.doc_id = e.doc_id AND c.k = e.k GROUP BY n.doc_id, n.n"""
+
+NEARDUP_SQL = f"""WITH RECURSIVE {_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+  g AS (SELECT doc_id, {_following(5)} AS s FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+  h AS (SELECT DISTINCT doc_id, s FROM g WHERE s IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+  z AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM h a JOIN h b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+  both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  r(node, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, y FROM r JOIN both_ways ON x = r.seen)
+  SELECT r.node AS doc_id, coalesce(max(z.n), 0) AS n_shingles, min(r.seen) AS component_id, r.node = min(r.seen) AS kept FROM r LEFT JOIN z ON z.doc_id = r.node GROUP BY r.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests compare the others with brute force."""
+    return {"op7_substrings": SUBSTRINGS_SQL, "op8_neardup": NEARDUP_SQL}
