@@ -1,11 +1,13 @@
 """The queries that SQL can express, against DuckDB."""
 
+import os
+
 import pytest
 from conftest import rows
 
 from sessionloom.llm import queries
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
