@@ -63,7 +63,9 @@ def attributes_of(s: str | None) -> str | None:
         value = s[b:e]
         if key == "toolUseResult":
             continue
-        if key == "message" and value.startswith("{"):
+        if key == "message":
+            if not value.startswith("{"):
+                continue
             rest = [f"{json.dumps(k, ensure_ascii=False)}:{value[x:y]}" for k, x, y in members(value) if k != "content"]
             if not rest:
                 continue

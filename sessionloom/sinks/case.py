@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,21 @@ class Case:
 
     def put_blobs(self, contents: DataFrame) -> None:
         """Adds contents (content binary) that are not there yet."""
-        new = contents.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size")).dropDuplicates(["sha256"])
-        self.append("blobs", new.join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
+        found = contents.select(F.sha2("content", 256).alias("sha256"), "content").join(self.table("blob_contents").select("sha256"), "sha256", "left_anti")
+        staged = self.stage(found.dropDuplicates(["sha256"]))
+        self.append("blob_contents", staged)
+        self.append("blobs", staged.select("sha256", F.octet_length("content").cast("long").alias("size")).join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
+
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows as a written table, which cuts their lineage; it lies in the case's folder, which all executors see."""
+        at = f"{self.path}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.parquet(at)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Writes a table anew from rows that may be derived from it."""
+        wanted = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema(name).fields))
+        self.stage(wanted).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def annotate(self, target_type: str, target_id: int, kind: str, value: str) -> int:
         if target_type not in ("session", "message", "tool_call", "observation") or kind not in ("note", "tag") or not value.strip() or len(value.encode()) > MOST_BYTES:

@@ -33,5 +33,5 @@ def parsed(found: DataFrame) -> DataFrame:
     """found with its text, whether it is UTF-8, and the anomaly that its content shows, if any."""
     text = F.make_valid_utf8(F.col("content").cast("string"))
     document = F.try_parse_json(text)
-    anomaly = F.when(F.col("oversized"), "oversized_record").when(document.isNull() & ~F.col("terminated"), "truncated_record").when(document.isNull(), "malformed_record").when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid_utf8")
+    anomaly = F.when(F.col("oversized"), "oversized_record").when(document.isNull() & ~F.col("terminated"), "truncated_line").when(document.isNull(), "malformed_record").when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid_utf8")
     return found.withColumn("text", text).withColumn("anomaly", anomaly)

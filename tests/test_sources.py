@@ -76,7 +76,7 @@ def test_transcripts(spark):
     calls = transcripts.tool_calls(b)
     assert sorted((c.name, c.status, c.category, c.is_error, c.result_text) for c in calls.collect()) == [("Bash", "paired", "shell", True, "out"), ("MultiEdit", "unfinished", "file_edit", False, None)]
     assert sorted((o["kind"] for o in transcripts.observations(calls).collect())) == ["command_executed", "file_edited", "file_edited"]
-    assert sorted((a["kind"], a["index"]) for a in transcripts.anomalies(r, b).collect()) == [("malformed_record", 6), ("missing_timestamp", 2), ("truncated_record", 7), ("unknown_record_type", 5), ("unpaired_tool_result", 2)]
+    assert sorted((a["kind"], a["index"]) for a in transcripts.anomalies(r, b).collect()) == [("malformed_record", 6), ("missing_timestamp", 2), ("truncated_line", 7), ("unknown_record_type", 5), ("unpaired_tool_result", 2)]
     assert [s.rule for s in transcripts.secret_candidates(b).collect()] == ["generic-assignment"]
     assert [t.title for t in transcripts.titles(r).collect()] == ["B"]
 
