@@ -74,6 +74,15 @@ def attributes_of(s: str | None) -> str | None:
     return "{" + ",".join(out) + "}"
 
 
+def without(s: str | None, dropped: str) -> str | None:
+    """An object without the members named in a list parted by spaces."""
+    try:
+        found = members(s or "")
+    except (ValueError, IndexError):
+        return None
+    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{s[b:e]}" for k, b, e in found if k not in dropped.split()) + "}"
+
+
 def entry_spans(s: str | None, key: str = "entries") -> list[dict]:
     """Byte places of the elements of an array member."""
     try:
@@ -123,6 +132,11 @@ def attributes_udf(s: pd.Series) -> pd.Series:
     return s.map(attributes_of)
 
 
+@F.pandas_udf(T.StringType())
+def without_udf(s: pd.Series, dropped: pd.Series) -> pd.Series:
+    return pd.Series([without(x, d) for x, d in zip(s, dropped, strict=True)])
+
+
 @F.pandas_udf(_SPANS)
 def entry_spans_udf(s: pd.Series) -> pd.Series:
     return s.map(entry_spans)

@@ -30,12 +30,15 @@ STORES = {
     "claude:uploads": "uploads",
     "claude:settings": "settings.json",
 }
+# Stores that a parser reads; the others are only listed.
+READ = {"claude:projects", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
 # Severities of anomalies; all others are warnings.
 SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "invalid_utf8": "info", "orphaned_file": "info", "superseded_file": "info", "symlink_in_evidence": "info"}
 # Parsers by name and version.
 PARSERS = {"transcript": ("claude_code.transcript", "1"), "meta": ("claude_code.subagent_meta", "1"), "history": ("claude_code.history", "1"), "upload": ("claude_code.uploads", "1")}
 #: Longer sidecar files are not read.
 MOST_BYTES = 64 << 20
+UNBOUNDED = ["transcript", "history", "kv", "workspace"]
 
 
 def numbered(rows: DataFrame, within: list, start: int) -> DataFrame:
@@ -63,40 +66,44 @@ def parser_of(path: Column, kind: Column) -> Column:
 
 
 def ingest(case, path: str, label: str) -> int:
-    """Takes up what is new below path under a label; gives the root's id."""
+    """Takes up what is new below path, a directory of transcripts, under a label; gives the root's id."""
+    return take_up(case, path, label, "claude-code", STORES, parser_of, Load)
+
+
+def take_up(case, path: str, label: str, harness: str, expected: dict[str, str], parser, loader) -> int:
+    """Lists the stores and files of a root and lets loader(case, root_id, path, files).run(changed) read those that are new or changed."""
     path = os.path.abspath(path)
     root = case.table("evidence_roots").where(F.col("path") == path).select("id").first()
     root_id = root[0] if root else last_id(case, "evidence_roots") + 1
-    found = case.stage(manifest.stores(manifest.manifest(case.spark, path), STORES))
+    found = case.stage(manifest.stores(manifest.manifest(case.spark, path), expected))
     if not root:
         at = datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        row = [(root_id, label, path, "claude-code", json.dumps(["projects"]), True, at)]
+        row = [(root_id, label, path, harness, json.dumps(list(expected.values())), True, at)]
         case.append("evidence_roots", case.spark.createDataFrame(row, "id long, label string, path string, harness string, identification string, retained boolean, added_at string"))
-    _stores(case, root_id, path, found)
-    files, drift = _files(case, root_id, found)
+    _stores(case, root_id, path, expected)
+    files, drift = _files(case, root_id, found, expected, parser)
     if files.isEmpty():
         return root_id
-    load = Load(case, root_id, path, files)
-    load.run(drift)
-    case.audit("ingest", {"root": root_id, "files": files.count(), "parsed": load.parsed.count()})
+    loader(case, root_id, path, files).run(drift)
+    case.audit("ingest", {"root": root_id, "files": files.count(), "parsed": files.where("parser is not null").count()})
     return root_id
 
 
-def _stores(case, root_id: int, path: str, found: DataFrame) -> None:
+def _stores(case, root_id: int, path: str, expected: dict[str, str]) -> None:
     """Stores of the root that are there, and those that are absent."""
     known = {r.kind for r in case.table("stores").where(F.col("root_id") == root_id).select("kind").collect()}
-    there = [(k, p) for k, p in STORES.items() if os.path.lexists(os.path.join(path, p))]
+    there = [(k, p) for k, p in expected.items() if os.path.lexists(os.path.join(path, p))]
     start = last_id(case, "stores")
     new = [(k, p) for k, p in there if k not in known]
     if new:
-        rows = [(start + i + 1, root_id, k, p, "inventoried" if not p.startswith(("projects", "history", "uploads")) else "parsed") for i, (k, p) in enumerate(new)]
+        rows = [(start + i + 1, root_id, k, p, "parsed" if k in READ else "inventoried") for i, (k, p) in enumerate(new)]
         case.append("stores", case.spark.createDataFrame(rows, "id long, root_id long, kind string, rel_path string, status string"))
-    gone = [(root_id, k) for k in STORES if k not in dict(there)]
+    gone = [(root_id, k) for k in expected if k not in dict(there)]
     rest = case.table("absent_stores").where(F.col("root_id") != root_id)
     case.replace("absent_stores", rest.unionByName(case.spark.createDataFrame(gone, "root_id long, kind string")))
 
 
-def _files(case, root_id: int, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _files(case, root_id: int, found: DataFrame, expected: dict[str, str], parser) -> tuple[DataFrame, DataFrame]:
     """Adds new and changed files to the manifest; gives them with their parser, and those that changed."""
     old = case.table("source_files").where(F.col("root_id") == root_id)
     newest = old.groupBy("rel_path").agg(F.max("version").alias("was"), F.max_by(F.struct("sha256", "parse_status", "id"), "version").alias("x"))
@@ -104,11 +111,11 @@ def _files(case, root_id: int, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     failed = F.col("x.parse_status").isin("unparsed", "failed")
     changed = F.col("was").isNotNull() & ~F.col("x.sha256").eqNullSafe(F.col("sha256"))
     stores = case.table("stores").where(F.col("root_id") == root_id).select(F.col("kind").alias("store"), F.col("id").alias("store_id"))
-    order = F.array_position(F.array(*(F.lit(k) for k in STORES)), F.col("store"))
+    order = F.array_position(F.array(*(F.lit(k) for k in expected)), F.col("store"))
     new = both.where(F.col("was").isNull() | changed | failed).join(stores, "store").withColumn("version", F.coalesce("was", F.lit(0)) + 1).withColumn("drift", changed).withColumn("file_id", order)
     new = numbered(new, ["rel_path"], last_id(case, "source_files"))
-    parser = parser_of(F.col("rel_path"), F.col("kind"))
-    files = case.stage(new.withColumn("parser", F.when(F.col("size") <= MOST_BYTES, parser).otherwise(F.when(parser.isin("transcript", "history"), parser))).withColumn("root_id", F.lit(root_id).cast("long")).withColumn("encoded", F.lit(False)).drop("file_id").withColumn("file_id", F.col("id")))
+    by = parser(F.col("rel_path"), F.col("kind"))
+    files = case.stage(new.withColumn("parser", F.when((F.col("size") <= MOST_BYTES) | by.isin(*UNBOUNDED), by)).withColumn("root_id", F.lit(root_id).cast("long")).withColumn("encoded", F.lit(False)).drop("file_id").withColumn("file_id", F.col("id")))
     return files, files.where("drift")
 
 
@@ -196,7 +203,7 @@ class Load:
 
     def _blocks(self) -> DataFrame:
         m = self.messages.select("path", "index", F.col("id").alias("message_id"), "file_id", "session_id", F.col("timestamp_origin"))
-        shown = self.history.where("display is not null").select("path", "index", F.lit(0).cast("long").alias("ordinal"), F.lit("text").alias("kind"), F.col("display").alias("text"), F.to_json(F.to_variant_object(F.struct("display"))).alias("payload"), "timestamp")
+        shown = self.history.where("display is not null").select("path", "index", F.lit(0).cast("long").alias("ordinal"), F.lit("text").alias("kind"), F.col("display").alias("text"), F.to_json(F.col("display").cast("variant")).alias("payload"), "timestamp")
         rows = self.found.unionByName(shown, allowMissingColumns=True).join(m, ["path", "index"])
         return self.case.stage(numbered(rows, ["index", "ordinal"], last_id(self.case, "blocks")))
 
@@ -215,7 +222,7 @@ class Load:
         """Pastes of the prompt history: session, id, and the content, inline or from the paste cache."""
         p = self.history.where("hsid <> ''").select("pid", "file_id", "index", "hsid", "timestamp", F.posexplode("pasted").alias("n", "p"))
         get = lambda k: text.json_text(F.col("p.value"), k)
-        p = p.select("pid", "file_id", "index", "hsid", "timestamp", "n", F.coalesce(F.get_json_object("p.value", "$.id"), F.to_json(F.to_variant_object(F.array("p.key")))).alias("paste_id"), get("content").alias("inline"), get("contentHash").alias("hash"))
+        p = p.select("pid", "file_id", "index", "hsid", "timestamp", "n", F.coalesce(F.get_json_object("p.value", "$.id"), F.col("p.key")).alias("paste_id"), get("content").alias("inline"), get("contentHash").alias("hash"))
         unsafe = F.coalesce(text.unsafe_component(F.col("hash")), F.lit(False))
         p = p.withColumn("unsafe", unsafe & F.col("inline").isNull()).withColumn("rel", F.when(F.col("inline").isNull() & ~unsafe, F.concat(F.lit("paste-cache/"), "hash", F.lit(".txt"))))
         prefix = len(self.path) + 1
@@ -305,11 +312,7 @@ class Load:
 
     def _write(self, drift: DataFrame) -> None:
         case, edits = self.case, self.case.stage(effects(self.calls))
-        counts = self.records.groupBy("file_id").agg(F.count("*").alias("record_count"))
-        files = self.files.join(counts, "file_id", "left").withColumn("parse_status", F.when(F.col("parser").isNull(), "inventoried").otherwise("parsed")).withColumn("record_count", F.when(F.col("parser").isNotNull(), F.coalesce("record_count", F.lit(0))))
-        older = case.table("source_files").alias("o").join(self.files.select("root_id", "rel_path").withColumn("again", F.lit(True)), ["root_id", "rel_path"], "left").withColumn("parse_status", F.when(F.col("again"), "superseded").otherwise(F.col("parse_status")))
-        columns = case.table("source_files").columns
-        case.replace("source_files", older.select(*columns).unionByName(files.withColumn("error", F.lit(None)).withColumn("btime", F.lit(None).cast("string")).select(*columns)))
+        write_files(case, self.files, self.records.groupBy("file_id").agg(F.count("*").alias("record_count")))
         parser = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in PARSERS.items() for x in (k, v[i]))), F.col("parser"))
         lone = self.messages.where("record_type = 'history'").select("pid", F.lit("derived").alias("o")).distinct()
         case.append("provenance", self.records.where("not oversized").join(lone, "pid", "left").select(F.col("pid").alias("id"), F.col("file_id").alias("source_file_id"), F.col("offset").alias("byte_offset"), F.col("length").alias("byte_length"), F.col("sha256").alias("content_sha256"), parser(0).alias("parser"), parser(1).alias("parser_version"), F.coalesce("o", F.lit("stored")).alias("origin")))
@@ -333,6 +336,21 @@ class Load:
         case.put_blobs(texts.union(stored.join(kept, "path", "left_semi").select("content")).union(self.pastes.where("content is not null").select("content")))
 
 
+def write_files(case, files: DataFrame, counts: DataFrame) -> None:
+    """Adds files with their numbers of records (file_id, record_count); older versions of them are superseded."""
+    read = F.col("parser").isNotNull()
+    new = files.join(counts, "file_id", "left").withColumn("parse_status", F.when(read, "parsed").otherwise("inventoried")).withColumn("record_count", F.when(read, F.coalesce("record_count", F.lit(0))))
+    again = files.select("root_id", "rel_path").withColumn("again", F.lit(True))
+    old = case.table("source_files").join(again, ["root_id", "rel_path"], "left").withColumn("parse_status", F.when(F.col("again"), "superseded").otherwise(F.col("parse_status")))
+    columns = case.table("source_files").columns
+    case.replace("source_files", old.select(*columns).unionByName(new.withColumn("error", F.lit(None)).withColumn("btime", F.lit(None).cast("string")).select(*columns)))
+
+
+def contents(case, root: str, glob: str | None = None) -> DataFrame:
+    """rel_path, length, content of the files below a root."""
+    return jsonl.binary_files(case.spark, root, glob).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root) + 2, 1 << 30).alias("rel_path"), "length", "content")
+
+
 def _json(**members: Column) -> Column:
     """A JSON object with all members, also those without a value."""
     return F.to_json(F.struct(*(v.alias(k) for k, v in members.items())), {"ignoreNullFields": "false"})
