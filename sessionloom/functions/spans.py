@@ -99,19 +99,18 @@ def entry_spans(s: str | None, key: str = "entries") -> list[dict]:
     return out
 
 
-def embedded_time(s: str | None, offset_minutes: int = 0) -> str | None:
-    """UTC time of text such as 'Friday, Jan 2, 2026, 3:04 PM (UTC+1)'; null where the weekday is wrong."""
-    m = re.fullmatch(r"\s*(\w+), (\w{3}) (\d{1,2}), (\d{4}), (\d{1,2}):(\d{2}) ([AP]M)(?: \(UTC([+-]\d{1,2})(?::?(\d{2}))?\))?\s*", s or "")
-    if not m:
-        return None
-    try:
-        at = datetime.datetime.strptime(" ".join(m.group(2, 3, 4, 5, 6, 7)), "%b %d %Y %I %M %p")
-    except ValueError:
-        return None
-    if at.strftime("%A") != m[1]:
-        return None
-    minutes = int(m[8]) * 60 + int(m[9] or 0) * (-1 if m[8].startswith("-") else 1) if m[8] else offset_minutes
-    return (at - datetime.timedelta(minutes=minutes)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+def embedded_time(s: str | None) -> str | None:
+    """UTC time of text such as 'Friday, Jan 2, 2026, 3:04 PM (UTC+1)', the month short or in full; null without a zone or where the weekday is wrong."""
+    m = re.fullmatch(r"(\w+), (\w+) (\d{1,2}), (\d{4}), (\d{1,2}):(\d{2}) ([AaPp][Mm]) \(UTC(?:([+-])(\d{1,2})(?::(\d{1,2}))?)?\)", (s or "").strip())
+    for month in ("%b", "%B") if m else ():
+        try:
+            at = datetime.datetime.strptime(" ".join(m.group(2, 3, 4, 5, 6, 7)), f"{month} %d %Y %I %M %p")
+            east = datetime.timedelta(hours=int(m[9] or 0), minutes=int(m[10] or 0)) * (-1 if m[8] == "-" else 1)
+            if at.strftime("%A") == m[1] and abs(east) < datetime.timedelta(days=1):
+                return (at - east).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+        except (ValueError, OverflowError):
+            continue
+    return None
 
 
 def percent_encode(raw: bytes) -> tuple[str, bool]:

@@ -33,6 +33,11 @@ MAGIC = [("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638
 EXTENSIONS = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "pdf": "application/pdf", "txt": "text/plain", "log": "text/plain", "md": "text/markdown", "json": "application/json"}
 
 
+def strip(s: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def truncate(s: Column, most: int) -> Column:
     return F.when(F.char_length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most), F.lit("…")))
 
@@ -112,7 +117,7 @@ def content_class(role: Column, text: Column, attributes: Column | None = None,
 
 def _tag(text: Column, name: str) -> Column:
     pattern = f"(?s)<{name}>(.*?)</{name}>"
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
 
 
 def command_line(text: Column) -> Column:
@@ -170,7 +175,7 @@ def file_uri_path(uri: Column) -> Column:
 def user_query(text: Column) -> Column:
     """The words inside the wrapper that an editor puts around a prompt; null without one."""
     pattern = r"(?s)<user_query>(.*?)</user_query>"
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1)))
+    return F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1)))
 
 
 def unsafe_component(name: Column) -> Column:

@@ -31,7 +31,7 @@ STORES = {
     "claude:settings": "settings.json",
 }
 # Stores that a parser reads; the others are only listed.
-READ = {"claude:projects", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
+READ = {"claude:projects", "cursor:agent-transcripts", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
 # Severities of anomalies; all others are warnings.
 SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "invalid_utf8": "info", "orphaned_file": "info", "superseded_file": "info", "symlink_in_evidence": "info"}
 # Parsers by name and version.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import spans, text, times
 from ..operators import linking
 from ..sources import sqlite
-from .ingest import MOST_BYTES, _json, contents, finish, last_id, name_of, numbered, take_up, write_files
+from .ingest import MOST_BYTES, _json, contents, finish, last_id, numbered, take_up, write_files
 
 # Stores of a root in the order in which they are read.
 STORES = {"cursor:state-vscdb": "User/globalStorage", "cursor:workspace-storage": "User/workspaceStorage", "cursor:local-history": "User/History"}

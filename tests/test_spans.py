@@ -29,6 +29,8 @@ def test_attributes_keep_order_and_numbers():
 
 def test_times_and_paths():
     assert spans.embedded_time("Friday, Jan 2, 2026, 3:04 PM (UTC+1)") == "2026-01-02T14:04:00.000Z"
+    assert spans.embedded_time("Friday, January 2, 2026, 3:04 PM (UTC-2:30)") == "2026-01-02T17:34:00.000Z" and spans.embedded_time("Friday, Jan 2, 2026, 3:04 PM (UTC)") == "2026-01-02T15:04:00.000Z"
+    assert spans.embedded_time("Friday, Jan 2, 2026, 3:04 PM") is None
     assert spans.embedded_time("Monday, Jan 2, 2026, 3:04 PM (UTC+1)") is None and spans.embedded_time("x") is None
     for raw in (b"a/b", "é%".encode(), b"\xff%41x"):
         assert spans.percent_decode(*spans.percent_encode(raw)) == raw
