@@ -317,6 +317,51 @@ def test_lm_scoring(spark):
     assert lmscore.scored(empty(spark), labels).count() == 0 and lmscore.scored(df, labels.limit(0)).count() == 204
 
 
+def test_lm_losses_are_exact(spark):
+    from collections import Counter
+    from math import log2
+
+    rng = random.Random(21)
+    # many scripts: far more distinct sequences than any table of fixed size would keep apart
+    some = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    rows = [(i, some(1500)) for i in range(400)] + [(500, "x" * 300000), (501, None), (502, ""), (None, some(9))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    grams = [Counter(), Counter()]
+    for i, t in rows:
+        b = b"\n\n\n" + (t or "").encode()
+        found = [b[k - 3 : k + 1] for k in range(3, len(b))]
+        grams[1].update(found)
+        if i is not None and i < 100 and i % 2:
+            grams[0].update(found)
+    assert len(grams[1]) > 1 << 20
+    tables = []
+    for g in grams:
+        n, ctx = [Counter() for _ in range(5)], [Counter() for _ in range(5)]
+        for x, c in g.items():
+            for k in (1, 2, 3, 4):
+                n[k][x[4 - k :]] += c
+                ctx[k][x[4 - k : 3]] += c
+        tables.append((n, ctx))
+
+    def loss(v, x):
+        n, ctx = tables[v]
+        p = (n[1][x[3:]] + 1) / (ctx[1][b""] + 256)
+        for k in (2, 3, 4):
+            p = (n[k][x[4 - k :]] + lmscore.SMOOTH * p) / (ctx[k][x[4 - k : 3]] + lmscore.SMOOTH)
+        return -log2(p)
+
+    got = {r.doc_id: r for r in lmscore.scored(frame(spark, rows, False), labels).collect()}
+    assert len(got) == len(rows) and got[501].difference is None and got[502].n_tokens == 0
+    for i, t in [*rows[:3], *rows[200:203], rows[400], rows[403]]:
+        b = b"\n\n\n" + t.encode()
+        for v, name in enumerate(("target_loss", "background_loss")):
+            want = sum(loss(v, b[k - 3 : k + 1]) for k in range(3, len(b))) / (len(b) - 3)
+            assert got[i][name] == pytest.approx(want, rel=1e-9)
+    # the background's probabilities of what may follow a context add up to 1
+    context = rows[0][1].encode()[:3]
+    assert sum(2 ** -loss(1, context + bytes([d])) for d in range(256)) == pytest.approx(1)
+
+
 PAGES = [
     ("<p>a<p>b", "a\n\nb"), ("x <b>y</b>  z", "x y z"), ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c".replace("  1", "  1")), ("<table><tr><th>Name<th>N<tr><td>pear<td>10</table>", "Name  N\npear  10"),
     ("<style>p{}</style><script>'</p>'</script>t<!-- c --><p hidden>h</p><p style='display: none'>n", "t"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<pre>\n a\n  b</pre>", " a\n  b"), ("&lt;&amp;&eacute; 1 < 2", "<&é 1 < 2"),
