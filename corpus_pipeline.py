@@ -17,6 +17,9 @@ from sessionloom.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Near duplicates have 0.8 or more of their shingles of five words in common; with so many bands a pair at 0.8 is missed with probability 9e-6.
+SIMILARITY, BANDS = 80, 22
+
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
@@ -29,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows without doc_id or words stay."""
-    away = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id. Rows without doc_id or words stay."""
+    away = neardup.near_duplicates(docs, similarity=SIMILARITY, bands=BANDS).where(~F.col("kept")).select("doc_id").distinct()
     return _columns(docs.join(away, "doc_id", "left_anti")).coalesce(groups_for(text_bytes(docs), 32 << 20, 24))
 
 

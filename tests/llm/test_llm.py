@@ -400,3 +400,22 @@ def test_pipeline(spark, tmp_path, library):
     texts = dict(rows)
     assert all(library.decode(r.token_ids, skip_special_tokens=False) == (texts[i] or "") for i, r in got.items() if i != 302)
     assert "10.1.2.3" not in library.decode(got[302].token_ids, skip_special_tokens=False)
+
+
+def test_pipeline_drops_near_duplicates_from_80_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(20):
+        base = [f"d{i}x{k}" for k in range(250)]
+        for copy, changed in ((1, 5), (2, 7)):  # 221 of 271 shingles are common (0.82), and 211 of 281 (0.75)
+            w = list(base)
+            for k in range(changed):
+                w[20 + 30 * k] = f"edit{i}x{copy}x{k}"
+            rows.append((10 * i + copy, " ".join(w)))
+        rows.append((10 * i, " ".join(base)))
+    rng.shuffle(rows)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows, False), "").collect()}
+    want = {d for d, kept in ((d, k) for d, _, _, k in brute_neardup(rows, s=80)) if kept}
+    assert got == want and not any(10 * i + 1 in got for i in range(20)) and all(10 * i + 2 in got for i in range(20))
