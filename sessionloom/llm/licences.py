@@ -1,9 +1,11 @@
 """Operator 3: licence recognition by sentences and ordered rules.
 
 A text is cut into sentences, which are normalised (lower case, letters, digits and dots within
-numbers, single spaces) and looked up among known licence sentences. What is left of the text is a sequence of
+numbers, single spaces) and looked up among known licence sentences. A known sentence may run over several lines, with
+comment marks before them: its words must begin where a line or sentence begins and end where one ends. What is left of the text is a sequence of
 sentence identifiers; a rule names a licence and an ordered sequence of identifiers, and holds where that
-sequence occurs in the text's, other known sentences and at most `gap` unknown ones between its parts. Longer rules come first, and
+sequence occurs in the text's, other known sentences and at most `gap` unknown ones between its parts (an unknown one ends at
+its mark or at a blank line). Longer rules come first, and
 a sentence used by one rule is not used by a later one.
 
 One pass without a shuffle; sentences and rules are fixed values. Nulls and empty texts have no licence.
@@ -59,6 +61,8 @@ SENTENCES = {
     "spdx-gpl-3.0": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-gpl-3.0-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "all-rights": "All rights reserved.",
 }
 
@@ -80,6 +84,8 @@ RULES = [
     ("GPL-3.0-or-later", ("spdx-gpl-3.0-later",)),
     ("GPL-2.0-or-later", ("gpl-2.0-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-2.0-free",)),
+    ("AGPL-3.0-or-later", ("agpl-free",)),
+    ("ISC", ("isc-grant",)),
     ("GPL-3.0", ("gpl-3.0-work",)),
     ("GPL-3.0", ("gpl-3.0-program",)),
     ("GPL-3.0", ("spdx-gpl-3.0",)),
@@ -98,7 +104,7 @@ RULES = [
 
 LICENCES = "array<struct<licence:string,first:int,last:int>>"
 
-_BREAK = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\n+")
+_BREAK = re.compile(r"(?<=[.!?:;])([\"')\]]*\s+)|\n+")
 _DROP = re.compile(r"[^0-9a-z.]+|\.(?![0-9])")
 
 
@@ -114,34 +120,54 @@ class Rules:
         self.known = {}
         for name, s in sentences.items():
             self.known[normalise(s)] = name
-        # a known sentence may itself be cut where its text has a break: then its parts follow each other
-        self.parts: dict[str, list[tuple[list[str], str]]] = {}
-        for name, s in sentences.items():
-            cut = [n for x in _BREAK.split(s) if (n := normalise(x))]
-            if len(cut) > 1:
-                self.parts.setdefault(cut[0], []).append((cut, name))
-        for found in self.parts.values():
-            found.sort(key=lambda x: -len(x[0]))
-        self.sizes = {len(x) for x in [*self.known, *self.parts]}
+        # by first word, the longest first: a sentence is put together from the pieces that it was cut into
+        self.starts: dict[str, list[str]] = {}
+        for n in sorted(self.known, key=len, reverse=True):
+            self.starts.setdefault(n.split(" ", 1)[0], []).append(n)
+        self.most = 2 * max(map(len, self.known))
 
     def sentences(self, text: str | None) -> list[tuple[int, str]]:
         """(number of the sentence, identifier) of the known sentences of a text."""
-        cut = [x for x in _BREAK.split(text or "") if x]
-        out, at, most = [], 0, 2 * max(self.sizes)
-        while at < len(cut):
-            n = normalise(cut[at]) if len(cut[at]) < most else ""
-            taken = 1
-            for parts, name in self.parts.get(n, ()):
-                if [normalise(x) for x in cut[at : at + len(parts)]] == parts:
-                    out.append((at, name))
-                    taken = len(parts)
-                    break
-            else:
-                if n in self.known:
-                    out.append((at, self.known[n]))
-            at += taken
+        text = text or ""
+        cut, line, at = [], True, 0  # (normalised piece, is it a blank line, does a sentence end after it)
+        for m in [*_BREAK.finditer(text), None]:
+            piece, gap = text[at : m.start() if m else len(text)], m.group() if m else "\n"
+            n = normalise(piece) if len(piece) < self.most else None
+            cut.append((n, n == "" and line and "\n" in gap, m is None or m.group(1) is not None or len(gap) > 1))
+            line, at = "\n" in gap, m.end() if m else at
+        out, number, within, k = [], -1, False, 0
+        while k < len(cut):
+            n, blank, last = cut[k]
+            name, end = self._longest(cut, k) if n else (None, k)
+            if name:
+                number, within, k = number + 1, False, end
+                out.append((number, name))
+                continue
+            if n != "":
+                number, within = number + (not within), not last
+            elif blank:
+                within = False
+            k += 1
         return out
 
+    def _longest(self, cut: list, k: int) -> tuple[str | None, int]:
+        """The longest known sentence that the pieces from k on make up, and the piece after it."""
+        first = cut[k][0]
+        for known in self.starts.get(first.split(" ", 1)[0], ()):
+            size, end = 0, k
+            while end < len(cut) and (n := cut[end][0]) is not None:
+                if n:
+                    if not known.startswith(n, size):
+                        break
+                    size += len(n)
+                    if size == len(known):
+                        return self.known[known], end + 1
+                    if known[size] != " ":
+                        break
+                    size += 1
+                end += 1
+        return None, k
+
     def licences(self, text: str | None) -> list[tuple[str, int, int]]:
         """(licence, number of its first sentence, of its last) in the text, in order."""
         found = self.sentences(text)

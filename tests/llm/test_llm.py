@@ -298,6 +298,25 @@ def test_licences(spark):
     assert licences.licensed(empty(spark)).count() == 0
 
 
+def test_wrapped_licences():
+    import textwrap
+
+    s, rules = licences.SENTENCES, licences.Rules()
+    wanted = {
+        "MIT": ("mit-grant", "mit-notice", "mit-as-is"), "GPL-3.0-or-later": ("gpl-free", "gpl-hope", "gpl-see"), "BSD-3-Clause": ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name"),
+        "Apache-2.0": ("apache-2.0-grant-may", "apache-2.0-copy", "apache-2.0-as-is", "apache-2.0-see"), "ISC": ("isc-grant",), "AGPL-3.0-or-later": ("agpl-free",),
+    }
+    for name, parts in wanted.items():
+        for mark in ("", "# ", " * ", "// ", ";; "):
+            for gap in (" ", "\n\n"):
+                wrapped = [x for p in gap.join(s[k] for k in parts).split("\n\n") for x in [*textwrap.wrap(p, 70), ""]]
+                text = "\n".join((mark + x).rstrip() for x in ["Some heading", "", *wrapped, "def f():"])
+                assert [x[0] for x in rules.licences(text)] == [name], (name, mark, gap)
+    apache = s["apache-2.0-grant-may"] + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + s["apache-2.0-as-is"] + "\n"
+    assert [x[1] for x in rules.sentences(apache)] == ["apache-2.0-grant-may", "apache-2.0-copy", "apache-2.0-as-is"]
+    assert rules.licences("not " + s["mit-grant"].replace(" ", "\n")) == [] and rules.licences(s["mit-released"][:-1] + " or another one") == []
+
+
 def test_lm_scoring(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"] if i % 2 else ["delta", "omega", "sigma"], k=30))) for i in range(200)] + [(500, None), (501, ""), (None, "alpha")]
