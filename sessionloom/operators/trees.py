@@ -1,4 +1,4 @@
-"""Forests of sessions and trees of directories, by recursive SQL with a bound and a guard against cycles."""
+"""Forests of sessions and trees of directories, with a guard against cycles."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +19,27 @@ def ancestors(spark: SparkSession, sessions: DataFrame, most: int = HOPS) -> Dat
         SELECT id, ancestor, CAST(distance AS BIGINT) AS distance FROM up""")
 
 
-def nested(spark: SparkSession, sessions: DataFrame, most: int = HOPS) -> DataFrame:
-    """id, depth, path: sessions below their parents; the path of ids sorts them depth first. What hangs on no root stands at depth 0."""
-    sessions.select("id", "parent_id").createOrReplaceTempView("loom_forest")
-    tree = spark.sql(f"""
-        WITH RECURSIVE down(id, depth, path) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT id, 0, array(id) FROM loom_forest s WHERE parent_id IS NULL OR parent_id = id OR NOT EXISTS (SELECT 1 FROM loom_forest p WHERE p.id = s.parent_id)
-          UNION ALL
-          SELECT f.id, down.depth + 1, array_append(down.path, f.id) FROM down JOIN loom_forest f ON f.parent_id = down.id WHERE f.id <> down.id AND down.depth < {most})
-        SELECT id, depth, path FROM down""")
-    stray = sessions.select("id").join(tree, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    return tree.unionByName(stray).select("id", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder where one is named."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def nested(spark: SparkSession, sessions: DataFrame) -> DataFrame:
+    """id, depth, path: sessions below their parents, to any depth; the path of ids sorts them depth first. What is on or below a cycle stands at depth 0.
+
+    Each round doubles the part of the path that is known. Depths have no gaps, so a round that ends no path leaves only what hangs on a cycle."""
+    there = sessions.select(F.col("id").alias("parent_id"), F.lit(True).alias("there")).distinct()
+    # above: the next session that the path does not hold yet
+    tree = _cut(sessions.select("id", "parent_id").join(there, "parent_id", "left").select("id", F.when(F.col("there") & (F.col("parent_id") != F.col("id")), F.col("parent_id")).alias("above"), F.array("id").alias("path")))
+    left = tree.where("above IS NOT NULL").count()
+    while left:
+        upper = tree.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("path").alias("upper"))
+        tree = _cut(tree.join(upper, "above", "left").select("id", F.col("next").alias("above"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
+        before, left = left, tree.where("above IS NOT NULL").count()
+        if left == before:
+            break
+    path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.array("id"))
+    return tree.select("id", (F.size(path) - 1).cast("long").alias("depth"), F.array_join(path.cast("array<string>"), "/").alias("path"))
 
 
 def directories(files: DataFrame, path: str = "rel_path") -> DataFrame:

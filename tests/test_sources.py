@@ -155,3 +155,12 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         (tmp_path / f"in/{k}.jsonl").write_text("{}")
         ingest.stream(spark, str(tmp_path / "in"), "*.jsonl", str(tmp_path / "ck"), lambda df, _: seen.extend(r.path[-7:] for r in df.select("path").collect())).awaitTermination()
     assert sorted(seen) == ["0.jsonl", "1.jsonl"]
+
+
+def test_nested_to_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(200)]
+    cycle = [(1000, 1001), (1001, 1000), (1002, 1001), (1003, 1002), (1004, 1004), (1005, 9999), (1006, 1005)]
+    got = {r.id: (r.depth, r.path) for r in trees.nested(spark, spark.createDataFrame(chain + cycle, "id long, parent_id long")).collect()}
+    want = {i: (i, "/".join(map(str, range(i + 1)))) for i in range(200)}
+    want |= {i: (0, str(i)) for i in range(1000, 1006)} | {1006: (1, "1005/1006")}
+    assert got == want
