@@ -1,45 +1,78 @@
-"""Forests of sessions and trees of directories, with a guard against cycles."""
+"""Forests of sessions and trees of directories, with a guard against cycles.
 
-from pyspark.sql import DataFrame, SparkSession
+Chains of parents are followed by pointer doubling: each round joins the table once with itself and doubles the
+part of every chain that is known, so a chain of n hops takes log2(n) rounds. Nothing recurses.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 HOPS = 64
 
 
+def _linked(sessions: DataFrame, *columns: Column | str) -> DataFrame:
+    """id, above (the parent, if it is listed itself) and columns of sessions (id, parent_id)."""
+    listed = sessions.select(F.col("id").alias("parent_id"), F.col("id").alias("above")).distinct()
+    return sessions.join(listed, "parent_id", "left").select("id", "above", *columns)
+
+
 def ancestors(spark: SparkSession, sessions: DataFrame, most: int = HOPS) -> DataFrame:
-    """id, ancestor, distance: the chain above each session, up to `most` hops, no session twice."""
-    sessions.select("id", "parent_id").createOrReplaceTempView("loom_forest")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, distance, path) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT id, parent_id, 1, array(id, parent_id) FROM loom_forest WHERE parent_id IS NOT NULL AND parent_id <> id
-          UNION ALL
-          SELECT up.id, f.parent_id, up.distance + 1, array_append(up.path, f.parent_id)
-          FROM up JOIN loom_forest f ON f.id = up.ancestor
-          WHERE f.parent_id IS NOT NULL AND NOT array_contains(up.path, f.parent_id) AND up.distance < {most})
-        SELECT id, ancestor, CAST(distance AS BIGINT) AS distance FROM up""")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder where one is named."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
-def nested(spark: SparkSession, sessions: DataFrame) -> DataFrame:
-    """id, depth, path: sessions below their parents, to any depth; the path of ids sorts them depth first. What is on or below a cycle stands at depth 0.
-
-    Each round doubles the part of the path that is known. Depths have no gaps, so a round that ends no path leaves only what hangs on a cycle."""
-    there = sessions.select(F.col("id").alias("parent_id"), F.lit(True).alias("there")).distinct()
-    # above: the next session that the path does not hold yet
-    tree = _cut(sessions.select("id", "parent_id").join(there, "parent_id", "left").select("id", F.when(F.col("there") & (F.col("parent_id") != F.col("id")), F.col("parent_id")).alias("above"), F.array("id").alias("path")))
+    """id, ancestor, distance: the listed sessions above each one, up to `most` hops, no session twice and none above itself."""
+    tree = cut(_linked(sessions.select("id", "parent_id")).select("id", F.when(F.col("above").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(F.col("above").cast("bigint"))).alias("chain")))
+    known = 1
+    while known < most:
+        upper = tree.select(F.col("id").alias("last"), F.col("chain").alias("upper")).where(F.size("upper") > 0)
+        last = F.when(F.size("chain") == known, F.element_at("chain", -1))  # a shorter chain has ended
+        tree = cut(tree.withColumn("last", last).join(upper, "last", "left").select("id", F.when(F.col("upper").isNull(), F.col("chain")).otherwise(F.concat("chain", "upper")).alias("chain")))
+        known *= 2
+        if tree.where(F.size("chain") == known).isEmpty():
+            break
+    # what follows a session that comes again has been met before: chains that run into a cycle are cut there
+    own = F.array_remove(F.array_distinct(F.slice("chain", 1, most)), F.col("id"))
+    return tree.select("id", F.posexplode(own).alias("distance", "ancestor")).select("id", "ancestor", (F.col("distance") + 1).cast("long").alias("distance"))
+
+
+def _cycle_starts(chained: DataFrame) -> DataFrame:
+    """id of the sessions (id, above, position) on or below a cycle that stand before all that is above them: there the list breaks the cycle."""
+    least = cut(chained.join(chained.select(F.col("id").alias("above"), F.col("position").alias("least")), "above").select("id", "position", F.col("above").alias("jump"), "least"))
+    while True:
+        upper = least.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("least").alias("upper"))
+        least = cut(least.join(upper, "jump").select("id", "position", F.col("next").alias("jump"), F.least("least", "upper").alias("least"), (F.col("upper") < F.col("least")).alias("new")))
+        if least.where("new").isEmpty():
+            return least.where("position <= least").select("id")
+
+
+def nested(spark: SparkSession, sessions: DataFrame, position: Column | None = None) -> DataFrame:
+    """id, depth, path: sessions (id, parent_id) below their parents, to any depth; in order of path they stand depth first.
+
+    position, a number of at least 0 that no two rows share (their id unless given), is the order of the list; path holds the
+    positions from the root on, each padded to 19 digits. A session whose parent is not listed is a root. A cycle is
+    broken where the list meets it first: before a session that comes earlier in the list than all above it."""
+    tree = cut(_linked(sessions.select("id", "parent_id", (F.col("id") if position is None else position).cast("long").alias("position")), "position", F.array("position").alias("path")))
+    tree = _grown(tree)
+    cyclic = tree.where("above IS NOT NULL")
+    if not cyclic.isEmpty():
+        broken = cut(_linked(sessions.join(cyclic.select("id"), "id", "left_semi").select("id", "parent_id")).join(cyclic.select("id", "position"), "id"))
+        starts = _cycle_starts(broken).withColumn("start", F.lit(True))
+        broken = broken.join(starts, "id", "left").select("id", F.when(F.col("start").isNull(), F.col("above")).alias("above"), "position", F.array("position").alias("path"))
+        tree = tree.where("above IS NULL").unionByName(_grown(cut(broken)))
+    return tree.select("id", (F.size("path") - 1).cast("long").alias("depth"), F.array_join(F.transform("path", lambda p: F.lpad(p.cast("string"), 19, "0")), "/").alias("path"))
+
+
+def _grown(tree: DataFrame) -> DataFrame:
+    """tree (id, above, position, path) with paths up to their roots. above is the next session that a path does not hold yet; it stays set only where a chain never ends.
+
+    Depths have no gaps, so a round that ends no path leaves only what hangs on a cycle."""
     left = tree.where("above IS NOT NULL").count()
     while left:
         upper = tree.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("path").alias("upper"))
-        tree = _cut(tree.join(upper, "above", "left").select("id", F.col("next").alias("above"), F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
+        tree = cut(tree.join(upper, "above", "left").select("id", F.col("next").alias("above"), "position", F.when(F.col("upper").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path")))
         before, left = left, tree.where("above IS NOT NULL").count()
         if left == before:
             break
-    path = F.when(F.col("above").isNull(), F.col("path")).otherwise(F.array("id"))
-    return tree.select("id", (F.size(path) - 1).cast("long").alias("depth"), F.array_join(path.cast("array<string>"), "/").alias("path"))
+    return tree
 
 
 def directories(files: DataFrame, path: str = "rel_path") -> DataFrame:

@@ -380,12 +380,19 @@ def header_vs_rows(spark, d):
     return linking.listed_and_present(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
 
 
-@query("""WITH RECURSIVE up(id, ancestor, distance) AS (SELECT id, parent_id, CAST(1 AS BIGINT) FROM forest WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, f.parent_id, up.distance + 1 FROM up JOIN forest f ON f.id = up.ancestor WHERE f.parent_id IS NOT NULL AND up.distance < 64) SELECT * FROM up""")
+@query("""WITH RECURSIVE up(id, ancestor, distance, seen) AS (SELECT f.id, p.id, CAST(1 AS BIGINT), [f.id, p.id] FROM forest f JOIN forest p ON p.id = f.parent_id AND p.id <> f.id
+  UNION ALL SELECT up.id, p.id, up.distance + 1, list_append(up.seen, p.id) FROM up JOIN forest f ON f.id = up.ancestor JOIN forest p ON p.id = f.parent_id WHERE NOT list_contains(up.seen, p.id) AND up.distance < 64)
+ SELECT id, ancestor, distance FROM up""")
 def ancestors(spark, d):
     return trees.ancestors(spark, views.forest(spark, d))
 
 
-@query("""WITH RECURSIVE down(id, depth, path) AS (SELECT id, CAST(0 AS BIGINT), CAST(id AS VARCHAR) FROM forest s WHERE parent_id IS NULL OR NOT EXISTS (SELECT 1 FROM forest p WHERE p.id = s.parent_id) UNION ALL SELECT f.id, down.depth + 1, down.path || '/' || f.id FROM down JOIN forest f ON f.parent_id = down.id AND f.id <> down.id) SELECT * FROM down""")
+#: Cycles are broken at the row that the list meets before all rows above it.
+@query("""WITH RECURSIVE e AS (SELECT f.id, p.id AS above FROM forest f JOIN forest p ON p.id = f.parent_id), u(id, above) AS (SELECT * FROM e UNION SELECT u.id, e.above FROM u JOIN e ON e.id = u.above),
+ stray AS (SELECT id FROM u WHERE id = above OR above IN (SELECT id FROM u WHERE id = above)),
+ starts AS (SELECT id FROM forest WHERE id NOT IN (SELECT id FROM e) UNION SELECT id FROM u WHERE id IN (SELECT id FROM stray) GROUP BY id HAVING id <= min(above)),
+ down(id, depth, path) AS (SELECT id, CAST(0 AS BIGINT), lpad(CAST(id AS VARCHAR), 19, '0') FROM starts UNION ALL SELECT e.id, down.depth + 1, down.path || '/' || lpad(CAST(e.id AS VARCHAR), 19, '0') FROM down JOIN e ON e.above = down.id WHERE e.id NOT IN (SELECT id FROM starts))
+ SELECT * FROM down""")
 def session_nest(spark, d):
     return trees.nested(spark, views.forest(spark, d))
 

@@ -51,8 +51,10 @@ def records(spark, d) -> DataFrame:
 
 
 def forest(spark, d) -> DataFrame:
-    s = table(spark, d, "conversations").select("conv_id").distinct()
-    return s.select(F.col("conv_id").alias("id"), F.when(F.col("conv_id") > 0, F.floor(F.col("conv_id") / 3)).cast("long").alias("parent_id"))
+    """Customers as sessions: long chains, cycles of two, trees that hang on cycles, before and after them in the list, and parents that are not listed."""
+    c = F.col("c_custkey")
+    parent = F.when(c % 5 == 0, F.when(c % 1000 != 0, c - 5)).when(c % 5 == 1, c + 1).when(c % 5 == 2, c - 1).when(c % 10 == 3, c + 3).when(c % 10 == 8, c - 2).otherwise(c - 1)
+    return table(spark, d, "customer").select(c.cast("long").alias("id"), parent.cast("long").alias("parent_id"))
 
 
 TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
@@ -63,7 +65,7 @@ CTE = {
     "anomalies": "anomalies AS (SELECT event_id AS id, user_id AS session_id, 'malformed_record' AS kind, CASE WHEN value < 10 THEN 'info' WHEN value < 100 THEN 'warning' ELSE 'error' END AS severity, 'value of ' || (user_id % 7) AS message FROM events WHERE event_type = 'error')",
     "stream": "stream AS (SELECT user_id AS key, event_id AS position, CASE event_type WHEN 'click' THEN 'use' ELSE 'result' END AS kind FROM events WHERE event_type IN ('click', 'purchase'))",
     "records": "records AS (SELECT user_id AS stream, event_id AS position, 'assistant' AS role, event_type AS turn_key, event_type = 'error' AS hidden FROM events)",
-    "forest": "forest AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id > 0 THEN conv_id // 3 END AS parent_id FROM conversations)",
+    "forest": "forest AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 1000 <> 0 THEN c_custkey - 5 END WHEN c_custkey % 5 = 1 THEN c_custkey + 1 WHEN c_custkey % 5 = 2 THEN c_custkey - 1 WHEN c_custkey % 10 = 3 THEN c_custkey + 3 WHEN c_custkey % 10 = 8 THEN c_custkey - 2 ELSE c_custkey - 1 END AS BIGINT) AS parent_id FROM customer)",
 }
 
 

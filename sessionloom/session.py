@@ -1,6 +1,8 @@
 """The session that the operators expect."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "sessionloom", **conf: str) -> SparkSession:
@@ -9,3 +11,20 @@ def session(app: str = "sessionloom", **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names (spark.checkpoint.dir). Only a local session, of one machine, may do without: it gets a folder of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df with its lineage cut: written once to the shared folder, read from there by every later step. files: at most so many files, for what is small."""
+    checkpoint_dir(df.sparkSession)
+    return (df.coalesce(files) if files else df).checkpoint()

@@ -157,10 +157,53 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert sorted(seen) == ["0.jsonl", "1.jsonl"]
 
 
+def brute_nested(rows):
+    """(id, parent) in order of the list: depth first, cycles from their first row."""
+    kids, ids, out = {}, {i for i, _ in rows}, {}
+    for i, p in rows:
+        if p in ids:
+            kids.setdefault(p, []).append(i)
+
+    def visit(i, path):
+        waiting = [(i, path)]
+        while waiting:
+            i, path = waiting.pop()
+            if i not in out:
+                out[i] = [*path, i]
+                waiting += [(k, out[i]) for k in reversed(kids.get(i, ()))]
+
+    for i, p in [*((i, p) for i, p in rows if p is None or p not in ids), *rows]:
+        visit(i, [])
+    return {i: (len(x) - 1, "/".join(f"{k:019d}" for k in x)) for i, x in out.items()}
+
+
 def test_nested_to_any_depth(spark):
     chain = [(i, i - 1 if i else None) for i in range(200)]
-    cycle = [(1000, 1001), (1001, 1000), (1002, 1001), (1003, 1002), (1004, 1004), (1005, 9999), (1006, 1005)]
+    cycle = [(1000, 1001), (1001, 1000), (1002, 1001), (1003, 1002), (1004, 1004), (1005, 9999), (1006, 1005), (1100, 1102), (1101, 1103), (1102, 1101), (1103, 1102), (1104, 1100), (1200, 1300), (1250, 1200), (1300, 1250)]
     got = {r.id: (r.depth, r.path) for r in trees.nested(spark, spark.createDataFrame(chain + cycle, "id long, parent_id long")).collect()}
-    want = {i: (i, "/".join(map(str, range(i + 1)))) for i in range(200)}
-    want |= {i: (0, str(i)) for i in range(1000, 1006)} | {1006: (1, "1005/1006")}
-    assert got == want
+    assert got == brute_nested(chain + cycle)
+    assert [got[i][0] for i in (1000, 1001, 1002, 1003, 1004, 1005, 1006, 199)] == [0, 1, 2, 3, 0, 0, 1, 199]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(0, 25), min_size=1, max_size=22))
+def test_nested_and_ancestors_on_any_links(spark, parents):
+    rows = list(enumerate(parents))
+    df = spark.createDataFrame(rows, "id long, parent_id long")
+    assert {r.id: (r.depth, r.path) for r in trees.nested(spark, df).collect()} == brute_nested(rows)
+    want = set()
+    for i, p in rows:
+        seen, n = {i}, 0
+        while p < len(rows) and p not in seen and n < 5:
+            seen.add(p)
+            n += 1
+            want.add((i, p, n))
+            p = parents[p]
+    assert {tuple(r) for r in trees.ancestors(spark, df, 5).collect()} == want
+
+
+def test_nested_many_sessions(spark):
+    n = 2_000_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") - 1).alias("parent_id"))
+    assert {tuple(r) for r in trees.nested(spark, df).groupBy("depth").count().collect()} == {(k, n // 4) for k in range(4)}
+    assert trees.ancestors(spark, df).count() == n // 4 * 6
