@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, cut
+
 #: Rows in an Arrow batch. Batches of whole texts stay small even where texts are long.
 ARROW_ROWS = 256
 
@@ -22,21 +23,6 @@ def prepare(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; only where none is named, one of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
-    """df with its lineage cut: written once to the shared folder, read from there by every later step. files: at most so many files, for what is small."""
-    checkpoint_dir(df.sparkSession)
-    return (df.coalesce(files) if files else df).checkpoint()
-
-
 def few_files(df: DataFrame, total: int) -> DataFrame:
     """df, which has short rows, dealt into few partitions: one for each 256 MB of the texts that it comes from."""
     return df.repartition(groups_for(total, 256 << 20, 4))

@@ -6,18 +6,22 @@ the places; coordinate k of the signature is the least value of a second permuta
 circularly by k: two permutations make all coordinates. BANDS bands of ROWS coordinates give the
 candidates; a pair of similarity 0.85 misses all bands with probability 8e-6.
 
-Documents with equal sets form a class, found by a 128-bit sum over the set; only the class's least
-doc_id goes on. In each bucket of a band, members are first paired with the bucket's least member
-and verified on full sets. Then, in what is still unconnected, each pair of members from different
-components of a bucket is looked at too, so that every candidate pair is either decided or already
-connected: a bucket of m alike documents costs m pairs and not m * m, and no candidate is dropped.
+Documents with equal sets form a class, found by a 128-bit sum over the set; only the class goes on,
+under a number of its own. In each bucket of a band, members are first paired with the bucket's least
+class and verified on full sets: a bucket of m alike documents costs m pairs and not m * m. A class that
+heads more than a thousandth of all pairs is salted, its set sent once to each salt. Then, in what is
+still unconnected, members from different components of a bucket are looked at too, so that every candidate
+pair is either decided or already connected, and none is dropped. Buckets of up to BUCKET members do that pair
+by pair. In larger ones, whose members are alike only in what all of them have, it is done through the rarest
+shingles of each set: of two sets so similar, the (100 - s) % rarest and one more always share one
+(prefix filtering, which loses nothing whatever the order of rarity, so rarity is counted in a table of fixed size).
 Pairs whose sizes or parity sketches prove that they differ too much are never made: that is a condition
 of the join itself (a sketch holds the parity of 512 counters; two sets differ by at least as many
 shingles as their sketches by bits). All other pairs are verified on full sets.
 
 Nulls: a row without text or words is empty and linked with nothing; a row without doc_id is linked
-with nothing and has no component (kept is true). Rows that share a doc_id are judged by
-each one's own text where the texts are alone in their class; doc_id is meant to be unique. Ties go to the
+with nothing and has no component (kept is true). Rows that share a doc_id are judged each by its own text,
+and not linked for their id; their order does not matter. Ties go to the
 smaller doc_id. An empty table gives an empty one; of further columns none is read.
 """
 
@@ -40,6 +44,12 @@ SIMILARITY = 85
 
 SKETCH = 512
 
+#: Members of a bucket that are compared pair by pair, at most, and pairs of one class that one task takes in any case.
+BUCKET, HUB = 256, 4096
+
+#: Slots in which the rarity of shingles is counted.
+SLOTS = 20
+
 _BY = [factors(n, 80 + n) for n in range(SHINGLE + 1)]
 _KEY, _BAND = factors(2, 91), factors(ROWS + 1, 92)
 
@@ -111,21 +121,27 @@ def profile(docs: DataFrame, shingle: int = SHINGLE, rows: int = ROWS, bands: in
 
 
 def _members(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, members (packed set) of docs (id, text)."""
+    """id, members (packed set) of docs (id, k1, k2, text): the rows whose sets have these keys."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), [encoded(x) for x in batch["text"].to_pylist()]
+            wanted = [batch[k].to_numpy().view(np.uint64) for k in ("k1", "k2")]
             for i, sizes, members in _sets(texts, shingle):
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + len(sizes)], pa.int64()), pa.array([members[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())], names=["id", "members"])
+                out, ends = ([], []), np.cumsum(sizes)
+                for k, (n, e) in enumerate(zip(sizes, ends, strict=True)):
+                    own = members[e - n : e]
+                    if all(mix(own * f).sum(dtype=U64) == w[i + k] for f, w in zip(_KEY, wanted, strict=True)):
+                        out[0].append(ids[i + k])
+                        out[1].append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["id", "members"])
 
     return docs.mapInArrow(run, "id long, members binary")
 
 
 def _facts(classes: DataFrame, rep: str, n: str, s: str) -> DataFrame:
     """Size and sketch of each class, under other names; the sketch as SKETCH / 64 columns."""
-    return classes.select(F.col("rep").alias(rep), F.col("n_shingles").alias(n), *(F.col("sketch")[k].alias(f"{s}{k}") for k in range(SKETCH // 64)))
+    return classes.select(F.col("id").alias(rep), F.col("n_shingles").alias(n), *(F.col("sketch")[k].alias(f"{s}{k}") for k in range(SKETCH // 64)))
 
 
 def _may_be_alike(similarity: int, n: str = "n", m: str = "m", s: str = "s", t: str = "t") -> Column:
@@ -134,9 +150,21 @@ def _may_be_alike(similarity: int, n: str = "n", m: str = "m", s: str = "s", t:
     return (100 * F.least(n, m) >= similarity * F.greatest(n, m)) & ((100 + similarity) * apart <= (100 - similarity) * (F.col(n) + F.col(m)))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _with_first(pairs: DataFrame, facts: DataFrame, hub: int) -> DataFrame:
+    """pairs (a, b) joined with facts (a, ...) on a. A class with more than a thousandth of all pairs is dealt over salts."""
+    most = max(hub, pairs.count() // 1000)
+    hubs = cut(pairs.groupBy("a").count().where(F.col("count") > most).select("a", F.ceil(F.col("count") / most).cast("int").alias("salts")), 1)
+    if hubs.isEmpty():
+        return pairs.join(facts, "a")
+    hubs = F.broadcast(hubs)  # fewer than 1000 rows, as each stands for more than a thousandth
+    dealt = pairs.join(hubs, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), "salts").cast("int"), F.lit(0))).drop("salts")
+    copies = facts.join(hubs, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, ["a", "salt"]).drop("salt")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: int, hub: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    full = _with_first(pairs, sets.select(F.col("id").alias("a"), F.col("members").alias("x")), hub).join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
@@ -150,45 +178,84 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def _rarest(sets: DataFrame, similarity: int) -> DataFrame:
+    """id, shingle: the rarest shingles of each set, so many that two similar sets have one in common."""
+
+    def count(batches):
+        seen = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for x in batch["members"].to_pylist():
+                np.add.at(seen, (np.frombuffer(x, U64) >> U64(64 - SLOTS)).astype(np.int64), 1)
+        slots = np.flatnonzero(seen)
+        for at in range(0, len(slots), 65536):
+            part = slots[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], names=["slot", "n"])
+
+    found = sets.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS rows
+    times = np.zeros(1 << SLOTS, np.int64)
+    times[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(times)
+
+    def pick(batches):
+        for batch in batches:
+            ids, shingles = [], []
+            for i, x in zip(batch["id"].to_pylist(), batch["members"].to_pylist(), strict=True):
+                x = np.frombuffer(x, U64)
+                size = len(x) + similarity * -len(x) // 100 + 1  # n - ceil(s * n) + 1
+                first = x[np.lexsort((x, shared.value[(x >> U64(64 - SLOTS)).astype(np.int64)]))[:size]]
+                ids.append(np.full(len(first), i))
+                shingles.append(first.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, shingles)], names=["id", "shingle"])
+
+    return sets.mapInArrow(pick, "id long, shingle long")
+
+
+def _across(placed: DataFrame, meet: list[str], similarity: int) -> DataFrame:
+    """a, b, p, q: pairs of placed (meet, id, part, n, sketch) from different parts that meet and may be alike. What proves them unlike is part of the join, so such pairs are never made."""
+    k = range(SKETCH // 64)
+    other = placed.select(*meet, F.col("id").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"), *(F.col(f"s{x}").alias(f"t{x}") for x in k))
+    left, right = placed.alias("l"), other.alias("r")
+    on = functools.reduce(operator.and_, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet))
+    return left.join(right, on & (F.col("id") < F.col("b")) & (F.col("part") != F.col("q")) & _may_be_alike(similarity)).select(F.col("id").alias("a"), "b", F.col("part").alias("p"), "q")
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, bucket: int = BUCKET, hub: int = HUB) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     total = text_bytes(docs)
     files, many = groups_for(total, 256 << 20, 4), groups_for(total, 32 << 20, 24)
     every = cut(profile(docs, shingle, rows, bands), many)
-    classes = cut(every.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), 2 * files)
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
+    classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), 2 * files)
+    banded = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "key", "a")
     members = cut(banded.join(buckets, ["band", "key"]), 2 * files)
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = cut(_members(texts.join(wanted, "id", "left_semi"), shingle), many)
-    if _repeated(every):
+    wanted = members.select("id").distinct().join(classes.select("id", F.col("rep").alias("doc_id"), "k1", "k2"), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = cut(_members(texts.join(wanted, "doc_id").select("id", "k1", "k2", "text"), shingle), many)
+    if not every.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "k1", "k2").count().where("count > 1").isEmpty():  # rows of equal id and set
         sets = cut(sets.dropDuplicates(["id"]), many)
-    stars = members.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    near = stars.join(_facts(classes, "a", "n", "s"), "a").join(_facts(classes, "b", "m", "t"), "b").where(_may_be_alike(similarity)).select("a", "b")
-    links = cut(_alike(near, sets, similarity), files)
+    stars = members.where("id > a").select("a", F.col("id").alias("b")).distinct()
+    stars = cut(stars, files)
+    near = _with_first(stars, _facts(classes, "a", "n", "s"), hub).join(_facts(classes, "b", "m", "t"), "b").where(_may_be_alike(similarity)).select("a", "b")
+    links = cut(_alike(cut(near, files), sets, similarity, hub), files)
     parts = components(links, files)
-    labelled = cut(members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("part")), 2 * files)
-    unsettled = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band", "key")
-    left = labelled.join(unsettled, ["band", "key"]).join(_facts(classes, "rep", "n", "s"), "rep")
-    right = left.select("band", "key", F.col("rep").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"), *(F.col(f"s{k}").alias(f"t{k}") for k in range(SKETCH // 64)))
-    # the filter is part of the join, so pairs of a bucket that are plainly unlike are never made
-    meet = ["band", "key"]
-    left, right = left.alias("l"), right.alias("r")
-    on = functools.reduce(operator.and_, (F.col(f"l.{c}") == F.col(f"r.{c}") for c in meet))
-    across = left.join(right, on & (F.col("rep") < F.col("b")) & (F.col("part") != F.col("q")) & _may_be_alike(similarity)).select(F.col("rep").alias("a"), "b", F.col("part").alias("p"), "q").distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"), files)
-    more = cut(_alike(across.select("a", "b"), sets, similarity).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
+    labelled = cut(members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("part")), 2 * files)
+    unsettled = labelled.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("band", "key", "size")
+    left = labelled.join(unsettled, ["band", "key"])
+    across = _across(left.where(F.col("size") <= bucket).drop("size").join(_facts(classes, "id", "n", "s"), "id"), ["band", "key"], similarity)
+    large = cut(left.where(F.col("size") > bucket).select("id", "part").distinct(), files)
+    if not large.isEmpty():
+        rare = _rarest(sets.join(large, "id", "left_semi"), similarity)
+        across = across.unionByName(_across(rare.join(large, "id").join(_facts(classes, "id", "n", "s"), "id"), ["shingle"], similarity))
+    across = cut(across.distinct().join(stars, ["a", "b"], "left_anti"), files)
+    more = cut(_alike(across.select("a", "b"), sets, similarity, hub).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
     if not more.isEmpty():  # links between the components found so far
         joined = components(more, files).select(F.col("node").alias("component"), F.col("component").alias("into"))
         parts = parts.unionByName(joined.select(F.col("component").alias("node"), "component").join(parts.select("node"), "node", "left_anti"))
         parts = parts.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-    whole = classes.select("k1", "k2", "n_shingles", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    parts = cut(parts.select(F.col("node").alias("id"), F.col("component").alias("part")).join(classes.select("id", "rep"), "id"), files)
+    least = parts.groupBy("part").agg(F.min("rep").alias("component"))
+    whole = classes.select("k1", "k2", "n_shingles", "id", "rep").join(parts.join(least, "part").select("id", "component"), "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     found = every.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return few_files(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), total)
-
-
-def _repeated(every: DataFrame) -> bool:
-    """Whether some doc_id stands in more than one row."""
-    return not every.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()

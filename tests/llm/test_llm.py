@@ -126,6 +126,33 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(14)
+    base = rng.choices(WORDS, k=150)
+    near, other = [*base[:149], "edit"], rng.choices(WORDS, k=90)
+    rows = [(1, " ".join(base)), (5, " ".join(near)), (5, " ".join(other)), (7, " ".join([*other[:89], "edit"])), (5, " ".join(other))]
+    want = brute_neardup(rows)
+    assert (5, len(set(zip(near, near[1:], near[2:], near[3:], near[4:]))), 1, False) in want  # noqa: B905
+    for order in ([0, 1, 2, 3, 4], [0, 2, 1, 3, 4], [4, 3, 2, 1, 0]):
+        assert sorted((tuple(r) for r in neardup.near_duplicates(frame(spark, [rows[k] for k in order], False)).collect()), key=repr) == want
+
+
+def test_near_duplicates_with_a_template_and_a_hub(spark):
+    """A template in every document makes buckets whose members stay apart; near copies of one text make a hub."""
+    rng = random.Random(15)
+    some = lambda n: rng.choices(WORDS, k=n)
+    template, base = some(70), some(160)
+    rows = [(i, [*template, *some(25)]) for i in range(150)]
+    rows += [(200 + i, [*w[:90], "edit", *w[91:]]) for i, (_, w) in enumerate(rows[:20])]
+    rows += [(300 + i, [*base[:k], f"edit{i}", *base[k + 1 :]]) for i, k in enumerate(rng.sample(range(160), 60))]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in rows]
+    # few members a bucket and few pairs a hub, so that rare shingles and salts do the work
+    got = sorted((tuple(r) for r in neardup.near_duplicates(frame(spark, rows, False), bucket=4, hub=8).collect()), key=repr)
+    assert got == brute_neardup(rows) == sorted((tuple(r) for r in neardup.near_duplicates(frame(spark, rows, False)).collect()), key=repr)
+    assert sum(not r[3] for r in got) >= 20 + 59
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**64, 1000, dtype=np.uint64))
