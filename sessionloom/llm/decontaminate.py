@@ -1,27 +1,32 @@
 """Operator 2: benchmark decontamination by the CGK embedding and bit-sampling LSH.
 
-Texts and items become sequences of word symbols (lower case, punctuation dropped). An item occurs
-where its words and a window of the text are at most EDITS of the item's length apart in edit
-distance on words. Three steps find all of them:
-
-1. Where no window of three words of an item stands within a band of diagonals often enough for the
-   allowed edits, the item cannot occur; this counting filter loses nothing.
-2. The windows that are left, each as long as the item, and the items are embedded by the CGK random walk:
-   at each step the current symbol is emitted and a random bit of step and symbol says whether the walk
-   moves on. That turns edit distance into Hamming distance. In each of REPEATS repetitions SAMPLED
-   coordinates make a key; a window whose key is an item's in any repetition is a candidate.
+Texts and items become sequences of word symbols (lower case, punctuation dropped; in scripts without spaces
+each character is a word). An item occurs where its words and a stretch of the text are at most EDITS of the
+item's length apart in edit distance on words.
+
+1. Windows of a text, each as long as an item, and the items are embedded by the CGK random walk: at each step
+   the current symbol is emitted and a random bit of step and symbol says whether the walk moves on. That
+   turns edit distance into Hamming distance.
+2. In each of REPEATS repetitions SAMPLED coordinates make a key, and the keys of the windows are looked up
+   among those of the items of that length. Equal keys in any repetition make a candidate; there is no other source of candidates.
+   At the full number of edits an occurrence is found with probability 0.99 or more.
 3. Candidates are verified by the exact edit distance.
 
-The items are sent to the executors in blocks of at most BLOCK_BYTES, so a benchmark of any size can
-be used; each block is one pass over the texts without a shuffle. Whole texts are searched.
+Before that, a window is left out if it can hold no item of its length: if fewer of its runs of three words belong to items of that
+length than so many edits would leave. That loses nothing and says nothing about which item it may be.
 
-Nulls and empty texts match nothing, nor do null items and those of fewer than three words. Items of fewer
-than six words must occur unchanged. Of items with equal item_id each is searched. Rows with
-equal ids are judged each by its own text. An empty benchmark leaves every document clean.
+The items are sent to the executors in blocks of at most BLOCK_BYTES; of a benchmark of several blocks one is there at a
+time, and the texts with what was found in them are written between two blocks. Whole texts are searched, without a shuffle.
+
+Nulls and empty texts match nothing, nor do null items and those without words. Items of fewer
+than six words must occur unchanged; those of one or two are looked up as they are. Of items with equal item_id each is searched. Rows with
+equal ids are judged each by its own text. An empty benchmark leaves every document clean. Further columns are passed on; one
+named as the result is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -30,147 +35,191 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, encoded, factors, hashed, mix, prepare, windows
+from .common import U64, cut, encoded, factors, hashed, mix, prepare, windows
 
-EDITS, REPEATS, SAMPLED, GRAM = 0.2, 24, 2, 3
+EDITS, REPEATS, SAMPLED, GRAM = 0.2, 40, 3, 3
 
 BLOCK_BYTES = 16 << 20
 
+#: Candidates that are verified together.
+PAIRS = 4096
+
 MATCHES = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
-_GRAM = factors(GRAM, 21)
+_GRAM = [factors(n, 18 + n) for n in range(GRAM + 1)]
 _END = U64(0xFFFFFFFFFFFFFFFF)
 
+#: Punctuation beyond ASCII, and characters of scripts that put no spaces between words.
+_POINTS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def folded(text: str | None) -> bytes:
+    """A text as its words are made from."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", _POINTS.sub(" ", text))
+    return encoded(text)
+
+
+def symbols(texts: list[str | None]) -> list[np.ndarray]:
+    """The word symbols of each text."""
+    out: list[np.ndarray] = []
+    for _, counts, h in hashed([folded(t) for t in texts], marks=True):
+        out += np.split(h, np.cumsum(counts)[:-1])
+    return out
+
 
 def allowed(n: int, edits: float = EDITS) -> int:
     """Edits that an item of n words may show."""
     return int(edits * n) if n >= 6 else 0
 
 
-def embed(x: np.ndarray, repeats: int) -> np.ndarray:
-    """CGK embeddings of sequences of equal length, one in each row, by `repeats` walks: three times as many symbols each."""
+def embed(x: np.ndarray, repeats: int, steps: int) -> np.ndarray:
+    """The first `steps` symbols of the CGK embeddings of sequences of equal length, one in each row, by `repeats` walks; one axis of steps first."""
     rows, n = x.shape
-    padded = np.concatenate([x, np.full((rows, 1), _END)], axis=1)
+    padded = np.concatenate([x, np.full((rows, 1), _END)], axis=1).reshape(-1)
     bits = np.stack([factors(3 * n, 1000 + r) for r in range(repeats)], axis=1)
-    place, out, row = np.zeros((rows, repeats), np.int64), np.empty((rows, repeats, 3 * n), np.uint64), np.arange(rows)[:, None]
-    for step in range(3 * n):
-        symbol = padded[row, place]
-        out[:, :, step] = symbol
-        place = np.minimum(place + ((symbol ^ bits[step]) * U64(0x9E3779B97F4A7C15) >> U64(63)).astype(np.int64), n)
+    base = np.arange(rows)[:, None] * (n + 1)
+    place, last, out = np.repeat(base, repeats, axis=1), base + n, np.empty((steps, rows, repeats), np.uint64)
+    for step in range(steps):
+        symbol = padded[place]
+        out[step] = symbol
+        place = np.minimum(place + ((symbol ^ bits[step]) * U64(0x9E3779B97F4A7C15) >> U64(63)).astype(np.int64), last)
     return out
 
 
+def picks(n: int, repeats: int, sampled: int) -> np.ndarray:
+    """The coordinates that each repetition samples. A walk takes two steps a symbol on average; later ones only find its end."""
+    return np.stack([np.sort(np.random.Generator(np.random.PCG64(2000 + r)).choice(max(sampled, 9 * n // 5), sampled, replace=False)) for r in range(repeats)])
+
+
 def keys(x: np.ndarray, repeats: int, sampled: int) -> np.ndarray:
-    """The keys of sequences of equal length, one column for each repetition."""
-    pick = np.stack([np.random.Generator(np.random.PCG64(2000 + r)).integers(0, 3 * x.shape[1], sampled) for r in range(repeats)])
-    out = np.zeros((len(x), repeats), np.uint64)
+    """The keys of sequences of equal length, one column for each repetition; 0 where a sampled walk had come to its end, which all do and which tells nothing."""
+    pick = picks(x.shape[1], repeats, sampled)
+    out, by = np.zeros((len(x), repeats), np.uint64), factors(sampled + 1, 3000)
     for at in range(0, len(x), 1024):
-        out[at : at + 1024] = mix((embed(x[at : at + 1024], repeats)[:, np.arange(repeats)[:, None], pick] * factors(sampled, 3000)).sum(axis=2, dtype=U64))
+        walks = embed(x[at : at + 1024], repeats, int(pick.max()) + 1)
+        found = walks[pick.T, :, np.arange(repeats)]  # sampled, repeats, rows
+        key = mix((found * by[:sampled, None, None]).sum(axis=0, dtype=U64) + np.arange(repeats, dtype=U64)[:, None] * by[sampled])
+        out[at : at + 1024] = np.where((found == _END).any(axis=0), U64(0), key | U64(1)).T
     return out
 
 
-def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """The least edits between item and a beginning of text, and that beginning's length; most + 1 if it takes more than most."""
-    same = min(len(item), len(text))
-    if same == len(item) and (item == text[:same]).all():
-        return 0, same
-    text = text[: len(item) + most]
-    row = np.arange(len(text) + 1)
-    steps = np.arange(len(text) + 1)
-    for i, symbol in enumerate(item, 1):
-        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (text != symbol)]))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions
-        if row.min() > most:
-            return most + 1, 0
-    end = int(np.argmin(row))
-    return int(row[end]), end
+def distances(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: the least edits between the item and a beginning of the text, and that beginning's length; most + 1 if it takes more than most. Rows of texts are as long as the items and `most` symbols more.
+
+    Only the 2 * most + 1 diagonals are filled that so few edits can reach, and rows that need more are dropped on the way."""
+    n, wide = items.shape[1], 2 * most + 1
+    edits, ends = np.full(len(items), most + 1), np.zeros(len(items), np.int64)
+    texts = np.concatenate([np.full((len(texts), most), _END - U64(1)), texts], axis=1)
+    alive, steps = np.arange(len(items)), np.arange(wide, dtype=np.int16)
+    row = np.where(steps >= most, steps - most, 1000).astype(np.int16) + np.zeros((len(items), 1), np.int16)
+    for i in range(n):
+        new = row + (texts[:, i : i + wide] != items[:, i, None])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # insertions
+        if i % 4 == 3 and not (good := row.min(axis=1) <= most).all():
+            row, texts, items, alive = row[good], texts[good], items[good], alive[good]
+    if len(alive):
+        end = np.argmin(row, axis=1)
+        edits[alive], ends[alive] = np.minimum(row[np.arange(len(row)), end], most + 1), n - most + end
+    return edits, ends
 
 
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, ids: list[int], texts: list[str], edits: float = EDITS, repeats: int = REPEATS, sampled: int = SAMPLED):
-        self.edits, self.repeats, self.sampled = edits, repeats, sampled
-        symbols = []
-        for _, counts, h in hashed([(t or "").lower().encode() for t in texts], marks=True):
-            symbols += np.split(h, np.cumsum(counts)[:-1])
-        chosen = [(i, s) for i, s in zip(ids, symbols, strict=True) if len(s) >= GRAM]
+    def __init__(self, ids: list[int], texts: list[str], edits: float = EDITS, repeats: int = REPEATS, sampled: int = SAMPLED, sift: bool = True):
+        self.edits, self.repeats, self.sampled, self.sift = edits, repeats, sampled, sift
+        chosen = [(i, s) for i, s in zip(ids, symbols(texts), strict=True) if len(s)]
         self.ids, self.symbols = [i for i, _ in chosen], [s for _, s in chosen]
-        grams = [windows(s, np.arange(len(s) - GRAM + 1), _GRAM) for s in self.symbols]
-        flat = np.concatenate([np.zeros(0, U64), *grams])
-        order = np.argsort(flat, kind="stable")
-        self.grams, self.of = flat[order], np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k) for k, g in enumerate(grams))]).astype(np.int64)[order]
-        self.offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)]).astype(np.int64)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.grams >> U64(42)).astype(np.int64)] = True
         by = defaultdict(list)
         for k, s in enumerate(self.symbols):
             by[len(s)].append(k)
-        self.keyed = {n: (np.array(ks), keys(np.stack([self.symbols[k] for k in ks]), repeats, sampled)) for n, ks in by.items()}
+        self.short = {n: self._table(np.concatenate([windows(self.symbols[k], np.zeros(1, np.int64), _GRAM[n]) for k in by[n]]), np.array(by[n])) for n in range(1, GRAM) if n in by}
+        self.keyed, grams, sizes = {}, [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        for n in sorted(x for x in by if x >= GRAM):
+            stack = np.stack([self.symbols[k] for k in by[n]])
+            own = self._keys(stack).reshape(-1)
+            self.keyed[n] = stack, self._table(own[own != 0], np.repeat(np.arange(len(stack)), repeats)[own != 0]), np.array(by[n])
+            own = np.unique(np.concatenate([windows(s, np.arange(n - GRAM + 1), _GRAM[GRAM]) for s in stack]))
+            grams.append(own)
+            sizes.append(np.full(len(own), n))
+        self.grams, self.sizes = self._table(np.concatenate(grams), np.concatenate(sizes))
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.grams >> U64(42)).astype(np.int64)] = True
 
-    def starts(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place) of the windows of a text that the counting filter leaves."""
-        if len(h) < GRAM or not len(self.grams):
-            return []
-        g = windows(h, np.arange(len(h) - GRAM + 1), _GRAM)
-        at = np.flatnonzero(self.bits[(g >> U64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.grams, g[at]), np.searchsorted(self.grams, g[at], "right")
+    @staticmethod
+    def _table(keys_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys_, kind="stable")
+        return keys_[order], values[order]
+
+    @staticmethod
+    def _look_up(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in wanted, values) of all keys of a table that are wanted."""
+        lo, hi = (np.searchsorted(table[0], wanted, side) for side in ("left", "right"))
         count = hi - lo
-        if not count.sum():
-            return []
-        entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        diagonal, item = np.repeat(at, count) - self.offset[entry], self.of[entry]
-        out = []
-        order = np.lexsort((diagonal, item))
-        diagonal, item = diagonal[order], item[order]
-        for k in np.unique(item):
-            d, n = diagonal[slice(*np.searchsorted(item, [k, k + 1]))], len(self.symbols[k])
+        entry = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(np.arange(len(wanted)), count), table[1][entry]
+
+    def _keys(self, x: np.ndarray) -> np.ndarray:
+        return keys(x, self.repeats, self.sampled)
+
+    def starts(self, h: np.ndarray) -> dict[int, np.ndarray]:
+        """For each length of items the places of a text whose windows may hold one."""
+        out: dict[int, np.ndarray] = {}
+        if len(h) < GRAM or not self.keyed:
+            return out
+        g = windows(h, np.arange(len(h) - GRAM + 1), _GRAM[GRAM])
+        at = np.flatnonzero(self.bits[(g >> U64(42)).astype(np.int64)])
+        place, sizes = self._look_up((self.grams, self.sizes), g[at])
+        place = at[place]
+        for n in self.keyed if not self.sift else np.unique(sizes).tolist():
             e = allowed(n, self.edits)
-            need = max(1, n - GRAM + 1 - GRAM * e)  # windows of three words that so many edits leave
-            if len(d) < need:
+            need = n - GRAM + 1 - GRAM * e  # runs of three words that so many edits leave
+            if not self.sift or need < 1:
+                out[n] = np.arange(max(0, len(h) - n + e) + 1)
                 continue
-            first = np.flatnonzero(d[need - 1 :] - d[: len(d) - need + 1] <= 2 * e)
-            places = np.unique(np.concatenate([np.arange(d[f + need - 1] - e, d[f] + e + 1) for f in first])) if len(first) else ()
-            out += [(int(k), int(p)) for p in places if -e <= p < len(h)]
+            hits = place[sizes == n]
+            if len(hits) >= need:
+                first = np.unique((hits[:, None] - np.arange(n + e - GRAM + 1)).reshape(-1))
+                first = first[first >= 0]
+                enough = np.searchsorted(hits, first + n + e - GRAM, "right") - np.searchsorted(hits, first) >= need
+                if enough.any():
+                    out[n] = first[enough]
         return out
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """(item_id, start, end, edits) in words of each text; of matches of one item that overlap, the best."""
-        out: list[list] = [[] for _ in texts]
-        if not self.ids:
-            return out
-        symbols, wanted = {}, defaultdict(list)
-        for i, counts, h in hashed([encoded((t or "").lower()) for t in texts], marks=True):
-            ends = np.cumsum(counts)
-            for k, (b, e) in enumerate(zip(ends - counts, ends, strict=True)):
-                if found := self.starts(h[b:e]):
-                    symbols[i + k] = h[b:e]
-                    for item, place in found:
-                        wanted[len(self.symbols[item])].append((i + k, place, item))
         best: dict[tuple[int, int], list] = defaultdict(list)
+        every = symbols(texts) if self.ids else []
+        wanted = defaultdict(list)
+        for t, h in enumerate(every):
+            for n, table in self.short.items():
+                if len(h) >= n:
+                    for p, item in zip(*self._look_up(table, windows(h, np.arange(len(h) - n + 1), _GRAM[n])), strict=True):
+                        if np.array_equal(h[p : p + n], self.symbols[item]):
+                            best[t, int(item)].append((0, int(p), int(p) + n))
+            for n, places in self.starts(h).items():
+                wanted[n].append((t, places))
         for n, asked in wanted.items():
-            most, rest = allowed(n, self.edits), []
-            for t, p, item in dict.fromkeys((t, max(p, 0), item) for t, p, item in asked):
-                if np.array_equal(symbols[t][p : p + n], self.symbols[item]):  # equal sequences have equal keys
-                    best[t, item].append((0, p, p + n))
-                elif most:
-                    rest.append((t, p, item))
-            # a window that shares words with an exact match of the same item can only be a worse match of it
-            rest = [(t, p, item) for t, p, item in rest if not any(p < e and b < p + n for _, b, e in best.get((t, item), ()))]
-            spots = sorted({(t, p) for t, p, _ in rest})
-            x = np.full((len(spots), n), _END)
-            for r, (t, p) in enumerate(spots):
-                part = symbols[t][p : p + n]
-                x[r, : len(part)] = part
-            items, item_keys = self.keyed[n]
-            window_keys = keys(x, self.repeats, self.sampled)
-            row = {s: r for r, s in enumerate(spots)}
-            column = {k: c for c, k in enumerate(items)}
-            for t, p, item in rest:
-                if (window_keys[row[t, p]] == item_keys[column[item]]).any():
-                    d, size = distance(self.symbols[item], symbols[t][p:], most)
-                    if d <= most:
-                        best[t, item].append((d, p, p + size))
+            stack, table, items = self.keyed[n]
+            e = allowed(n, self.edits)
+            t, p = np.concatenate([np.full(len(x), t) for t, x in asked]), np.concatenate([x for _, x in asked])
+            padded = {t: np.concatenate([every[t], np.full(n + e, _END)]) for t, _ in asked}
+            for begin in range(0, len(t), PAIRS):
+                part = slice(begin, begin + PAIRS)
+                x = np.stack([padded[a][b : b + n + e] for a, b in zip(t[part].tolist(), p[part].tolist(), strict=True)])
+                key, item = self._look_up(table, self._keys(x[:, :n]).reshape(-1))
+                pairs = np.unique(key // self.repeats * len(stack) + item)
+                for at in range(0, len(pairs), PAIRS):
+                    w, k = np.divmod(pairs[at : at + PAIRS], len(stack))
+                    d, size = distances(stack[k], x[w], e)
+                    for good in np.flatnonzero(d <= e):
+                        a, b = int(t[begin + w[good]]), int(p[begin + w[good]])
+                        best[a, int(items[k[good]])].append((int(d[good]), b, b + int(size[good])))
+        out: list[list] = [[] for _ in texts]
         for (t, item), found in best.items():
             taken: list = []
             for d, b, e in sorted(found):
@@ -204,6 +253,9 @@ def find(docs: DataFrame, items: DataFrame, edits: float = EDITS, to: str = "mat
                 yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
         docs = docs.mapInArrow(run, schema)
+        if block + 1 < blocks:  # before the next block is loaded
+            docs = cut(docs)
+            shared.unpersist()
     assert docs.schema[to].dataType.simpleString() == kind.simpleString()
     return docs
 

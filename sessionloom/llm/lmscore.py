@@ -1,8 +1,10 @@
 """Operator 4: cross-entropy difference of two n-gram language models.
 
 The target model is counted over the documents that are labelled as good, the background model over
-all documents. Both share one vocabulary, the 256 byte values of lower-cased UTF-8 text. Sequences of one to four
-bytes are counted exactly, and probabilities interpolate all four orders by Dirichlet smoothing. A document's score is the
+all other documents. Both share one vocabulary, the 256 byte values of lower-cased UTF-8 text. Sequences of one to four
+bytes are counted exactly, and probabilities interpolate all four orders by Dirichlet smoothing. The models are matched: order
+and smoothing are the same, and the counts of the corpus with more tokens are scaled to the tokens of the other, so that
+both know as much; that is what a sample of that size would hold on average, without leaving a document out. A document's score is the
 mean over its tokens of target loss less background loss, in bits: the lower, the more like the target.
 
 Documents are dealt into groups of about 16 MB. Each group counts its distinct sequences, packed by buckets of the two
@@ -11,7 +13,7 @@ answers each group with the losses of its own sequences. The counts grow with th
 a group meets only the sequences that it has. Pairs and single bytes, 65,792 counts a model, are summed up by slices and sent to all executors.
 
 Nulls and empty texts have no tokens: their losses and their difference are null. Without any target document the
-target model is the uniform one. Several labels of a doc_id count by their maximum; rows without doc_id are
+target model is the uniform one, and the background is not scaled. Several labels of a doc_id count by their maximum; rows without doc_id are
 background only. Repeated rows count and are scored each. Texts of any length are counted and scored whole. Rows of one doc_id, and
 rows without doc_id of one text, are in one group.
 """
@@ -90,7 +92,7 @@ class _Tally:
             if found := [g for g, x in self.held if x == good]:
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 grams.append(g)
-                counts.append(np.stack([n if good else np.zeros_like(n), n]))
+                counts.append(np.stack([n, np.zeros_like(n)] if good else [np.zeros_like(n), n]))
         self.held, self.waiting = [], 0
         self.grams, of = np.unique(np.concatenate(grams), return_inverse=True)
         every = np.concatenate(counts, axis=1)
@@ -168,12 +170,15 @@ def lower(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of pairs and of single bytes of the target and of the background: docs (doc_id, text) with labels (doc_id, quality) of 1, and all docs."""
+    """Counts of pairs and of single bytes of the target and of the background: docs (doc_id, text) with labels (doc_id, quality) of 1, and all others."""
     return lower(counted(docs, labels, text_bytes(docs)))
 
 
 def _losses(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Bits that the last byte of each sequence takes, one row a model. grams are distinct and whole buckets; counts are theirs."""
+    tokens = [c[_AT1:].sum() for c in low]
+    scale = [min(1.0, tokens[1 - v] / tokens[v]) if all(tokens) else 1.0 for v in (0, 1)]
+    counts, low = counts * np.array(scale)[:, None], [c * x for c, x in zip(low, scale, strict=True)]
     three, context3, context2 = (_sums(k, counts) for k in (grams & np.uint32(0xFFFFFF), grams >> np.uint32(8), _middle(grams)))
     out = np.empty(counts.shape)
     for v, c in enumerate(low):

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html, licences, lmscore, neardup, neighbours, pii, substrings, toxicity
 
-#: Where the vocabulary file lies; set TOKENIZER_FILE where it is elsewhere.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary() -> str:
-    return os.environ.get("TOKENIZER_FILE", VOCABULARY)
+    """Path of the vocabulary file: TOKENIZER_FILE where it is set, else that of the package public_tokenizers."""
+    if named := os.environ.get("TOKENIZER_FILE"):
+        return named
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

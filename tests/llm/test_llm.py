@@ -251,40 +251,86 @@ def test_neighbours(spark):
 # --- 2 -------------------------------------------------------------------------------------------
 
 
+def brute_occurs(item, text, most):
+    """Whether item is at most `most` edits from some stretch of text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row) <= most
+
+
+def edited(w, edits, rng):
+    w = list(w)
+    for _ in range(edits):
+        at, op = rng.randrange(len(w)), rng.random()
+        w[at : at + (op < 0.7)] = [] if op < 0.3 else [f"zz{rng.randrange(99)}"]
+    return w
+
+
 def test_decontamination(spark):
     rng = random.Random(9)
-    items = [(k, " ".join(rng.choices(WORDS, k=n))) for k, n in enumerate([3, 7, 20, 40, 55])] + [(7, None), (8, ""), (9, "a b"), (None, "w1 w2 w3 w4")]
-    docs, want = [], {}
+    items = [(k, " ".join(rng.choices(WORDS, k=n))) for k, n in enumerate([3, 7, 20, 40, 55])] + [(7, None), (8, ""), (9, "Mono stereo!"), (10, "quadro"), (11, "机器学习的模型"), (None, "w1 w2 w3 w4")]
+    docs = []
     for i in range(60):
-        k = i % 5
-        w = items[k][1].split()
-        for _ in range(decontaminate.allowed(len(w)) if i % 2 else 0):
-            at, op = rng.randrange(len(w)), rng.random()
-            w[at : at + (op < 0.7)] = [] if op < 0.3 else ["zz"]
+        w = items[i % 5][1].split()
+        w = edited(w, decontaminate.allowed(len(w)) if i % 2 else 0, rng)
         docs.append((i, " ".join(rng.choices(WORDS, k=30)) + " " + ", ".join(w).upper() + "! " + " ".join(rng.choices(WORDS, k=rng.randrange(30)))))
-        want[i] = [k]
-    docs += [(i, " ".join(rng.choices(WORDS, k=200))) for i in range(60, 90)] + [(90, None), (91, ""), (92, "w " * 70000 + items[3][1])]
-    want |= {i: [] for i in range(60, 92)} | {92: [3]}
+    docs += [(i, " ".join(rng.choices(WORDS, k=200))) for i in range(60, 90)] + [(90, None), (91, ""), (93, "a mono  STEREO b"), (94, "mono b stereo quadro"), (95, "这是机器学习的模型。"), (96, "这是机学的模型。"), (97, "mono")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.judged(frame(spark, docs), table).collect()}
-    assert sum(set(want[i]) <= set(got[i].item_ids) for i in want) >= len(want) - 1
-    assert all(got[i].item_ids == [] and not got[i].contaminated for i in range(60, 92))
+    df = frame(spark, [*docs, (92, "w " * 70000 + items[3][1])])
+    got = {r.doc_id: r for r in decontaminate.judged(df, table).collect()}
+    words = lambda t: re.findall(r"[\u4e00-\u9fff]|[a-z0-9]+", (t or "").lower())
+    want = {i: [k for k, x in items if k is not None and words(x) and brute_occurs(words(x), words(t), decontaminate.allowed(len(words(x))))] for i, t in docs}
+    assert all(set(got[i].item_ids) <= set(want[i]) for i in want) and got[92].item_ids == [3]
+    assert sum(len(got[i].item_ids) for i in want) >= sum(map(len, want.values())) - 1
+    assert want[93] == [9] and want[94] == [10] and want[95] == [11] and want[96] == want[97] == []
     assert {r.doc_id: len(r.matches) for r in decontaminate.find(frame(spark, docs, False), table, block_bytes=200).collect()} == {i: got[i].n_matches for i in want}
-    assert decontaminate.judged(empty(spark), table).count() == 0 and decontaminate.judged(frame(spark, docs), table.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.judged(empty(spark), table).count() == 0 and decontaminate.judged(df, table.limit(0)).where("contaminated").count() == 0
+
+
+def test_decontamination_recall_at_all_edits():
+    """Windows of whole texts through the keys alone, against brute force; and leaving out windows that can hold no item changes nothing."""
+    rng = random.Random(19)
+    common = [f"w{int(rng.paretovariate(0.8)) % 2000}" for _ in range(4000)]
+    found = total = 0
+    for n in (6, 11, 18, 30, 50):
+        e = decontaminate.allowed(n)
+        items = [" ".join(rng.choices(common, k=n)) for _ in range(60)]
+        texts = [" ".join([*rng.choices(common, k=40), *edited(x.split(), e, rng), *rng.choices(common, k=40)]) for x in items]
+        sifted, whole = (decontaminate.Items(list(range(60)), items, sift=sift).search(texts) for sift in (True, False))
+        assert sifted == whole
+        for k, (x, t) in enumerate(zip(items, texts, strict=True)):
+            assert all(brute_occurs(items[m[0]].split(), t.split()[m[1] : m[2]], m[3]) and m[3] <= e for m in whole[k])
+            total += brute_occurs(x.split(), t.split(), e)
+            found += any(m[0] == k for m in whole[k])
+    assert total == 300 and found >= 0.97 * total
+
+
+def test_candidates_come_from_keys(monkeypatch):
+    items = decontaminate.Items([1], [" ".join(WORDS[:20])])
+    assert items.search([" ".join(WORDS[:30])])[0]
+    monkeypatch.setattr(decontaminate, "keys", lambda x, repeats, sampled: np.full((len(x), repeats), 7, np.uint64))
+    assert not items.search([" ".join(WORDS[:30])])[0]
 
 
 def test_edit_distance():
     rng = random.Random(10)
-    for _ in range(200):
-        a, b = [np.array([rng.randrange(3) for _ in range(rng.randrange(1, 9))]) for _ in range(2)]
-        d = np.arange(len(b) + 1)
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(new[-1] + 1, d[j] + 1, d[j - 1] + (x != y)))
-            d = np.array(new)
-        got, end = decontaminate.distance(a, b, 9)
-        assert got == d.min() and d[end] == got
+    for _ in range(60):
+        n, most = rng.randrange(1, 9), rng.randrange(0, 4)
+        a = np.array([[rng.randrange(3) for _ in range(n)] for _ in range(5)], np.uint64)
+        b = np.array([[rng.randrange(3) for _ in range(n + most)] for _ in range(5)], np.uint64)
+        edits, ends = decontaminate.distances(a, b, most)
+        for x, y, got, end in zip(a, b, edits, ends, strict=True):
+            d = np.arange(len(y) + 1)
+            for i, u in enumerate(x, 1):
+                new = [i]
+                for j, v in enumerate(y, 1):
+                    new.append(min(new[-1] + 1, d[j] + 1, d[j - 1] + (u != v)))
+                d = np.array(new)
+            assert got == min(d.min(), most + 1) and (got > most or d[end] == got)
 
 
 # --- 9 -------------------------------------------------------------------------------------------
@@ -352,14 +398,14 @@ def test_lm_scoring(spark):
     got = {r.doc_id: r for r in lmscore.scored(df, labels).collect()}
     assert all((got[i].difference < 0) == (i % 2 == 1) for i in range(100, 200)) and got[500].difference is None and got[500].n_tokens == 0
     target, background = lmscore.count(df, labels)
-    assert background[lmscore._AT1 :].sum() == sum(len(t or "") for _, t in [*rows, rows[-1]]) and target[lmscore._AT1 :].sum() == sum(len(t) for i, t in rows[:100] if i % 2)
+    assert target[lmscore._AT1 :].sum() == sum(len(t) for i, t in rows[:100] if i % 2) and (background + target)[lmscore._AT1 :].sum() == sum(len(t or "") for _, t in [*rows, rows[-1]])
     from collections import Counter
 
     pairs = Counter()
     for _, t in [*rows, rows[-1]]:
         b = b"\n" + (t or "").encode()
         pairs.update(zip(b, b[1:], strict=False))
-    assert all(background[lmscore._AT2 + 256 * a + b] == n for (a, b), n in pairs.items())
+    assert all((background + target)[lmscore._AT2 + 256 * a + b] == n for (a, b), n in pairs.items())
     assert lmscore.scored(empty(spark), labels).count() == 0 and lmscore.scored(df, labels.limit(0)).count() == 204
 
 
@@ -370,18 +416,17 @@ def test_lm_losses_are_exact(spark):
     rng = random.Random(21)
     # many scripts: far more distinct sequences than any table of fixed size would keep apart
     some = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
-    rows = [(i, some(1500)) for i in range(400)] + [(500, "x" * 300000), (501, None), (502, ""), (None, some(9))]
+    rows = [(i, some(2400) if i % 3 else some(300)) for i in range(400)] + [(500, "x" * 300000), (501, None), (502, ""), (None, some(9))]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
     grams = [Counter(), Counter()]
     for i, t in rows:
         b = b"\n\n\n" + (t or "").encode()
         found = [b[k - 3 : k + 1] for k in range(3, len(b))]
-        grams[1].update(found)
-        if i is not None and i < 100 and i % 2:
-            grams[0].update(found)
+        grams[1 - (i is not None and i < 100 and i % 2)].update(found)
     assert len(grams[1]) > 1 << 20
-    tables = []
-    for g in grams:
+    tables, size = [], [sum(g.values()) for g in grams]
+    for v, g in enumerate(grams):
+        g = {x: c * min(1, size[1 - v] / size[v]) for x, c in g.items()}  # the larger corpus counts as much as the smaller
         n, ctx = [Counter() for _ in range(5)], [Counter() for _ in range(5)]
         for x, c in g.items():
             for k in (1, 2, 3, 4):
@@ -403,9 +448,10 @@ def test_lm_losses_are_exact(spark):
         for v, name in enumerate(("target_loss", "background_loss")):
             want = sum(loss(v, b[k - 3 : k + 1]) for k in range(3, len(b))) / (len(b) - 3)
             assert got[i][name] == pytest.approx(want, rel=1e-9)
-    # the background's probabilities of what may follow a context add up to 1
-    context = rows[0][1].encode()[:3]
-    assert sum(2 ** -loss(1, context + bytes([d])) for d in range(256)) == pytest.approx(1)
+    # the probabilities of what may follow a context add up to 1
+    for context in (rows[0][1].encode()[:3], b"xxx", b"\xff\xfe\xfd"):
+        for v in (0, 1):
+            assert sum(2 ** -loss(v, context + bytes([d])) for d in range(256)) == pytest.approx(1)
 
 
 PAGES = [
