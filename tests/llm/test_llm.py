@@ -76,6 +76,17 @@ def test_substrings_small_chunks(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_substrings(rows)
 
 
+def test_substrings_common_to_all(spark):
+    """One passage in every document, and one row many times: what a bucket of windows gets is an entry a chunk."""
+    rng = random.Random(16)
+    passage, some = " ".join(rng.choices(WORDS, k=50)), lambda n: " ".join(rng.choices(WORDS, k=n))
+    rows = [(i, f"{some(rng.randrange(9))} {passage} {some(20)}") for i in range(300)] + [(7, f"{passage} again {passage}")] * 30 + [(None, passage)] * 5
+    got = substrings.deduplicate(frame(spark, rows, False), chunk_bytes=9000, bucket_bytes=9000).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(((None if i == 2**63 else i, *x) for i, *x in brute_substrings(rows)), key=repr)
+    few = substrings._given_out(spark.createDataFrame([(1, 25), (2, 1)], "doc_id long, copies long"), 10)
+    assert sorted(r.doc_id for r in few.collect()) == [1] * 25 + [2]
+
+
 def test_cover():
     for shift in range(substrings.PERIOD):
         assert any((a - b) % substrings.PERIOD == shift for a in substrings.COVER for b in substrings.COVER)
