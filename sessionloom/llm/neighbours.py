@@ -2,13 +2,16 @@
 
 Each tree halves the space by the direction between two random sample vectors, at the sample's median.
 The trees are fitted on at most SAMPLE vectors, those with the least hash of vec_id, and every vector is
-put into one leaf of each tree. A query walks all trees through one priority queue, whose entries are
-the margins by which it lies on the other side of a split, and takes the best SHARE of the leaves of all
-trees together. Vectors of these leaves are compared exactly, in double precision; each leaf returns its best
-for each query, and the best of all leaves are ranked.
-
-Equal vectors are collapsed before they are put into leaves: as ties go to the smaller vec_id, only the
-k + 1 smallest of them can be among anyone's k nearest (one may be the query itself). Leaves of more than
+put into one leaf of each tree. A query walks all trees through one priority queue. The priority of a node is the
+probability that a neighbour lies below it: at each split the neighbour is expected at the query's own projection times the
+cosine that k-th neighbours have in the sample, give or take what the rest of it adds. Leaves are taken in that order
+until a neighbour is in one of them with probability SURE, so the number of leaves follows the data: few
+where vectors form clusters, many where they are random directions. Vectors of these leaves are compared
+exactly, in double precision, and the best of all leaves are ranked.
+
+Leaves of one subtree form a page; a query goes to a page once, with a mask of its leaves. Equal vectors are collapsed
+before they are put into leaves: as ties go to the smaller vec_id, only the
+k + 1 smallest of them can be among anyone's k nearest (one may be the query itself). Pages of more than
 BLOCK vectors are dealt into blocks by a hash, and their queries go to each block. So no task sees more
 than a block, whatever the number of copies.
 
@@ -29,23 +32,39 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
-TREES, SAMPLE, LEAF, BLOCK = 16, 20_000, 256, 8192
+#: SAMPLE bounds the vectors that trees are fitted on, FOREST the bytes of all trees, which are sent to all executors.
+TREES, SAMPLE, LEAF, BLOCK, FOREST = 8, 20_000, 32, 8192, 64 << 20
+
+#: Probability at which a query's search ends.
+SURE = 0.96
+
+#: Levels below a page: its leaves are the bits of a number.
+PAGE = 4
+
+
+def _below(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to 1e-7, and never 0 or 1."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    tail = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.clip(np.where(z >= 0, 1 - tail, tail), 1e-9, 1 - 1e-9)
 
-#: Leaves that a query takes: this share of the leaves of all trees, and LEAVES at least. The share holds
-#: recall at 0.9 or more even for vectors without any structure; clustered vectors do with far less.
-SHARE, LEAVES = 1 / 24, 32
 
-#: Levels of a tree at most: nodes are sent to all executors, so their number is bounded.
-LEVELS = 14
+def usual_cosine(sample: np.ndarray, k: int, total: int, queries: int = 256) -> float:
+    """The median cosine between vectors and their k-th neighbours among `total`, as the sample tells: there that neighbour's rank is less in the same proportion, if at least 1. Equal vectors do not count."""
+    rank = min(len(sample), max(1, round(k * len(sample) / max(total, 1))))
+    s = sample[:queries] @ sample.T
+    s[s > 1 - 1e-6] = -1
+    return float(np.clip(np.median(np.partition(s, -rank, axis=1)[:, -rank]), 0.05, 0.99))
 
 
 class Forest:
     """Complete binary trees: node i of a level array has children 2i + 1 and 2i + 2."""
 
-    def __init__(self, sample: np.ndarray, levels: int, trees: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, levels: int, trees: int, k: int = 5, total: int = 0, seed: int = 5):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.levels, self.trees, inner = levels, trees, (1 << levels) - 1
-        self.directions, self.cuts = np.zeros((trees, inner, sample.shape[1]), np.float32), np.zeros((trees, inner), np.float32)
+        self.cosine = usual_cosine(sample, k, max(total, len(sample)))
+        self.directions, self.cuts, self.spread = np.zeros((trees, inner, sample.shape[1]), np.float32), np.zeros((trees, inner), np.float32), np.zeros((trees, inner), np.float32)
         for t in range(trees):
             points = {0: np.arange(len(sample))}
             for node in range(inner):
@@ -65,6 +84,8 @@ class Forest:
                 self.directions[t, node], self.cuts[t, node] = d, middle
                 right = at > middle
                 points[2 * node + 1], points[2 * node + 2] = (own[~right], own[right]) if len(own) >= 8 else (own, own)
+            self.spread[t] = np.maximum((sample[:2048] @ self.directions[t].T).std(axis=0), 1e-3) if inner else 0
+        self.spread *= math.sqrt(1 - self.cosine**2)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of x in each tree, numbered over all trees."""
@@ -76,16 +97,20 @@ class Forest:
             out[:, t] = node - ((1 << self.levels) - 1) + (t << self.levels)
         return out
 
-    def search(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The leaves of all trees that q comes to first; their number is `leaves`, or that of all."""
-        inner, margins = (1 << self.levels) - 1, self.directions @ q - self.cuts if self.levels else np.zeros((self.trees, 0))
-        queue, out = [(0.0, t, 0) for t in range(self.trees)], []
-        while queue and len(out) < leaves:
+    def search(self, q: np.ndarray, sure: float = SURE) -> list[int]:
+        """The leaves of all trees that q comes to until it is sure to have met a neighbour."""
+        inner = (1 << self.levels) - 1
+        right = _below((self.cosine * (self.directions @ q) - self.cuts).astype(np.float64) / self.spread) if inner else np.zeros((self.trees, 0))
+        costs = np.stack([-np.log(1 - right), -np.log(right)], axis=2).tolist()  # of going left and right at each node
+        queue, out, missed = [(0.0, t, 0) for t in range(self.trees)], [], [1.0] * self.trees
+        while queue and math.prod(missed) > 1 - sure:
             cost, t, node = heapq.heappop(queue)
             while node < inner:
-                m = float(margins[t, node])
-                heapq.heappush(queue, (max(cost, abs(m)), t, 2 * node + (1 if m > 0 else 2)))
-                node = 2 * node + (2 if m > 0 else 1)
+                left, other = costs[t][node]
+                near, far = (1, other) if left <= other else (2, left)
+                heapq.heappush(queue, (cost + far, t, 2 * node + 3 - near))
+                cost, node = cost + min(left, other), 2 * node + near
+            missed[t] -= math.exp(-cost)
             out.append(node - inner + (t << self.levels))
         return out
 
@@ -102,13 +127,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(sound)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES, sure: float = SURE, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors found nearest to each vector whose vec_id is divisible by `every`, by cosine."""
     spark = vectors.sparkSession
     prepare(spark)
     found = usable(vectors)
     sizes = found.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    result = "query_id long, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = sizes["n"]
@@ -116,9 +140,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     copies = Window.partitionBy("v").orderBy("vec_id")
     kept = found.distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     picked = found.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    levels = min(LEVELS, max(0, math.ceil(math.log2(max(1, sizes["count"]) / leaf))))
-    leaves = max(LEAVES, math.ceil(share * (trees << levels)))
-    forest = spark.sparkContext.broadcast(Forest(_unit(picked["v"].combine_chunks(), dim), levels, trees))
+    most = int(math.log2(max(1, FOREST // (4 * trees * dim))))
+    levels = min(most, max(0, math.ceil(math.log2(max(1, sizes["count"]) / leaf))))
+    page = min(PAGE, levels)
+    forest = spark.sparkContext.broadcast(Forest(_unit(picked["v"].combine_chunks(), dim), levels, trees, k, sizes["count"]))
 
     def index(batches):
         for batch in batches:
@@ -127,25 +152,34 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
 
     def look(batches):
         for batch in batches:
-            rows = [forest.value.search(q, leaves) for q in _unit(batch["q"], dim)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
+            rows = []
+            for q in _unit(batch["q"], dim):
+                masks: dict[int, int] = {}
+                for x in forest.value.search(q, sure):
+                    masks[x >> page] = masks.get(x >> page, 0) | 1 << (x & (1 << page) - 1)
+                rows.append([{"page": p, "mask": m} for p, m in masks.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.struct([("page", pa.int32()), ("mask", pa.int64())])))], names=["query_id", "q", "pages"])
 
     kind = found.schema["v"].dataType.simpleString()
     indexed = cut(kept.mapInArrow(index, f"vec_id long, v {kind}, leaves array<int>"))
-    # at most trees * 2^levels rows, whatever the input
-    blocks = F.broadcast(indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    placed = indexed.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v")
-    asked = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().mapInArrow(look, f"query_id long, q {kind}, leaves array<int>")
-    sent = asked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
+    placed = indexed.select("vec_id", "v", F.explode("leaves").alias("leaf")).select(F.shiftright("leaf", page).alias("page"), F.col("leaf").bitwiseAND((1 << page) - 1).alias("slot"), "vec_id", "v")
+    # the pages of all trees, whose number FOREST bounds
+    blocks = F.broadcast(placed.groupBy("page").count().select("page", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    placed = placed.join(blocks, "page").select("page", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "slot", "vec_id", "v")
+    asked = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().mapInArrow(look, f"query_id long, q {kind}, pages array<struct<page:int,mask:long>>")
+    sent = asked.select("query_id", "q", F.inline("pages")).join(blocks, "page").select("page", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "mask", "query_id", "q")
 
     def compare(key, left, right):
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            ids, queries = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+            ids, queries, slots, masks = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), left["slot"].to_numpy(), right["mask"].to_numpy()
             x, q = (t[c].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim) for t, c in ((left, "v"), (right, "q")))
             nx, nq = (np.sqrt((a * a).sum(axis=1)) for a in (x, q))
             for at in range(0, len(q), 256):
-                s = np.einsum("ij,kj->ik", q[at : at + 256], x) / (nq[at : at + 256, None] * nx)
+                s = np.full((len(q[at : at + 256]), len(x)), -np.inf)
+                for slot in np.unique(slots):
+                    a, b = np.flatnonzero(masks[at : at + 256] >> slot & 1), np.flatnonzero(slots == slot)
+                    s[np.ix_(a, b)] = np.einsum("ij,kj->ik", q[at + a], x[b]) / (nq[at + a, None] * nx[b])
                 s[queries[at : at + 256, None] == ids] = -np.inf
                 for i, row in enumerate(s):
                     least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
@@ -156,6 +190,6 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
                     out["score"].append(row[best])
         return pa.table({c: pa.array(np.concatenate([np.zeros(0, t), *v]).astype(t)) for (c, v), t in zip(out.items(), (np.int64, np.int64, np.float64), strict=True)})
 
-    pairs = placed.groupBy("leaf", "block").cogroup(sent.groupBy("leaf", "block")).applyInArrow(compare, result)
+    pairs = placed.groupBy("page", "block").cogroup(sent.groupBy("page", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

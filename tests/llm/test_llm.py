@@ -254,11 +254,31 @@ def test_neighbours(spark):
         s[q] = -9
         hits += len({r.vec_id for r in found} & set(np.lexsort((np.arange(3000), -np.round(s, 12)))[:5]))
     assert hits / 5 / len(by) >= 0.9
+    few = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"leaf": F.lit(1), "rank": F.lit("r"), "page": F.lit(2)}), block=100)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got))  # small blocks, clashing names
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
 
 
+def test_forest_search_is_sure_enough():
+    """Recall against brute force and the share of vectors that are compared: clustered vectors need few, random directions many."""
+    rng = np.random.default_rng(18)
+    heads = rng.standard_normal((200, 32))
+    for x, most in ((heads[rng.integers(0, 200, 12_000)] + 0.4 * rng.standard_normal((12_000, 32)), 0.1), (rng.standard_normal((12_000, 16)), 0.35), (rng.standard_normal((12_000, 64)), 0.8)):
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        forest = neighbours.Forest(x[:5000], 9, 8, 5, len(x))
+        leaves, hits, seen = forest.leaves(x), 0, 0.0
+        for q in range(60):
+            s = x @ x[q]
+            s[q] = -9
+            wanted = np.zeros(8 << 9, bool)
+            wanted[forest.search(x[q])] = True
+            met = wanted[leaves].any(axis=1)
+            hits, seen = hits + met[np.argsort(-s)[:5]].sum(), seen + met.mean()
+        assert hits / 300 >= 0.9 and seen / 60 <= most, (hits / 300, seen / 60)
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
