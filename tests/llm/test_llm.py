@@ -413,7 +413,7 @@ def test_wrapped_licences():
     for name, parts in wanted.items():
         for mark in ("", "# ", " * ", "// ", ";; "):
             for gap in (" ", "\n\n"):
-                wrapped = [x for p in gap.join(s[k] for k in parts).split("\n\n") for x in [*textwrap.wrap(p, 70), ""]]
+                wrapped = [x for p in gap.join(s[k] for k in parts).replace("<holder>", "the copyright holder").split("\n\n") for x in [*textwrap.wrap(p, 70), ""]]
                 text = "\n".join((mark + x).rstrip() for x in ["Some heading", "", *wrapped, "def f():"])
                 assert [x[0] for x in rules.licences(text)] == [name], (name, mark, gap)
     apache = s["apache-2.0-grant-may"] + "\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + s["apache-2.0-as-is"] + "\n"
@@ -421,6 +421,82 @@ def test_wrapped_licences():
     assert rules.licences("not " + s["mit-grant"].replace(" ", "\n")) == [] and rules.licences(s["mit-released"][:-1] + " or another one") == []
 
 
+LICENCE_TEXTS = {
+    "MIT": """MIT License
+
+Copyright (c) 2019 Jane Q. Public
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
+    "BSD-3-Clause": """Copyright (c) 2009, Example Widgets, Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of Example Widgets, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "Zlib": """Copyright (C) 2001 Some Body
+
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+
+ Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.""",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LICENCE_TEXTS))
+def test_licence_texts_as_they_stand_in_files(name):
+    import textwrap
+
+    rules = licences.Rules()
+    for width in (72, 80):
+        body = "\n".join("\n".join(textwrap.wrap(x, width) if not x.startswith(" ") else [x]) for x in LICENCE_TEXTS[name].split("\n"))
+        for text in (body, *("\n".join((mark + x).rstrip() for x in body.split("\n")) for mark in ("# ", "// ")), "/*\n" + "\n".join((" * " + x).rstrip() for x in body.split("\n")) + "\n */"):
+            assert [x[0] for x in rules.licences(text + "\n\nint main() { return 0; }\n")] == [name]
+
+
+def test_licences_by_brute_force():
+    """Sequences of identifiers, drawn at random, against trying every choice of places for every rule."""
+    rng = random.Random(22)
+    names = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name", "mit-grant", "mit-notice", "mit-as-is", "cc0-1.0", "gpl-free", "gpl-hope", "gpl-see"]
+    rules = licences.Rules()
+    for _ in range(150):
+        kinds = [rng.choice([*names, None]) for _ in range(rng.randrange(12))]
+        text = "\n\n".join(licences.SENTENCES[k].replace("<holder>", "Some Body") if k else "Odd one." for k in kinds)
+        assert [x[1] for x in rules.sentences(text)] == [k for k in kinds if k]
+        free, want = [True] * len(kinds), []
+        for licence, parts in sorted(licences.RULES, key=lambda r: -len(r[1])):
+            for start in range(len(kinds)):
+                picked = [start]
+                while free[start] and kinds[picked[-1]] == parts[len(picked) - 1] and len(picked) < len(parts):
+                    step = next((k for k in range(picked[-1] + 1, len(kinds)) if free[k] and kinds[k] == parts[len(picked)]), None)
+                    if step is None or sum(kinds[k] is None for k in range(picked[-1], step)) > rules.gap:
+                        break
+                    picked.append(step)
+                if free[start] and len(picked) == len(parts) and kinds[picked[-1]] == parts[-1]:
+                    want.append((licence, picked[0], picked[-1]))
+                    for k in picked:
+                        free[k] = False
+        assert rules.licences(text) == sorted(want, key=lambda x: (x[1], x[2], x[0]))
+
+
 def test_lm_scoring(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"] if i % 2 else ["delta", "omega", "sigma"], k=30))) for i in range(200)] + [(500, None), (501, ""), (None, "alpha")]
