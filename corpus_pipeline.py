@@ -1,7 +1,11 @@
 """A corpus pipeline: five stages, each of one operator, from raw documents to token counts.
 
 Each stage takes (spark, docs, sf_dir) and gives what it keeps; its result is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents; further columns, whatever their
+names, are not passed on. Null texts are never dropped but for being copies of nothing; empty ones neither. Texts of any length are
+treated whole. Rows without doc_id pass all stages. Repeated rows are judged each by its own text; the stage of near duplicates keeps one
+of rows that share doc_id and text. Ties go to the smaller doc_id. Empty tables give empty ones, and an empty table of
+labels or of the benchmark rejects nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, decontaminate, neardup, pii, toxicity
-from sessionloom.llm.common import checkpoint_dir, groups_for, text_bytes
+from sessionloom.llm.common import checkpoint_dir, cut, groups_for, text_bytes
 from sessionloom.llm.queries import table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +36,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id. Rows without doc_id or words stay."""
-    away = neardup.near_duplicates(docs, similarity=SIMILARITY, bands=BANDS).where(~F.col("kept")).select("doc_id").distinct()
-    return _columns(docs.join(away, "doc_id", "left_anti")).coalesce(groups_for(text_bytes(docs), 32 << 20, 24))
+    """One document of each group of near duplicates (similarity 0.8 or more): the one with the least doc_id. Rows without doc_id or words stay. Where ids repeat, each text counts by itself, and the first of an id's texts in their order is the least."""
+    docs, key = _columns(docs), "doc_id"
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # numbers in order of id and text in place of the ids; the sort is by ranges, so no task gets it all
+        once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+        docs, key = cut(once.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("row", F.monotonically_increasing_id())), "row"
+    of = docs.where("doc_id is not null").select(F.col(key).alias("doc_id"), "text")
+    away = neardup.near_duplicates(of, similarity=SIMILARITY, bands=BANDS).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return _columns(docs.join(away, key, "left_anti")).coalesce(groups_for(text_bytes(docs), 32 << 20, 24))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With pseudonyms for personal numbers, dates and addresses; n_chars counts the new text."""
+    """With pseudonyms for personal numbers, dates and addresses, by the session's key; n_chars counts the new text."""
     done = pii.pseudonymise(docs).withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
     return _columns(done)
 
@@ -66,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder; what lies between them is kept in the shared folder."""
+    """All stages on the documents of a folder; what lies between them is kept in the shared folder, below a name of its own, and may be removed once the result has been read."""
     docs = table(spark, sf_dir, "documents")
     between = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

@@ -6,6 +6,10 @@ pair is compatible, that is if merging the two tokens' bytes would give just the
 no token fits, the last one is taken back and shortened; a place found dead is never tried again.
 Decoding gathers bytes through an offset table.
 
+A piece of up to LONG bytes is looked up at once. Of a longer one, such as letters without a break, matches are found window by
+window and forgotten behind the place that the encoder has come to (and found again if it has to go back), so that it takes
+some ten bytes of memory for each of its own.
+
 Nulls count as the empty text; an empty text has no tokens. Texts of any length are encoded whole.
 Rows with equal ids are encoded each on its own; further columns are passed on unchanged.
 """
@@ -15,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,6 +35,9 @@ from .common import prepare
 #: Pieces that a worker remembers; the memory is emptied when full.
 REMEMBERED = 500_000
 
+#: Bytes of a piece that are looked up at once.
+LONG = 1 << 14
+
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 
 # Letters and numbers that Unicode got after version 16, ranges of code points. The
@@ -92,7 +100,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, array] = {}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         specials = set(vocabulary.special.values())
@@ -100,6 +108,7 @@ class Encoder:
             if b and i not in specials and self.whole(i):
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
+        self.longest = max(map(len, vocabulary.bytes_of))
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
         blob = b"".join(vocabulary.bytes_of)
         self.blob = np.frombuffer(blob, np.uint8)
@@ -128,18 +137,36 @@ class Encoder:
             else:
                 return True
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def matches(self, s: str, begin: int = 0, end: int | None = None) -> list[list[tuple[int, int]]]:
+        """(size, token) of the tokens that start at each place of s from begin to end, the longest last."""
+        end = len(s) if end is None else end
+        at: list[list[tuple[int, int]]] = [[] for _ in range(end - begin)]
+        for last, (size, i) in self.automaton.iter(s, begin, min(len(s), end + self.longest)):  # ends rise, so the longest comes last
+            if last - size + 1 < end:
+                at[last - size + 1 - begin].append((size, i))
+        return at
+
+    def piece(self, piece: str, window: int = LONG) -> array:
         """Token ids of one piece."""
         s = piece.encode("utf-8", "surrogatepass").decode("latin-1")
         n = len(s)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(s):
-            at[end - size + 1].append((size, i))  # ends rise, so the longest comes last
-        out: list[tuple[int, int, int]] = []  # place, token, how many tokens of at[place] are left
+        windows: dict[int, list] = {}
+
+        def seek(place: int) -> list[tuple[int, int]]:
+            found = windows.get(place // window)
+            if found is None:
+                if len(windows) == 2:
+                    del windows[min(windows)]
+                begin = place // window * window
+                found = windows[place // window] = self.matches(s, begin, min(n, begin + window))
+            return found[place % window]
+
+        at = seek if n > window else self.matches(s).__getitem__
+        places, tokens, rest = array("q"), array("i"), array("i")  # rest: how many tokens of a place are left to try
         dead = bytearray(n + 1)
-        compatible, place, left = self.compatible, 0, len(at[0])
+        compatible, place, left = self.compatible, 0, len(at(0)) if n else 0
         while place < n:
-            here, last = at[place], out[-1][1] if out else -1
+            here, last = at(place), tokens[-1] if tokens else -1
             while left:
                 left -= 1
                 size, i = here[left]
@@ -153,18 +180,21 @@ class Encoder:
                         ok = compatible[last, i] = self.fits(last, i)
                     if not ok:
                         continue
-                out.append((place, i, left))
+                places.append(place)
+                tokens.append(i)
+                rest.append(left)
                 place += size
-                left = len(at[place]) if place < n else 0
+                left = len(at(place)) if place < n else 0
                 break
             else:
                 dead[place] = 1
-                place, _, left = out.pop()
-        return tuple(i for _, i, _ in out)
+                place, left = places.pop(), rest.pop()
+                tokens.pop()
+        return tokens
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """Token ids of a text; the vocabulary's special tokens are recognised."""
-        out: list[int] = []
+        out = array("i")
         known, special = self.known, self.v.special
         parts = self.split_special.split(text) if self.split_special and any(x in text for x in special) else (text,)
         for part in parts:

@@ -2,10 +2,12 @@
 
 A tokeniser finds tags, text and raw-text elements; a tree builder keeps the open elements, supplies
 the end tags that HTML lets authors leave out, and drops stray ones; rules of visibility decide what is
-shown: nothing of head, scripts, styles, templates and embedded media, of elements that are hidden by
-attribute or inline style, nor comments. The renderer emits all other text: white space is collapsed
+shown: nothing of head, scripts, styles, templates and embedded media, of elements that are not displayed by
+attribute or inline style, nor comments; the text of drawings and formulas is, without their titles, descriptions and annotations. What is
+invisible keeps its place, and may hold visible elements. The renderer emits all other text: white space is collapsed
 outside preformatted text, blocks stand on lines of their own, paragraphs and headings between empty
-lines, list items after bullets or numbers with an indent for each level, and the cells of a table in columns of equal width.
+lines, list items after bullets or numbers with an indent for each level, and the cells of a table in columns of equal width;
+a cell that spans columns or rows stands in the first of them.
 
 One pass without a shuffle; nothing recurses, so neither depth nor length of a page is limited.
 Null pages give null, empty ones the empty text. Rows are treated each on its own; further columns are passed on.
@@ -26,7 +28,7 @@ from .common import prepare
 # Elements of HTML by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object applet canvas audio video datalist svg math map area param rp".split())
+UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object applet canvas audio video datalist map area param rp desc metadata defs symbol annotation annotation-xml".split())
 HEAD = frozenset("title meta link base script style template noscript head".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr menu".split())
 BLOCKS = SPACED | frozenset("html body div article section nav aside header footer main address li dt dd form figcaption details summary dialog hgroup center tr caption thead tbody tfoot legend optgroup option search".split())
@@ -50,7 +52,9 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _GAP = re.compile(r"[ \t\n\r\f]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 _QUOTED = re.compile(r"""=\s*(["'])""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
+_SPAN = {k: re.compile(rf"{k}span\s*=\s*[\"']?(\d{{1,5}})", re.I) for k in ("col", "row")}
 
 
 def tokens(page: str):
@@ -102,16 +106,27 @@ def tokens(page: str):
             at = to
 
 
-def hidden(name: str, attributes: str) -> bool:
+def look(name: str, attributes: str) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and whether it says that it is visible (None: it says nothing)."""
     if name in UNSEEN:
-        return True
+        return False, None
+    visible = None
     if not attributes or "h" not in attributes.lower() and "style" not in attributes.lower():
-        return False
+        return True, visible
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or key == "style" and _HIDDEN.search(value) or key == "type" and name == "input" and value.lower() == "hidden":
-            return True
-    return False
+        if key == "hidden" or key == "style" and _GONE.search(value) or key == "type" and name == "input" and value.lower() == "hidden":
+            return False, None
+        if key == "style":
+            for said in _VISIBILITY.finditer(value):
+                visible = said[1].lower() in ("visible", "initial")
+    return True, visible
+
+
+def span(attributes: str, of: str) -> int:
+    """Columns or rows that a cell takes."""
+    m = _SPAN[of].search(attributes)
+    return max(1, min(int(m[1]), 100 if of == "col" else 65534)) if m else 1
 
 
 class Box:
@@ -169,6 +184,17 @@ class Box:
 class Table:
     def __init__(self):
         self.rows: list[list[list[str]]] = []
+        self.taken: dict[int, int] = {}  # by column, the last row that a cell from above reaches
+
+    def cell(self, lines: list[str], wide: int, tall: int) -> None:
+        """Puts a cell into the first free column of the last row."""
+        row, here = self.rows[-1], len(self.rows) - 1
+        while self.taken.get(len(row), -1) >= here:
+            row.append([])
+        for k in range(wide):
+            if tall > 1:
+                self.taken[len(row)] = here + tall - 1
+            row.append([] if k else lines)
 
     def lines(self) -> list[str]:
         rows = [r for r in self.rows if any(r)]
@@ -185,11 +211,11 @@ def render(page: str | None) -> str | None:
     """The visible text of a page."""
     if page is None:
         return None
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are shown
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether they are displayed, and whether visible
     opened: dict[str, int] = {}
     boxes, tables, lists, body, pre = [Box()], [], [], False, 0
     boxes_of: list[str] = []
-    spans: list[int] = []
+    spans: list[tuple[int, int]] = []
     fresh = False
 
     def shown() -> bool:
@@ -197,7 +223,7 @@ def render(page: str | None) -> str | None:
 
     def close_one() -> None:
         nonlocal pre
-        name, seen = stack.pop()
+        name, seen, _ = stack.pop()
         opened[name] -= 1
         if not seen:
             return
@@ -205,9 +231,9 @@ def render(page: str | None) -> str | None:
         if name in ("td", "th") and boxes_of and boxes_of[-1] == "cell":
             boxes_of.pop()
             cell = boxes.pop().finish()
-            wide = spans.pop()
+            size = spans.pop()
             if tables and tables[-1].rows:
-                tables[-1].rows[-1] += [cell, *([] for _ in range(wide - 1))]
+                tables[-1].cell(cell, *size)
         elif name == "table" and boxes_of and boxes_of[-1] == "table":
             boxes_of.pop()
             loose = boxes.pop().finish()
@@ -254,7 +280,7 @@ def render(page: str | None) -> str | None:
             fresh = False
             if stack and stack[-1][0] == "head" and name.strip():
                 close_to(("head",), ())
-            if shown() and not (tables and boxes_of and boxes_of[-1] == "table" and not name.strip()):
+            if shown() and (not stack or stack[-1][2]) and not (tables and boxes_of and boxes_of[-1] == "table" and not name.strip()):
                 (boxes[-1].exact if pre else boxes[-1].text)(name)
             continue
         if kind == "close":
@@ -286,7 +312,7 @@ def render(page: str | None) -> str | None:
                 if len(stack) == before:
                     break
         if name in ("td", "th") and opened.get("table") and boxes_of and boxes_of[-1] == "table" and stack[-1][0] != "tr":
-            stack.append(("tr", shown()))
+            stack.append(("tr", shown(), not stack or stack[-1][2]))
             opened["tr"] = opened.get("tr", 0) + 1
             tables[-1].rows.append([])
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -294,7 +320,8 @@ def render(page: str | None) -> str | None:
                 close_one()
         if name == "a" and opened.get("a"):
             close_to(("a",), BARRIER)
-        seen = shown() and not hidden(name, attributes)
+        displayed, visible = look(name, attributes)
+        seen = shown() and displayed
         if name in VOID:
             if seen and name == "br":
                 box = boxes[-1]
@@ -305,7 +332,7 @@ def render(page: str | None) -> str | None:
             elif seen and name == "hr":
                 boxes[-1].end_line(1)
             continue
-        stack.append((name, seen))
+        stack.append((name, seen, (not stack or stack[-1][2]) if visible is None else visible))
         opened[name] = opened.get(name, 0) + 1
         if not seen:
             continue
@@ -319,8 +346,7 @@ def render(page: str | None) -> str | None:
         elif name in ("td", "th") and tables and boxes_of and boxes_of[-1] == "table":
             boxes.append(Box())
             boxes_of.append("cell")
-            span = re.search(r"colspan\s*=\s*[\"']?(\d{1,3})", attributes, re.I)
-            spans.append(max(1, min(int(span[1]), 100)) if span else 1)
+            spans.append((span(attributes, "col"), span(attributes, "row")))
         elif name in ("ul", "ol", "menu"):
             box.end_line(0 if lists else 1)
             lists.append(0 if name == "ol" else None)
