@@ -39,7 +39,10 @@ TREES, SAMPLE, LEAF, BLOCK, FOREST = 8, 20_000, 32, 8192, 64 << 20
 SURE = 0.96
 
 #: Levels below a page: its leaves are the bits of a number.
-PAGE = 4
+PAGE = 5
+
+#: Queries that one task looks up leaves for.
+LOOKED_UP = 128
 
 
 def _below(z: np.ndarray) -> np.ndarray:
@@ -166,11 +169,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
     # the pages of all trees, whose number FOREST bounds
     blocks = F.broadcast(placed.groupBy("page").count().select("page", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     placed = placed.join(blocks, "page").select("page", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "slot", "vec_id", "v")
-    asked = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().mapInArrow(look, f"query_id long, q {kind}, pages array<struct<page:int,mask:long>>")
+    asked = found.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().repartition(sizes["count"] // every // LOOKED_UP + 1).mapInArrow(look, f"query_id long, q {kind}, pages array<struct<page:int,mask:long>>")
     sent = asked.select("query_id", "q", F.inline("pages")).join(blocks, "page").select("page", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "mask", "query_id", "q")
 
     def compare(key, left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        """The k best of a page for each of its queries, one row a query."""
+        out = {"query_id": [], "ids": [], "scores": []}
         if left.num_rows and right.num_rows:
             ids, queries, slots, masks = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), left["slot"].to_numpy(), right["mask"].to_numpy()
             x, q = (t[c].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim) for t, c in ((left, "v"), (right, "q")))
@@ -183,13 +187,30 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = TREES,
                 s[queries[at : at + 256, None] == ids] = -np.inf
                 for i, row in enumerate(s):
                     least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    best = np.flatnonzero((row >= least) & (row > -np.inf))
-                    best = best[np.lexsort((ids[best], -row[best]))[:k]]
-                    out["query_id"].append(np.full(len(best), queries[at + i]))
-                    out["vec_id"].append(ids[best])
-                    out["score"].append(row[best])
-        return pa.table({c: pa.array(np.concatenate([np.zeros(0, t), *v]).astype(t)) for (c, v), t in zip(out.items(), (np.int64, np.int64, np.float64), strict=True)})
-
-    pairs = placed.groupBy("page", "block").cogroup(sent.groupBy("page", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))
+                    order, own = _ranked(ids[near], row[near], k)
+                    if len(order):
+                        out["query_id"].append(queries[at + i])
+                        out["ids"].append(order)
+                        out["scores"].append(own)
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)})
+
+    def rank(batches):
+        for batch in batches:
+            out = {"query_id": [], "rank": [], "vec_id": [], "score": []}
+            for query, *parts in zip(*(batch[c].to_pylist() for c in ("query_id", "ids", "scores")), strict=True):
+                ids, scores = _ranked(*(np.concatenate([np.array(x) for x in p]) for p in parts), k)
+                for c, v in zip(out, (np.full(len(ids), query), np.arange(1, len(ids) + 1, dtype=np.int32), ids, scores), strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+
+    pairs = placed.groupBy("page", "block").cogroup(sent.groupBy("page", "block")).applyInArrow(compare, "query_id long, ids array<long>, scores array<double>")
+    # k for each block of the pages that a query comes to
+    return pairs.groupBy("query_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores")).mapInArrow(rank, "query_id long, rank int, vec_id long, score double")
+
+
+def _ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, each id once, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+    return ids[order], scores[order]
