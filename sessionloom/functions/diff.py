@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Bytes a side that are compared, at most.
+MOST = 8 << 20
+
 
 def edits(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
     """(tag, line in a, line in b) of every line: ' ' equal, '-' only in a, '+' only in b."""
@@ -65,3 +68,34 @@ def hunks(old: str, new: str, context: int = 3) -> list[dict]:
         out.append({"old_start": part[0][1] + 1, "new_start": part[0][2] + 1, "lines": [t + (b[j] if t == "+" else a[i]) for t, i, j in part]})
         k = e + 1
     return out
+
+
+def is_binary(data: bytes) -> bool:
+    """Whether bytes hold a NUL near their beginning, or are no UTF-8 but for a sequence cut off at their end."""
+    if b"\0" in data[:8192]:
+        return True
+    try:
+        data.decode()
+    except UnicodeDecodeError as e:
+        return e.reason != "unexpected end of data"
+    return False
+
+
+def diffs(pairs, before: str = "before", after: str = "after", to: str = "diff"):
+    """pairs with binary and the hunks between two contents (binary columns), as JSON text; binary or too large contents are not compared. A null content is an empty one."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("struct<binary:boolean,too_large:boolean,hunks:string>")
+    def compare(old, new):
+        import pandas as pd
+
+        out = []
+        for a, b in zip(old, new, strict=True):
+            a, b = (bytes(x) if x is not None else b"" for x in (a, b))
+            binary, large = is_binary(a) or is_binary(b), max(len(a), len(b)) > MOST
+            out.append((binary, large, None if binary or large else json.dumps(hunks(a.decode(errors="replace"), b.decode(errors="replace")))))
+        return pd.DataFrame(out, columns=["binary", "too_large", "hunks"])
+
+    return pairs.withColumn(to, compare(before, after))

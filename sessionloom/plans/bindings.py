@@ -335,6 +335,59 @@ def event_time_normalise(spark, d):
     return views.table(spark, d, "events").select("event_id", times.normalise(F.concat(written, F.lit("+00:00"))).alias("from_text"), times.lenient(F.unix_millis(ts).cast("string")).alias("from_millis"), times.normalise(F.when(F.col("event_id") % 2 == 0, F.concat(written, F.lit("Z"))).otherwise("yesterday")).alias("guarded"))
 
 
+# --- the timeline of a case -----------------------------------------------------------------------
+
+_KV = lambda **kv: "array_to_string(list_filter([" + ", ".join(f"'{k}=' || nullif(CAST({v} AS VARCHAR), '')" for k, v in sorted(kv.items())) + "], lambda x: x IS NOT NULL), ';')"
+_PLACE = dict(harness="harness", root_label="label", session_db_id="session_id", session_id="harness_session_id", session_kind="session_kind", project_path="project_path", ts_origin="ts_origin", evidence_file="rel_path", evidence_file_sha256="sha256", evidence_locator="locator", evidence_byte_offset="CASE WHEN locator IS NULL THEN byte_offset END", evidence_record_sha256="content_sha256")
+_STREAMS = {
+    0: ("message", "Message Timestamp", "k_messages", "role || ': ' || CASE WHEN coalesce(body, '') = '' THEN '<' || record_type || '>' WHEN length(body) > 4000 THEN substr(body, 1, 4000) || '…' ELSE body END", "role", "role", dict(role="role", record_type="record_type", message_uuid="uuid", model="model"),
+        "SELECT m.id, m.session_id, m.provenance_id AS record, timestamp, timestamp_origin AS ts_origin, role, record_type, uuid, model, b.body FROM k_messages m LEFT JOIN (SELECT message_id, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM k_blocks WHERE kind = 'text' AND text IS NOT NULL GROUP BY 1) b ON b.message_id = m.id"),
+    1: ("tool_call", "Tool Call Started", "k_calls", "'tool ' || name || ': ' || CASE WHEN input LIKE '{%' THEN json_extract_string(input, '$.command') WHEN length(input) > 200 THEN substr(input, 1, 200) || '…' ELSE input END", "category", "'tool_call', category", dict(tool_name="name", tool_category="category", tool_error="is_error"),
+        "SELECT t.id, t.session_id, m.provenance_id AS record, timestamp, timestamp_origin AS ts_origin, name, category, input, is_error FROM k_calls t JOIN k_blocks b ON b.id = t.tool_use_block_id JOIN k_messages m ON m.id = b.message_id"),
+    2: ("observation", "Observation Time", "k_seen", "kind || ': ' || coalesce(command, path, '')", "kind", "'observation', kind, confidence", dict(observation_kind="kind", path="path", command="command", confidence="confidence"),
+        """SELECT o.id, o.session_id, coalesce(o.derived_from_provenance_id, bm.provenance_id, tm.provenance_id) AS record, o.timestamp, o.timestamp_origin AS ts_origin, o.kind, o.path, o.command, o.confidence FROM k_seen o LEFT JOIN k_blocks b ON b.id = o.derived_from_block_id LEFT JOIN k_messages bm ON bm.id = b.message_id
+         LEFT JOIN k_calls t ON t.id = o.derived_from_tool_call_id LEFT JOIN k_blocks tb ON tb.id = t.tool_use_block_id LEFT JOIN k_messages tm ON tm.id = tb.message_id"""),
+}
+
+
+def _case_sql(rank: int, where: str = "true") -> str:
+    kind, what, _, message, of, tags, extra, rows = _STREAMS[rank]
+    return f"""SELECT {rank} AS rank, id, coalesce(timestamp, first_ts) AS datetime, CASE WHEN timestamp IS NULL AND first_ts IS NOT NULL THEN 'Session Start (inferred, record has no timestamp)' WHEN ts_origin = 'absent' THEN 'No Timestamp' ELSE '{what} (stored)' END AS timestamp_desc,
+ '[' || harness || '] ' || {message} AS message, 'AI:' || upper(replace(harness, '-', '_')) AS source, replace(harness, '-', '_') || ':{kind}:' || {of} AS source_long, label || ':' || rel_path AS display_name,
+ array_to_string(list_filter([harness, {tags}, ts_origin, CASE WHEN timestamp IS NULL AND first_ts IS NOT NULL THEN 'inferred' END], lambda x: x IS NOT NULL), ',') AS tags, {_KV(record_kind=f"'{kind}'", **_PLACE, **extra)} AS attributes, session_id, rel_path AS source_file, byte_offset, content_sha256 AS content_hash, locator
+ FROM (SELECT e.*, s.harness_session_id, s.kind AS session_kind, s.project_path, s.first_ts, r.harness, r.label, s.root_id, p.byte_offset, p.content_sha256, p.locator, f.rel_path, f.sha256 FROM ({rows}) e JOIN k_sessions s ON s.id = e.session_id JOIN k_roots r ON r.id = s.root_id JOIN k_records p ON p.id = e.record JOIN k_files f ON f.id = p.source_file_id) WHERE {where}"""
+
+
+def _case_events(spark, d, **scope) -> DataFrame:
+    entries = F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return timeline.of_case(views.Canonical(spark, d), **scope).withColumns({"tags": F.array_join("tags", ","), "attributes": F.array_join(entries, ";")}).drop("file_hash", "file_size", "file_mtime")
+
+
+@query(_case_sql(0))
+def case_messages(spark, d):
+    return _case_events(spark, d).where("rank = 0")
+
+
+@query(_case_sql(1))
+def case_tool_calls(spark, d):
+    return _case_events(spark, d).where("rank = 1")
+
+
+@query(_case_sql(2))
+def case_observations(spark, d):
+    return _case_events(spark, d).where("rank = 2")
+
+
+@query(" UNION ALL ".join(_case_sql(k, "root_id = 1") for k in _STREAMS))
+def case_timeline_of_root(spark, d):
+    return _case_events(spark, d, root_id=1)
+
+
+@query(" UNION ALL ".join(_case_sql(k, "session_id = 8") for k in _STREAMS))
+def case_timeline_of_session(spark, d):
+    return _case_events(spark, d, session_id=8)
+
+
 # --- links and trees -----------------------------------------------------------------------------
 
 

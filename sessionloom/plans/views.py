@@ -57,6 +57,29 @@ def forest(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(c.cast("long").alias("id"), parent.cast("long").alias("parent_id"))
 
 
+class Canonical:
+    """A case whose tables are projected from the plain ones: conversations as sessions, their turns as messages, every other one with a tool call and an observation."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.sql(f"SELECT * FROM ({CANONICAL[name][1]})", c=table(self.spark, self.d, "conversations"), r=table(self.spark, self.d, "region"))
+
+
+# By table: its name in SQL, and the projection, which both engines read; {c} and {r} are conversations and region.
+_ID = "(conv_id * 1000 + turn)"
+CANONICAL = {
+    "evidence_roots": ("k_roots", "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS label, CASE WHEN r_regionkey % 2 = 0 THEN 'claude-code' ELSE 'cursor-ide' END AS harness FROM {r}"),
+    "sessions": ("k_sessions", "SELECT DISTINCT conv_id AS id, conv_id % 5 AS root_id, concat('s', conv_id) AS harness_session_id, CASE WHEN conv_id % 3 = 0 THEN 'subagent' ELSE 'primary' END AS kind, CASE WHEN conv_id % 2 = 0 THEN concat('/p/', conv_id % 7) END AS project_path, CASE WHEN conv_id % 4 <> 0 THEN concat('2024-01-01T00:00:0', conv_id % 10, '.000Z') END AS first_ts FROM {c}"),
+    "provenance": ("k_records", f"SELECT {_ID} AS id, conv_id AS source_file_id, CAST(turn * 10 AS BIGINT) AS byte_offset, concat('h', {_ID}) AS content_sha256, CASE WHEN conv_id % 5 IN (1, 3) THEN concat('row ', {_ID}) END AS locator FROM {{c}}"),
+    "source_files": ("k_files", "SELECT DISTINCT conv_id AS id, concat('d/', conv_id, '.jsonl') AS rel_path, concat('f', conv_id) AS sha256, conv_id AS size, CAST(NULL AS STRING) AS mtime FROM {c}"),
+    "messages": ("k_messages", f"SELECT {_ID} AS id, conv_id AS session_id, {_ID} AS provenance_id, turn AS ordinal, role, concat('r-', role) AS record_type, CASE WHEN turn % 2 = 0 THEN concat('u', {_ID}) END AS uuid, CASE WHEN turn % 3 <> 0 THEN concat('2024-01-02T00:00:0', turn % 10, '.000Z') END AS timestamp, CASE WHEN turn % 3 <> 0 THEN 'stored' ELSE 'absent' END AS timestamp_origin, CASE WHEN role = 'assistant' THEN 'm1' END AS model FROM {{c}}"),
+    "blocks": ("k_blocks", f"SELECT {_ID} * 2 AS id, {_ID} AS message_id, 0 AS ordinal, 'text' AS kind, text FROM {{c}} UNION ALL SELECT {_ID} * 2 + 1, {_ID}, 1, CASE WHEN turn % 2 = 1 THEN 'text' ELSE 'tool_use' END, CASE WHEN turn % 2 = 1 THEN 'more' END FROM {{c}}"),
+    "tool_calls": ("k_calls", f"SELECT {_ID} AS id, conv_id AS session_id, 'Bash' AS name, 'shell' AS category, CASE WHEN conv_id % 2 = 0 THEN concat('{{{{\"command\":\"run ', conv_id, '\"}}}}') ELSE concat('plain ', text) END AS input, turn % 4 = 0 AS is_error, {_ID} * 2 + 1 AS tool_use_block_id FROM {{c}} WHERE turn % 2 = 0"),
+    "observations": ("k_seen", f"SELECT {_ID} AS id, conv_id AS session_id, 'command_executed' AS kind, CASE WHEN turn % 3 = 0 THEN {_ID} END AS derived_from_tool_call_id, CASE WHEN turn % 3 = 1 THEN {_ID} * 2 END AS derived_from_block_id, CASE WHEN turn % 3 = 2 THEN {_ID} END AS derived_from_provenance_id, CASE WHEN turn % 4 = 0 THEN concat('p', turn) END AS path, CASE WHEN conv_id % 2 = 0 THEN concat('c', turn) END AS command, 'high' AS confidence, CAST(NULL AS STRING) AS timestamp, 'absent' AS timestamp_origin FROM {{c}} WHERE turn % 2 = 0"),
+}
+
 TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 CTE = {
     "messages": "messages AS (SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, turn AS ordinal, CASE WHEN role = 'system' THEN 'meta' ELSE role END AS role, text FROM conversations)",
@@ -67,13 +90,14 @@ CTE = {
     "records": "records AS (SELECT user_id AS stream, event_id AS position, 'assistant' AS role, event_type AS turn_key, event_type = 'error' AS hidden FROM events)",
     "forest": "forest AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 1000 <> 0 THEN c_custkey - 5 END WHEN c_custkey % 5 = 1 THEN c_custkey + 1 WHEN c_custkey % 5 = 2 THEN c_custkey - 1 WHEN c_custkey % 10 = 3 THEN c_custkey + 3 WHEN c_custkey % 10 = 8 THEN c_custkey - 2 ELSE c_custkey - 1 END AS BIGINT) AS parent_id FROM customer)",
 }
+CTE |= {name: f"{name} AS ({projection.format(c='conversations', r='region')})" for name, projection in CANONICAL.values()}
 
 
 def sql(text: str) -> str:
     """text with the projections that it names in front."""
     import re
 
-    used = [c for n, c in CTE.items() if re.search(rf"\b{n}\b", text)]
+    used = [c for n, c in CTE.items() if re.search(rf"(?<!\.)\b{n}\b", text)]
     if text.startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join([*used, text.removeprefix("WITH RECURSIVE ")])
     if text.startswith("WITH "):

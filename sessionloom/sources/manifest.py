@@ -33,8 +33,8 @@ def walk(root: str):
         stack += reversed(inner)
 
 
-def manifest(spark: SparkSession, root: str, chunk: int = 64 << 10) -> DataFrame:
-    """The manifest of a directory that all executors see."""
+def manifest(spark: SparkSession, root: str, chunk: int = 64 << 10, links: bool = False) -> DataFrame:
+    """The manifest of a directory that all executors see. links: with the hash of each link's target."""
 
     def hashed(batches):
         for pdf in batches:
@@ -42,7 +42,7 @@ def manifest(spark: SparkSession, root: str, chunk: int = 64 << 10) -> DataFrame
             for rel, kind in zip(pdf["rel_path"], pdf["kind"], strict=True):
                 h = hashlib.sha256()
                 if kind == "symlink":
-                    out.append(None)
+                    out.append(hashlib.sha256(os.fsencode(os.readlink(os.path.join(root, rel)))).hexdigest() if links else None)
                     continue
                 with open(os.path.join(root, rel), "rb") as f:
                     while part := f.read(chunk):
@@ -51,7 +51,7 @@ def manifest(spark: SparkSession, root: str, chunk: int = 64 << 10) -> DataFrame
             yield pdf.assign(sha256=out)
 
     rows = spark.createDataFrame(list(walk(root)), COLUMNS)
-    return rows.repartition(max(1, min(64, rows.count())), "rel_path").mapInPandas(hashed, COLUMNS + ", sha256 string")
+    return rows.repartition(max(1, rows.count() // 64), "rel_path").mapInPandas(hashed, COLUMNS + ", sha256 string")
 
 
 def stores(files: DataFrame, expected: dict[str, str]) -> DataFrame:
