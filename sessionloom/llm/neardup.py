@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, components, cut, encoded, factors, few_files, groups_for, hashed, mix, prepare, text_bytes, windows
 
@@ -179,7 +180,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: int, hub: int) -> Data
 
 
 def _rarest(sets: DataFrame, similarity: int) -> DataFrame:
-    """id, shingle: the rarest shingles of each set, so many that two similar sets have one in common."""
+    """sets (members, ...) without members and with shingle: a row for each of the rarest shingles of a set, so many that two similar sets have one in common."""
 
     def count(batches):
         seen = np.zeros(1 << SLOTS, np.int64)
@@ -191,23 +192,25 @@ def _rarest(sets: DataFrame, similarity: int) -> DataFrame:
             part = slots[at : at + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], names=["slot", "n"])
 
-    found = sets.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS rows
+    found = sets.select("members").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^SLOTS rows
     times = np.zeros(1 << SLOTS, np.int64)
     times[found["slot"].to_numpy()] = found["n"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(times)
+    rest = [c for c in sets.columns if c != "members"]
 
     def pick(batches):
         for batch in batches:
-            ids, shingles = [], []
-            for i, x in zip(batch["id"].to_pylist(), batch["members"].to_pylist(), strict=True):
+            shingles, sizes = [np.zeros(0, np.int64)], []
+            for x in batch["members"].to_pylist():
                 x = np.frombuffer(x, U64)
                 size = len(x) + similarity * -len(x) // 100 + 1  # n - ceil(s * n) + 1
                 first = x[np.lexsort((x, shared.value[(x >> U64(64 - SLOTS)).astype(np.int64)]))[:size]]
-                ids.append(np.full(len(first), i))
+                sizes.append(len(first))
                 shingles.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, shingles)], names=["id", "shingle"])
+            rows = batch.select(rest).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(shingles))], names=[*rest, "shingle"])
 
-    return sets.mapInArrow(pick, "id long, shingle long")
+    return sets.mapInArrow(pick, T.StructType([*sets.select(rest).schema.fields, T.StructField("shingle", T.LongType())]))
 
 
 def _across(placed: DataFrame, meet: list[str], similarity: int) -> DataFrame:
@@ -245,8 +248,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, shingle: int
     across = _across(left.where(F.col("size") <= bucket).drop("size").join(_facts(classes, "id", "n", "s"), "id"), ["band", "key"], similarity)
     large = cut(left.where(F.col("size") > bucket).select("id", "part").distinct(), files)
     if not large.isEmpty():
-        rare = _rarest(sets.join(large, "id", "left_semi"), similarity)
-        across = across.unionByName(_across(rare.join(large, "id").join(_facts(classes, "id", "n", "s"), "id"), ["shingle"], similarity))
+        placed = cut(sets.join(large.join(_facts(classes, "id", "n", "s"), "id"), "id"), many)
+        across = across.unionByName(_across(_rarest(placed, similarity), ["shingle"], similarity))
     across = cut(across.distinct().join(stars, ["a", "b"], "left_anti"), files)
     more = cut(_alike(across.select("a", "b"), sets, similarity, hub).join(across, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), files)
     if not more.isEmpty():  # links between the components found so far
