@@ -36,7 +36,7 @@ from .common import cut, prepare
 TREES, SAMPLE, LEAF, BLOCK, FOREST = 8, 20_000, 32, 8192, 64 << 20
 
 #: Probability at which a query's search ends.
-SURE = 0.96
+SURE = 0.97
 
 #: Levels below a page: its leaves are the bits of a number.
 PAGE = 5
