@@ -31,14 +31,14 @@ STORES = {
     "claude:settings": "settings.json",
 }
 # Stores that a parser reads; the others are only listed.
-READ = {"claude:projects", "cursor:agent-transcripts", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
+READ = {"claude:projects", "cursor:agent-transcripts", "cursor:chat-store", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
 # Severities of anomalies; all others are warnings.
 SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "invalid_utf8": "info", "orphaned_file": "info", "superseded_file": "info", "symlink_in_evidence": "info"}
 # Parsers by name and version.
 PARSERS = {"transcript": ("claude_code.transcript", "1"), "meta": ("claude_code.subagent_meta", "1"), "history": ("claude_code.history", "1"), "upload": ("claude_code.uploads", "1")}
 #: Longer sidecar files are not read.
 MOST_BYTES = 64 << 20
-UNBOUNDED = ["transcript", "history", "kv", "workspace"]
+UNBOUNDED = ["transcript", "history", "kv", "workspace", "chat"]
 
 
 def numbered(rows: DataFrame, within: list, start: int) -> DataFrame:
@@ -408,7 +408,7 @@ def finish(case, root_id: int) -> None:
         out = out.join(more, "id", "left")
     free = ~F.coalesce("bounds_from_adapter", F.lit(False))
     out = out.withColumns({
-        "parent_session_id": F.coalesce("parent_session_id", "named", "adopted"), "kind": F.when((F.col("kind") == "primary") & F.col("resumed"), "resumed").otherwise(F.col("kind")), "models": F.coalesce("ms", F.array().cast("array<string>")), "message_count": F.coalesce("mc", F.lit(0)), "tool_call_count": F.coalesce("tc", F.lit(0)),
+        "parent_session_id": F.coalesce("parent_session_id", "named", "adopted"), "kind": F.when((F.col("kind") == "primary") & F.col("resumed"), "resumed").otherwise(F.col("kind")), "models": F.array_sort(F.array_union(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("models", "ms")))), "message_count": F.coalesce("mc", F.lit(0)), "tool_call_count": F.coalesce("tc", F.lit(0)),
         "first_ts": F.when(free, F.col("f")).otherwise(F.col("first_ts")), "last_ts": F.when(free, F.col("l")).otherwise(F.col("last_ts")), "first_ts_origin": F.when(free, F.coalesce("fo", F.lit("absent"))).otherwise(F.col("first_ts_origin")), "last_ts_origin": F.when(free, F.coalesce("lo", F.lit("absent"))).otherwise(F.col("last_ts_origin")),
     }).select(*every.columns)
     case.replace("sessions", every.where(F.col("root_id") != root_id).unionByName(out))

@@ -1,4 +1,4 @@
-"""Takes the directory of an editor's agent into a case: its transcripts, which bear no times, and the files beside them that hold results.
+"""Takes the directory of an editor's agent into a case: its transcripts, which bear no times, the files beside them that hold results, and its chat stores.
 
 A session has no first time and ends with the file's. Where a call has no id it gets no result.
 """
@@ -12,6 +12,8 @@ from ..functions import secrets, spans, text
 from ..operators import tools
 from ..sources import editor, jsonl, transcripts
 from .ingest import SEVERITIES, _json, contents, finish, last_id, numbered, take_up, write_files
+from .ingest_chats import PARSER as CHAT_PARSER
+from .ingest_chats import ChatLoad
 from .ingest_editor import join_claims
 
 # Stores of a root in the order in which they are read.
@@ -21,7 +23,7 @@ PATH = r"^projects/(?:.*/)?agent-transcripts/(?:([^/]+)\.jsonl|([^/]+)/(\2)\.jso
 
 
 def parser_of(path: Column, kind: Column) -> Column:
-    return F.when((kind != "symlink") & path.rlike(PATH), "transcript")
+    return F.when(kind == "symlink", None).when(path.rlike(PATH), "transcript").when(path.rlike(r"^chats/(?:.*/)?store\.db$"), "chat")
 
 
 def ingest(case, path: str, label: str) -> int:
@@ -36,7 +38,7 @@ class AgentLoad:
         self.case, self.root_id, self.path, self.files = case, root_id, path, files
 
     def run(self, drift: DataFrame) -> None:
-        f = self.files.where("parser is not null").select(F.col("rel_path").alias("path"), "file_id")
+        f = self.files.where("parser = 'transcript'").select(F.col("rel_path").alias("path"), "file_id")
         lines = jsonl.parsed(jsonl.records(contents(self.case, self.path, "*.jsonl").withColumnRenamed("rel_path", "path").join(f, "path", "left_semi"))).drop("content")
         self.records = self.case.stage(numbered(lines.join(f, "path"), ["index"], last_id(self.case, "provenance")).withColumnRenamed("id", "pid"))
         sound = self.records.where("anomaly is null or anomaly = 'invalid_utf8'").where(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"))
@@ -48,7 +50,10 @@ class AgentLoad:
         m = self.messages.select("path", "index", F.col("id").alias("message_id"), "file_id", "session_id")
         self.blocks = self.case.stage(numbered(self.found.join(m, ["path", "index"]), ["index", "ordinal"], last_id(self.case, "blocks")))
         self.calls = self._calls()
+        self.chats = None if self.files.where("parser = 'chat'").isEmpty() else ChatLoad(self.case, self.root_id, self.path, self.files)
         self._write(drift)
+        if self.chats:
+            self._write_chats()
         finish(self.case, self.root_id)
         join_claims(self.case)
 
@@ -58,7 +63,7 @@ class AgentLoad:
         own = F.when(part(1) != "", part(1)).when(part(2) != "", part(2)).otherwise(part(5))
         slug = F.regexp_extract("rel_path", r"([^/]+)/agent-transcripts/", 1)
         folder = F.concat(F.regexp_extract("rel_path", r"^(.*agent-transcripts/)", 1), F.coalesce(parent, own), F.lit("/agent-tools/"))
-        rows = self.files.where("parser is not null").select("file_id", "store_id", F.lit(self.root_id).cast("long").alias("root_id"), F.col("rel_path").alias("path"), own.alias("harness_session_id"), parent.alias("parent_harness_session_id"), F.when(parent.isNull(), "primary").otherwise("subagent").alias("kind"), slug.alias("project_path"), folder.alias("folder"), F.lit("absent").alias("first_ts_origin"), F.col("mtime").alias("last_ts"), F.when(F.col("mtime").isNull(), "absent").otherwise("file_mtime").alias("last_ts_origin"), F.lit(True).alias("bounds_from_adapter"))
+        rows = self.files.where("parser = 'transcript'").select("file_id", "store_id", F.lit(self.root_id).cast("long").alias("root_id"), F.col("rel_path").alias("path"), own.alias("harness_session_id"), parent.alias("parent_harness_session_id"), F.when(parent.isNull(), "primary").otherwise("subagent").alias("kind"), slug.alias("project_path"), folder.alias("folder"), F.lit("absent").alias("first_ts_origin"), F.col("mtime").alias("last_ts"), F.when(F.col("mtime").isNull(), "absent").otherwise("file_mtime").alias("last_ts_origin"), F.lit(True).alias("bounds_from_adapter"))
         return self.case.stage(numbered(rows, ["path"], last_id(self.case, "sessions")))
 
     def _messages(self) -> DataFrame:
@@ -101,15 +106,15 @@ class AgentLoad:
         rows = rows.join(side, "rel_path", "left").withColumn("name", F.coalesce("name", F.lit(""))).withColumn("result_payload", F.when(F.col("side").isNotNull(), _json(sidecar_blob=F.col("side")))).withColumn("category", text.editor_category(F.col("name")))
         return self.case.stage(numbered(rows, [F.col("at").asc_nulls_last(), "use_position"], last_id(self.case, "tool_calls")))
 
-    def _observations(self) -> DataFrame:
+    def _observations(self, every_call: DataFrame, blocks: DataFrame) -> DataFrame:
         none = F.lit(None).cast("string")
         status = F.when(F.col("result_block").isNotNull() & ~F.col("is_error"), "completed")
-        done = editor.tool_observations(self.calls.select(none.alias("composer"), F.col("id").cast("string").alias("bubble"), F.col("name").alias("tool"), "input", status.alias("status"), none.alias("timestamp"))).select(F.col("bubble").cast("long").alias("id"), "kind", "path", "command", "confidence")
-        calls = done.join(self.calls.select("id", "file_id", "session_id", "name"), "id").select("file_id", "session_id", "kind", F.col("id").alias("derived_from_tool_call_id"), "path", "command", "confidence", _json(tool=F.col("name")).alias("details"), F.lit(0).alias("rank"), F.col("id").alias("at"))
+        done = editor.tool_observations(every_call.select(none.alias("composer"), F.col("id").cast("string").alias("bubble"), F.col("name").alias("tool"), "input", status.alias("status"), none.alias("timestamp"))).select(F.col("bubble").cast("long").alias("id"), "kind", "path", "command", "confidence")
+        calls = done.join(every_call.select("id", "file_id", "session_id", "name"), "id").select("file_id", "session_id", "kind", F.col("id").alias("derived_from_tool_call_id"), "path", "command", "confidence", _json(tool=F.col("name")).alias("details"), F.lit(0).alias("rank"), F.col("id").alias("at"))
         hit = lambda field: _json(rule=F.col("m.rule"), rule_version=F.lit("1"), field=field, offset=F.col("m.offset"), length=F.col("m.length"), match=F.col("m.match")).alias("details")
         secret = F.lit("secret_candidate").alias("kind")
-        b = self.blocks.where("text is not null").withColumn("m", F.explode(secrets.all_matches(F.col("text")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_block_id"), F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(1).alias("rank"), F.col("id").alias("at"))
-        c = self.calls.where("input is not null").withColumn("m", F.explode(secrets.all_matches(F.col("input")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_tool_call_id"), F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(2).alias("rank"), F.col("id").alias("at"))
+        b = blocks.where("text is not null").withColumn("m", F.explode(secrets.all_matches(F.col("text")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_block_id"), F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(1).alias("rank"), F.col("id").alias("at"))
+        c = every_call.where("input is not null").withColumn("m", F.explode(secrets.all_matches(F.col("input")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_tool_call_id"), F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(2).alias("rank"), F.col("id").alias("at"))
         return numbered(calls.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).withColumn("timestamp_origin", F.lit("absent")), ["rank", "at", "details"], last_id(self.case, "observations"))
 
     def _anomalies(self, drift: DataFrame) -> DataFrame:
@@ -133,24 +138,50 @@ class AgentLoad:
         out = bad
         for more in (flat, strange, lone, unsafe, census, links, moved):
             out = out.unionByName(more, allowMissingColumns=True)
+        return self._told(out)
+
+    def _told(self, odd: DataFrame) -> DataFrame:
+        """Anomalies as rows of their table."""
         severity = F.lit("warning")
         for k, v in SEVERITIES.items():
             severity = F.when(F.col("kind") == k, v).otherwise(severity)
-        rows = numbered(out, ["pid", "kind", "details"], last_id(self.case, "anomalies"))
+        rows = numbered(odd, ["pid", "kind", "details"], last_id(self.case, "anomalies"))
         return rows.join(self.files.select("file_id", "rel_path"), "file_id").select("id", F.lit(self.root_id).alias("root_id"), F.col("file_id").alias("source_file_id"), "session_id", F.col("pid").alias("provenance_id"), "kind", F.coalesce("given", severity).alias("severity"), F.concat(F.replace("kind", F.lit("_"), F.lit(" ")), F.lit(" in "), "rel_path").alias("message"), "details")
 
     def _write(self, drift: DataFrame) -> None:
         case = self.case
-        write_files(case, self.files, self.records.groupBy("file_id").agg(F.count("*").alias("record_count")))
+        files, records = self.files, self.records.select("file_id")
+        if self.chats:
+            self.chats.read()
+            files = files.join(self.chats.whole.select("file_id", F.lit(True).alias("store_read")), "file_id", "left").withColumn("parser", F.when((F.col("parser") != "chat") | F.col("store_read"), F.col("parser"))).drop("store_read")
+            records = records.unionAll(self.chats.records.select("file_id"))
+        write_files(case, files, records.groupBy("file_id").agg(F.count("*").alias("record_count")))
         case.append("provenance", self.records.where("not oversized").select(F.col("pid").alias("id"), F.col("file_id").alias("source_file_id"), F.col("offset").alias("byte_offset"), F.col("length").alias("byte_length"), F.col("sha256").alias("content_sha256"), F.lit(PARSER[0]).alias("parser"), F.lit(PARSER[1]).alias("parser_version"), F.lit("stored").alias("origin")))
-        case.append("messages", self.messages.withColumnRenamed("pid", "provenance_id"))
-        calls = self.calls.select("id", F.explode(F.filter(F.array("use_block", "result_block"), lambda x: x.isNotNull())).alias("block")).groupBy("block").agg(F.max("id").alias("tool_call_id"))
-        case.append("blocks", self.blocks.join(calls.withColumnRenamed("block", "id"), "id", "left"))
-        case.append("tool_calls", self.calls.withColumnsRenamed({"use_block": "tool_use_block_id", "result_block": "tool_result_block_id"}))
-        case.append("observations", self._observations())
+        self._write_spoken(self)
+        case.append("observations", self._observations(self.calls, self.blocks))
         case.append("sessions", self.sessions)
         claims = self.sessions.select("file_id", F.col("id").alias("session_id"), F.lit("cursor:composerId").alias("scheme"), F.col("harness_session_id").alias("claimed_id"), F.lit("unmatched").alias("join_status"))
         case.append("identity_claims", numbered(claims, ["session_id"], last_id(case, "identity_claims")))
         case.append("anomalies", self._anomalies(drift))
         side = self.calls.where("side is not null").select("rel_path").distinct()
         case.put_blobs(contents(case, self.path, "*.txt").join(side, "rel_path", "left_semi").select("content"))
+
+    def _write_spoken(self, load) -> None:
+        """Messages, blocks and calls."""
+        case = self.case
+        case.append("messages", load.messages.withColumnRenamed("pid", "provenance_id"))
+        calls = load.calls.select("id", F.explode(F.filter(F.array("use_block", "result_block"), lambda x: x.isNotNull())).alias("block")).groupBy("block").agg(F.max("id").alias("tool_call_id"))
+        case.append("blocks", load.blocks.join(calls.withColumnRenamed("block", "id"), "id", "left"))
+        case.append("tool_calls", load.calls.withColumnsRenamed({"use_block": "tool_use_block_id", "result_block": "tool_result_block_id"}))
+
+    def _write_chats(self) -> None:
+        """Chat stores follow the transcripts, as their files do."""
+        case, chats = self.case, self.chats
+        chats.run()
+        case.append("provenance", chats.provenance.select("id", F.col("file_id").alias("source_file_id"), "byte_offset", "byte_length", "locator", "content_sha256", F.lit(CHAT_PARSER[0]).alias("parser"), F.lit(CHAT_PARSER[1]).alias("parser_version"), "origin"))
+        self._write_spoken(chats)
+        case.append("observations", self._observations(chats.calls, chats.blocks))
+        case.append("sessions", chats.sessions)
+        case.append("identity_claims", chats.claims())
+        case.append("anomalies", self._told(chats.anomalies()))
+        case.put_blobs(chats.kept())

@@ -65,10 +65,3 @@ def history(documents: DataFrame) -> DataFrame:
     rows = documents.select(text.file_uri_path(text.json_text(F.col("doc"), "resource")).alias("resource"), F.posexplode(entries).alias("position", "e"))
     get = lambda p, t: F.try_variant_get("e", p, t)
     return rows.where(get("$.id", "string").isNotNull()).select("resource", F.col("position").cast("long").alias("position"), get("$.id", "string").alias("id"), times.from_millis(get("$.timestamp", "bigint")).alias("timestamp"), get("$.source", "string").alias("source"))
-
-
-def chat_blobs(blobs: DataFrame) -> DataFrame:
-    """Blobs (id, data) of a chat store that hold JSON messages: role, text and parts."""
-    doc = F.make_valid_utf8(F.col("data").cast("string"))
-    v = F.try_parse_json(doc)
-    return blobs.select("id", F.try_variant_get(v, "$.role", "string").alias("role"), text.flatten_text(F.to_json(F.try_variant_get(v, "$.content", "variant"))).alias("text")).where("role is not null")

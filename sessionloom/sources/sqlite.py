@@ -7,13 +7,17 @@ up to 256 MiB to a private copy). Only ordinary tables are read; views and virtu
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import sqlite3
 import tempfile
 import urllib.parse
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
 WAL_CAP, VALUE_CAP = 256 << 20, 64 << 20
@@ -38,6 +42,37 @@ def after(prefix: str) -> str:
     return prefix[:-1] + chr(ord(prefix[-1]) + 1)
 
 
+@contextlib.contextmanager
+def opened(path: str, wal: bool):
+    """A connection to a database and whether its write-ahead log is applied, to a private copy."""
+    log, copy = path + "-wal", None
+    applied = wal and os.path.exists(log) and 0 < os.path.getsize(log) <= WAL_CAP
+    try:
+        if applied:
+            copy = tempfile.mkdtemp()
+            for p in (path, log):
+                shutil.copy(p, copy)
+            path = os.path.join(copy, os.path.basename(path))
+        with contextlib.closing(connect(path, immutable=not applied)) as con:
+            yield con, applied
+    finally:
+        if copy:
+            shutil.rmtree(copy)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tables_udf(path: pd.Series, names: pd.Series) -> pd.Series:
+    """Which of the ordinary tables that names lists, parted by spaces, the database at a path has; none where it is no database."""
+    out = []
+    for p, wanted in zip(path, names, strict=True):
+        try:
+            with opened(p, wal=True) as (con, _):
+                out.append([t for t in wanted.split(" ") if ordinary(con, t)])
+        except sqlite3.DatabaseError:
+            out.append([])
+    return pd.Series(out, dtype=object)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -63,33 +98,18 @@ class SqliteReader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        path, copy = partition.path, None
-        try:
-            log = path + "-wal"
-            applied = self.wal and os.path.exists(log) and 0 < os.path.getsize(log) <= WAL_CAP
-            if applied:
-                copy = tempfile.mkdtemp()
-                for p in (path, log):
-                    shutil.copy(p, copy)
-                path = os.path.join(copy, os.path.basename(path))
-            con = connect(path, immutable=not applied)
-            try:
-                if not ordinary(con, self.table):
-                    return
-                where, values = [], []
-                if self.prefix:
-                    where, values = ["k >= ?", "k < ?"], [self.prefix, after(self.prefix)]
-                if self.equal is not None:
-                    where, values = [*where, "k = ?"], [*values, self.equal]
-                q = lambda s: '"' + s.replace('"', '""') + '"'
-                sql = f"SELECT rowid, k, n, CASE WHEN n <= {self.cap} THEN v END FROM (SELECT rowid, {q(self.key)} AS k, CAST({q(self.value)} AS BLOB) AS v, length(CAST({q(self.value)} AS BLOB)) AS n FROM {q(self.table)})"
-                for rowid, k, n, v in con.execute(sql + (" WHERE " + " AND ".join(where) if where else "") + " ORDER BY rowid", values):
-                    yield partition.path, rowid, k.decode("utf-8", "replace") if isinstance(k, bytes) else None if k is None else str(k), n, v, applied
-            finally:
-                con.close()
-        finally:
-            if copy:
-                shutil.rmtree(copy)
+        with opened(partition.path, self.wal) as (con, applied):
+            if not ordinary(con, self.table):
+                return
+            where, values = [], []
+            if self.prefix:
+                where, values = ["k >= ?", "k < ?"], [self.prefix, after(self.prefix)]
+            if self.equal is not None:
+                where, values = [*where, "k = ?"], [*values, self.equal]
+            q = lambda s: '"' + s.replace('"', '""') + '"'
+            sql = f"SELECT rowid, k, n, CASE WHEN n <= {self.cap} THEN v END FROM (SELECT rowid, {q(self.key)} AS k, CAST({q(self.value)} AS BLOB) AS v, length(CAST({q(self.value)} AS BLOB)) AS n FROM {q(self.table)})"
+            for rowid, k, n, v in con.execute(sql + (" WHERE " + " AND ".join(where) if where else "") + " ORDER BY rowid", values):
+                yield partition.path, rowid, k.decode("utf-8", "replace") if isinstance(k, bytes) else None if k is None else str(k), n, v, applied
 
 
 class SqliteSource(DataSource):
