@@ -125,19 +125,41 @@ def blob(contents: DataFrame, sha256: str, cap: int = 4 << 20) -> DataFrame:
     return contents.where(F.col("sha256") == sha256).select("sha256", F.substring("content", 1, cap).alias("bytes"), (F.length("content") > cap).alias("truncated"))
 
 
-def search(case, query: str, limit: int = 200) -> DataFrame:
-    """The best hits of a phrase in blocks and in tool calls, ranked within each index, with message and title."""
-    b, c = case.table("blocks").where("text is not null"), case.table("tool_calls")
-    wanted = " ".join(full_text.query_tokens(query))
-    if not wanted:
-        return full_text.top(case.spark.createDataFrame([], "kind string, doc long, message_id long, session_id long, title string, ordinal long, score double"), limit)
-    in_blocks = full_text.phrase(full_text.index(b, "id", "text"), wanted).select("doc").distinct()
-    hits = in_blocks.join(full_text.bm25(b, "id", "text", wanted), "doc").join(b.select(F.col("id").alias("doc"), "message_id"), "doc").select(F.lit("block").alias("kind"), "doc", "message_id", "score")
-    fields = [full_text.index(c.where(F.col(f).isNotNull()), "id", f) for f in ("name", "input", "result_text")]
-    in_calls = full_text.phrase(fields[0].union(fields[1]).union(fields[2]), wanted).select("doc").distinct()
-    whole = c.select("id", F.concat_ws(" ", "name", "input", "result_text").alias("text"))
-    use = c.select(F.col("id").alias("doc"), F.col("tool_use_block_id").alias("block")).join(case.table("blocks").select(F.col("id").alias("block"), "message_id"), "block", "left")
-    calls = in_calls.join(full_text.bm25(whole, "id", "text", wanted), "doc").join(use, "doc").select(F.lit("tool_call").alias("kind"), "doc", "message_id", "score")
+# The two indexes of a case: the table, its fields, and the name under which hits are given.
+INDEXES = {"block": ("blocks", ["text"]), "tool_call": ("tool_calls", ["name", "input", "result_text"])}
+
+
+def keep_index(case) -> None:
+    """Writes the token tables and lengths of both indexes beside the case's tables; search(kept=True) reads them until they are written anew."""
+    for kind, (table, fields) in INDEXES.items():
+        rows = case.table(table)
+        full_text.keep(full_text.postings(rows, "id", fields), f"{case.path}/index/{kind}/postings")
+        full_text.lengths(rows, "id", fields).write.mode("overwrite").parquet(f"{case.path}/index/{kind}/lengths")
+
+
+def search(case, query: str, limit: int = 200, kept: bool = False) -> DataFrame:
+    """The best hits of a phrase in blocks and in tool calls, in one list by their ranks in two indexes, with message, title and a snippet.
+
+    A phrase stands within one field. A hit of a call points at the block that uses the tool. Equal ranks are given by kind and id."""
+    spark = case.spark
+    if not full_text.query_tokens(query):
+        return full_text.top(spark.createDataFrame([], "kind string, doc long, block_id long, message_id long, session_id long, tool_call_id long, snippet string, title string, ordinal long, score double"), limit)
+    best = {}
+    for kind, (table, fields) in INDEXES.items():
+        rows, at = case.table(table), f"{getattr(case, 'path', '')}/index/{kind}"
+        found = full_text.kept(spark, f"{at}/postings", query) if kept else full_text.postings(rows, "id", fields)
+        size = spark.read.parquet(f"{at}/lengths") if kept else full_text.lengths(rows, "id", fields)
+        shown = F.coalesce(*(full_text.snippet(F.col(f), query) for f in fields)).alias("snippet")
+        best[kind] = full_text.ranked(found, size, query).join(rows.select(F.col("id").alias("doc"), *(c for c in ("message_id", "tool_use_block_id") if c in rows.columns), *fields), "doc").withColumn("snippet", shown)
+    blocks = best["block"].select(F.lit("block").alias("kind"), "doc", F.col("doc").alias("block_id"), "message_id", F.lit(None).cast("long").alias("tool_call_id"), "snippet", "score")
+    use = case.table("blocks").select(F.col("id").alias("tool_use_block_id"), "message_id")
+    calls = best["tool_call"].join(use, "tool_use_block_id").select(F.lit("tool_call").alias("kind"), "doc", F.col("tool_use_block_id").alias("block_id"), "message_id", F.col("doc").alias("tool_call_id"), "snippet", "score")
     m = case.table("messages").select(F.col("id").alias("message_id"), "session_id", "ordinal")
     t = case.table("sessions").select(F.col("id").alias("session_id"), "title")
-    return full_text.top(hits.unionAll(calls).join(m, "message_id", "left").join(t, "session_id", "left").select("kind", "doc", "message_id", "session_id", "title", "ordinal", "score"), limit)
+    hits = blocks.unionAll(calls).join(m, "message_id").join(t, "session_id")
+    return hits.select("kind", "doc", "block_id", "message_id", "session_id", "tool_call_id", "snippet", "title", "ordinal", "score").orderBy(F.desc("score"), "kind", "doc").limit(max(1, min(limit, 1000)))
+
+
+def grouped_hits(hits: DataFrame) -> DataFrame:
+    """Hits by session: session_id, title, hits, and the best score, the best session first."""
+    return hits.groupBy("session_id", "title").agg(F.count("*").alias("hits"), F.max("score").alias("score")).orderBy(F.desc("score"), "session_id")

@@ -1,16 +1,18 @@
 """Full-text search: tokens, phrases within one field, BM25, snippets.
 
 Tokens are runs of letters and digits, lower-cased. The token table (doc, field, pos, token) can be
-kept as a table bucketed by token; a query then reads only its own tokens.
+kept as a table in folders by hash of the token; a query then reads only the folders of its own tokens.
 """
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+BUCKETS, SPLITS = 64, 16
 
 
 def tokens_of(text):
@@ -21,6 +23,39 @@ def index(docs: DataFrame, key: str, field: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.lit(field).alias("field"), F.posexplode(tokens_of(F.col(field))).alias("pos", "token"))
 
 
+def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The token table of several fields, in one pass over the documents."""
+    texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
+    return docs.select(F.col(key).alias("doc"), F.explode(texts).alias("x")).select("doc", "x.field", F.posexplode(tokens_of(F.col("x.text"))).alias("pos", "token"))
+
+
+def lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """doc, length: the number of tokens of each document, also of those without any."""
+    n = sum((F.coalesce(F.size(tokens_of(F.col(f).cast("string"))), F.lit(0)) for f in fields[1:]), F.coalesce(F.size(tokens_of(F.col(fields[0]).cast("string"))), F.lit(0)))
+    return docs.select(F.col(key).alias("doc"), F.greatest(n, F.lit(0)).cast("long").alias("length"))
+
+
+def keep(index_: DataFrame, path: str) -> None:
+    """Writes a token table in folders by hash of the token. The rows of a frequent token are dealt to several files by document."""
+    bucket = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BUCKETS)).cast("int")
+    index_.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def kept(spark, path: str, query: str) -> DataFrame:
+    """The part of a kept token table that can hold the query's tokens; other folders are not read."""
+    wanted = {zlib.crc32(t.encode()) % BUCKETS for t in query_tokens(query)}
+    return spark.read.parquet(path).where(F.col("bucket").isin(*wanted)).drop("bucket")
+
+
+def ranked(index_: DataFrame, lengths_: DataFrame, query: str) -> DataFrame:
+    """doc, n, score of the documents that hold the query as a phrase: BM25 of the phrase as one term, over all its fields. Statistics over all documents; a phrase in half of them or more counts for next to nothing, but not below it."""
+    found = phrase(index_, query).groupBy("doc").agg(F.sum("n").alias("n"))
+    stats = lengths_.agg(F.count("*").alias("all"), F.avg("length").alias("mean")).crossJoin(F.broadcast(found.agg(F.count("*").alias("having"))))  # one row each
+    idf = F.greatest(F.log((F.col("all") - F.col("having") + 0.5) / (F.col("having") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return found.join(lengths_, "doc").crossJoin(F.broadcast(stats)).select("doc", "n", score.alias("score"))
+
+
 def query_tokens(query: str) -> list[str]:
     return [t for t in re.findall(r"[^\W_]+", query.lower())]
 
@@ -56,10 +91,15 @@ def top(scored: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def snippet(text, query: str, width: int = 12):
-    """Some tokens around the first token of the query, which stands in brackets."""
-    first = (query_tokens(query) or [""])[0]
-    t = F.regexp_extract_all(text, F.lit(TOKEN), 0)
-    at = F.array_position(F.transform(t, F.lower), first)
-    begin = F.greatest(F.lit(1), at.cast("int") - width // 2)
-    shown = F.transform(F.slice(t, begin, width), lambda x: F.when(F.lower(x) == first, F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
-    return F.when(at > 0, F.concat(F.when(begin > 1, "…").otherwise(""), F.array_join(shown, " "), F.when(F.size(t) >= begin + width, "…").otherwise("")))
+    """Some tokens around the first place of the query as a phrase, which stands in brackets, with the marks between them as they are; null where it does not occur."""
+    wanted = query_tokens(query)
+    if not wanted:
+        return F.lit(None).cast("string")
+    token, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    lead = max(0, (width - len(wanted)) // 2)
+    rest = max(0, width - len(wanted) - lead)
+    pattern = rf"(?s)^((?:.*?[^\p{{L}}\p{{N}}])??)((?:{token}{gap}){{0,{lead}}}?)((?iu:{gap.join(wanted)}))((?:{gap}{token}){{0,{rest}}})((?:[^\p{{L}}\p{{N}}].*)?)$"
+    mark = "\x01"  # parts what the one pass of the pattern finds; taken out of the text before
+    parts = F.split(F.regexp_replace(F.translate(text, mark, " "), pattern, rf"$1{mark}$2[$3]$4{mark}$5"), mark)
+    bare = lambda c: ~c.rlike(r"[\p{L}\p{N}]")
+    return F.when(F.size(parts) == 3, F.concat(F.when(bare(parts[0]), parts[0]).otherwise("…"), parts[1], F.when(bare(parts[2]), parts[2]).otherwise("…")))

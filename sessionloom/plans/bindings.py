@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diff, secrets, text, times, wire
-from ..operators import activity, census, integrity, linking, messages, search, sessions, timeline, tools, trees
+from ..operators import activity, api, census, integrity, linking, messages, search, sessions, timeline, tools, trees
 from . import views
 
 QUERIES: dict[str, Callable] = {}
@@ -556,10 +556,37 @@ def search_union(spark, d):
     return f.unionAll(search.phrase(search.index(views.messages(spark, d), "id", "text"), "the").select(F.lit("message").alias("hit"), "doc", "n"))
 
 
-@query(f"""WITH t AS (SELECT id, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM messages), a AS (SELECT id, w, list_position(list_transform(w, lambda x: lower(x)), 'the') AS hit FROM t), b AS (SELECT *, greatest(1, hit - 6) AS b FROM a WHERE hit > 0)
- SELECT id, CASE WHEN b > 1 THEN '…' ELSE '' END || array_to_string(list_transform(w[b:b + 11], lambda x: CASE WHEN lower(x) = 'the' THEN '[' || x || ']' ELSE x END), ' ') || CASE WHEN len(w) >= b + 12 THEN '…' ELSE '' END AS snippet FROM b""")
+def _snippet_sql(rows: str, words: list[str]) -> str:
+    """id, field, snippet of the rows (id, field, text) that hold the words as a phrase, from lists of tokens and of what parts them."""
+    k = len(words)
+    lead = (12 - k) // 2
+    at = " AND ".join(f"lower(w[i + {i}]) = '{t}'" for i, t in enumerate(words))
+    return f"""SELECT id, field, CASE WHEN b > 1 THEN '…' ELSE g[1] END || array_to_string(list_transform(range(b, e + 1), lambda i: CASE WHEN i = h THEN '[' ELSE '' END || w[i] || CASE WHEN i = h + {k - 1} THEN ']' ELSE '' END || CASE WHEN i < e THEN g[i + 1] ELSE '' END), '') || CASE WHEN e < len(w) THEN '…' ELSE g[len(w) + 1] END AS snippet
+ FROM (SELECT *, greatest(1, h - {lead}) AS b, least(len(w), h + {k - 1} + {12 - k - lead}) AS e FROM (SELECT id, field, w, g, list_filter(range(1, len(w) + 1), lambda i: {at})[1] AS h FROM (SELECT id, field, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM ({rows}))) WHERE h IS NOT NULL)"""
+
+
+@query("SELECT id, snippet FROM (" + _snippet_sql("SELECT id, 'text' AS field, text FROM messages", ["the", "of"]) + ")")
 def search_snippet(spark, d):
-    return views.messages(spark, d).select("id", search.snippet(F.col("text"), "The").alias("snippet")).where("snippet is not null")
+    return views.messages(spark, d).select("id", search.snippet(F.col("text"), "The, of").alias("snippet")).where("snippet is not null")
+
+
+_FIELDS = "SELECT 'block' AS kind, id, 'text' AS field, 0 AS place, text FROM k_blocks UNION ALL SELECT 'tool_call', id, 'name', 1, name FROM k_calls UNION ALL SELECT 'tool_call', id, 'input', 2, input FROM k_calls UNION ALL SELECT 'tool_call', id, 'result_text', 3, result_text FROM k_calls"
+_HITS = f"""WITH texts AS ({_FIELDS}), w AS (SELECT kind, id, coalesce(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), []) AS w FROM texts),
+ d AS (SELECT kind, id, sum(len(w)) AS l, sum(len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'of'))) AS n FROM w GROUP BY 1, 2), s AS (SELECT kind, count(*) AS a, avg(l) AS m, count(*) FILTER (WHERE n > 0) AS h FROM d GROUP BY 1),
+ r AS (SELECT d.kind, d.id AS doc, greatest(ln((a - h + 0.5) / (h + 0.5)), 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / m)) AS score FROM d JOIN s ON s.kind = d.kind WHERE n > 0),
+ p AS (SELECT f.kind, f.id AS doc, arg_min(x.snippet, f.place) AS snippet FROM texts f JOIN ({_snippet_sql("SELECT kind || id AS id, field, text FROM texts WHERE text IS NOT NULL", ["the", "of"])}) x ON x.id = f.kind || f.id AND x.field = f.field GROUP BY 1, 2),
+ hits AS (SELECT r.kind, r.doc, b.id AS block_id, b.message_id, m.session_id, t.id AS tool_call_id, p.snippet, s.title, m.ordinal, round(score, 6) AS score FROM r JOIN p ON p.kind = r.kind AND p.doc = r.doc LEFT JOIN k_calls t ON r.kind = 'tool_call' AND t.id = r.doc JOIN k_blocks b ON b.id = CASE WHEN r.kind = 'block' THEN r.doc ELSE t.tool_use_block_id END
+ JOIN k_messages m ON m.id = b.message_id JOIN k_sessions s ON s.id = m.session_id ORDER BY r.score DESC, r.kind, r.doc LIMIT 200)"""
+
+
+@query(_HITS + " SELECT * FROM hits")
+def case_search(spark, d):
+    return api.search(views.Canonical(spark, d), "the Of").withColumn("score", F.round("score", 6))
+
+
+@query(_HITS + " SELECT session_id, title, count(*) AS hits, max(score) AS score FROM hits GROUP BY 1, 2")
+def case_search_sessions(spark, d):
+    return api.grouped_hits(api.search(views.Canonical(spark, d), "the Of")).withColumn("score", F.round("score", 6))
 
 
 # --- what SQL does not express -------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import secrets, spans, text, times
 from ..operators import linking, sessions as s, tools
-from ..sources import jsonl, manifest, transcripts
+from ..sources import identify, jsonl, manifest, transcripts
 
 # Stores of a root in the order in which they are read.
 STORES = {
@@ -78,7 +78,8 @@ def take_up(case, path: str, label: str, harness: str, expected: dict[str, str],
     found = case.stage(manifest.stores(manifest.manifest(case.spark, path), expected))
     if not root:
         at = datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        row = [(root_id, label, path, harness, json.dumps(list(expected.values())), True, at)]
+        signs = identify.identify(path).get(harness) or ["named by the caller; no signs matched"]
+        row = [(root_id, label, path, harness, json.dumps(signs), True, at)]
         case.append("evidence_roots", case.spark.createDataFrame(row, "id long, label string, path string, harness string, identification string, retained boolean, added_at string"))
     _stores(case, root_id, path, expected)
     files, drift = _files(case, root_id, found, expected, parser)
@@ -96,8 +97,9 @@ def _stores(case, root_id: int, path: str, expected: dict[str, str]) -> None:
     start = last_id(case, "stores")
     new = [(k, p) for k, p in there if k not in known]
     if new:
-        rows = [(start + i + 1, root_id, k, p, "parsed" if k in READ else "inventoried") for i, (k, p) in enumerate(new)]
-        case.append("stores", case.spark.createDataFrame(rows, "id long, root_id long, kind string, rel_path string, status string"))
+        made = identify.generations(path)
+        rows = [(start + i + 1, root_id, k, p, made.get(k), "parsed" if k in READ else "inventoried") for i, (k, p) in enumerate(new)]
+        case.append("stores", case.spark.createDataFrame(rows, "id long, root_id long, kind string, rel_path string, generation string, status string"))
     gone = [(root_id, k) for k in expected if k not in dict(there)]
     rest = case.table("absent_stores").where(F.col("root_id") != root_id)
     case.replace("absent_stores", rest.unionByName(case.spark.createDataFrame(gone, "root_id long, kind string")))
@@ -140,8 +142,19 @@ class Load:
         self.calls = self._calls()
         self.pastes = self._pastes()
         self._write(drift)
+        self._generation()
         finish(self.case, self.root_id)
 
+    def _generation(self) -> None:
+        """The newest version that the first versioned record near the top of a transcript names, kept with the store of projects."""
+        stores = self.case.table("stores")
+        ours = (F.col("root_id") == self.root_id) & (F.col("kind") == "claude:projects")
+        named = self.records.where((F.col("parser") == "transcript") & (F.col("offset") + F.col("length") <= identify.HEAD)).select("file_id", "index", text.json_text(F.col("text"), "version").alias("version")).where("version is not null")
+        first = named.groupBy("file_id").agg(F.min_by("version", "index").alias("version")).select("version")
+        known = stores.where(ours & F.col("generation").isNotNull()).select(F.col("generation").alias("version"))
+        newest = s.generation(first.unionAll(known).withColumn("root_id", F.lit(self.root_id).cast("long"))).withColumnRenamed("generation", "newest")
+        self.case.replace("stores", stores.join(newest, "root_id", "left").withColumn("generation", F.when(ours, F.col("newest")).otherwise(F.col("generation"))).select(*stores.columns))
+
     def _known(self) -> DataFrame:
         return self.case.table("sessions").where(F.col("root_id") == self.root_id)
 

@@ -17,7 +17,7 @@ class Frames:
         return self.spark.createDataFrame([[r.get(f.name) for f in s.fields] for r in self.rows.get(name, [])], s)
 
 
-def test_questions(spark):
+def test_questions(spark, tmp_path):
     case = Frames(
         spark,
         case_info=[{"case_id": "c"}],
@@ -44,6 +44,12 @@ def test_questions(spark):
     assert [(r.message_id, r.title) for r in api.activity_page(case, "commands").collect()] == [(2, "T")] and api.activity_page(case, "files").first().message_id == 1
     assert api.provenance(case, 7).first().label == "r"
     assert sorted((r.kind, r.message_id) for r in api.search(case, 'BIG "world"').collect()) == [("block", 1), ("tool_call", 2)] and api.search(case, " ").count() == 0
+    case.path = str(tmp_path)
+    api.keep_index(case)
+    columns = ["kind", "block_id", "message_id", "session_id", "tool_call_id", "snippet", "title", "ordinal", "score"]
+    one, two = (api.search(case, "big World", kept=k).select(columns).collect() for k in (False, True))
+    assert one == two and [(r.kind, r.block_id, r.tool_call_id) for r in one if r.kind == "tool_call"] == [("tool_call", 2, 1)] and {r.snippet for r in one} >= {"ls [big world]"}
+    assert [(r.session_id, r.hits) for r in api.grouped_hits(api.search(case, "big world")).collect()] == [(1, 2)] and api.search(case, "nowhere", kept=True).count() == 0
 
 
 def test_editor_store(spark):
