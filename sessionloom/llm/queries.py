@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, licences, lmscore, neardup, neighbours, pii, substrings, toxicity
+from . import bpe, decontaminate, html, licences, lmscore, merkle, neardup, neighbours, pii, quality, runs, substrings, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -65,6 +65,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_licences, op4_lm_scoring, op5_neighbours, op6_html, op7_substrings, op8_neardup, op9_pii, op10_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_licences, op4_lm_scoring, op5_neighbours, op6_html, op7_substrings, op8_neardup, op9_pii, op10_bpe, op11_merkle, op12_runs, op13_quality, pipeline)}
 
 
 def _words(text: str) -> str:
