@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import activity, search as full_text, sessions as s
+from .index import Index
 
 
 def case_info(case) -> DataFrame:
@@ -130,11 +131,9 @@ INDEXES = {"block": ("blocks", ["text"]), "tool_call": ("tool_calls", ["name", "
 
 
 def keep_index(case) -> None:
-    """Writes the token tables and lengths of both indexes beside the case's tables; search(kept=True) reads them until they are written anew."""
+    """Brings both indexes beside the case's tables up to date; only rows that are new or changed are taken apart. search(kept=True) reads them as they are."""
     for kind, (table, fields) in INDEXES.items():
-        rows = case.table(table)
-        full_text.keep(full_text.postings(rows, "id", fields), f"{case.path}/index/{kind}/postings")
-        full_text.lengths(rows, "id", fields).write.mode("overwrite").parquet(f"{case.path}/index/{kind}/lengths")
+        Index(case.spark, f"{case.path}/index/{kind}").add(case.table(table), "id", fields, whole=True)
 
 
 def search(case, query: str, limit: int = 200, kept: bool = False) -> DataFrame:
@@ -146,11 +145,11 @@ def search(case, query: str, limit: int = 200, kept: bool = False) -> DataFrame:
         return full_text.top(spark.createDataFrame([], "kind string, doc long, block_id long, message_id long, session_id long, tool_call_id long, snippet string, title string, ordinal long, score double"), limit)
     best = {}
     for kind, (table, fields) in INDEXES.items():
-        rows, at = case.table(table), f"{getattr(case, 'path', '')}/index/{kind}"
-        found = full_text.kept(spark, f"{at}/postings", query) if kept else full_text.postings(rows, "id", fields)
-        size = spark.read.parquet(f"{at}/lengths") if kept else full_text.lengths(rows, "id", fields)
+        rows, index = case.table(table), Index(spark, f"{getattr(case, 'path', '')}/index/{kind}")
+        found = index.phrase(query) if kept else full_text.phrases(rows, "id", fields, query)
+        size = index.lengths() if kept else full_text.lengths(rows, "id", fields)
         shown = F.coalesce(*(full_text.snippet(F.col(f), query) for f in fields)).alias("snippet")
-        best[kind] = full_text.ranked(found, size, query).join(rows.select(F.col("id").alias("doc"), *(c for c in ("message_id", "tool_use_block_id") if c in rows.columns), *fields), "doc").withColumn("snippet", shown)
+        best[kind] = full_text.ranked(found, size).join(rows.select(F.col("id").alias("doc"), *(c for c in ("message_id", "tool_use_block_id") if c in rows.columns), *fields), "doc").withColumn("snippet", shown)
     blocks = best["block"].select(F.lit("block").alias("kind"), "doc", F.col("doc").alias("block_id"), "message_id", F.lit(None).cast("long").alias("tool_call_id"), "snippet", "score")
     use = case.table("blocks").select(F.col("id").alias("tool_use_block_id"), "message_id")
     calls = best["tool_call"].join(use, "tool_use_block_id").select(F.lit("tool_call").alias("kind"), "doc", F.col("tool_use_block_id").alias("block_id"), "message_id", F.col("doc").alias("tool_call_id"), "snippet", "score")

@@ -11,11 +11,17 @@ def parents(sessions: DataFrame) -> DataFrame:
 
 
 def resolve(claims: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Status of each claim (id, session, scheme, claimed) by the sessions that the claimed value leads to in candidates (claimed, candidate), itself left out: none, one or several."""
-    hits = claims.join(candidates.distinct(), "claimed", "left").where("candidate is null or candidate <> session")
-    counts = hits.groupBy("id").agg(F.countDistinct("candidate").alias("n"), F.min("candidate").alias("match"))
-    out = claims.join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("id", "session", "claimed", F.col("n").alias("hits"), F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("match")).alias("match"))
+    """Status of each claim (id, session, scheme, claimed) by the sessions that the claimed value leads to in candidates (claimed, candidate), itself left out: none, one or several.
+
+    Of each value only the number of candidates, the least and the greatest are kept: where one is left, it is one of these two. So a value that
+    many claim and many bear costs each of them one row. A claim whose value or session is null is kept; null candidates count for nothing."""
+    known = candidates.where("claimed is not null and candidate is not null").select("claimed", "candidate").distinct()
+    ends = known.groupBy("claimed").agg(F.count("*").alias("n"), F.min("candidate").alias("least"), F.max("candidate").alias("most"))
+    own = known.select("claimed", F.col("candidate").alias("session"), F.lit(1).alias("own"))
+    both = claims.join(ends, "claimed", "left").join(own, ["claimed", "session"], "left")
+    n = F.coalesce(F.col("n"), F.lit(0)) - F.coalesce("own", F.lit(0))
+    other = F.when(F.col("least") == F.col("session"), F.col("most")).otherwise(F.col("least"))
+    return both.select("id", "session", "claimed", n.cast("long").alias("hits"), F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("ambiguous").alias("status"), F.when(n == 1, other).alias("match"))
 
 
 def adopt(resolved: DataFrame) -> DataFrame:

@@ -1,26 +1,43 @@
 """Full-text search: tokens, phrases within one field, BM25, snippets.
 
-Tokens are runs of letters and digits, lower-cased. The token table (doc, field, pos, token) can be
-kept as a table in folders by hash of the token; a query then reads only the folders of its own tokens.
+Tokens are runs of letters and digits of the folded text. Folding makes letters small, gives a letter that Unicode takes apart into a base and marks
+as its base, and drops combining marks; letters without such parts (ß, ø) stay. Queries are folded in the same way. Without a kept index (see `index`) a search looks for
+the query's tokens as plain text first and takes only texts that hold them all apart.
 """
 
+import functools
 import re
-import zlib
+import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-BUCKETS, SPLITS = 64, 16
 
 
-def tokens_of(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+@functools.cache
+def folds() -> dict[str, str]:
+    """Small letters of the basic plane with their base, and combining marks with nothing."""
+    marks = [chr(c) for c in [*range(0x300, 0x370), 0x3099, 0x309A]]
+    out = dict.fromkeys(marks, "")
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0xFFFF)]):
+        base, *rest = unicodedata.normalize("NFD", c)
+        if rest and c == c.lower() and all(unicodedata.category(m) == "Mn" for m in rest):
+            out[c] = base
+    return out
+
 
+def folded(text):
+    """A text as it is searched."""
+    whole = sorted(folds(), key=lambda c: folds()[c] == "")  # those without a base last: translate drops what has no partner
+    return F.translate(F.lower(text), "".join(whole), "".join(folds()[c] for c in whole))
 
-def index(docs: DataFrame, key: str, field: str) -> DataFrame:
-    return docs.select(F.col(key).alias("doc"), F.lit(field).alias("field"), F.posexplode(tokens_of(F.col(field))).alias("pos", "token"))
+
+def tokens_of(text):
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), 0)
 
 
 def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -35,21 +52,9 @@ def lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.greatest(n, F.lit(0)).cast("long").alias("length"))
 
 
-def keep(index_: DataFrame, path: str) -> None:
-    """Writes a token table in folders by hash of the token. The rows of a frequent token are dealt to several files by document."""
-    bucket = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BUCKETS)).cast("int")
-    index_.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def kept(spark, path: str, query: str) -> DataFrame:
-    """The part of a kept token table that can hold the query's tokens; other folders are not read."""
-    wanted = {zlib.crc32(t.encode()) % BUCKETS for t in query_tokens(query)}
-    return spark.read.parquet(path).where(F.col("bucket").isin(*wanted)).drop("bucket")
-
-
-def ranked(index_: DataFrame, lengths_: DataFrame, query: str) -> DataFrame:
-    """doc, n, score of the documents that hold the query as a phrase: BM25 of the phrase as one term, over all its fields. Statistics over all documents; a phrase in half of them or more counts for next to nothing, but not below it."""
-    found = phrase(index_, query).groupBy("doc").agg(F.sum("n").alias("n"))
+def ranked(hits: DataFrame, lengths_: DataFrame) -> DataFrame:
+    """doc, n, score of the documents that hold a phrase, from its hits (doc, field, n): BM25 of the phrase as one term, over all its fields. Statistics over all documents; a phrase in half of them or more counts for next to nothing, but not below it."""
+    found = hits.groupBy("doc").agg(F.sum("n").alias("n"))
     stats = lengths_.agg(F.count("*").alias("all"), F.avg("length").alias("mean")).crossJoin(F.broadcast(found.agg(F.count("*").alias("having"))))  # one row each
     idf = F.greatest(F.log((F.col("all") - F.col("having") + 0.5) / (F.col("having") + 0.5)), F.lit(1e-6))
     score = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -57,11 +62,24 @@ def ranked(index_: DataFrame, lengths_: DataFrame, query: str) -> DataFrame:
 
 
 def query_tokens(query: str) -> list[str]:
-    return [t for t in re.findall(r"[^\W_]+", query.lower())]
+    return re.findall(r"[^\W_]+", "".join(folds().get(c, c) for c in query.lower()))
+
+
+def phrases(docs: DataFrame, key: str, fields: list[str], query: str) -> DataFrame:
+    """doc, field, n: how often the query's tokens follow each other in each field of some documents; no token table. Texts that lack one of the tokens are not taken apart; places are counted within the row."""
+    wanted = query_tokens(query)
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], "doc long, field string, n long")
+    texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
+    holds = functools.reduce(lambda x, y: x & y, (F.contains("f", F.lit(t)) for t in sorted(set(wanted))))
+    rows = docs.select(F.col(key).alias("doc"), F.explode(texts).alias("x")).select("doc", "x.field", folded(F.col("x.text")).alias("f")).where(holds)
+    at = lambda x, i: functools.reduce(lambda a, b: a & b, [x == wanted[0], *(F.get("t", i + k) == t for k, t in enumerate(wanted) if k)])
+    counted = rows.select("doc", "field", F.regexp_extract_all("f", F.lit(TOKEN), 0).alias("t")).select("doc", "field", F.size(F.filter("t", at)).cast("long").alias("n"))
+    return counted.where("n > 0")
 
 
 def phrase(index_: DataFrame, query: str) -> DataFrame:
-    """doc, field, n: where the query's tokens follow each other. One pass: a hit of token i at place p votes for a start at p - i."""
+    """doc, field, n: from a token table, where the query's tokens follow each other. One pass: a hit of token i at place p votes for a start at p - i."""
     wanted = query_tokens(query)
     if not wanted:
         return index_.sparkSession.createDataFrame([], "doc long, field string, n long")
@@ -72,10 +90,11 @@ def phrase(index_: DataFrame, query: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """doc, score, rank over all documents that hold a token of the query; statistics over all documents, in one pass over the texts."""
+    """doc, score of all documents that hold a token of the query; statistics over all documents. Texts are taken apart once: what is kept of each is its length and the number of each of the query's tokens."""
     wanted = sorted(set(query_tokens(query)))
     times = lambda w: F.size(F.filter("t", lambda x: x == w))
     counted = docs.select(F.col(key).alias("doc"), tokens_of(F.col(text)).alias("t")).select("doc", F.size("t").alias("length"), *(times(w).alias(f"f{i}") for i, w in enumerate(wanted)))
+    counted = cut(counted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(wanted))))
     scored = counted.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
@@ -85,6 +104,21 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return scored.select("doc", score.alias("score")).where("score > 0")
 
 
+@functools.cache
+def _spellings() -> dict[str, str]:
+    """Of each base the letters that fold to it."""
+    out: dict[str, str] = {}
+    for c, base in folds().items():
+        if base:
+            out[base] = out.get(base, "") + c
+    return out
+
+
+def _any_spelling(token: str) -> str:
+    """A pattern of the ways in which a folded token can be written."""
+    return "".join(f"[{c}{_spellings()[c]}][\u0300-\u036f]*" if c in _spellings() else c for c in token)
+
+
 def top(scored: DataFrame, limit: int = 200) -> DataFrame:
     """The best hits; the limit is a feature and held between 1 and 1000."""
     return scored.orderBy(F.desc("score"), "doc").limit(max(1, min(limit, 1000)))
@@ -98,7 +132,7 @@ def snippet(text, query: str, width: int = 12):
     token, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
     lead = max(0, (width - len(wanted)) // 2)
     rest = max(0, width - len(wanted) - lead)
-    pattern = rf"(?s)^((?:.*?[^\p{{L}}\p{{N}}])??)((?:{token}{gap}){{0,{lead}}}?)((?iu:{gap.join(wanted)}))((?:{gap}{token}){{0,{rest}}})((?:[^\p{{L}}\p{{N}}].*)?)$"
+    pattern = rf"(?s)^((?:.*?[^\p{{L}}\p{{N}}])??)((?:{token}{gap}){{0,{lead}}}?)((?iu:{gap.join(map(_any_spelling, wanted))}))((?:{gap}{token}){{0,{rest}}})((?:[^\p{{L}}\p{{N}}].*)?)$"
     mark = "\x01"  # parts what the one pass of the pattern finds; taken out of the text before
     parts = F.split(F.regexp_replace(F.translate(text, mark, " "), pattern, rf"$1{mark}$2[$3]$4{mark}$5"), mark)
     bare = lambda c: ~c.rlike(r"[\p{L}\p{N}]")

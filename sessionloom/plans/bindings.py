@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import diff, secrets, text, times, wire
 from ..operators import activity, api, census, integrity, linking, messages, search, sessions, timeline, tools, trees
+from ..operators.index import Index
+from ..session import checkpoint_dir
 from . import views
 
 QUERIES: dict[str, Callable] = {}
@@ -508,18 +511,43 @@ def latest_audit(spark, d):
 
 # --- secrets and census --------------------------------------------------------------------------
 
-_GENERIC = r"(?i)(?:password|passwd|secret|token|api[_-]?key)\s*[:=]\s*[\"''?]?[^\s\"'']{8,}".replace("''?]", "'']")
 
+def _secrets_sql(rows: str) -> str:
+    """id, rule, confidence, offset, length, match of the candidates in some rows (id, t): each rule by itself, offsets by what lies before a match, then the overlaps."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    each = " UNION ALL ".join(f"SELECT id, {quoted(r)} AS rule, {quoted(c)} AS confidence, regexp_extract_all(t, {quoted(p)}) AS m, regexp_split_to_array(t, {quoted(p)}) AS g FROM r" for r, c, p in secrets.RULES)
+    return f"""WITH r AS ({rows}), e AS ({each}), u AS (SELECT id, rule, confidence, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS "match", unnest(g[1:len(m)]) AS gap FROM e WHERE len(m) > 0),
+      o AS (SELECT id, rule, confidence, "match", strlen("match") AS length, sum(strlen(gap) + strlen("match")) OVER (PARTITION BY id, rule ORDER BY i) - strlen("match") AS "offset" FROM u),
+      k AS (SELECT * FROM o WHERE NOT (rule = 'openai-key' AND starts_with("match", 'sk-ant-')))
+      SELECT a.id, a.rule, a.confidence, CAST(a."offset" AS BIGINT) AS "offset", CAST(a.length AS BIGINT) AS length, a."match" FROM k a WHERE a.confidence <> 'low'
+      OR NOT EXISTS (SELECT 1 FROM k b WHERE b.id = a.id AND b.confidence <> 'low' AND b."offset" < a."offset" + a.length AND a."offset" < b."offset" + b.length)"""
 
-@query(f"""SELECT id, 'generic-assignment' AS rule, 'low' AS confidence, m AS match, CAST(octet_length(encode(m)) AS BIGINT) AS length FROM (SELECT id, unnest(regexp_extract_all(text, '{_GENERIC}')) AS m FROM files)""")
+
+#: Texts that begin like secrets of each rule, several to a row, some within assignments; the rest of each comes from the row itself.
+_KINDS = ["AKIA", "ghp_", "glpat-", "xoxb-", "sk-ant-", "sk-proj-", "AIza", "-----BEGIN RSA PRIVATE KEY-----", "eyJ", "api_key: \""]
+_PLANTED_SQL = f"""SELECT id, concat('é ', left(text, 40), CASE WHEN id % 3 = 0 THEN ' TOKEN= ' ELSE ' ' END, list_extract([{", ".join(f"'{k}'" for k in _KINDS)}], CAST(id % 10 AS INTEGER) + 1), upper(left(sha256(text), 16)), CASE WHEN id % 4 = 0 THEN '.eyJ' ELSE '' END, sha256(text), '.', left(sha256(text), 20),
+  ' ', list_extract([{", ".join(f"'{k}'" for k in _KINDS)}], CAST(id % 7 AS INTEGER) + 1), upper(left(sha256(text), 16)), CASE WHEN id % 2 = 0 THEN ' ' ELSE left(sha256(text), 19) END, ' ü') AS t FROM messages WHERE text IS NOT NULL"""
+
+
+@query(_secrets_sql("SELECT id, text AS t FROM files"))
 def secret_scan(spark, d):
-    return secrets.scan(views.files(spark, d), "id", "text").select("id", "rule", "confidence", "match", "length")
+    return secrets.scan(views.files(spark, d), F.col("text"), "id").select("id", "m.*")
+
+
+@query(_secrets_sql(_PLANTED_SQL))
+def secret_rules(spark, d):
+    """Secrets of every rule, with what parts and overlaps them."""
+    m, kinds, h = views.messages(spark, d), F.array(*map(F.lit, _KINDS)), F.sha2("text", 256)
+    kind = lambda n: F.element_at(kinds, (F.col("id") % n + 1).cast("int"))
+    start = F.upper(F.left(h, F.lit(16)))
+    t = F.concat(F.lit("é "), F.left("text", F.lit(40)), F.when(F.col("id") % 3 == 0, " TOKEN= ").otherwise(" "), kind(10), start, F.when(F.col("id") % 4 == 0, ".eyJ").otherwise(""), h, F.lit("."), F.left(h, F.lit(20)), F.lit(" "), kind(7), start, F.when(F.col("id") % 2 == 0, " ").otherwise(F.left(h, F.lit(19))), F.lit(" ü"))
+    return secrets.scan(m, t, "id").select("id", "m.*")
 
 
 @query("SELECT id, 'gitlab-token' AS rule, CAST(8 AS BIGINT) AS \"offset\", CAST(26 AS BIGINT) AS length FROM messages")
 def secret_overlap_drop(spark, d):
     t = F.concat(F.lit("token = glpat-"), F.lpad(F.col("id").cast("string"), 20, "0"), F.lit(" é"))
-    return secrets.scan(views.messages(spark, d).select("id", t.alias("t")), "id", "t").select("id", "rule", "offset", "length")
+    return secrets.scan(views.messages(spark, d), t, "id").select("id", "m.rule", "m.offset", "m.length")
 
 
 @query("SELECT event_type AS record_kind, k AS field, count(*) AS n, min(event_id) AS first_position FROM (SELECT event_type, event_id, unnest(json_keys(props)) AS k FROM events) GROUP BY 1, 2")
@@ -535,12 +563,22 @@ def key_prefix_census(spark, d):
 
 # --- search --------------------------------------------------------------------------------------
 
-_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
 @query(f"""WITH t AS (SELECT id AS doc, {_TOKENS} AS w FROM files) SELECT doc, 'text' AS field, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS n FROM t WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0""")
 def search_phrase(spark, d):
-    return search.phrase(search.index(views.files(spark, d), "id", "text"), "Of the")
+    return search.phrases(views.files(spark, d), "id", ["text"], "Of the")
+
+
+@query(f"WITH t AS (SELECT id AS doc, {_TOKENS} AS w FROM files) SELECT doc, 'text' AS field, len(list_filter(w, lambda x: x = 'e')) AS n FROM t WHERE list_contains(w, 'e')")
+def search_kept(spark, d):
+    """A kept index of two segments: half of the texts first, then all, of which the second call takes apart only the rest; letters with accents count as their base."""
+    files = views.files(spark, d)
+    kept = Index(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    kept.add(files.where("id % 2 = 0"), "id", ["text"])
+    kept.add(files, "id", ["text"], whole=True)
+    return kept.phrase("É")
 
 
 @query(f"""WITH t AS (SELECT id AS doc, {_TOKENS} AS w FROM files), c AS (SELECT doc, len(w) AS l, len(list_filter(w, lambda x: x = 'thing')) AS f1, len(list_filter(w, lambda x: x = 'what')) AS f2 FROM t),
@@ -552,15 +590,15 @@ def search_bm25(spark, d):
 
 @query(f"""WITH t AS (SELECT 'file' AS hit, id AS doc, {_TOKENS} AS w FROM files UNION ALL SELECT 'message', id, {_TOKENS} FROM messages) SELECT hit, doc, len(list_filter(w, lambda x: x = 'the')) AS n FROM t WHERE list_contains(w, 'the')""")
 def search_union(spark, d):
-    f = search.phrase(search.index(views.files(spark, d), "id", "text"), "the").select(F.lit("file").alias("hit"), "doc", "n")
-    return f.unionAll(search.phrase(search.index(views.messages(spark, d), "id", "text"), "the").select(F.lit("message").alias("hit"), "doc", "n"))
+    f = search.phrases(views.files(spark, d), "id", ["text"], "the").select(F.lit("file").alias("hit"), "doc", "n")
+    return f.unionAll(search.phrases(views.messages(spark, d), "id", ["text"], "the").select(F.lit("message").alias("hit"), "doc", "n"))
 
 
 def _snippet_sql(rows: str, words: list[str]) -> str:
     """id, field, snippet of the rows (id, field, text) that hold the words as a phrase, from lists of tokens and of what parts them."""
     k = len(words)
     lead = (12 - k) // 2
-    at = " AND ".join(f"lower(w[i + {i}]) = '{t}'" for i, t in enumerate(words))
+    at = " AND ".join(f"strip_accents(lower(w[i + {i}])) = '{t}'" for i, t in enumerate(words))
     return f"""SELECT id, field, CASE WHEN b > 1 THEN '…' ELSE g[1] END || array_to_string(list_transform(range(b, e + 1), lambda i: CASE WHEN i = h THEN '[' ELSE '' END || w[i] || CASE WHEN i = h + {k - 1} THEN ']' ELSE '' END || CASE WHEN i < e THEN g[i + 1] ELSE '' END), '') || CASE WHEN e < len(w) THEN '…' ELSE g[len(w) + 1] END AS snippet
  FROM (SELECT *, greatest(1, h - {lead}) AS b, least(len(w), h + {k - 1} + {12 - k - lead}) AS e FROM (SELECT id, field, w, g, list_filter(range(1, len(w) + 1), lambda i: {at})[1] AS h FROM (SELECT id, field, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS g FROM ({rows}))) WHERE h IS NOT NULL)"""
 
@@ -571,7 +609,7 @@ def search_snippet(spark, d):
 
 
 _FIELDS = "SELECT 'block' AS kind, id, 'text' AS field, 0 AS place, text FROM k_blocks UNION ALL SELECT 'tool_call', id, 'name', 1, name FROM k_calls UNION ALL SELECT 'tool_call', id, 'input', 2, input FROM k_calls UNION ALL SELECT 'tool_call', id, 'result_text', 3, result_text FROM k_calls"
-_HITS = f"""WITH texts AS ({_FIELDS}), w AS (SELECT kind, id, coalesce(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), []) AS w FROM texts),
+_HITS = f"""WITH texts AS ({_FIELDS}), w AS (SELECT kind, id, coalesce(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), []) AS w FROM texts),
  d AS (SELECT kind, id, sum(len(w)) AS l, sum(len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'of'))) AS n FROM w GROUP BY 1, 2), s AS (SELECT kind, count(*) AS a, avg(l) AS m, count(*) FILTER (WHERE n > 0) AS h FROM d GROUP BY 1),
  r AS (SELECT d.kind, d.id AS doc, greatest(ln((a - h + 0.5) / (h + 0.5)), 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / m)) AS score FROM d JOIN s ON s.kind = d.kind WHERE n > 0),
  p AS (SELECT f.kind, f.id AS doc, arg_min(x.snippet, f.place) AS snippet FROM texts f JOIN ({_snippet_sql("SELECT kind || id AS id, field, text FROM texts WHERE text IS NOT NULL", ["the", "of"])}) x ON x.id = f.kind || f.id AND x.field = f.field GROUP BY 1, 2),

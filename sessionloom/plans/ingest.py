@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import secrets, spans, text, times
 from ..operators import linking, sessions as s, tools
+from ..session import ordered_numbers
 from ..sources import identify, jsonl, manifest, transcripts
 
 # Stores of a root in the order in which they are read.
@@ -33,7 +34,7 @@ STORES = {
 # Stores that a parser reads; the others are only listed.
 READ = {"claude:projects", "cursor:agent-transcripts", "cursor:chat-store", "claude:history", "claude:uploads", "cursor:state-vscdb", "cursor:workspace-storage", "cursor:local-history"}
 # Severities of anomalies; all others are warnings.
-SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "invalid_utf8": "info", "orphaned_file": "info", "superseded_file": "info", "symlink_in_evidence": "info"}
+SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "invalid_utf8": "info", "orphaned_file": "info", "superseded_file": "info", "symlink_in_evidence": "info", "non_utf8_path": "info"}
 # Parsers by name and version.
 PARSERS = {"transcript": ("claude_code.transcript", "1"), "meta": ("claude_code.subagent_meta", "1"), "history": ("claude_code.history", "1"), "upload": ("claude_code.uploads", "1")}
 #: Longer sidecar files are not read.
@@ -49,6 +50,13 @@ def numbered(rows: DataFrame, within: list, start: int) -> DataFrame:
     return rows.join(base, "file_id").withColumn("id", F.lit(start) + F.col("base") + F.row_number().over(w)).drop("base")
 
 
+def numbered_by(rows: DataFrame, nth: str, start: int) -> DataFrame:
+    """rows with id, from start + 1, in order of file_id and then of their number in the file (nth, 0 upwards without gaps); no window over the rows of a file."""
+    before = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("file_id").agg(F.count("*").alias("n")).select("file_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(base, "file_id").withColumn("id", F.lit(start + 1) + F.col("base") + F.col(nth)).drop("base", nth)
+
+
 def last_id(case, table: str) -> int:
     return case.table(table).agg(F.max("id")).first()[0] or 0
 
@@ -75,13 +83,15 @@ def take_up(case, path: str, label: str, harness: str, expected: dict[str, str],
     path = os.path.abspath(path)
     root = case.table("evidence_roots").where(F.col("path") == path).select("id").first()
     root_id = root[0] if root else last_id(case, "evidence_roots") + 1
-    found = case.stage(manifest.stores(manifest.manifest(case.spark, path), expected))
+    listed = case.stage(manifest.listing(case.spark, path))
+    found = case.stage(manifest.stores(manifest.hashed(listed, path, links=False), expected))
     if not root:
         at = datetime.datetime.now(datetime.UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
-        signs = identify.identify(path).get(harness) or ["named by the caller; no signs matched"]
+        signs = identify.identify(case.spark, path, listed).get(harness) or ["named by the caller; no signs matched"]
         row = [(root_id, label, path, harness, json.dumps(signs), True, at)]
         case.append("evidence_roots", case.spark.createDataFrame(row, "id long, label string, path string, harness string, identification string, retained boolean, added_at string"))
-    _stores(case, root_id, path, expected)
+    _stores(case, root_id, path, expected, listed)
+    _unreadable(case, root_id, found)
     files, drift = _files(case, root_id, found, expected, parser)
     if files.isEmpty():
         return root_id
@@ -90,14 +100,15 @@ def take_up(case, path: str, label: str, harness: str, expected: dict[str, str],
     return root_id
 
 
-def _stores(case, root_id: int, path: str, expected: dict[str, str]) -> None:
+def _stores(case, root_id: int, path: str, expected: dict[str, str], listed: DataFrame) -> None:
     """Stores of the root that are there, and those that are absent."""
     known = {r.kind for r in case.table("stores").where(F.col("root_id") == root_id).select("kind").collect()}
-    there = [(k, p) for k, p in expected.items() if os.path.lexists(os.path.join(path, p))]
+    names = {r.rel_path for r in listed.where(F.col("rel_path").isin(*expected.values())).select("rel_path").distinct().collect()}  # of expected stores at most
+    there = [(k, p) for k, p in expected.items() if p in names]
     start = last_id(case, "stores")
     new = [(k, p) for k, p in there if k not in known]
     if new:
-        made = identify.generations(path)
+        made = identify.generations(case.spark, path, listed)
         rows = [(start + i + 1, root_id, k, p, made.get(k), "parsed" if k in READ else "inventoried") for i, (k, p) in enumerate(new)]
         case.append("stores", case.spark.createDataFrame(rows, "id long, root_id long, kind string, rel_path string, generation string, status string"))
     gone = [(root_id, k) for k in expected if k not in dict(there)]
@@ -105,11 +116,20 @@ def _stores(case, root_id: int, path: str, expected: dict[str, str]) -> None:
     case.replace("absent_stores", rest.unionByName(case.spark.createDataFrame(gone, "root_id long, kind string")))
 
 
+def _unreadable(case, root_id: int, found: DataFrame) -> None:
+    """An anomaly for each name of the root that could not be read, once for each error."""
+    rel, error = F.col("rel_path"), F.col("error")
+    rows = found.where("kind = 'unreadable'").select(F.concat(rel, F.lit(" could not be read during attach: "), error).alias("message"), F.to_json(F.struct(rel, error)).alias("details")).distinct()
+    told = case.table("anomalies").where((F.col("root_id") == root_id) & (F.col("kind") == "unreadable_file")).select("message")
+    new = ordered_numbers(rows.join(told, "message", "left_anti"), "message")
+    case.append("anomalies", new.select((F.col("number") + last_id(case, "anomalies") + 1).alias("id"), F.lit(root_id).alias("root_id"), F.lit("unreadable_file").alias("kind"), F.lit("error").alias("severity"), "message", "details"))
+
+
 def _files(case, root_id: int, found: DataFrame, expected: dict[str, str], parser) -> tuple[DataFrame, DataFrame]:
     """Adds new and changed files to the manifest; gives them with their parser, and those that changed."""
     old = case.table("source_files").where(F.col("root_id") == root_id)
-    newest = old.groupBy("rel_path").agg(F.max("version").alias("was"), F.max_by(F.struct("sha256", "parse_status", "id"), "version").alias("x"))
-    both = found.where("store is not null").join(newest, "rel_path", "left")
+    newest = old.groupBy("rel_path", "encoded").agg(F.max("version").alias("was"), F.max_by(F.struct("sha256", "parse_status", "id"), "version").alias("x"))
+    both = found.where("store is not null and kind <> 'unreadable'").join(newest, ["rel_path", "encoded"], "left")
     failed = F.col("x.parse_status").isin("unparsed", "failed")
     changed = F.col("was").isNotNull() & ~F.col("x.sha256").eqNullSafe(F.col("sha256"))
     stores = case.table("stores").where(F.col("root_id") == root_id).select(F.col("kind").alias("store"), F.col("id").alias("store_id"))
@@ -117,7 +137,7 @@ def _files(case, root_id: int, found: DataFrame, expected: dict[str, str], parse
     new = both.where(F.col("was").isNull() | changed | failed).join(stores, "store").withColumn("version", F.coalesce("was", F.lit(0)) + 1).withColumn("drift", changed).withColumn("file_id", order)
     new = numbered(new, ["rel_path"], last_id(case, "source_files"))
     by = parser(F.col("rel_path"), F.col("kind"))
-    files = case.stage(new.withColumn("parser", F.when((F.col("size") <= MOST_BYTES) | by.isin(*UNBOUNDED), by)).withColumn("root_id", F.lit(root_id).cast("long")).withColumn("encoded", F.lit(False)).drop("file_id").withColumn("file_id", F.col("id")))
+    files = case.stage(new.withColumn("parser", F.when(~F.col("encoded") & ((F.col("size") <= MOST_BYTES) | by.isin(*UNBOUNDED)), by)).withColumn("root_id", F.lit(root_id).cast("long")).drop("file_id", "error").withColumn("file_id", F.col("id")))
     return files, files.where("drift")
 
 
@@ -160,17 +180,16 @@ class Load:
 
     def _records(self) -> DataFrame:
         """Every record that is parsed, with its number (pid), which is also that of its provenance."""
-        prefix = len(self.path) + 1
         wanted = self.parsed.select(F.col("rel_path").alias("path"), "file_id", "parser", F.col("sha256").alias("file_sha"), F.col("size").alias("length"))
-        content = jsonl.binary_files(self.case.spark, self.path).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), prefix + 1, 1 << 30).alias("path"), "content")
-        content = content.join(wanted.select("path", "parser"), "path")
-        lines = jsonl.parsed(jsonl.records(content.where("parser in ('transcript', 'history')")))
-        body = content.where("parser = 'meta'")
-        whole = jsonl.parsed(body.select("path", F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("offset"), F.length("content").cast("long").alias("length"), "content", F.lit(True).alias("terminated"), F.lit(False).alias("oversized"), F.sha2("content", 256).alias("sha256")))
-        uploads = wanted.where("parser = 'upload'").select("path", F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("offset"), "length", F.lit(True).alias("terminated"), F.lit(False).alias("oversized"), F.col("file_sha").alias("sha256"))
-        every = lines.unionByName(whole).drop("content").unionByName(uploads, allowMissingColumns=True)
+        listed = wanted.where("parser in ('transcript', 'history')").select("path")
+        split = jsonl.parsed(jsonl.records(jsonl.lines(self.case.spark, self.path).join(listed, "path", "left_semi")))
+        body = contents(self.case, self.path, "*.meta.json").withColumnRenamed("rel_path", "path").join(wanted.where("parser = 'meta'").select("path"), "path", "left_semi")
+        one = lambda length: [F.lit(0).cast("long").alias("index"), F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("offset"), length, F.lit(True).alias("terminated"), F.lit(False).alias("oversized")]
+        whole = jsonl.parsed(body.select("path", *one(F.col("length")), "content", F.sha2("content", 256).alias("sha256")))
+        uploads = wanted.where("parser = 'upload'").select("path", *one(F.col("length")), F.col("file_sha").alias("sha256"))
+        every = split.unionByName(whole).drop("content").unionByName(uploads, allowMissingColumns=True)
         rows = every.join(wanted.select("path", "file_id", "parser"), "path")
-        return self.case.stage(numbered(rows, ["index"], last_id(self.case, "provenance")).withColumnRenamed("id", "pid"))
+        return self.case.stage(numbered_by(rows, "nth", last_id(self.case, "provenance")).withColumnRenamed("id", "pid"))
 
     def _history(self) -> DataFrame:
         """Lines of the prompt history with their session's name, time and pastes."""
@@ -238,8 +257,7 @@ class Load:
         p = p.select("pid", "file_id", "index", "hsid", "timestamp", "n", F.coalesce(F.get_json_object("p.value", "$.id"), F.col("p.key")).alias("paste_id"), get("content").alias("inline"), get("contentHash").alias("hash"))
         unsafe = F.coalesce(text.unsafe_component(F.col("hash")), F.lit(False))
         p = p.withColumn("unsafe", unsafe & F.col("inline").isNull()).withColumn("rel", F.when(F.col("inline").isNull() & ~unsafe, F.concat(F.lit("paste-cache/"), "hash", F.lit(".txt"))))
-        prefix = len(self.path) + 1
-        cached = jsonl.binary_files(self.case.spark, self.path, "*.txt").where(F.col("length") <= MOST_BYTES).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), prefix + 1, 1 << 30).alias("rel"), "content")
+        cached = contents(self.case, self.path, "*.txt").where(F.col("length") <= MOST_BYTES).select(F.col("rel_path").alias("rel"), "content")
         listed = self.case.table("source_files").where(F.col("root_id") == self.root_id).select("rel_path").union(self.files.select("rel_path")).distinct()
         cached = cached.where(F.col("rel").startswith("paste-cache/")).join(listed.withColumnRenamed("rel_path", "rel"), "rel", "left_semi")
         return self.case.stage(p.join(cached, "rel", "left").join(self.lookup.withColumnRenamed("harness_session_id", "hsid"), "hsid", "left"))
@@ -274,18 +292,17 @@ class Load:
         uploads = u.select("session_id", "file_id", F.lit("upload_detected").alias("kind"), F.col("pid").alias("derived_from_provenance_id"), F.col("name").alias("path"), F.col("mtime").alias("timestamp"), F.when(F.col("mtime").isNull(), "absent").otherwise("file_mtime").alias("timestamp_origin"), F.lit("high").alias("confidence"), _json(content_blob=F.col("sha256"), size=F.col("length"), mime=text.mime(F.col("head"), F.col("name")), sessionId=F.col("harness_session_id")).alias("details"), place(3, F.lit(0)))
         hit = lambda field, **extra: _json(rule=F.col("m.rule"), rule_version=F.lit("1"), field=field, offset=F.col("m.offset"), length=F.col("m.length"), match=F.col("m.match"), **extra)
         common = ["session_id", "file_id", F.lit("secret_candidate").alias("kind"), "timestamp", F.col("m.confidence").alias("confidence")]
-        in_blocks = self.blocks.where("text is not null").withColumn("m", F.explode(secrets.all_matches(F.col("text")))).select(*common, F.col("id").alias("derived_from_block_id"), "timestamp_origin", hit(F.col("kind")).alias("details"), place(4, F.col("id"), F.col("m.offset")))
-        in_calls = self.calls.where("input is not null").withColumn("m", F.explode(secrets.all_matches(F.col("input")))).select(*common, F.col("id").alias("derived_from_tool_call_id"), "timestamp_origin", hit(F.lit("tool_input")).alias("details"), place(5, F.col("id"), F.col("m.offset")))
+        in_blocks = secrets.scan(self.blocks, F.col("text"), "session_id", "file_id", "timestamp", "id", "timestamp_origin", "kind").select(*common, F.col("id").alias("derived_from_block_id"), "timestamp_origin", hit(F.col("kind")).alias("details"), place(4, F.col("id"), F.col("m.offset")))
+        in_calls = secrets.scan(self.calls, F.col("input"), "session_id", "file_id", "timestamp", "id", "timestamp_origin").select(*common, F.col("id").alias("derived_from_tool_call_id"), "timestamp_origin", hit(F.lit("tool_input")).alias("details"), place(5, F.col("id"), F.col("m.offset")))
         body = F.coalesce("inline", F.make_valid_utf8(F.col("content").cast("string")))
-        in_pastes = self.pastes.withColumn("m", F.explode(secrets.all_matches(body))).select(*common, F.col("pid").alias("derived_from_provenance_id"), stamped, hit(F.lit("paste"), paste_id=F.col("paste_id")).alias("details"), place(6, F.col("index"), F.col("m.offset")))
+        in_pastes = secrets.scan(self.pastes, body, "session_id", "file_id", "timestamp", "pid", "index", "paste_id").select(*common, F.col("pid").alias("derived_from_provenance_id"), stamped, hit(F.lit("paste"), paste_id=F.col("paste_id")).alias("details"), place(6, F.col("index"), F.col("m.offset")))
         out = calls
         for more in (deltas, pasted, uploads, in_blocks, in_calls, in_pastes):
             out = out.unionByName(more, allowMissingColumns=True)
         return numbered(out.where("session_id is not null"), ["place", "kind", "details"], last_id(self.case, "observations"))
 
     def _heads(self) -> DataFrame:
-        prefix = len(self.path) + 1
-        f = jsonl.binary_files(self.case.spark, self.path).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), prefix + 1, 1 << 30).alias("path"), F.substring("content", 1, 16).alias("head"))
+        f = contents(self.case, self.path).select(F.col("rel_path").alias("path"), F.substring("content", 1, 16).alias("head"))
         return f.where(F.col("path").startswith("uploads/"))
 
     def _claims(self) -> DataFrame:
@@ -313,9 +330,10 @@ class Load:
         paths = self.pastes.where("unsafe").select("file_id", "session_id", "pid", F.col("index").alias("place"), F.lit("suspicious_path").alias("kind"), _json(contentHash=F.col("hash")).alias("details"))
         names = self._deltas().where(text.unsafe_component(F.col("backup"))).select("file_id", "session_id", "pid", F.col("index").alias("place"), F.lit("suspicious_path").alias("kind"), _json(backupFileName=F.col("backup")).alias("details"))
         links = self.files.where("kind = 'symlink'").select("file_id", F.lit("symlink_in_evidence").alias("kind"), F.lit("{}").alias("details"))
+        odd = self.files.where("encoded").select("file_id", F.lit("non_utf8_path").alias("kind"), _json(rel_path=F.col("rel_path")).alias("details"))
         moved = drift.select("file_id", F.lit("hash_drift").alias("kind"), _json(version=F.col("version")).alias("details"))
         out = t
-        for more in (flagged, other, nameless, gone, bare, paths, names, links, moved):
+        for more in (flagged, other, nameless, gone, bare, paths, names, links, odd, moved):
             out = out.unionByName(more, allowMissingColumns=True)
         severity = F.lit("warning")
         for k, v in SEVERITIES.items():
@@ -344,7 +362,7 @@ class Load:
         late = self.meta.join(self._known().select(F.col("id").alias("session_id")), "session_id", "left_semi").where("title is not null").groupBy("session_id").agg(F.max_by("title", "pid").alias("late"))
         case.replace("sessions", case.table("sessions").join(late.withColumnRenamed("session_id", "id"), "id", "left").withColumn("title", F.coalesce("late", "title")))
         texts = edits.select(F.explode(F.array("before", "after")).alias("t")).where("t is not null").select(F.encode("t", "UTF-8").alias("content"))
-        stored = jsonl.binary_files(case.spark, self.path).where(F.col("length") <= MOST_BYTES).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), len(self.path) + 2, 1 << 30).alias("path"), "content")
+        stored = contents(case, self.path).where(F.col("length") <= MOST_BYTES).select(F.col("rel_path").alias("path"), "content")
         kept = self.files.where("parser = 'upload' or startswith(rel_path, 'file-history/')").select(F.col("rel_path").alias("path"))
         case.put_blobs(texts.union(stored.join(kept, "path", "left_semi").select("content")).union(self.pastes.where("content is not null").select("content")))
 
@@ -361,7 +379,7 @@ def write_files(case, files: DataFrame, counts: DataFrame) -> None:
 
 def contents(case, root: str, glob: str | None = None) -> DataFrame:
     """rel_path, length, content of the files below a root."""
-    return jsonl.binary_files(case.spark, root, glob).select(F.substring(F.regexp_replace("path", "^file:/*", "/"), len(root) + 2, 1 << 30).alias("rel_path"), "length", "content")
+    return jsonl.binary_files(case.spark, root, glob).select(jsonl.relative(F.col("path"), root).alias("rel_path"), "length", "content")
 
 
 def _json(**members: Column) -> Column:

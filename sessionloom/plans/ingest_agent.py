@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import secrets, spans, text
 from ..operators import tools
 from ..sources import editor, jsonl, transcripts
-from .ingest import SEVERITIES, _json, contents, finish, last_id, numbered, take_up, write_files
+from .ingest import SEVERITIES, _json, contents, finish, last_id, numbered, numbered_by, take_up, write_files
 from .ingest_chats import PARSER as CHAT_PARSER
 from .ingest_chats import ChatLoad
 from .ingest_editor import join_claims
@@ -39,8 +39,8 @@ class AgentLoad:
 
     def run(self, drift: DataFrame) -> None:
         f = self.files.where("parser = 'transcript'").select(F.col("rel_path").alias("path"), "file_id")
-        lines = jsonl.parsed(jsonl.records(contents(self.case, self.path, "*.jsonl").withColumnRenamed("rel_path", "path").join(f, "path", "left_semi"))).drop("content")
-        self.records = self.case.stage(numbered(lines.join(f, "path"), ["index"], last_id(self.case, "provenance")).withColumnRenamed("id", "pid"))
+        lines = jsonl.parsed(jsonl.records(jsonl.lines(self.case.spark, self.path, "*.jsonl").join(f, "path", "left_semi"))).drop("content")
+        self.records = self.case.stage(numbered_by(lines.join(f, "path"), "nth", last_id(self.case, "provenance")).withColumnRenamed("id", "pid"))
         sound = self.records.where("anomaly is null or anomaly = 'invalid_utf8'").where(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"))
         timeless = F.lit(None).cast("string")
         self.lines = self.case.stage(transcripts.fields(sound, "pid", "file_id").withColumn("session", F.col("path")).withColumn("given", text.json_text(F.col("text"), "role")).withColumn("timestamp", timeless).withColumn("outcome", timeless))
@@ -113,8 +113,8 @@ class AgentLoad:
         calls = done.join(every_call.select("id", "file_id", "session_id", "name"), "id").select("file_id", "session_id", "kind", F.col("id").alias("derived_from_tool_call_id"), "path", "command", "confidence", _json(tool=F.col("name")).alias("details"), F.lit(0).alias("rank"), F.col("id").alias("at"))
         hit = lambda field: _json(rule=F.col("m.rule"), rule_version=F.lit("1"), field=field, offset=F.col("m.offset"), length=F.col("m.length"), match=F.col("m.match")).alias("details")
         secret = F.lit("secret_candidate").alias("kind")
-        b = blocks.where("text is not null").withColumn("m", F.explode(secrets.all_matches(F.col("text")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_block_id"), F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(1).alias("rank"), F.col("id").alias("at"))
-        c = every_call.where("input is not null").withColumn("m", F.explode(secrets.all_matches(F.col("input")))).select("file_id", "session_id", secret, F.col("id").alias("derived_from_tool_call_id"), F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(2).alias("rank"), F.col("id").alias("at"))
+        b = secrets.scan(blocks, F.col("text"), "file_id", "session_id", "id", "kind").select("file_id", "session_id", secret, F.col("id").alias("derived_from_block_id"), F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(1).alias("rank"), F.col("id").alias("at"))
+        c = secrets.scan(every_call, F.col("input"), "file_id", "session_id", "id").select("file_id", "session_id", secret, F.col("id").alias("derived_from_tool_call_id"), F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(2).alias("rank"), F.col("id").alias("at"))
         return numbered(calls.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True).withColumn("timestamp_origin", F.lit("absent")), ["rank", "at", "details"], last_id(self.case, "observations"))
 
     def _anomalies(self, drift: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ class AgentLoad:
         census = self.found.withColumn("reason", reason).where("reason is not null").join(at, ["path", "index"]).groupBy("file_id", "session_id", named.alias("block_type"), "reason").agg(F.count("*").alias("n"), F.min("pid").alias("pid"))
         given = F.when((F.col("reason") == "missing_id") & (F.col("block_type") == "tool_use"), "info").otherwise("warning").alias("given")
         census = census.select("file_id", "session_id", "pid", kind("unknown_record_type"), given, _json(record_kind=F.lit("content_block"), block_type=F.col("block_type"), reason=F.col("reason"), count=F.col("n")).alias("details"))
-        links = self.files.where("kind = 'symlink'").select("file_id", kind("symlink_in_evidence"), F.lit("{}").alias("details"))
+        links = self.files.where("kind = 'symlink'").select("file_id", kind("symlink_in_evidence"), F.lit("{}").alias("details")).unionByName(self.files.where("encoded").select("file_id", kind("non_utf8_path"), _json(rel_path=F.col("rel_path")).alias("details")))
         moved = drift.select("file_id", kind("hash_drift"), _json(version=F.col("version")).alias("details"))
         out = bad
         for more in (flat, strange, lone, unsafe, census, links, moved):

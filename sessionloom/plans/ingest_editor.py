@@ -22,7 +22,7 @@ PARSERS = {"kv": ("cursor-kv", "1"), "local_history": ("cursor-history", "1")}
 # Fields of a bubble that have a meaning here or are known to have none.
 BUBBLE_FIELDS = "_v bubbleId type createdAt modelInfo text thinking toolFormerData images richText codeBlocks tokenCount isAgentic capabilityType context relevantFiles suggestedCodeBlocks attachedCodeChunks cursorRules lints serverBubbleId usageUuid".split()
 # Severities of anomalies; all others are warnings.
-SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "unreferenced_record": "info", "unknown_field": "info", "wal_applied": "info", "symlink_in_evidence": "info"}
+SEVERITIES = {"malformed_record": "error", "unknown_record_type": "info", "unreferenced_record": "info", "unknown_field": "info", "wal_applied": "info", "symlink_in_evidence": "info", "non_utf8_path": "info"}
 
 
 def parser_of(path: Column, kind: Column) -> Column:
@@ -224,8 +224,8 @@ class EditorLoad:
         e = e.select("file_id", "session_id", F.lit("file_written").alias("kind"), F.col("pid").alias("derived_from_provenance_id"), F.col("resource").alias("path"), F.col("before").alias("before_blob"), F.col("after").alias("after_blob"), "timestamp", stamped, F.lit("high").alias("confidence"), _json(id=F.col("entry"), source=F.try_parse_json("source")).alias("details"), F.lit(1).alias("rank"), F.col("n").alias("at"))
         hit = lambda field: _json(rule=F.col("m.rule"), rule_version=F.lit("1"), field=field, offset=F.col("m.offset"), length=F.col("m.length"), match=F.col("m.match")).alias("details")
         m = self.messages.select(F.col("id").alias("message_id"), "session_id", "timestamp", "timestamp_origin")
-        b = self.blocks.where("text is not null").join(m, "message_id").withColumn("m", F.explode(secrets.all_matches(F.col("text")))).select("file_id", "session_id", F.lit("secret_candidate").alias("kind"), F.col("id").alias("derived_from_block_id"), "timestamp", "timestamp_origin", F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(2).alias("rank"), F.col("id").alias("at"))
-        c = self.calls.where("input is not null").withColumn("m", F.explode(secrets.all_matches(F.col("input")))).select("file_id", "session_id", F.lit("secret_candidate").alias("kind"), F.col("id").alias("derived_from_tool_call_id"), "timestamp", stamped, F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(3).alias("rank"), F.col("id").alias("at"))
+        b = secrets.scan(self.blocks.join(m, "message_id"), F.col("text"), "file_id", "session_id", "id", "kind", "timestamp", "timestamp_origin").select("file_id", "session_id", F.lit("secret_candidate").alias("kind"), F.col("id").alias("derived_from_block_id"), "timestamp", "timestamp_origin", F.col("m.confidence").alias("confidence"), hit(F.col("kind")), F.lit(2).alias("rank"), F.col("id").alias("at"))
+        c = secrets.scan(self.calls, F.col("input"), "file_id", "session_id", "id", "timestamp").select("file_id", "session_id", F.lit("secret_candidate").alias("kind"), F.col("id").alias("derived_from_tool_call_id"), "timestamp", stamped, F.col("m.confidence").alias("confidence"), hit(F.lit("tool_input")), F.lit(3).alias("rank"), F.col("id").alias("at"))
         out = calls
         for more in (e, b, c):
             out = out.unionByName(more, allowMissingColumns=True)
@@ -266,7 +266,7 @@ class EditorLoad:
         unsafe = e.where("sound and unsafe").select("file_id", "session_id", "pid", kind("suspicious_path"), named)
         absent = e.where("sound and not unsafe and after is null").select("file_id", "session_id", "pid", kind("missing_transcript"), F.lit("info").alias("given"), named)
         gone = listed.where("session_id is null").select("file_id", kind("missing_transcript"), F.lit("info").alias("given"), _json(composer=F.col("composer"), workspace=F.col("workspace")).alias("details"))
-        links = self.files.where("kind = 'symlink'").select("file_id", kind("symlink_in_evidence"), F.lit("{}").alias("details"))
+        links = self.files.where("kind = 'symlink'").select("file_id", kind("symlink_in_evidence"), F.lit("{}").alias("details")).unionByName(self.files.where("encoded").select("file_id", kind("non_utf8_path"), _json(rel_path=F.col("rel_path")).alias("details")))
         moved = drift.select("file_id", kind("hash_drift"), _json(version=F.col("version")).alias("details"))
         out = missing
         for more in (extra, broken, strange, untimed, raw, fields, lone, bad, nameless, other, wal, skipped, unsafe, absent, gone, links, moved):

@@ -3,22 +3,23 @@
 import json
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import integrity
+from ..session import ordered_numbers
 from ..sinks.case import Case
 from ..sources import manifest
 
 
 def files(case: Case) -> DataFrame:
-    """root_id, id, rel_path, sha256, now, state of the newest version of each file whose root is there: ok, drift or missing. A link is checked by its target."""
+    """root_id, id, rel_path, sha256, now, state of the newest version of each file whose root is there: ok, drift or missing. A link is checked by its target. A file that cannot be opened, or vanishes meanwhile, is missing."""
     newest = integrity.latest(case.table("source_files"), ["root_id", "rel_path", "encoded"])
     out = None
     for r in case.table("evidence_roots").select("id", "path").orderBy("id").collect():  # one row a root
         if r["path"] and os.path.isdir(r["path"]):
-            now = manifest.manifest(case.spark, r["path"], links=True).select("rel_path", F.col("sha256").alias("now"))
-            one = newest.where(F.col("root_id") == r["id"]).select("root_id", "id", "rel_path", "kind", "sha256").join(now, "rel_path", "left")
+            now = manifest.manifest(case.spark, r["path"], links=True).select("rel_path", "encoded", F.col("sha256").alias("now"))
+            one = newest.where(F.col("root_id") == r["id"]).select("root_id", "id", "rel_path", "encoded", "kind", "sha256").join(now, ["rel_path", "encoded"], "left")
             out = one if out is None else out.unionByName(one)
     if out is None:
         return case.spark.createDataFrame([], "root_id long, id long, rel_path string, sha256 string, now string, state string")
@@ -45,8 +46,7 @@ def verify(case: Case) -> dict:
     root = case.table("evidence_roots").agg(F.min("id").alias("root_id"))
     lost = b.where("state = 'bad'").crossJoin(F.broadcast(root)).select("root_id", F.lit(None).cast("long").alias("source_file_id"), F.lit("error").alias("severity"), F.concat(F.lit("retained blob "), "sha256", F.lit(" is missing or corrupted")).alias("message"), F.to_json(F.struct(F.col("sha256").alias("blob"))).alias("details"))
     both = odd.unionByName(lost).withColumn("kind", F.lit("hash_drift"))
-    # numbered in one partition: what is odd, not what was checked
-    case.append("anomalies", both.withColumn("id", F.lit(first) + F.row_number().over(Window.orderBy("root_id", "message")) - 1))
+    case.append("anomalies", ordered_numbers(both, "root_id", "message").withColumn("id", F.lit(first) + F.col("number")))
     count = lambda df: {r["state"]: r["count"] for r in df.groupBy("state").count().collect()}
     out = {"files": count(f), "blobs": count(b), "roots_unavailable": gone}
     case.audit("verify", json.loads(json.dumps(out)))

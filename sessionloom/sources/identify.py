@@ -1,6 +1,8 @@
-"""Which harness wrote a directory, by what is in it: names, the heads of a few files and the tables of a few databases.
+"""Which harness wrote a directory: a table of signs, judged on its listing.
 
-This runs on the driver and does not grow with the records. Links are not followed.
+A sign is a pattern of paths and, for some, what such a file has to hold: words near its beginning, or tables and a key of a database. Patterns are
+matched on the rows of the listing; only files that match are opened, by tasks, and only their first bytes or their list of tables is read. Of each sign the first place counts,
+a folder's own files before those of the folders in it, by name. What comes to the driver is one row for each sign that was found. Links are not followed.
 """
 
 from __future__ import annotations
@@ -8,104 +10,94 @@ from __future__ import annotations
 import os
 import sqlite3
 
-from . import sqlite
-
-HEAD, DEPTH = 16 << 10, 4
-
-
-def _file(path: str) -> bool:
-    return os.path.isfile(path) and not os.path.islink(path)
-
-
-def _dir(path: str) -> bool:
-    return os.path.isdir(path) and not os.path.islink(path)
-
-
-def _dirs(path: str) -> list[str]:
-    """The directories in a directory, by name."""
-    return sorted(e.path for e in os.scandir(path) if e.is_dir(follow_symlinks=False)) if _dir(path) else []
-
-
-def _head(path: str) -> bytes:
-    if not _file(path):
-        return b""
-    with open(path, "rb") as f:
-        return f.read(HEAD)
-
-
-def _holds(path: str, tables: list[str], key: str | None = None) -> bool:
-    """Whether a file is a database with the tables, and with the key in the first of them."""
-    if _head(path)[:16] != b"SQLite format 3\0":
-        return False
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import manifest, sqlite
+
+HEAD = 16 << 10
+
+# Harness, kind of entry, pattern of its path, words that its beginning holds, tables that it has, key in the first of them, and what is said of it (with {} for the path).
+SIGNS = [
+    ("claude-code", "file", r"projects/(?:[^/]+/){0,3}[^/]*\.jsonl(?:$|\.(?:orphaned|superseded)-[^/]*)", ['"parentUuid"', '"sessionId"'], [], None, "projects transcript carrying parentUuid and sessionId: {}"),
+    ("claude-code", "file", r"history\.jsonl", ['"display"', '"sessionId"'], [], None, "history.jsonl carrying display and sessionId"),
+    ("claude-code", "dir", r"file-history", [], [], None, "file-history directory"),
+    ("cursor", "dir", r"projects/[^/]+/agent-transcripts", [], [], None, "agent-transcripts directory: {}"),
+    ("cursor", "file", r"chats/[^/]+/[^/]+/store\.db", [], ["blobs", "meta"], None, "chat store with tables blobs and meta: {}"),
+    ("cursor", "dir", r"acp-sessions", [], [], None, "acp-sessions directory"),
+    ("cursor", "file", r"ai-tracking/ai-code-tracking\.db", [], [], None, "ai-tracking/ai-code-tracking.db"),
+    ("cursor", "file", r"prompt_history\.json", [], [], None, "prompt_history.json"),
+    ("cursor-ide", "file", r"User/globalStorage/state\.vscdb", [], ["cursorDiskKV"], None, "User/globalStorage/state.vscdb with table cursorDiskKV"),
+    ("cursor-ide", "file", r"User/workspaceStorage/[^/]+/state\.vscdb", [], ["ItemTable"], "composer.composerData", "{} with ItemTable key composer.composerData"),
+]
+# Kinds of stores whose generation shows in names and tables: kind, pattern of paths, tables, generation. The first that is found counts.
+GENERATIONS = [
+    ("cursor:agent-transcripts", r"projects/[^/]+/agent-transcripts/.*\.jsonl", [], "jsonl"),
+    ("cursor:agent-transcripts", r"projects/[^/]+/agent-transcripts(?:/.*)?", [], "txt"),
+    ("cursor:state-vscdb", r"User/globalStorage/state\.vscdb", ["cursorDiskKV"], "cursor-disk-kv"),
+    ("cursor:state-vscdb", r"User/globalStorage/state\.vscdb", [], "itemtable-legacy"),
+]
+#: Levels of directories that hold all signs.
+LEVELS = 5
+
+
+def _holds(path: str, words: list[str], tables: list[str], key: str | None) -> bool:
+    """Whether a file begins with the words, and is a database with the tables and, in the first of them, the key."""
     try:
+        with open(path, "rb") as f:
+            head = f.read(HEAD)
+        if not all(w.encode() in head for w in words):
+            return False
+        if not tables:
+            return True
+        if head[:16] != b"SQLite format 3\0":
+            return False
         with sqlite.opened(path, wal=False) as (con, _):
             return all(sqlite.ordinary(con, t) for t in tables) and (key is None or con.execute(f'SELECT 1 FROM "{tables[0]}" WHERE key = ? LIMIT 1', (key,)).fetchone() is not None)
-    except sqlite3.DatabaseError:
+    except (OSError, sqlite3.DatabaseError):
         return False
 
 
-def _below(root: str, depth: int):
-    """Files down to a depth, each folder's own before those of the folders in it, by name."""
-    for at, dirs, names in os.walk(root):
-        dirs.sort()
-        if at[len(root) :].count(os.sep) >= depth - 1:
-            dirs.clear()
-        yield from (os.path.join(at, n) for n in sorted(names) if _file(os.path.join(at, n)))
-
-
-def _transcript(name: str) -> bool:
-    return name.endswith(".jsonl") or ".jsonl.orphaned-" in name or ".jsonl.superseded-" in name
-
-
-def _agent_folders(root: str) -> list[str]:
-    return [p for d in _dirs(os.path.join(root, "projects")) if _dir(p := os.path.join(d, "agent-transcripts"))]
-
-
-def _claude_code(root: str) -> list[str]:
-    at, out = lambda *p: os.path.join(root, *p), []
-    signed = (p for p in (_below(at("projects"), DEPTH) if _dir(at("projects")) else ()) if _transcript(os.path.basename(p)) and all(k in _head(p) for k in (b'"parentUuid"', b'"sessionId"')))
-    if (first := next(signed, None)) is not None:
-        out.append(f"projects transcript carrying parentUuid and sessionId: {os.path.relpath(first, root)}")
-    if all(k in _head(at("history.jsonl")) for k in (b'"display"', b'"sessionId"')):
-        out.append("history.jsonl carrying display and sessionId")
-    return [*out, "file-history directory"] if _dir(at("file-history")) else out
+def _marked(spark: SparkSession, listed: DataFrame, root: str, wanted: list[tuple[str | None, str, list[str], list[str], str | None]]) -> DataFrame:
+    """inside, rel_path, n: of each directory in `inside` and each wanted thing (its number n: kind of entry, pattern, words, tables, key), the first place. listed: inside, rel_path, kind; inside is a path below root, or empty."""
+    match = F.array(*(F.when(F.col("rel_path").rlike(f"^(?:{pattern})$") & (F.lit(True) if kind is None else F.col("kind") == kind), F.lit(n)) for n, (kind, pattern, *_) in enumerate(wanted)))
+    rows = listed.where("kind in ('file', 'dir')").select("inside", "rel_path", F.explode(F.filter(match, lambda x: x.isNotNull())).alias("n"))
 
+    @F.pandas_udf("boolean")
+    def held(inside: pd.Series, rel: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([not any(wanted[k][2:4]) or _holds(os.path.join(root, i, r), *wanted[k][2:]) for i, r, k in zip(inside, rel, n, strict=True)], dtype=bool)
 
-def _cursor(root: str) -> list[str]:
-    at, out = lambda *p: os.path.join(root, *p), []
-    if folders := _agent_folders(root):
-        out.append(f"agent-transcripts directory: {os.path.relpath(folders[0], root)}")
-    stores = (p for w in _dirs(at("chats")) for d in _dirs(w) if _holds(p := os.path.join(d, "store.db"), ["blobs", "meta"]))
-    if (first := next(stores, None)) is not None:
-        out.append(f"chat store with tables blobs and meta: {os.path.relpath(first, root)}")
-    there = {"acp-sessions directory": _dir(at("acp-sessions")), "ai-tracking/ai-code-tracking.db": _file(at("ai-tracking/ai-code-tracking.db")), "prompt_history.json": _file(at("prompt_history.json"))}
-    return out + [name for name, found in there.items() if found]
+    parts = F.split("rel_path", "/")
+    place = F.transform(parts, lambda x, i: F.concat(F.when(i == F.size(parts) - 1, "0").otherwise("1"), x))
+    return rows.where(held("inside", "rel_path", "n")).groupBy("inside", "n").agg(F.min_by("rel_path", place).alias("rel_path"))
 
 
-def _cursor_ide(root: str) -> list[str]:
-    if _holds(os.path.join(root, "User/globalStorage/state.vscdb"), ["cursorDiskKV"]):
-        return ["User/globalStorage/state.vscdb with table cursorDiskKV"]
-    spaces = (p for d in _dirs(os.path.join(root, "User/workspaceStorage")) if _holds(p := os.path.join(d, "state.vscdb"), ["ItemTable"], "composer.composerData"))
-    first = next(spaces, None)
-    return [] if first is None else [f"{os.path.relpath(first, root)} with ItemTable key composer.composerData"]
+def signs(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
+    """inside, harness, signs (what was found, in the order of the table) of each directory in `inside` that bears any."""
+    found = _marked(spark, listed, root, [(kind, pattern, words, tables, key) for _, kind, pattern, words, tables, key, _ in SIGNS])
+    of = lambda k: F.element_at(F.array(*(F.lit(s[k]) for s in SIGNS)), F.col("n") + 1)
+    said = found.select("inside", "n", of(0).alias("harness"), F.replace(of(6), F.lit("{}"), "rel_path").alias("sign"))
+    return said.groupBy("inside", "harness").agg(F.min("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("n", "sign"))), lambda x: x["sign"]).alias("signs")).orderBy("inside", "n").drop("n")
 
 
-def identify(root: str) -> dict[str, list[str]]:
-    """The harnesses that a directory bears signs of, each with those signs."""
-    found = {"claude-code": _claude_code(root), "cursor": _cursor(root), "cursor-ide": _cursor_ide(root)}
-    return {harness: signs for harness, signs in found.items() if signs}
+def identify(spark: SparkSession, root: str, listed: DataFrame | None = None) -> dict[str, list[str]]:
+    """The harnesses that a directory bears signs of, each with those signs. listed: its listing, if there is one."""
+    listed = manifest.listing(spark, root, LEVELS) if listed is None else listed
+    return {r["harness"]: r["signs"] for r in signs(spark, listed.withColumn("inside", F.lit("")), root).collect()}
 
 
-def candidates(path: str) -> dict[str, dict[str, list[str]]]:
-    """Directories in a directory, one level down, that bear signs of a harness."""
-    return {d: found for d in _dirs(path) if (found := identify(d))}
+def candidates(spark: SparkSession, root: str) -> DataFrame:
+    """inside, harness, signs of the directories in a directory, one level down, that bear signs of a harness."""
+    parts = F.split("rel_path", "/", 2)
+    below = manifest.listing(spark, root, LEVELS + 1).select(parts[0].alias("inside"), F.try_element_at(parts, F.lit(2)).alias("rel_path"), "kind")
+    return signs(spark, below.where("rel_path is not null"), root)
 
 
-def generations(root: str) -> dict[str, str]:
+def generations(spark: SparkSession, root: str, listed: DataFrame) -> dict[str, str]:
     """The generation of stores that shows in names and tables; that of transcripts with versions is in their records."""
+    found = _marked(spark, listed.withColumn("inside", F.lit("")), root, [(None, pattern, [], tables, None) for _, pattern, tables, _ in GENERATIONS])
     out = {"cursor:chat-store": "store-db"}
-    if folders := _agent_folders(root):
-        out["cursor:agent-transcripts"] = "jsonl" if any(n.endswith(".jsonl") for f in folders for _, _, names in os.walk(f) for n in names) else "txt"
-    if _file(db := os.path.join(root, "User/globalStorage/state.vscdb")):
-        out["cursor:state-vscdb"] = "cursor-disk-kv" if _holds(db, ["cursorDiskKV"]) else "itemtable-legacy"
+    for n in sorted((r["n"] for r in found.select("n").collect()), reverse=True):
+        out[GENERATIONS[n][0]] = GENERATIONS[n][3]
     return out

@@ -1,8 +1,12 @@
-"""Tables of SQLite files, read-only, as a Spark data source: one partition for each file.
+"""Tables of SQLite files, read-only, as a Spark data source: a file of several ranges is read by as many tasks.
 
 Options: path (one file, or several parted by line breaks), table, prefix (of the column key; read as
-a range), maxBytes (longer values are left null, their length is given), wal (apply a write-ahead log of
-up to 256 MiB to a private copy). Only ordinary tables are read; views and virtual tables count as absent.
+a range), maxBytes (longer values are left null, their length is given), rangeBytes (bytes of a file for each
+range), wal (apply a write-ahead log of up to 256 MiB to a private copy). Only ordinary tables are read; views and virtual tables count as absent.
+
+How many ranges a file has follows from its size alone. Each task asks the database itself for the bounds of its row numbers
+and takes its share of them, so the driver opens no database; rows come in order within a range and ranges in order of their
+numbers. A file whose log has to be applied is one range, as each task would need a copy of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
-WAL_CAP, VALUE_CAP = 256 << 20, 64 << 20
+WAL_CAP, VALUE_CAP, RANGE = 256 << 20, 64 << 20, 128 << 20
 
 
 def connect(path: str, immutable: bool = True) -> sqlite3.Connection:
@@ -73,10 +77,21 @@ def tables_udf(path: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class _Range(InputPartition):
+    """One of `of` ranges of a database."""
+
+    def __init__(self, path: str, number: int, of: int):
+        super().__init__((path, number))
+        self.path, self.number, self.of = path, number, of
+
+
+def _bounds(con: sqlite3.Connection, table: str, number: int, of: int) -> tuple[int, int] | None:
+    """The least row number of a range and that of the next one. None where the table is empty."""
+    least, most = con.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+    if least is None:
+        return None
+    at = lambda k: least + (most - least + 1) * k // of
+    return at(number), at(number + 1)
 
 
 class SqliteReader(DataSourceReader):
@@ -85,6 +100,7 @@ class SqliteReader(DataSourceReader):
         self.table, self.key, self.value = options["table"], options.get("key", "key"), options.get("value", "value")
         self.prefix, self.equal = options.get("prefix"), None
         self.cap, self.wal = int(options.get("maxbytes", VALUE_CAP)), options.get("wal", "ignore") == "auto"
+        self.range = int(options.get("rangebytes", RANGE))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -95,7 +111,13 @@ class SqliteReader(DataSourceReader):
             yield f  # applied again by Spark
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        return [_Range(p, k, n) for p in self.paths for n in [self._ranges(p)] for k in range(n)]
+
+    def _ranges(self, path: str) -> int:
+        log = path + "-wal"
+        if self.wal and os.path.exists(log) and os.path.getsize(log) > 0:
+            return 1
+        return max(1, -(-os.path.getsize(path) // self.range)) if os.path.exists(path) else 1
 
     def read(self, partition):
         with opened(partition.path, self.wal) as (con, applied):
@@ -107,6 +129,10 @@ class SqliteReader(DataSourceReader):
             if self.equal is not None:
                 where, values = [*where, "k = ?"], [*values, self.equal]
             q = lambda s: '"' + s.replace('"', '""') + '"'
+            if partition.of > 1:
+                if (bounds := _bounds(con, q(self.table), partition.number, partition.of)) is None:
+                    return
+                where, values = [*where, "rowid >= ?", "rowid < ?"], [*values, *bounds]
             sql = f"SELECT rowid, k, n, CASE WHEN n <= {self.cap} THEN v END FROM (SELECT rowid, {q(self.key)} AS k, CAST({q(self.value)} AS BLOB) AS v, length(CAST({q(self.value)} AS BLOB)) AS n FROM {q(self.table)})"
             for rowid, k, n, v in con.execute(sql + (" WHERE " + " AND ".join(where) if where else "") + " ORDER BY rowid", values):
                 yield partition.path, rowid, k.decode("utf-8", "replace") if isinstance(k, bytes) else None if k is None else str(k), n, v, applied

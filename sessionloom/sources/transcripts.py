@@ -1,6 +1,6 @@
 """Agent transcripts: JSON records into messages, blocks, calls, observations and anomalies, each one plan."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import secrets, text, times
@@ -13,9 +13,9 @@ META = "ai-title custom-title summary attachment last-prompt mode permission-mod
 TITLES = {"ai-title": "aiTitle", "custom-title": "customTitle", "summary": "summary"}
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Records of transcript files (path, content) with the members that all later plans use."""
-    return fields(jsonl.parsed(jsonl.records(files)))
+def read(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """Records of the transcript files below root with the members that all later plans use."""
+    return fields(jsonl.parsed(jsonl.records(jsonl.lines(spark, root, glob))))
 
 
 def fields(r: DataFrame, *more: str) -> DataFrame:
@@ -82,7 +82,7 @@ def secret_candidates(found: DataFrame) -> DataFrame:
     """Secrets in the texts of blocks and in the inputs of calls."""
     both = F.explode(F.array(F.struct(F.lit("text").alias("field"), F.col("text").alias("t")), F.struct(F.lit("input").alias("field"), F.col("input").alias("t"))))
     rows = found.select("path", "session", "index", "ordinal", both.alias("x")).where("x.t is not null")
-    return rows.select("path", "session", "index", "ordinal", "x.field", F.explode(secrets.all_matches(F.col("x.t"))).alias("m")).select("path", "session", "index", "ordinal", "field", "m.*")
+    return secrets.scan(rows.withColumn("field", F.col("x.field")), F.col("x.t"), "path", "session", "index", "ordinal", "field").select("path", "session", "index", "ordinal", "field", "m.*")
 
 
 def anomalies(records: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from sessionloom.plans import attach
 from sessionloom.sinks.case import Case
-from sessionloom.sources import identify
+from sessionloom.sources import identify, manifest
 
 
 def database(path, *statements):
@@ -16,7 +16,7 @@ def database(path, *statements):
     con.close()
 
 
-def test_directories_are_known_by_their_contents(tmp_path):
+def test_directories_are_known_by_their_contents(spark, tmp_path):
     kv = "CREATE TABLE cursorDiskKV (key TEXT, value BLOB)"
     items = "CREATE TABLE ItemTable (key TEXT, value BLOB)"
     chats = ["CREATE TABLE blobs (id TEXT, data BLOB)", "CREATE TABLE meta (key TEXT, value TEXT)"]
@@ -40,15 +40,16 @@ def test_directories_are_known_by_their_contents(tmp_path):
     (root("fake") / "chats/w/a").mkdir(parents=True)
     (root("fake") / "chats/w/a/store.db").write_bytes(b"SQLite format 3\0 but no more")
     os.symlink(root("claude") / "projects", root("links") / "projects")
-    found = {n: identify.identify(str(root(n))) for n in os.listdir(tmp_path)}
+    found = {n: identify.identify(spark, str(root(n))) for n in os.listdir(tmp_path)}
     assert {n: list(x) for n, x in found.items()} == {
         "claude": ["claude-code"], "history": ["claude-code"], "agents": ["cursor"], "txt": ["cursor"], "store": ["cursor"], "global": ["cursor-ide"], "space": ["cursor-ide"], "deep": [], "links": [], "legacy": [], "other": [], "fake": [],
     }
     assert found["claude"]["claude-code"] == ["projects transcript carrying parentUuid and sessionId: projects/p/a.jsonl.orphaned-1"] and found["store"]["cursor"] == ["chat store with tables blobs and meta: chats/w/a/store.db"]
-    assert list(identify.candidates(str(tmp_path))) == [str(root(n)) for n in sorted(found) if found[n]]
-    made = {n: {k: g for k, g in identify.generations(str(root(n))).items() if k != "cursor:chat-store"} for n in ("agents", "txt", "global", "legacy", "claude")}
+    inside = {r.inside: {r.harness: r.signs} for r in identify.candidates(spark, str(tmp_path)).collect()}
+    assert inside == {n: found[n] for n in found if found[n]} and list(inside) == sorted(inside)
+    made = {n: {k: g for k, g in identify.generations(spark, str(root(n)), manifest.listing(spark, str(root(n)))).items() if k != "cursor:chat-store"} for n in ("agents", "txt", "global", "legacy", "claude")}
     assert made == {"agents": {"cursor:agent-transcripts": "jsonl"}, "txt": {"cursor:agent-transcripts": "txt"}, "global": {"cursor:state-vscdb": "cursor-disk-kv"}, "legacy": {"cursor:state-vscdb": "itemtable-legacy"}, "claude": {}}
-    assert json.loads(attach.inventory(str(tmp_path)))["inside"][str(root("space"))] == found["space"]
+    assert json.loads(attach.inventory(spark, str(tmp_path)))["inside"][str(root("space"))] == found["space"]
 
 
 def test_a_directory_is_attached_by_its_signs(spark, tmp_path):

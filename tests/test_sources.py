@@ -12,30 +12,69 @@ from sessionloom.operators import trees
 from sessionloom.sinks.case import Case
 from sessionloom.sinks import timeline as sink
 from sessionloom.sources import jsonl, manifest, sqlite, transcripts
-from sessionloom.streaming import ingest
 
 
-def test_jsonl_places_bytes_exactly(spark):
+def jsonl_records(spark, folder, files, split=None, cap=jsonl.CAP):
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before if split else ():
+        spark.conf.set(k, str(split))
+    try:
+        return jsonl.records(jsonl.lines(spark, str(folder)), cap).orderBy("path", "index").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def plain_records(data):
+    """(index, nth, offset, content, terminated) of each record, worked out byte by byte."""
+    out, at = [], 0
+    parts = data.split(b"\n")
+    for i, line in enumerate(parts if parts[-1] else parts[:-1]):
+        body = line[:-1] if line.endswith(b"\r") else line
+        if body:
+            out.append((i, len(out), at, body, at + len(line) < len(data)))
+        at += len(line) + 1
+    return out
+
+
+def test_jsonl_places_bytes_exactly_in_splits(spark, tmp_path):
+    n = iter(range(1000))
+
     @settings(max_examples=8, deadline=None)
-    @given(st.lists(st.binary(max_size=40).map(lambda b: b.replace(b"\n", b"").replace(b"\r", b"")), max_size=12), st.booleans())
-    def check(lines, end):
-        data = b"\n".join(lines) + (b"\n" if end and lines else b"")
-        got = jsonl.records(spark.createDataFrame([("f", bytearray(data))], "path string, content binary")).orderBy("index").collect()
-        assert [bytes(r.content) for r in got] == [x for x in lines if x]
-        assert [r["index"] for r in got] == [i for i, x in enumerate(lines) if x]
+    @given(st.lists(st.lists(st.one_of(st.sampled_from([b"", b"\r", b"\xef\xbb\xbf", b"\xff\r", b"a+b"]), st.binary(max_size=40).map(lambda b: b.replace(b"\n", b""))), max_size=12), min_size=1, max_size=3), st.booleans(), st.sampled_from([5, 17, 64, 1 << 20]))
+    def check(files, end, split):
+        folder = tmp_path / str(next(n)) / "a b+c%20é"
+        folder.mkdir(parents=True)
+        data = {f"f{i}.jsonl": b"\n".join(lines) + (b"\n" if end and lines else b"") for i, lines in enumerate(files)}
+        got = jsonl_records(spark, folder, data, split)
+        want = [(name, *r) for name in sorted(data) for r in plain_records(data[name])]
+        assert [(r.path, r["index"], r.nth, r.offset, bytes(r.content), r.terminated) for r in got] == want
         for r in got:
-            assert data[r.offset : r.offset + r.length] == bytes(r.content)
-            assert r.sha256 == hashlib.sha256(r.content).hexdigest()
-            assert r.terminated == (data[r.offset + r.length : r.offset + r.length + 1] == b"\n")
+            assert data[r.path][r.offset : r.offset + r.length] == bytes(r.content) and r.sha256 == hashlib.sha256(r.content).hexdigest()
 
     check()
 
 
-def test_jsonl_drops_carriage_returns_and_flags_long_records(spark):
-    got = jsonl.records(spark.createDataFrame([("f", bytearray(b"ab\r\n\r\n" + b"x" * 9 + b"\nz"))], "path string, content binary"), cap=8).orderBy("index").collect()
+def test_jsonl_reads_one_file_in_many_tasks(spark, tmp_path):
+    data = b"".join(b'{"n":%d}%s\n' % (i, b" " * (i % 50)) for i in range(20_000)) + b"{}"
+    got = jsonl_records(spark, tmp_path, {"one.jsonl": data}, split=50_000)
+    assert [(r["index"], r.nth, r.offset, bytes(r.content), r.terminated) for r in got] == plain_records(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    assert jsonl.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_jsonl_drops_carriage_returns_and_flags_long_records(spark, tmp_path):
+    got = jsonl_records(spark, tmp_path, {"f.jsonl": b"ab\r\n\r\n" + b"x" * 9 + b"\nz"}, cap=8)
     assert [(r["index"], r.offset, r.length, r.oversized, r.terminated) for r in got] == [(0, 0, 2, False, True), (2, 6, 9, True, True), (3, 16, 1, False, False)]
 
 
+def test_jsonl_of_nothing(spark, tmp_path):
+    assert jsonl_records(spark, tmp_path, {"none.txt": b"x", "empty.jsonl": b""}) == []
+
+
 def test_manifest(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.txt").write_bytes(b"abc")
@@ -60,7 +99,25 @@ def test_sqlite(spark, tmp_path):
     assert sqlite.scan(spark, [path], "v").count() == 0 and sqlite.scan(spark, [path], "none").count() == 0
 
 
-def test_transcripts(spark):
+def test_sqlite_in_ranges(spark, tmp_path):
+    """One database is read by many tasks, each row once, in order; filters hold in every range; gaps and negative numbers of rows do no harm."""
+    path = str(tmp_path / "big.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE kv (key TEXT UNIQUE, value BLOB)")
+    con.executemany("INSERT INTO kv (rowid, key, value) VALUES (?, ?, ?)", [(i * i - 50, f"{'ab'[i % 2]}:{i}", b"v" * (i % 700)) for i in range(2000)])
+    con.execute("CREATE TABLE none (key TEXT, value BLOB)")
+    con.commit()
+    con.close()
+    one = [tuple(r) for r in sqlite.scan(spark, [path], "kv").collect()]
+    df = sqlite.scan(spark, [path], "kv", rangebytes="40000")
+    assert df.rdd.getNumPartitions() > 10 and [tuple(r) for r in df.collect()] == one and len(one) == 2000
+    assert sum(n > 0 for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 5
+    assert sqlite.scan(spark, [path], "kv", rangebytes="40000", prefix="a:").count() == 1000
+    assert [r.row for r in sqlite.scan(spark, [path], "kv", rangebytes="40000").where("key = 'b:11'").collect()] == [71]
+    assert sqlite.scan(spark, [path], "none", rangebytes="40000").count() == 0
+
+
+def test_transcripts(spark, tmp_path):
     line = lambda **x: json.dumps(x)
     at = "2026-01-02T03:04:05.678901+01:00"
     content = "\n".join([
@@ -69,7 +126,9 @@ def test_transcripts(spark):
         line(type="user", sessionId="s", message={"content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "out"}], "is_error": True}, {"type": "tool_result", "tool_use_id": "t9", "content": "lost"}]}),
         line(type="summary", summary="A", sessionId="s"), line(type="custom-title", customTitle="B", sessionId="s"), line(type="strange", sessionId="s"), "{bad", '{"type":"user"',
     ])
-    r = transcripts.read(spark.createDataFrame([("p/s.jsonl", bytearray(content.encode()))], "path string, content binary")).cache()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/s.jsonl").write_text(content)
+    r = transcripts.read(spark, str(tmp_path)).cache()
     b = transcripts.blocks(r).cache()
     m = {x["index"]: x for x in transcripts.messages(r, b).collect()}
     assert [m[i].role for i in sorted(m)] == ["user", "assistant", "tool", "meta", "meta", "meta"] and m[0].timestamp == "2026-01-02T02:04:05.678Z"
@@ -148,15 +207,6 @@ def test_case_and_sinks(spark, tmp_path):
     assert len(case.exported(str(tmp_path / "p.parquet"), "parquet", 2)) == 64 and case.exports().count() == 1
 
 
-def test_stream_takes_each_file_once(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    seen = []
-    for k in range(2):
-        (tmp_path / f"in/{k}.jsonl").write_text("{}")
-        ingest.stream(spark, str(tmp_path / "in"), "*.jsonl", str(tmp_path / "ck"), lambda df, _: seen.extend(r.path[-7:] for r in df.select("path").collect())).awaitTermination()
-    assert sorted(seen) == ["0.jsonl", "1.jsonl"]
-
-
 def brute_nested(rows):
     """(id, parent) in order of the list: depth first, cycles from their first row."""
     kids, ids, out = {}, {i for i, _ in rows}, {}
