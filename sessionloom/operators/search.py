@@ -33,7 +33,8 @@ def folds() -> dict[str, str]:
 def folded(text):
     """A text as it is searched."""
     whole = sorted(folds(), key=lambda c: folds()[c] == "")  # those without a base last: translate drops what has no partner
-    return F.translate(F.lower(text), "".join(whole), "".join(folds()[c] for c in whole))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII has nothing to fold but capitals
+    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), "".join(whole), "".join(folds()[c] for c in whole)))
 
 
 def tokens_of(text):
@@ -73,9 +74,10 @@ def phrases(docs: DataFrame, key: str, fields: list[str], query: str) -> DataFra
     texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
     holds = functools.reduce(lambda x, y: x & y, (F.contains("f", F.lit(t)) for t in sorted(set(wanted))))
     rows = docs.select(F.col(key).alias("doc"), F.explode(texts).alias("x")).select("doc", "x.field", folded(F.col("x.text")).alias("f")).where(holds)
-    at = lambda x, i: functools.reduce(lambda a, b: a & b, [x == wanted[0], *(F.get("t", i + k) == t for k, t in enumerate(wanted) if k)])
-    counted = rows.select("doc", "field", F.regexp_extract_all("f", F.lit(TOKEN), 0).alias("t")).select("doc", "field", F.size(F.filter("t", at)).cast("long").alias("n"))
-    return counted.where("n > 0")
+    first, rest = wanted[0], "".join(f" {t}" for t in wanted[1:])
+    joined = F.concat(F.lit(" "), F.regexp_replace("f", r"[^\p{L}\p{N}]+", " "), F.lit(" "))  # with what follows looked at only, so that places may overlap
+    n = F.regexp_count(joined, F.lit(f"(?<= ){first}(?={rest} )")).cast("long")
+    return rows.select("doc", "field", F.explode(F.array(n)).alias("n")).where("n > 0")  # as a generator, so that the count is not made twice, for the filter too
 
 
 def phrase(index_: DataFrame, query: str) -> DataFrame:
