@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary() -> str:
-    """Path of the vocabulary file: TOKENIZER_FILE where it is set, else that of the package public_tokenizers."""
-    if named := os.environ.get("TOKENIZER_FILE"):
-        return named
+    """Path of the vocabulary file of the package public_tokenizers; the operators take any path."""
     import public_tokenizers
 
     return str(public_tokenizers.path(VOCABULARY))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, ordered_numbers
 from .common import U64, encoded, factors, few_files, groups_for, hashed, prepare, text_bytes, windows
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
@@ -138,6 +139,11 @@ def deduplicate(docs: DataFrame, chunk_bytes: int = CHUNK, bucket_bytes: int = B
     total = text_bytes(docs) if total is None else total
     n_chunks, n_buckets = groups_for(total, chunk_bytes), groups_for(total, bucket_bytes)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if base.agg(F.max("doc_id")).first()[0] == _LAST:  # no number is left to stand for null: ids give way to their places in order
+        names = cut(ordered_numbers(base.select("doc_id").where("doc_id is not null").distinct(), "doc_id", name="place"))
+        placed = base.join(names, "doc_id", "left").select(F.col("place").alias("doc_id"), "text")
+        done = deduplicate(placed, chunk_bytes, bucket_bytes, total).withColumnRenamed("doc_id", "place")
+        return done.join(names, "place", "left").select("doc_id", "n_words", "n_removed", "kept")
     repeated = not base.groupBy("doc_id").count().where("count > 1").isEmpty()
     base = base.groupBy("doc_id", "text").agg(F.count("*").alias("copies")) if repeated else base.withColumn("copies", F.lit(1).cast("long"))
     base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))

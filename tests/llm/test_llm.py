@@ -87,6 +87,15 @@ def test_substrings_common_to_all(spark):
     assert sorted(r.doc_id for r in few.collect()) == [1] * 25 + [2]
 
 
+def test_substrings_of_extreme_ids(spark):
+    """The largest id is a number like any other, also beside null ids, which come after it."""
+    passage = " ".join(WORDS[:40])
+    rows = [(2**63 - 1, passage), (None, passage), (None, f"x {passage} y"), (-(2**63), "a b"), (5, f"{passage} z"), (2**63 - 1, passage)]
+    for some in (rows, rows[1:], [rows[0], *rows[3:]], [*rows[:4], rows[5]]):
+        got = sorted((tuple(r) for r in substrings.digests(frame(spark, some, False)).collect()), key=repr)
+        assert got == brute_substrings(some)
+
+
 def test_cover():
     for shift in range(substrings.PERIOD):
         assert any((a - b) % substrings.PERIOD == shift for a in substrings.COVER for b in substrings.COVER)
