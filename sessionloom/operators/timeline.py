@@ -26,11 +26,6 @@ def events(rows: DataFrame, what: str, rank: int, message: Column, **extra: Colu
     )
 
 
-def ordered(timeline: DataFrame) -> DataFrame:
-    """By time, events without one last; then messages, calls, observations; then id. For single-file results only."""
-    return timeline.orderBy(F.col("datetime").asc_nulls_last(), "rank", "id")
-
-
 def scoped(timeline: DataFrame, session: int | None = None) -> DataFrame:
     return timeline if session is None else timeline.where(F.col("session_id") == session)
 
@@ -48,7 +43,7 @@ def check_scope(case, root_id: int | None = None, session_id: int | None = None)
 def of_case(case, root_id: int | None = None, session_id: int | None = None) -> DataFrame:
     """One event for each message, tool call and observation of a case, a root or a session, with the record and file that it comes from.
 
-    What has no record, file or root is left out. Without an order; see ordered()."""
+    What has no record, file or root is left out. Without an order; exports have one."""
     check_scope(case, root_id, session_id)
     s = case.table("sessions").select(F.col("id").alias("session_id"), "root_id", F.col("harness_session_id").alias("session_name"), F.col("kind").alias("session_kind"), "project_path", F.col("first_ts").alias("session_first_ts"))
     s = s if root_id is None else s.where(F.col("root_id") == root_id)

@@ -1,13 +1,8 @@
-"""Exports of a case: its timeline as one file, checked, hashed and recorded.
-
-One file is what timeline tools take, so it is written by one task at the end, from a sorted stream; nothing is held whole.
-"""
+"""Exports of a case: its timeline, checked, hashed and recorded. See `timeline` for how one ordered file is written by many tasks."""
 
 import datetime
-import glob
 import json
 import os
-import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +39,7 @@ def run(case: Case, format: str, path: str | None = None, root_id: int | None =
     if format == "parquet":
         sink.write_parquet(events, path, now=datetime.datetime.now(datetime.UTC).isoformat())
     else:
-        parts = f"{path}.parts"
-        (sink.write_json_lines if format == "jsonl" else sink.write_csv)(events, parts)
-        os.replace(glob.glob(f"{parts}/part-*")[0], path)
-        shutil.rmtree(parts)
+        (sink.write_json_lines if format == "jsonl" else sink.write_csv)(events, path)
     return {"path": path, "format": format, "rows": n, "sha256": case.exported(path, format, n)}
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from sessionloom.operators import api
 from sessionloom.schema import schema
+from sessionloom.sinks import timeline as sink
 from sessionloom.sources import editor
 
 
@@ -98,7 +99,7 @@ def test_timeline_of_a_case_and_its_exports(spark, tmp_path):
     from sessionloom.sinks import export
 
     case = _small_case(spark, tmp_path)
-    got = timeline.ordered(timeline.of_case(case)).collect()
+    got = timeline.of_case(case).orderBy(*sink.order()).collect()
     assert [(r["rank"], r.id) for r in got] == [(0, 2), (1, 1), (2, 1), (0, 1)]
     assert got[3].message == "[claude-code] user: one\ntwo" and got[3].display_name == "R:d/a.jsonl" and got[3].tags == ["claude-code", "user", "stored"] and got[3].attributes["evidence_byte_offset"] == "3"
     assert got[0].message == "[claude-code] assistant: <assistant>" and got[0].tags[-1] == "inferred" and got[0].datetime == "2026-01-01T00:00:00.000Z" and got[0].attributes["evidence_locator"] == "row 1" and "evidence_byte_offset" not in got[0].attributes

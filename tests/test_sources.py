@@ -195,7 +195,7 @@ def test_case_and_sinks(spark, tmp_path):
         "rank int, id long, datetime string, timestamp_desc string, message string, source string, source_long string, display_name string, tags array<string>, attributes map<string,string>, source_file string, file_hash string, byte_offset long, content_hash string, locator string, file_size long, file_mtime string",
     )
     sink.write_json_lines(events, str(tmp_path / "j"))
-    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).collect()]
+    lines = [json.loads(x) for x in (tmp_path / "j").read_text().splitlines()]
     assert [x["datetime"] for x in lines] == ["2026-01-01T00:00:00.000Z", None] and lines[0]["tag"] == ["t", "u"] and lines[1]["b"] == "2" and lines[1]["message"] == "m"
     sink.write_csv(events, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == [*sink.FIXED, "a", "b"]
@@ -207,6 +207,37 @@ def test_case_and_sinks(spark, tmp_path):
     assert len(case.exported(str(tmp_path / "p.parquet"), "parquet", 2)) == 64 and case.exports().count() == 1
 
 
+def test_timelines_in_parts_are_those_in_one(spark, tmp_path):
+    """Many parts, written side by side, give the bytes and rows of one part; ties of time and events without one are in order."""
+    import pyarrow.parquet as pq
+
+    n = 500
+    stamp = F.when(F.col("id") % 7 > 0, F.concat(F.lit("2026-01-01T00:00:0"), (F.col("id") * 7919 % 10).cast("string"), F.lit(".000Z")))
+    events = spark.range(n).select(
+        (F.col("id") % 3).cast("int").alias("rank"), "id", stamp.alias("datetime"), F.lit("d").alias("timestamp_desc"), F.concat(F.lit('é "x", \n\\ '), F.col("id").cast("string")).alias("message"), F.lit("s").alias("source"), F.lit("l").alias("source_long"),
+        F.when(F.col("id") % 2 == 0, "").otherwise("n").alias("display_name"), F.array(F.lit("t")).alias("tags"), F.create_map(F.lit("k,ey"), F.col("id").cast("string")).alias("attributes"), F.concat(F.lit("p/f"), (F.col("id") % 4).cast("string")).alias("source_file"),
+        F.lit("h").alias("file_hash"), F.col("id").alias("byte_offset"), F.lit("c").alias("content_hash"), F.lit(None).cast("string").alias("locator"), F.col("id").alias("file_size"), F.lit("m").alias("file_mtime"),
+    )
+    for name, write in (("j", sink.write_json_lines), ("c", sink.write_csv)):
+        one, many = write(events, str(tmp_path / f"{name}1")), write(events, str(tmp_path / f"{name}n"), part=60)
+        assert len(one) == 1 and len(many) > 5 and sum(m["rows"] for m in many) == n and (tmp_path / f"{name}1").read_bytes() == (tmp_path / f"{name}n").read_bytes()
+        with pytest.raises(FileExistsError):
+            write(events, str(tmp_path / f"{name}1"))
+    got = [json.loads(x) for x in (tmp_path / "jn").read_text().splitlines()]
+    want = sorted(events.collect(), key=lambda r: (r.datetime is None, r.datetime or "", r["rank"], r.id))
+    assert [(x["datetime"], x["message"], x["k,ey"]) for x in got] == [(r.datetime, r.message, str(r.id)) for r in want]
+    assert [r["k,ey"] for r in spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(str(tmp_path / "cn")).collect()] == [str(r.id) for r in want]
+    assert sink.write_parquet(events, str(tmp_path / "p1")) == sink.write_parquet(events, str(tmp_path / "pn"), part=60) == n
+    names = sorted(x.name for x in (tmp_path / "pn").iterdir())
+    assert names[0] == "_metadata" and len(names) > 6
+    parts = [pq.read_table(tmp_path / "pn" / x) for x in names[1:]]
+    one = pq.read_table(tmp_path / "p1")
+    assert [i for t in parts for i in t["byte_offset"].to_pylist()] == one["byte_offset"].to_pylist() == [r.id for r in want]
+    whole, facts = pq.read_metadata(tmp_path / "pn/_metadata"), json.loads(one.schema.metadata[b"timeline.original_files"])
+    assert whole.num_rows == n and whole.row_group(0).column(0).file_path == names[1] and parts[0].schema.metadata == one.schema.metadata
+    assert [(f["path"], f["name"]) for f in facts] == [(f"p/f{k}", f"f{k}") for k in range(4)] and facts[0]["size_bytes"] == next(r.file_size for r in want if r.source_file == "p/f0")
+
+
 def brute_nested(rows):
     """(id, parent) in order of the list: depth first, cycles from their first row."""
     kids, ids, out = {}, {i for i, _ in rows}, {}
