@@ -190,6 +190,13 @@ def flatten_text(content: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", whole).when(F.schema_of_variant(v).startswith("ARRAY"), F.array_join(parts, "\n"))
 
 
+def join_evidence(folder: Column, tracked: Column) -> Column:
+    """The last part of a tracked path within a folder, joined with the mark that parts the folder's own names; both kinds of marks end a name, as evidence may come from any system."""
+    last = F.element_at(F.split(tracked, r"[/\\\\]", -1), -1)
+    mark = F.when(F.contains(folder, F.lit("\\")) & ~F.contains(folder, F.lit("/")), "\\").otherwise("/")
+    return F.concat(F.regexp_replace(folder, r"[/\\\\]+$", ""), mark, F.when(last == "", tracked).otherwise(last))
+
+
 def mask(secret: Column) -> Column:
     """A secret with all but its first four characters covered."""
     return F.when(F.char_length(secret) <= 4, F.repeat(F.lit("•"), F.char_length(secret))).otherwise(F.concat(F.substring(secret, 1, 4), F.repeat(F.lit("•"), F.char_length(secret) - 4)))

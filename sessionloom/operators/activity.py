@@ -1,8 +1,10 @@
 """Observations and anomalies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 # The kinds of observations on each page of activity.
 KINDS = {
     "commands": ["command_executed", "subagent_spawned"],
@@ -16,6 +18,13 @@ def of_kinds(observations: DataFrame, page: str) -> DataFrame:
     return observations.where(F.col("kind").isin(*KINDS[page]))
 
 
+def masked(kind: Column, details: Column) -> Column:
+    """Details of an observation, those of a secret with its match covered."""
+    d = F.from_json(details, "rule string, rule_version string, field string, offset bigint, length bigint, match string, paste_id string")
+    covered = F.to_json(F.struct(*(text.mask(d[k]).alias(k) if k == "match" else d[k].alias(k) for k in ("rule", "rule_version", "field", "offset", "length", "match", "paste_id"))))
+    return F.when((kind == "secret_candidate") & d["match"].isNotNull(), covered).otherwise(details)
+
+
 def with_message(observations: DataFrame, blocks: DataFrame, calls: DataFrame, messages: DataFrame) -> DataFrame:
     """observations with the message that each comes from: of its block, else of its call's use, else of its record."""
     b = blocks.select(F.col("id").alias("from_block"), F.col("message_id").alias("m1"))

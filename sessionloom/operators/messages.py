@@ -45,6 +45,13 @@ def dividers(numbered: DataFrame, hidden: str = "hidden") -> DataFrame:
 
 
 def absorbed(messages: DataFrame) -> DataFrame:
-    """Roles of user records that hold nothing but tool results."""
-    only = (F.size("blocks") > 0) & F.forall("blocks", lambda b: b["kind"] == "tool_result")
-    return messages.withColumn("role", F.when((F.col("role") == "user") & only, "tool").otherwise(F.col("role")))
+    """messages (content_class, blocks) with whether each is drawn inside the calls that it answers: a record of results alone, all of known calls."""
+    whole = (F.size("blocks") > 0) & F.forall("blocks", lambda b: (b["kind"] == "tool_result") & b["tool_call_id"].isNotNull())
+    return messages.withColumn("absorbed", F.coalesce((F.col("content_class") == "tool_result") & whole, F.lit(False)))
+
+
+def absorbed_by_call(messages: DataFrame) -> DataFrame:
+    """tool_call_id, message_ids: of each call the records drawn inside it, in order of id."""
+    calls = F.explode(F.array_distinct(F.transform("blocks", lambda b: b["tool_call_id"])))
+    rows = absorbed(messages).where("absorbed").select("id", calls.alias("tool_call_id"))
+    return rows.groupBy("tool_call_id").agg(F.array_sort(F.collect_list("id")).alias("message_ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diff, secrets, text, times, wire
-from ..operators import activity, api, census, integrity, linking, messages, search, sessions, timeline, tools, trees
+from ..operators import activity, annotations, api, census, integrity, linking, messages, reports, search, sessions, timeline, tools, trees
 from ..operators.index import Index
 from ..session import checkpoint_dir
 from . import views
@@ -627,6 +627,121 @@ def case_search_sessions(spark, d):
     return api.grouped_hits(api.search(views.Canonical(spark, d), "the Of")).withColumn("score", F.round("score", 6))
 
 
+# --- annotations, reports, raw bytes ---------------------------------------------------------------
+
+_STANDING = "standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS r FROM k_notes) WHERE r = 1 AND NOT deleted)"
+
+
+@query(f"WITH {_STANDING} SELECT id, target_type, target_id, kind, value FROM standing")
+def annotations_standing(spark, d):
+    return annotations.standing(views.Canonical(spark, d).table("annotations")).drop("created_at")
+
+
+@query(f"""WITH {_STANDING} SELECT s.id, s.kind, m.id AS message_id FROM standing s JOIN k_messages m ON (s.target_type = 'message' AND s.target_id = m.id)
+ UNION ALL SELECT s.id, s.kind, b.message_id FROM standing s JOIN k_blocks b ON s.target_type = 'block' AND s.target_id = b.id
+ UNION ALL SELECT DISTINCT s.id, s.kind, b.message_id FROM standing s JOIN k_calls t ON s.target_type = 'tool_call' AND s.target_id = t.id JOIN k_blocks b ON b.id = t.tool_use_block_id OR b.id = t.tool_result_block_id""")
+def annotations_of_messages(spark, d):
+    c = views.Canonical(spark, d)
+    return annotations.of_messages(annotations.standing(c.table("annotations")), c.table("blocks"), c.table("tool_calls")).select("id", "kind", "message_id")
+
+
+_WANTED = "SELECT id, CASE ordinal % 8 WHEN 0 THEN 'session' WHEN 1 THEN 'message' WHEN 2 THEN 'block' WHEN 3 THEN 'tool_call' WHEN 4 THEN 'observation' WHEN 5 THEN 'anomaly' WHEN 6 THEN 'source_file' ELSE 'blob' END AS target_type, CASE WHEN ordinal % 8 IN (0, 6) THEN session_id ELSE id + ordinal % 2 END AS target_id, CASE session_id % 4 WHEN 0 THEN 'tag' WHEN 1 THEN 'bookmark' WHEN 2 THEN 'note' ELSE 'star' END AS kind, CASE session_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN repeat('é', 32769) ELSE 'v' END AS value FROM k_messages"
+
+
+@query(f"""WITH w AS ({_WANTED}), t AS (SELECT 'session' AS target_type, id AS target_id FROM k_sessions UNION ALL SELECT 'message', id FROM k_messages UNION ALL SELECT 'block', id FROM k_blocks UNION ALL SELECT 'tool_call', id FROM k_calls UNION ALL SELECT 'observation', id FROM k_seen UNION ALL SELECT 'anomaly', id FROM k_odd UNION ALL SELECT 'source_file', id FROM k_files)
+ SELECT w.id, CASE WHEN w.target_type = 'blob' THEN 'unknown target type blob' WHEN kind = 'star' THEN 'unknown kind star' WHEN trim(value) = '' THEN 'empty value' WHEN strlen(value) > 65536 THEN 'value too long' WHEN t.target_id IS NULL THEN concat('no ', w.target_type, ' with id ', w.target_id) END AS refused FROM w LEFT JOIN t ON t.target_type = w.target_type AND t.target_id = w.target_id""")
+def annotation_validity(spark, d):
+    c = views.Canonical(spark, d)
+    wanted = spark.sql(_WANTED.replace("k_messages", "{m}"), m=c.table("messages"))
+    return annotations.checked(wanted, c).select("id", "refused")
+
+
+@query("""SELECT (SELECT count(*) FROM k_files WHERE parse_status = 'parsed') AS files_parsed, (SELECT count(*) FROM k_files WHERE parse_status = 'inventoried') AS files_inventoried, (SELECT count(*) FROM k_files WHERE parse_status = 'failed') AS files_failed, (SELECT count(*) FROM k_files WHERE parse_status = 'superseded') AS files_superseded, (SELECT count(*) FROM k_files WHERE version > 1) AS files_drifted,
+ (SELECT count(*) FROM k_sessions) AS sessions, (SELECT count(*) FROM k_messages) AS messages, (SELECT count(*) FROM k_calls) AS tool_calls, (SELECT count(*) FROM k_seen) AS observations, (SELECT count(*) FROM k_odd) AS anomalies, (SELECT string_agg(p, ', ' ORDER BY p) FROM (SELECT DISTINCT parser || '/' || coalesce(parser_version, '-') AS p FROM k_records)) AS parsers""")
+def ingest_report(spark, d):
+    return reports.ingest(views.Canonical(spark, d))
+
+
+@query("""WITH c AS (SELECT parent_session_id AS id, count(*) AS n FROM k_sessions GROUP BY 1), a AS (SELECT session_id AS id, count(*) AS n FROM k_odd GROUP BY 1)
+ SELECT s.id, concat(s.id, repeat(' ', 2), r.harness, repeat(' ', 2), s.kind, repeat(' ', 2), s.harness_session_id, repeat(' ', 2), coalesce(s.first_ts, '-'), '..-', repeat(' ', 2), 'msgs=', s.message_count, ' tools=', s.tool_call_count, ' anomalies=', coalesce(a.n, 0), ' children=', coalesce(c.n, 0), repeat(' ', 2), s.title) AS line
+ FROM k_sessions s JOIN k_roots r ON r.id = s.root_id LEFT JOIN c ON c.id = s.id LEFT JOIN a ON a.id = s.id""")
+def report_sessions(spark, d):
+    return reports.sessions(api.sessions(views.Canonical(spark, d)))
+
+
+@query("""WITH lines AS (SELECT id * 4 AS part, id AS root, CAST(0 AS BIGINT) AS id, concat('root ', id, ' ', harness, ' ', label, ' (/e/', id, ')') AS line FROM k_roots
+ UNION ALL SELECT root_id * 4 + 1, root_id, id, concat(repeat(' ', 2), 'store ', id, ' ', kind, ' ', rel_path, ' [', status, '] files=', (SELECT count(*) FROM k_files f WHERE f.store_id = s.id)) FROM k_stores s
+ UNION ALL SELECT root_id * 4 + 2, root_id, 0, concat(repeat(' ', 2), 'absent stores: ', string_agg(kind, ', ' ORDER BY kind)) FROM k_absent GROUP BY root_id
+ UNION ALL SELECT root_id * 4 + 3, root_id, id, concat(repeat(' ', 2), 'file ', id, ' ', rel_path, CASE WHEN version > 1 THEN ' v' || version ELSE '' END, CASE WHEN kind = 'symlink' THEN ' symlink (not followed)' ELSE '' END, ' ', size, ' bytes sha256=', left(sha256, 12), ' ', parse_status, CASE WHEN error IS NOT NULL THEN ' (' || error || ')' ELSE '' END) FROM k_files
+ UNION ALL SELECT 4611686018427387904, 0, 0, concat('anomalies (', count(*), '):') FROM k_odd UNION ALL SELECT 4611686018427387905, 0, id, concat(repeat(' ', 2), '[', severity, '] ', kind, ' ', message) FROM k_odd UNION ALL SELECT 4611686018427387906, 0, 0, concat('audit log (', count(*), ' entries)') FROM k_log) SELECT * FROM lines""")
+def report_inventory(spark, d):
+    return reports.inventory(views.Canonical(spark, d))
+
+
+@query("SELECT id, concat(id, repeat(' ', 2), harness, repeat(' ', 2), label, repeat(' ', 2), '/e/', id, repeat(' ', 2), 'host=- user=- os=-') AS line FROM k_roots")
+def report_evidence(spark, d):
+    return reports.evidence(views.Canonical(spark, d))
+
+
+@query("SELECT DISTINCT kind FROM k_odd")
+def anomaly_kinds(spark, d):
+    return api.anomaly_kinds(views.Canonical(spark, d))
+
+
+@query("""SELECT id, octet_length(encode(text)) AS total_length, least(id % 500, octet_length(encode(text))) AS "offset", to_base64(unhex(substr(hex(encode(text)), 2 * least(id % 500, octet_length(encode(text))) + 1, 2 * (id % 90)))) AS bytes_b64 FROM files""")
+def raw_windows(spark, d):
+    f = views.files(spark, d)
+    return f.select("id", api.window(F.encode("text", "UTF-8"), F.col("id") % 500, F.col("id") % 90).alias("w")).select("id", "w.*")
+
+
+@query("""SELECT sha256, size, contains(text, chr(0)) AS "binary", size > 300 AS truncated, text[1:len(list_filter(range(1, 301), lambda i: strlen(text[1:i]) <= 300 AND i <= length(text)))] AS text, CAST(NULL AS VARCHAR) AS bytes_b64 FROM files""")
+def blob_previews(spark, d):
+    f = views.files(spark, d)
+    return api.previewed(f.select("sha256", F.substring(F.encode("text", "UTF-8"), 1, 300).alias("bytes"), "size"))
+
+
+_TRACKED = "CASE id % 5 WHEN 0 THEN 'a/b.txt' WHEN 1 THEN concat('x\\y', id) WHEN 2 THEN concat(root, '/') WHEN 3 THEN store ELSE concat('m\\n/', id) END"
+_FOLDER = "CASE id % 4 WHEN 0 THEN concat('C:\\', root, '\\') WHEN 1 THEN concat('/h/', root, '//') WHEN 2 THEN concat('C:\\', root, '/x') ELSE root END"
+
+
+@query(f"""WITH p AS (SELECT id, {_FOLDER} AS f, {_TRACKED} AS t FROM files) SELECT id, rtrim(f, '/\\') || CASE WHEN contains(f, '\\') AND NOT contains(f, '/') THEN '\\' ELSE '/' END || CASE WHEN regexp_extract(t, '[^/\\\\]*$') = '' THEN t ELSE regexp_extract(t, '[^/\\\\]*$') END AS path FROM p""")
+def path_join(spark, d):
+    e = lambda sql: F.expr(sql.replace("\\", "\\\\"))  # noqa: E731  Spark reads marks in its texts once more
+    return views.files(spark, d).select("id", text.join_evidence(e(_FOLDER), e(_TRACKED)).alias("path"))
+
+
+_RESULTS = "SELECT user_id AS id, event_id AS block, CASE WHEN event_type = 'view' THEN 'text' ELSE 'tool_result' END AS kind, CASE WHEN event_type <> 'error' THEN event_id % 50 END AS tool_call_id FROM events WHERE user_id % 3 > 0 OR event_type = 'click'"
+
+
+@query(f"""WITH b AS ({_RESULTS}), m AS (SELECT id FROM b WHERE id % 7 > 0 GROUP BY id HAVING bool_and(kind = 'tool_result' AND tool_call_id IS NOT NULL)), c AS (SELECT DISTINCT tool_call_id, id FROM b WHERE id IN (SELECT id FROM m))
+ SELECT tool_call_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS message_ids FROM c GROUP BY 1""")
+def absorbed_results(spark, d):
+    b = spark.sql(_RESULTS.replace("FROM events", "FROM {e}"), e=views.table(spark, d, "events"))
+    m = b.groupBy("id").agg(F.collect_list(F.struct("kind", "tool_call_id")).alias("blocks")).withColumn("content_class", F.when(F.col("id") % 7 > 0, "tool_result").otherwise("prompt"))
+    return messages.absorbed_by_call(m).withColumn("message_ids", F.array_join("message_ids", ","))
+
+
+@query("""SELECT id, CASE WHEN ordinal % 4 = 0 THEN 'local-command caveat' WHEN session_id % 4 = 0 THEN 'system reminder' WHEN session_id % 4 = 1 THEN 'compaction summary' WHEN session_id % 4 = 2 THEN 'skill' WHEN id % 2 = 0 THEN 'skill' ELSE 'harness text' END AS label FROM messages""")
+def injected_labels(spark, d):
+    m, k = views.messages(spark, d), F.col("session_id") % 4
+    t = F.concat(F.lit(" \n"), F.when(k == 0, "<system-reminder>").when(k == 2, "Base directory for this skill: ").otherwise(""), "text")
+    attributes = F.when(k == 1, '{"isCompactSummary":true}').when((k == 3) & (F.col("id") % 2 == 0), '{"sourceToolUseID":"t"}').otherwise('{"isCompactSummary":false,"sourceToolUseID":1}')
+    return m.select("id", text.injected_label(F.when(F.col("ordinal") % 4 == 0, "caveat").otherwise("injected"), t, attributes).alias("label"))
+
+
+@query("""SELECT session_id, arg_max(details, id) FILTER (WHERE kind = 'file_read') AS title, arg_min(timestamp, id) FILTER (WHERE kind = 'command_executed') AS project, min(id) AS first_id FROM observations GROUP BY 1""")
+def session_fields(spark, d):
+    o = views.observations(spark, d)
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return sessions.merge_fields(o.select("session_id", F.col("id").alias("position"), of("file_read", "details").alias("title"), of("command_executed", "timestamp").alias("project"), F.col("id").alias("first_id")))
+
+
+@query("SELECT id, CASE WHEN length(w) <= 4 THEN repeat('•', length(w)) ELSE left(w, 4) || repeat('•', length(w) - 4) END AS masked FROM (SELECT id, split_part(text, ' ', 2) AS w FROM messages)")
+def secret_masks(spark, d):
+    details = F.to_json(F.struct(F.lit("r").alias("rule"), F.split_part("text", F.lit(" "), F.lit(2)).alias("match")))
+    return views.messages(spark, d).select("id", F.get_json_object(activity.masked(F.lit("secret_candidate"), details), "$.match").alias("masked"))
+
+
 # --- what SQL does not express -------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import secrets, spans, text, times
-from ..operators import linking, sessions as s, tools
+from ..operators import linking, reports, sessions as s, tools
 from ..session import ordered_numbers
 from ..sources import identify, jsonl, manifest, transcripts
 
@@ -96,7 +96,7 @@ def take_up(case, path: str, label: str, harness: str, expected: dict[str, str],
     if files.isEmpty():
         return root_id
     loader(case, root_id, path, files).run(drift)
-    case.audit("ingest", {"root": root_id, "files": files.count(), "parsed": files.where("parser is not null").count()})
+    case.audit("ingest", {"root": root_id, "files": files.count(), "parsed": files.where("parser is not null").count(), "report": reports.ingest(case, root_id).first().asDict()})
     return root_id
 
 
@@ -267,8 +267,7 @@ class Load:
         d = self.transcript.where("record_type = 'file-history-delta'")
         get = lambda p: F.try_variant_get(F.try_parse_json("text"), p, "string")
         parent, tracked, name = get("$.backup.realParentDir"), get("$.trackingPath"), get("$.backup.backupFileName")
-        sep = F.when(F.contains(parent, F.lit("\\")) & ~F.contains(parent, F.lit("/")), "\\").otherwise("/")
-        full = F.when(parent.isNull(), tracked).when(tracked.isNotNull(), F.concat(F.regexp_replace(parent, r"[/\\]$", ""), sep, tracked))
+        full = F.when(parent.isNull(), tracked).otherwise(text.join_evidence(parent, tracked))
         at = F.coalesce(times.normalise(get("$.timestamp")), times.normalise(get("$.backup.backupTime")))
         details = _json(source=F.lit("file-history-delta"), trackingPath=tracked, backupFileName=name, version=F.try_variant_get(F.try_parse_json("text"), "$.backup.version", "variant"), backupTime=get("$.backup.backupTime"), messageId=get("$.messageId"))
         hsid = F.regexp_extract(name_of(F.col("path")), r"^(.*?)\.jsonl", 1)
@@ -354,17 +353,15 @@ class Load:
         case.append("observations", self._observations(edits))
         case.append("identity_claims", self._claims())
         case.append("anomalies", self._anomalies(drift))
-        titles = transcripts.titles(self.transcript).withColumnRenamed("session", "path").join(self.by_file, "path").select("session_id", "title", F.lit(0).alias("late")).union(self.meta.where("title is not null and session_id is not null").select("session_id", "title", F.lit(1)))
-        titles = titles.groupBy("session_id").agg(F.max_by("title", "late").alias("title"))
-        where = self.transcript.where("cwd is not null").groupBy("path").agg(F.min_by("cwd", "index").alias("cwd")).join(self.by_file, "path").select("session_id", "cwd")
-        new = self.sessions.join(titles.withColumnRenamed("session_id", "id"), "id", "left").join(where.withColumnRenamed("session_id", "id"), "id", "left")
+        drafts = self.transcript.join(self.by_file, "path").select("session_id", F.struct(F.lit(0).alias("late"), F.col("index")).alias("position"), transcripts.title_of().alias("title"), "cwd")
+        late = self.meta.where("session_id is not null").select("session_id", F.struct(F.lit(1).alias("late"), F.col("index")).alias("position"), "title", F.lit(None).cast("string").alias("cwd"))
+        new = self.sessions.join(s.merge_fields(drafts.unionByName(late)).withColumnRenamed("session_id", "id"), "id", "left")
         case.append("sessions", new.withColumn("project_path", F.coalesce("project", "cwd")).withColumn("bounds_from_adapter", F.lit(False)))
         late = self.meta.join(self._known().select(F.col("id").alias("session_id")), "session_id", "left_semi").where("title is not null").groupBy("session_id").agg(F.max_by("title", "pid").alias("late"))
         case.replace("sessions", case.table("sessions").join(late.withColumnRenamed("session_id", "id"), "id", "left").withColumn("title", F.coalesce("late", "title")))
         texts = edits.select(F.explode(F.array("before", "after")).alias("t")).where("t is not null").select(F.encode("t", "UTF-8").alias("content"))
-        stored = contents(case, self.path).where(F.col("length") <= MOST_BYTES).select(F.col("rel_path").alias("path"), "content")
-        kept = self.files.where("parser = 'upload' or startswith(rel_path, 'file-history/')").select(F.col("rel_path").alias("path"))
-        case.put_blobs(texts.union(stored.join(kept, "path", "left_semi").select("content")).union(self.pastes.where("content is not null").select("content")))
+        case.put_blobs(texts.union(self.pastes.where("content is not null").select("content")))
+        case.put_files(self.files.where("kind = 'file' and (parser = 'upload' or startswith(rel_path, 'file-history/') or startswith(rel_path, 'uploads/'))"), self.path)
 
 
 def write_files(case, files: DataFrame, counts: DataFrame) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import integrity
 from ..session import ordered_numbers
+from ..sinks import contents
 from ..sinks.case import Case
 from ..sources import manifest
 
@@ -30,7 +31,7 @@ def files(case: Case) -> DataFrame:
 
 def blobs(case: Case) -> DataFrame:
     """sha256, state of blobs: ok, bad (missing or not what their name says) or unindexed."""
-    held = case.table("blob_contents").select("sha256", (F.sha2("content", 256) == F.col("sha256")).alias("good")).groupBy("sha256").agg(F.every("good").alias("good"))
+    held = contents.states(case.table("blob_contents"))
     both = case.table("blobs").select("sha256", F.lit(True).alias("listed")).distinct().join(held, "sha256", "full")
     return both.select("sha256", F.when(F.col("listed").isNull(), "unindexed").when(F.col("good"), "ok").otherwise("bad").alias("state"))
 

@@ -70,14 +70,19 @@ class Canonical:
 # By table: its name in SQL, and the projection, which both engines read; {c} and {r} are conversations and region.
 _ID = "(conv_id * 1000 + turn)"
 CANONICAL = {
-    "evidence_roots": ("k_roots", "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS label, CASE WHEN r_regionkey % 2 = 0 THEN 'claude-code' ELSE 'cursor-ide' END AS harness FROM {r}"),
-    "sessions": ("k_sessions", "SELECT DISTINCT conv_id AS id, conv_id % 5 AS root_id, concat('s', conv_id) AS harness_session_id, concat('title ', conv_id) AS title, CASE WHEN conv_id % 3 = 0 THEN 'subagent' ELSE 'primary' END AS kind, CASE WHEN conv_id % 2 = 0 THEN concat('/p/', conv_id % 7) END AS project_path, CASE WHEN conv_id % 4 <> 0 THEN concat('2024-01-01T00:00:0', conv_id % 10, '.000Z') END AS first_ts FROM {c}"),
-    "provenance": ("k_records", f"SELECT {_ID} AS id, conv_id AS source_file_id, CAST(turn * 10 AS BIGINT) AS byte_offset, concat('h', {_ID}) AS content_sha256, CASE WHEN conv_id % 5 IN (1, 3) THEN concat('row ', {_ID}) END AS locator FROM {{c}}"),
-    "source_files": ("k_files", "SELECT DISTINCT conv_id AS id, concat('d/', conv_id, '.jsonl') AS rel_path, concat('f', conv_id) AS sha256, conv_id AS size, CAST(NULL AS STRING) AS mtime FROM {c}"),
+    "evidence_roots": ("k_roots", "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS label, concat('/e/', r_regionkey) AS path, CASE WHEN r_regionkey % 2 = 0 THEN 'claude-code' ELSE 'cursor-ide' END AS harness FROM {r}"),
+    "sessions": ("k_sessions", "SELECT DISTINCT conv_id AS id, conv_id % 5 AS root_id, concat('s', conv_id) AS harness_session_id, concat('title ', conv_id) AS title, CASE WHEN conv_id % 3 = 0 THEN 'subagent' ELSE 'primary' END AS kind, CASE WHEN conv_id % 2 = 0 THEN concat('/p/', conv_id % 7) END AS project_path, CASE WHEN conv_id % 4 <> 0 THEN concat('2024-01-01T00:00:0', conv_id % 10, '.000Z') END AS first_ts, CAST(NULL AS STRING) AS last_ts, CASE WHEN conv_id % 3 > 0 THEN conv_id - conv_id % 3 END AS parent_session_id, conv_id % 11 AS message_count, conv_id % 4 AS tool_call_count FROM {c}"),
+    "provenance": ("k_records", f"SELECT {_ID} AS id, conv_id AS source_file_id, CAST(turn * 10 AS BIGINT) AS byte_offset, concat('h', {_ID}) AS content_sha256, CASE WHEN conv_id % 5 IN (1, 3) THEN concat('row ', {_ID}) END AS locator, CASE WHEN conv_id % 2 = 0 THEN 'transcript' ELSE 'history' END AS parser, CASE WHEN conv_id % 4 > 0 THEN '1' END AS parser_version FROM {{c}}"),
+    "source_files": ("k_files", "SELECT DISTINCT conv_id AS id, concat('d/', conv_id, '.jsonl') AS rel_path, concat('f', conv_id) AS sha256, conv_id AS size, CAST(NULL AS STRING) AS mtime, conv_id % 5 AS root_id, conv_id % 2 AS store_id, 1 + conv_id % 2 AS version, CASE WHEN conv_id % 6 = 0 THEN 'symlink' ELSE 'file' END AS kind, CASE conv_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'inventoried' WHEN 2 THEN 'superseded' ELSE 'parsed' END AS parse_status, CASE WHEN conv_id % 4 = 0 THEN 'bad' END AS error FROM {c}"),
     "messages": ("k_messages", f"SELECT {_ID} AS id, conv_id AS session_id, {_ID} AS provenance_id, turn AS ordinal, role, concat('r-', role) AS record_type, CASE WHEN turn % 2 = 0 THEN concat('u', {_ID}) END AS uuid, CASE WHEN turn % 3 <> 0 THEN concat('2024-01-02T00:00:0', turn % 10, '.000Z') END AS timestamp, CASE WHEN turn % 3 <> 0 THEN 'stored' ELSE 'absent' END AS timestamp_origin, CASE WHEN role = 'assistant' THEN 'm1' END AS model FROM {{c}}"),
     "blocks": ("k_blocks", f"SELECT {_ID} * 2 AS id, {_ID} AS message_id, 0 AS ordinal, 'text' AS kind, text FROM {{c}} UNION ALL SELECT {_ID} * 2 + 1, {_ID}, 1, CASE WHEN turn % 2 = 1 THEN 'text' ELSE 'tool_use' END, CASE WHEN turn % 2 = 1 THEN 'more' END FROM {{c}}"),
-    "tool_calls": ("k_calls", f"SELECT {_ID} AS id, conv_id AS session_id, 'Bash' AS name, 'shell' AS category, CASE WHEN conv_id % 2 = 0 THEN concat('{{{{\"command\":\"run ', conv_id, '\"}}}}') ELSE concat('plain ', text) END AS input, turn % 4 = 0 AS is_error, CASE WHEN turn % 4 = 2 THEN concat(text, ' [', text, ']') END AS result_text, {_ID} * 2 + 1 AS tool_use_block_id FROM {{c}} WHERE turn % 2 = 0"),
+    "tool_calls": ("k_calls", f"SELECT {_ID} AS id, conv_id AS session_id, 'Bash' AS name, 'shell' AS category, CASE WHEN conv_id % 2 = 0 THEN concat('{{{{\"command\":\"run ', conv_id, '\"}}}}') ELSE concat('plain ', text) END AS input, turn % 4 = 0 AS is_error, CASE WHEN turn % 4 = 2 THEN concat(text, ' [', text, ']') END AS result_text, {_ID} * 2 + 1 AS tool_use_block_id, CASE WHEN turn % 4 = 0 THEN ({_ID} + 1) * 2 END AS tool_result_block_id FROM {{c}} WHERE turn % 2 = 0"),
     "observations": ("k_seen", f"SELECT {_ID} AS id, conv_id AS session_id, 'command_executed' AS kind, CASE WHEN turn % 3 = 0 THEN {_ID} END AS derived_from_tool_call_id, CASE WHEN turn % 3 = 1 THEN {_ID} * 2 END AS derived_from_block_id, CASE WHEN turn % 3 = 2 THEN {_ID} END AS derived_from_provenance_id, CASE WHEN turn % 4 = 0 THEN concat('p', turn) END AS path, CASE WHEN conv_id % 2 = 0 THEN concat('c', turn) END AS command, 'high' AS confidence, CAST(NULL AS STRING) AS timestamp, 'absent' AS timestamp_origin FROM {{c}} WHERE turn % 2 = 0"),
+    "anomalies": ("k_odd", f"SELECT {_ID} AS id, conv_id % 5 AS root_id, conv_id AS session_id, CASE turn % 3 WHEN 0 THEN 'malformed_record' WHEN 1 THEN 'unlinked_subagent' ELSE 'hash_drift' END AS kind, CASE turn % 2 WHEN 0 THEN 'warning' ELSE 'error' END AS severity, concat('odd ', turn) AS message FROM {{c}} WHERE turn % 5 = 0"),
+    "annotations": ("k_notes", f"SELECT {_ID} AS id, CASE turn % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'block' WHEN 2 THEN 'tool_call' ELSE 'session' END AS target_type, CASE turn % 4 WHEN 0 THEN {_ID} WHEN 1 THEN {_ID} * 2 WHEN 2 THEN {_ID} - 2 ELSE conv_id END AS target_id, CASE turn % 3 WHEN 0 THEN 'tag' WHEN 1 THEN 'bookmark' ELSE 'note' END AS kind, text AS value, '2024-01-01T00:00:00.000001Z' AS created_at, false AS deleted FROM {{c}} UNION ALL SELECT {_ID}, CASE turn % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'block' WHEN 2 THEN 'tool_call' ELSE 'session' END, CASE turn % 4 WHEN 0 THEN {_ID} WHEN 1 THEN {_ID} * 2 WHEN 2 THEN {_ID} - 2 ELSE conv_id END, CASE turn % 3 WHEN 0 THEN 'tag' WHEN 1 THEN 'bookmark' ELSE 'note' END, text, '2024-01-02T00:00:00.000001Z', true FROM {{c}} WHERE conv_id % 3 = 0"),
+    "stores": ("k_stores", "SELECT DISTINCT conv_id % 2 AS id, CAST(conv_id % 2 AS BIGINT) AS root_id, concat('kind', conv_id % 2) AS kind, concat('p', conv_id % 2) AS rel_path, 'parsed' AS status FROM {c}"),
+    "absent_stores": ("k_absent", "SELECT DISTINCT conv_id % 5 AS root_id, concat('gone', turn % 3) AS kind FROM {c} WHERE conv_id % 5 < 3"),
+    "audit_log": ("k_log", "SELECT DISTINCT conv_id AS id, 'ingest' AS action FROM {c}"),
 }
 
 TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"

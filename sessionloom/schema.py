@@ -18,7 +18,7 @@ TABLES = {
     "identity_claims": "id bigint, session_id bigint, scheme string, claimed_id string, join_status string",
     "anomalies": "id bigint, root_id bigint, source_file_id bigint, session_id bigint, provenance_id bigint, kind string, severity string, message string, details string",
     "blobs": "sha256 string, size bigint",
-    "blob_contents": "sha256 string, content binary",
+    "blob_contents": "sha256 string, at bigint, content binary",
     "annotations": "id bigint, target_type string, target_id bigint, kind string, value string, created_at string, deleted boolean",
     "audit_log": "id bigint, at string, action string, details string",
 }

@@ -6,13 +6,14 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import annotations
 from ..schema import TABLES, schema
+from . import contents
 
 VERSION = 2
-MOST_BYTES = 65536
 
 
 class Case:
@@ -48,13 +49,21 @@ class Case:
         n = self.table("audit_log").count() + 1
         self.append("audit_log", self.spark.createDataFrame([(n, at, action, json.dumps(details))], TABLES["audit_log"]))
 
-    def put_blobs(self, contents: DataFrame) -> None:
+    def put_blobs(self, rows: DataFrame) -> None:
         """Adds contents (content binary) that are not there yet."""
-        found = contents.select(F.sha2("content", 256).alias("sha256"), "content").join(self.table("blob_contents").select("sha256"), "sha256", "left_anti")
+        found = rows.select(F.sha2("content", 256).alias("sha256"), F.lit(0).cast("long").alias("at"), "content").join(self.table("blob_contents").select("sha256"), "sha256", "left_anti")
         staged = self.stage(found.dropDuplicates(["sha256"]))
         self.append("blob_contents", staged)
         self.append("blobs", staged.select("sha256", F.octet_length("content").cast("long").alias("size")).join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
 
+    def put_files(self, files: DataFrame, root: str) -> None:
+        """Adds the contents of files (rel_path, encoded) below a root that are not there yet, of any size; each file is read once. What cannot be read is left out."""
+        blocks = self.stage(contents.read(files, root))
+        whole = blocks.where("sha256 is not null").select("rel_path", "encoded", "sha256", "size").dropDuplicates(["sha256"])
+        new = self.stage(whole.join(self.table("blob_contents").select("sha256"), "sha256", "left_anti"))
+        self.append("blob_contents", blocks.drop("sha256", "size").join(new.drop("size"), ["rel_path", "encoded"]))
+        self.append("blobs", new.select("sha256", "size").join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
+
     def stage(self, rows: DataFrame) -> DataFrame:
         """rows as a written table, which cuts their lineage; it lies in the case's folder, which all executors see."""
         at = f"{self.path}/staging/{uuid.uuid4().hex}"
@@ -67,8 +76,10 @@ class Case:
         self.stage(wanted).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def annotate(self, target_type: str, target_id: int, kind: str, value: str) -> int:
-        if target_type not in ("session", "message", "tool_call", "observation") or kind not in ("note", "tag") or not value.strip() or len(value.encode()) > MOST_BYTES:
-            raise ValueError("no valid annotation")
+        """Adds an annotation to a row that exists and gives its id."""
+        wanted = self.spark.createDataFrame([(target_type, target_id, kind, value)], "target_type string, target_id long, kind string, value string")
+        if refused := annotations.checked(wanted, self).first()["refused"]:
+            raise ValueError(refused)
         n = (self.table("annotations").agg(F.max("id")).first()[0] or 0) + 1
         self._annotation((n, target_type, target_id, kind, value, False), "annotation_created")
         return n
@@ -82,12 +93,14 @@ class Case:
     def _annotation(self, row: tuple, action: str) -> None:
         at = datetime.datetime.now(datetime.UTC).isoformat(timespec="microseconds").replace("+00:00", "Z")
         self.append("annotations", self.spark.createDataFrame([(*row[:5], at, row[5])], TABLES["annotations"]))
-        self.audit(action, dict(zip(("id", "target_type", "target_id", "kind", "value"), row[:5], strict=True)))
-
-    def annotations(self) -> DataFrame:
-        """The annotations that stand: of each the last event, unless it removes it."""
-        w = Window.partitionBy("id").orderBy(F.desc("created_at"))
-        return self.table("annotations").withColumn("r", F.row_number().over(w)).where("r = 1 and not deleted").drop("r")
+        self.audit(action, dict(zip(("id", "target_type", "target_id", "kind", "value", "at"), (*row[:5], at), strict=True)))
+
+    def annotations(self, target_type: str | None = None, target_id: int | None = None) -> DataFrame:
+        """The annotations that stand, of all targets, of a type or of one row, by id."""
+        out = annotations.standing(self.table("annotations"))
+        for column, value in (("target_type", target_type), ("target_id", target_id)):
+            out = out if value is None else out.where(F.col(column) == value)
+        return out.orderBy("id")
 
     def output(self, name: str, evidence: list[str], path: str) -> str:
         """Where an export may go: not inside evidence, not over something."""

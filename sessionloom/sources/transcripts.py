@@ -1,6 +1,6 @@
 """Agent transcripts: JSON records into messages, blocks, calls, observations and anomalies, each one plan."""
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import secrets, text, times
@@ -97,7 +97,11 @@ def anomalies(records: DataFrame, found: DataFrame) -> DataFrame:
     return bad.unionByName(odd).unionByName(untimed).unionByName(lone)
 
 
+def title_of() -> Column:
+    """The title that a record gives its session, if any."""
+    return F.coalesce(*(F.when(F.col("record_type") == k, text.json_text(F.col("text"), m)) for k, m in TITLES.items()))
+
+
 def titles(records: DataFrame) -> DataFrame:
     """The last title of each session."""
-    title = F.coalesce(*(F.when(F.col("record_type") == k, text.json_text(F.col("text"), m)) for k, m in TITLES.items()))
-    return records.withColumn("title", title).where("title is not null").groupBy("session").agg(F.max_by("title", F.struct("path", "index")).alias("title"))
+    return records.withColumn("title", title_of()).where("title is not null").groupBy("session").agg(F.max_by("title", F.struct("path", "index")).alias("title"))
