@@ -56,9 +56,9 @@ class Case:
         self.append("blob_contents", staged)
         self.append("blobs", staged.select("sha256", F.octet_length("content").cast("long").alias("size")).join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
 
-    def put_files(self, files: DataFrame, root: str) -> None:
+    def put_files(self, files: DataFrame, root: str, block: int = contents.BLOCK) -> None:
         """Adds the contents of files (rel_path, encoded) below a root that are not there yet, of any size; each file is read once. What cannot be read is left out."""
-        blocks = self.stage(contents.read(files, root))
+        blocks = self.stage(contents.read(files, root, block))
         whole = blocks.where("sha256 is not null").select("rel_path", "encoded", "sha256", "size").dropDuplicates(["sha256"])
         new = self.stage(whole.join(self.table("blob_contents").select("sha256"), "sha256", "left_anti"))
         self.append("blob_contents", blocks.drop("sha256", "size").join(new.drop("size"), ["rel_path", "encoded"]))

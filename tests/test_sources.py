@@ -179,12 +179,6 @@ def test_blob_order(spark):
 
 def test_case_and_sinks(spark, tmp_path):
     case = Case.create(spark, str(tmp_path / "case"), "c")
-    n = case.annotate("message", 3, "note", "look")
-    assert [r.value for r in case.annotations().collect()] == ["look"]
-    case.remove_annotation(n)
-    assert case.annotations().count() == 0 and case.table("audit_log").count() == 3
-    with pytest.raises(ValueError):
-        case.annotate("message", 3, "note", " ")
     with pytest.raises(ValueError):
         case.output("x", [str(tmp_path)], str(tmp_path / "a.csv"))
     case.put_blobs(spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"a"),), (bytearray(b"b"),)], "content binary"))
