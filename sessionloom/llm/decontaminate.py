@@ -43,6 +43,8 @@ BLOCK_BYTES = 16 << 20
 
 #: Candidates that are verified together.
 PAIRS = 4096
+#: Hits of keys held at once; items of one window from which on their words are counted first; texts searched together.
+EXPANDED, MANY, TEXTS = 1 << 20, 8, 64
 
 MATCHES = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
@@ -138,10 +140,13 @@ class Items:
         for k, s in enumerate(self.symbols):
             by[len(s)].append(k)
         self.short = {n: self._table(np.concatenate([windows(self.symbols[k], np.zeros(1, np.int64), _GRAM[n]) for k in by[n]]), np.array(by[n])) for n in range(1, GRAM) if n in by}
+        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.keyed, grams, sizes = {}, [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for n in sorted(x for x in by if x >= GRAM):
             stack = np.stack([self.symbols[k] for k in by[n]])
             own = self._keys(stack).reshape(-1)
+            words, place = np.unique(stack, return_inverse=True)
+            self.words[n] = words, place.reshape(stack.shape).astype(np.int32)
             self.keyed[n] = stack, self._table(own[own != 0], np.repeat(np.arange(len(stack)), repeats)[own != 0]), np.array(by[n])
             own = np.unique(np.concatenate([windows(s, np.arange(n - GRAM + 1), _GRAM[GRAM]) for s in stack]))
             grams.append(own)
@@ -190,6 +195,31 @@ class Items:
                     out[n] = first[enough]
         return out
 
+    def _pairs(self, n: int, x: np.ndarray):
+        """Window * items + item of the windows and items of n words that share a key, some windows at a time, so that no more than EXPANDED hits (or those of one window) are held.
+
+        Items with a common stem share keys with every window that holds the stem. Where a window has many such items, those are left out that lack in the window more words than edits are allowed: each of these takes an edit, so none is lost."""
+        stack, table, _ = self.keyed[n]
+        words, place = self.words[n]
+        asked = self._keys(x[:, :n])
+        lo, hi = (np.searchsorted(table[0], asked, side) for side in ("left", "right"))
+        total, at = np.cumsum((hi - lo).sum(axis=1)), 0
+        while at < len(x):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + EXPANDED, "right")))
+            key, item = self._look_up(table, asked[at:end].reshape(-1))
+            w, k = np.divmod(np.unique(key // self.repeats * len(stack) + item), len(stack))
+            edges = np.searchsorted(w, np.arange(end - at + 1))
+            kept = [np.zeros(0, np.int64)]
+            for own in np.flatnonzero(np.diff(edges)):
+                some = k[edges[own] : edges[own + 1]]
+                if len(some) > MANY:
+                    there, found = np.zeros(len(words) + 1, bool), np.searchsorted(words, x[at + own])
+                    there[found[words[np.minimum(found, len(words) - 1)] == x[at + own]]] = True
+                    some = some[n - there[place[some]].sum(axis=1) <= allowed(n, self.edits)]
+                kept.append((at + own) * len(stack) + some)
+            yield np.concatenate(kept)
+            at = end
+
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """(item_id, start, end, edits) in words of each text; of matches of one item that overlap, the best."""
         best: dict[tuple[int, int], list] = defaultdict(list)
@@ -211,14 +241,13 @@ class Items:
             for begin in range(0, len(t), PAIRS):
                 part = slice(begin, begin + PAIRS)
                 x = np.stack([padded[a][b : b + n + e] for a, b in zip(t[part].tolist(), p[part].tolist(), strict=True)])
-                key, item = self._look_up(table, self._keys(x[:, :n]).reshape(-1))
-                pairs = np.unique(key // self.repeats * len(stack) + item)
-                for at in range(0, len(pairs), PAIRS):
-                    w, k = np.divmod(pairs[at : at + PAIRS], len(stack))
-                    d, size = distances(stack[k], x[w], e)
-                    for good in np.flatnonzero(d <= e):
-                        a, b = int(t[begin + w[good]]), int(p[begin + w[good]])
-                        best[a, int(items[k[good]])].append((int(d[good]), b, b + int(size[good])))
+                for pairs in self._pairs(n, x):
+                    for at in range(0, len(pairs), PAIRS):
+                        w, k = np.divmod(pairs[at : at + PAIRS], len(stack))
+                        d, size = distances(stack[k], x[w], e)
+                        for good in np.flatnonzero(d <= e):
+                            a, b = int(t[begin + w[good]]), int(p[begin + w[good]])
+                            best[a, int(items[k[good]])].append((int(d[good]), b, b + int(size[good])))
         out: list[list] = [[] for _ in texts]
         for (t, item), found in best.items():
             taken: list = []
@@ -244,7 +273,7 @@ def find(docs: DataFrame, items: DataFrame, edits: float = EDITS, to: str = "mat
         shared = spark.sparkContext.broadcast(Items([i for i, _ in rows], [t for _, t in rows], edits))
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
                 at = batch.schema.get_field_index(to)
                 found = shared.value.search(batch.column(batch.schema.get_field_index("text")).to_pylist())
                 old = batch.column(at).to_pylist()

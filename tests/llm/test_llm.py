@@ -382,6 +382,44 @@ def test_decontamination(spark):
     assert decontaminate.judged(empty(spark), table).count() == 0 and decontaminate.judged(df, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_items_with_a_common_stem():
+    """Thousands of items that share most of their words cost a text that holds only the stem time in proportion to their number, and bounded memory; those that are there are found."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(7)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    stem = [word() for _ in range(14)]
+    items = [" ".join(stem + [word() for _ in range(8)]) for _ in range(10_000)]
+    texts = [" ".join([word() for _ in range(20)] + stem + [word() for _ in range(20)]) for _ in range(64)]
+    small, all_ = (decontaminate.Items(list(range(n)), items[:n]) for n in (1000, 10_000))
+    took = []
+    for searched in (small, all_):
+        began = time.process_time()
+        assert not any(searched.search(texts))
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 2
+    tracemalloc.start()
+    all_.search(texts[:8])
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    held = [f"{texts[i]} {' '.join(edited(items[i * 150].split(), 4, rng))} {word()}" for i in range(60)]
+    found = [any(m[0] == i * 150 for m in f) for i, f in enumerate(all_.search(held))]
+    assert sum(found) >= 58
+
+
+def test_decontamination_words_that_lack_take_an_edit_each(monkeypatch):
+    """What is left out where a window has many items would not have matched: results are equal without it."""
+    rng = random.Random(9)
+    stem = rng.choices(WORDS, k=12)
+    items = [" ".join(stem + rng.choices(WORDS, k=6)) for _ in range(80)]
+    texts = [" ".join(rng.choices(WORDS, k=10) + edited(items[i].split(), i % 5, rng) + rng.choices(WORDS, k=10)) for i in range(80)]
+    one = decontaminate.Items(list(range(80)), items).search(texts)
+    monkeypatch.setattr(decontaminate, "MANY", 10**9)
+    monkeypatch.setattr(decontaminate, "EXPANDED", 500)
+    assert one == decontaminate.Items(list(range(80)), items).search(texts) and sum(map(len, one)) >= 60
+
+
 def test_decontamination_recall_at_all_edits():
     """Windows of whole texts through the keys alone, against brute force; and leaving out windows that can hold no item changes nothing."""
     rng = random.Random(19)
