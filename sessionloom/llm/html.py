@@ -25,6 +25,9 @@ from pyspark.sql import types as T
 
 from .common import prepare
 
+#: Letters that a cell may have to widen its column, and letters of a table as it is shown for each of its own letters and cells, at most.
+WIDE, SPREAD = 200, 16
+
 # Elements of HTML by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
@@ -182,28 +185,51 @@ class Box:
 
 
 class Table:
+    """Rows of cells (column, lines), without the empty ones."""
+
     def __init__(self):
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[tuple[int, list[str]]]] = []
         self.taken: dict[int, int] = {}  # by column, the last row that a cell from above reaches
+        self.free = self.cells = 0  # the next column of the last row, and how many cells there were
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.free = 0
 
     def cell(self, lines: list[str], wide: int, tall: int) -> None:
         """Puts a cell into the first free column of the last row."""
-        row, here = self.rows[-1], len(self.rows) - 1
-        while self.taken.get(len(row), -1) >= here:
-            row.append([])
-        for k in range(wide):
-            if tall > 1:
-                self.taken[len(row)] = here + tall - 1
-            row.append([] if k else lines)
+        here = len(self.rows) - 1
+        while self.taken.get(self.free, -1) >= here:
+            self.free += 1
+        if any(lines):
+            self.rows[-1].append((self.free, lines))
+        if tall > 1:
+            self.taken |= dict.fromkeys(range(self.free, self.free + wide), here + tall - 1)
+        self.free, self.cells = self.free + wide, self.cells + 1
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
-        widths = [max((len(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+        """The rows with their cells in columns of equal width. A cell of more than WIDE letters widens no column. Where the columns would take more than SPREAD letters for each letter and cell of the table, as with many empty columns, cells are parted by two spaces alone."""
+        rows = [r for r in self.rows if r]
+        widths = {}
+        for r in rows:
+            for column, lines in r:
+                widths[column] = max(widths.get(column, 0), max((len(x) for x in lines if len(x) <= WIDE), default=0))
+        starts, at, last = {}, 0, -1
+        for column in sorted(widths):
+            at += 2 * (column - last - 1)  # columns without text
+            starts[column] = at
+            at, last = at + widths[column] + 2, column
+        own = sum(len(x) for r in rows for _, lines in r for x in lines) + self.cells
+        aligned = sum(starts[r[-1][0]] * max(len(lines) for _, lines in r) for r in rows) <= SPREAD * own
         out = []
         for r in rows:
-            for i in range(max(map(len, r), default=0)):
-                cells = [(c[i] if i < len(c) else "").ljust(w) for c, w in zip(r, widths, strict=False)]
-                out.append("  ".join(cells).rstrip(" "))
+            for i in range(max(len(lines) for _, lines in r)):
+                line = ""
+                for column, lines in r:
+                    if i < len(lines) and lines[i]:
+                        line = (line.ljust(starts[column]) if aligned else line) + ("  " if line and (not aligned or len(line) > starts[column] - 2) else "")
+                        line += lines[i]
+                out.append(line.rstrip(" "))
         return out
 
 
@@ -314,7 +340,7 @@ def render(page: str | None) -> str | None:
         if name in ("td", "th") and opened.get("table") and boxes_of and boxes_of[-1] == "table" and stack[-1][0] != "tr":
             stack.append(("tr", shown(), not stack or stack[-1][2]))
             opened["tr"] = opened.get("tr", 0) + 1
-            tables[-1].rows.append([])
+            tables[-1].row()
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             if stack and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 close_one()
@@ -342,7 +368,7 @@ def render(page: str | None) -> str | None:
             boxes_of.append("table")
             tables.append(Table())
         elif name == "tr" and tables and boxes_of and boxes_of[-1] == "table":
-            tables[-1].rows.append([])
+            tables[-1].row()
         elif name in ("td", "th") and tables and boxes_of and boxes_of[-1] == "table":
             boxes.append(Box())
             boxes_of.append("cell")

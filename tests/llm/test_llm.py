@@ -727,6 +727,23 @@ PAGES = [
 ]
 
 
+def test_html_tables_stay_in_proportion():
+    """One long cell, wide rows of empty cells, and columns that are spanned do not make a page's text many times the page."""
+    row = "<tr><td>{}<td>b<td>c\n"
+    pages = [
+        "<table>" + row.format("x" * 20_000) + row.format("a") * 3000 + "</table>",
+        "<table><tr>" + "<td>" * 1000 + "end" + "".join("<tr>" + "<td>" * 1000 + "z" for _ in range(100)) + "</table>",
+        "<table>" + "<tr><td colspan=100><td colspan=100>y<td>" + "q" * 150 + "</table>" + "<table>" + "<tr><td colspan=100 rowspan=9>w<td>v" * 500 + "</table>",
+        "<table>" + "".join("<tr>" + "<td>" * k + "m" for k in range(500)) + "</table>",
+    ]
+    for page in pages:
+        assert len(html.render(page)) <= 20 * len(page)
+    text = html.render(pages[0]).split("\n")
+    assert text[0] == "x" * 20_000 + "  b  c" and set(text[1:]) == {"a  b  c"}
+    assert html.render("<table><tr><td>long one<td>2<tr><td>s<td>3<tr><td><td>4</table>") == "long one  2\ns         3\n          4"
+    assert html.render("<table><tr><td>a<td><td>c<tr><td>b<td colspan=2>d</table>") == "a     c\nb  d"
+
+
 @pytest.mark.parametrize("page,text", PAGES)
 def test_html(page, text):
     assert html.render(page) == text
