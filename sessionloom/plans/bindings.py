@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +15,10 @@ from ..functions import diff, secrets, text, times, wire
 from ..operators import activity, annotations, api, census, integrity, linking, messages, reports, search, sessions, timeline, tools, trees
 from ..operators.index import Index
 from ..session import checkpoint_dir
-from . import views
+from ..sinks.case import Case
+from ..sources import jsonl, manifest, sqlite
+from ..streaming import ingest as take_up
+from . import verify, views
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -418,9 +424,10 @@ def claim_parents(spark, d):
     return linking.adopt(claim_resolution(spark, d))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def unlinked(spark, d):
-    return linking.missing(views.table(spark, d, "customer").select("c_custkey"), views.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    large = views.table(spark, d, "orders").where("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey")
+    return linking.missing(views.table(spark, d, "customer").select("c_custkey"), large, ["c_custkey"])
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -627,6 +634,91 @@ def case_search_sessions(spark, d):
     return api.grouped_hits(api.search(views.Canonical(spark, d), "the Of")).withColumn("score", F.round("score", 6))
 
 
+# --- sources and sinks, on files that Spark writes from the tables -----------------------------------
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder, as a plain path, below the shared one."""
+    return f"{re.sub('^file:/+', '/', checkpoint_dir(spark))}/{name}-{uuid.uuid4().hex}"
+
+
+_LINE = "concat('{{\"turn\":', turn, ',\"role\":\"', role, '\",\"words\":\"', {w}, '\"}}')"
+_LINE_SQL = _LINE.format(w="regexp_replace(text, '[^a-zA-Z ]', 'é', 'g')")
+
+
+def _transcripts(spark, d, name: str) -> str:
+    """A folder for each conversation with its turns as lines of one file."""
+    line = F.expr(_LINE.format(w="regexp_replace(text, '[^a-zA-Z ]', 'é')"))
+    at, c = _scratch(spark, name), views.table(spark, d, "conversations")
+    c.select("conv_id", "turn", line.alias("line")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line", "conv_id").write.partitionBy("conv_id").text(at)
+    return at
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, {_LINE_SQL} AS line FROM conversations), o AS (SELECT *, row_number() OVER w - 1 AS "index", sum(strlen(line) + 1) OVER w - strlen(line) - 1 AS "offset" FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+ SELECT conv_id, "index", "index" AS nth, CAST("offset" AS BIGINT) AS "offset", CAST(strlen(line) AS BIGINT) AS length, sha256(line) AS sha256, true AS terminated FROM o""")
+def jsonl_records(spark, d):
+    """Lines of files with their places."""
+    found = jsonl.records(jsonl.lines(spark, _transcripts(spark, d, "jsonl"), "*.txt"))
+    return found.select(F.regexp_extract("path", "conv_id=(\\d+)", 1).cast("long").alias("conv_id"), "index", "nth", "offset", "length", "sha256", "terminated")
+
+
+@query(f"""SELECT conv_id, 'file' AS kind, CAST(sum(strlen(line) + 1) AS BIGINT) AS size, sha256(string_agg(line || chr(10), '' ORDER BY turn)) AS sha256 FROM (SELECT conv_id, turn, {_LINE_SQL} AS line FROM conversations) GROUP BY 1""")
+def manifest_scan(spark, d):
+    """Files of a folder of folders, listed and hashed by tasks."""
+    found = manifest.manifest(spark, _transcripts(spark, d, "manifest")).where(F.col("rel_path").rlike(r"(^|/)part-[^/]*$"))
+    return found.select(F.regexp_extract("rel_path", "conv_id=(\\d+)", 1).cast("long").alias("conv_id"), "kind", "size", "sha256")
+
+
+@query(f"""WITH f AS (SELECT string_agg(line || chr(10), '' ORDER BY turn) AS t FROM (SELECT conv_id, turn, {_LINE_SQL} AS line FROM conversations) GROUP BY conv_id) SELECT DISTINCT sha256(t) AS sha256, CAST(strlen(t) AS BIGINT) AS size, 'ok' AS state FROM f""")
+def kept_contents(spark, d):
+    """Files kept in blocks of 200 bytes, with what a verification says of them."""
+    at = _transcripts(spark, d, "contents")
+    case = Case.create(spark, _scratch(spark, "case"), "contents")
+    case.put_files(manifest.listing(spark, at).where(F.col("rel_path").rlike(r"(^|/)part-[^/]*$")), at, block=200)
+    return case.table("blobs").join(verify.blobs(case), "sha256")
+
+
+@query("""SELECT n_name AS "database", c_custkey AS "row", concat('c:', c_custkey) AS key, strlen(c_name) + 8 AS size FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 > 0""")
+def sqlite_ranges(spark, d):
+    """Databases of keys and values, one for each nation, read in ranges, the keys of one kind pushed down."""
+    at = _scratch(spark, "sqlite")
+    os.makedirs(at)
+    n = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = views.table(spark, d, "customer").join(n, "c_nationkey").select("n_name", F.col("c_custkey").cast("long").alias("row"), F.concat(F.when(F.col("c_custkey") % 3 > 0, "c:").otherwise("d:"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit("customer"), "c_name").alias("value"))
+
+    def write(key, pdf):
+        import sqlite3
+
+        import pandas as pd
+
+        with contextlib.closing(sqlite3.connect(f"{at}/{key[0]}.db")) as con:
+            con.execute("DROP TABLE IF EXISTS kv")  # where a task is repeated
+            con.execute("CREATE TABLE kv (key TEXT UNIQUE, value BLOB)")
+            con.executemany("INSERT INTO kv (rowid, key, value) VALUES (?, ?, ?)", [(int(r), k, v.encode()) for r, k, v in zip(pdf["row"], pdf["key"], pdf["value"], strict=True)])
+            con.commit()
+        return pd.DataFrame({"path": [f"{at}/{key[0]}.db"]})
+
+    paths = [r.path for r in rows.groupBy("n_name").applyInPandas(write, "path string").collect()]  # one a nation
+    found = sqlite.scan(spark, paths, "kv", rangebytes="8192").where(F.col("key").startswith("c:"))
+    return found.select(F.regexp_extract("path", "([^/]+)[.]db$", 1).alias("database"), "row", "key", "size")
+
+
+@query(_PAIRS + """ SELECT key, position AS use_position, CASE WHEN nxt = 'result' THEN nxt_position END AS result_position, CASE WHEN nxt = 'result' THEN 'paired' ELSE 'unfinished' END AS status FROM p WHERE kind = 'use'
+ UNION ALL SELECT key, NULL, position, 'unpaired' FROM p WHERE kind = 'result' AND coalesce(before, '') <> 'use'""")
+def streamed_pairs(spark, d):
+    """Uses and results that reach a case in three waves, paired as streams with keyed state."""
+    case, s = Case.create(spark, _scratch(spark, "case"), "streams"), views.stream(spark, d)
+    case.append("sessions", spark.createDataFrame([(1, 1)], "id long, root_id long"))
+    case.append("messages", spark.createDataFrame([(1, 1)], "id long, session_id long"))
+    kind = F.when(F.col("kind") == "use", "tool_use").otherwise("tool_result")
+    b = s.select(F.col("position").alias("id"), F.lit(1).alias("message_id"), kind.alias("kind"), F.col("key").cast("string").alias("tool_use_id"))
+    third = b.agg(((F.max("id") + 1) / 3).cast("long")).first()[0]
+    for wave in range(3):
+        case.append("blocks", b.where((F.col("id") >= wave * third) & ((F.col("id") < (wave + 1) * third) | F.lit(wave == 2))))
+        take_up.advance(case)
+    return take_up.pairs(case).select(F.col("tool_use_id").cast("long").alias("key"), "use_position", "result_position", "status")
+
+
 # --- annotations, reports, raw bytes ---------------------------------------------------------------
 
 _STANDING = "standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS r FROM k_notes) WHERE r = 1 AND NOT deleted)"
