@@ -113,6 +113,39 @@ NEARDUP_SQL = f"""WITH RECURSIVE {_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTU
   SELECT r.node AS doc_id, coalesce(max(z.n), 0) AS n_shingles, min(r.seen) AS component_id, r.node = min(r.seen) AS kept FROM r LEFT JOIN z ON z.doc_id = r.node GROUP BY r.node"""
 
 
+def _crc32_sql(number: str) -> str:
+    """The checksum of a number in decimal."""
+    step = f"list_reduce(list_prepend(xor(s, b), [{', '.join(['0::UBIGINT'] * 8)}]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda s, b: {step}), 4294967295::UBIGINT)"
+
+
+def _tree_sql(name: str, leaves: str, levels: int) -> str:
+    """Common tables of a forest with leaves (tree, k, hash, number of leaves): its nodes by level, and for each node what stands to the left and right in its run."""
+    made = [f"{name}0(tree, k, h, n) AS ({leaves})"]
+    made += [f"{name}{i + 1}(tree, k, h, n) AS (SELECT tree, k // 3, sha256(string_agg(h, '' ORDER BY k)), (n + 2) // 3 FROM {name}{i} WHERE n > 1 GROUP BY tree, k // 3, n)" for i in range(levels)]
+    side = lambda rows: f"coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, k // 3 ORDER BY k ROWS BETWEEN {rows}), '')"
+    made.append(f"{name}_nodes AS ({' UNION ALL '.join(f'SELECT {i} AS level, * FROM {name}{i}' for i in range(levels + 1))})")
+    made.append(f"{name}_steps AS (SELECT tree, level, k, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} || '|' || {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS step FROM {name}_nodes WHERE n > 1)")
+    return ", ".join(made)
+
+
+def _merkle_sql(levels: int = 14) -> str:
+    """Whole trees, level by level; each row's version is folded along its path."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(map(part, ('doc_id', 'source', 'lang', 'n_chars', text)))}))"
+    above = lambda name, k: f"{name}.k = {k} // CAST(power(3, {name}.level) AS BIGINT)"
+    tampered = leaf("replace(text, chr(10), '')")
+    return f"""WITH d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_crc32_sql("doc_id")} % 2 = 0 THEN {tampered} ELSE {leaf("text")} END AS now FROM documents),
+  p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n FROM d),
+  {_tree_sql("a", "SELECT tree, k, leaf, n FROM p", levels)}, {_tree_sql("b", "SELECT 0, tree, h, count(*) OVER () FROM a_nodes WHERE n = 1", levels)},
+  s AS (SELECT p.tree, p.k, 0 AS part, a.level, a.step FROM p JOIN a_steps a ON a.tree = p.tree AND {above("a", "p.k")} UNION ALL SELECT p.tree, p.k, 1, b.level, b.step FROM p JOIN b_steps b ON {above("b", "p.tree")}),
+  w AS (SELECT tree, k, list(step ORDER BY part, level) AS steps FROM s GROUP BY tree, k),
+  f AS (SELECT p.doc_id, p.leaf, a.h AS subroot, b.h AS root, sha256(array_to_string(list_transform(coalesce(steps, []), lambda x: replace(x, '|', '')), '')) AS proof_sha256,
+    list_reduce(list_prepend(p.now, coalesce(steps, [])), lambda node, x: sha256(split_part(x, '|', 1) || node || split_part(x, '|', 2))) AS folded_root
+    FROM p JOIN a_nodes a ON a.tree = p.tree AND a.n = 1 JOIN b_nodes b ON b.n = 1 LEFT JOIN w ON w.tree = p.tree AND w.k = p.k)
+  SELECT *, folded_root = root AS verified FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests compare the others with brute force."""
-    return {"op7_substrings": SUBSTRINGS_SQL, "op8_neardup": NEARDUP_SQL}
+    return {"op7_substrings": SUBSTRINGS_SQL, "op8_neardup": NEARDUP_SQL, "op11_merkle": _merkle_sql()}
