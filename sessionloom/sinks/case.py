@@ -51,10 +51,11 @@ class Case:
 
     def put_blobs(self, rows: DataFrame) -> None:
         """Adds contents (content binary) that are not there yet."""
-        found = rows.select(F.sha2("content", 256).alias("sha256"), F.lit(0).cast("long").alias("at"), "content").join(self.table("blob_contents").select("sha256"), "sha256", "left_anti")
-        staged = self.stage(found.dropDuplicates(["sha256"]))
+        found = rows.select(F.sha2("content", 256).alias("sha256"), "content").join(self.table("blob_contents").select("sha256"), "sha256", "left_anti")
+        staged = self.stage(contents.split(found.dropDuplicates(["sha256"])))
         self.append("blob_contents", staged)
-        self.append("blobs", staged.select("sha256", F.octet_length("content").cast("long").alias("size")).join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
+        sizes = staged.groupBy("sha256").agg(F.sum(F.length("content")).cast("long").alias("size"))
+        self.append("blobs", sizes.join(self.table("blobs").select("sha256"), "sha256", "left_anti"))
 
     def put_files(self, files: DataFrame, root: str, block: int = contents.BLOCK) -> None:
         """Adds the contents of files (rel_path, encoded) below a root that are not there yet, of any size; each file is read once. What cannot be read is left out."""

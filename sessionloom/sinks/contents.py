@@ -1,6 +1,6 @@
 """Contents of files in blocks: each file is read once, kept under its hash, verified and read by range, whatever its size.
 
-A block is a row of at most BLOCK bytes with the place of its first byte. The hash of a file is carried over its blocks in order while they are read, so a task
+A block is a row of at most BLOCK bytes with the place of its first byte; blocks are small, as Spark's readers hold some thousand rows at a time. The hash of a file is carried over its blocks in order while they are read, so a task
 holds one block at a time; the file's last row bears the hash.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import percent_decode
 
-BLOCK = 8 << 20
+#: Bytes of a block, and of the blocks that leave a task together.
+BLOCK, BATCH = 32 << 10, 4 << 20
 _READ = pa.schema([("rel_path", pa.string()), ("encoded", pa.bool_()), ("at", pa.int64()), ("content", pa.binary()), ("sha256", pa.string()), ("size", pa.int64()), ("error", pa.string())])
 
 
@@ -40,16 +41,32 @@ def read(files: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
         except OSError as e:
             yield rel, encoded, None, None, None, None, e.strerror or str(e)
 
+    def taken(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+
     def run(batches):
+        rows, size = [], 0
         for b in batches:
             for rel, encoded in zip(b["rel_path"].to_pylist(), b["encoded"].to_pylist(), strict=True):
                 for row in blocks(rel, encoded):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _READ, strict=True)], schema=_READ)
+                    rows.append(row)
+                    size += len(row[3] or b"") + 200
+                    if size > BATCH:
+                        yield taken(rows)
+                        rows, size = [], 0
+        if rows:
+            yield taken(rows)
 
     wanted = files.select("rel_path", "encoded")
     return wanted.repartition(max(1, -(-wanted.count() // 16)), "rel_path").mapInArrow(run, "rel_path string, encoded boolean, at long, content binary, sha256 string, size long, error string")
 
 
+def split(contents: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The blocks (sha256, at, content) of contents (sha256, content) that are at hand as a whole."""
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.length("content") - 1, F.lit(0)).cast("long"), F.lit(block).cast("long")))
+    return contents.select("sha256", "content", at.alias("at")).select("sha256", "at", F.substring(F.col("content"), (F.col("at") + 1).cast("int"), F.lit(block)).alias("content"))
+
+
 def states(held: DataFrame) -> DataFrame:
     """sha256, good: whether the blocks kept under a hash (sha256, at, content) are what it says. Contents of one block are hashed where they lie; those of several are dealt by hash and hashed block by block in order. Blocks that are kept twice are damage."""
     several = held.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1").select("sha256")

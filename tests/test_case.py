@@ -84,6 +84,8 @@ def test_contents_are_kept_in_blocks(spark, case, tmp_path):
 
 
 def test_previews_of_contents(spark, case):
+    case.put_blobs(spark.createDataFrame([(bytearray(b"ab" * 50_000),), (bytearray(b"ab" * 50_000),)], "content binary"))
+    assert case.table("blob_contents").count() == 4 and case.table("blobs").first()["size"] == 100_000 and [r.state for r in verify.blobs(case).collect()] == ["ok"]
     rows = [b"plain", "cut é".encode()[:-1], "cut \U0001f600".encode()[:-1], b"\xffno", b"nul\0", b"", "é".encode() + b"\xe9x", b"a" * 20]
     case.put_blobs(spark.createDataFrame([(bytearray(x),) for x in rows], "content binary"))
     from sessionloom.functions.diff import is_binary
