@@ -321,6 +321,30 @@ def test_neighbours(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
 
 
+def test_neighbours_of_unusual_vectors(spark):
+    """Vectors in a narrow cone, and vectors of which some have far nearer neighbours than the usual ones: as brute force finds them."""
+    rng = np.random.default_rng(28)
+    mixed = rng.standard_normal((4000, 24))
+    close = rng.random(4000) < 0.6
+    mixed[close] = (rng.standard_normal((20, 24))[rng.integers(0, 20, 4000)] + 0.02 * rng.standard_normal((4000, 24)))[close]
+    for x in (rng.standard_normal((4000, 24)) + 4, mixed):
+        x = x.astype(np.float32)
+        got = neighbours.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), block=1000).collect()
+        y = x.astype(np.float64)
+        y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+        found = {(r.query_id, r["rank"]): r.vec_id for r in got}
+        for q in range(0, 4000, 50):
+            s = y @ y[q]
+            s[q] = -9
+            assert [found[q, r] for r in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
+def test_leaves_are_left_out_only_where_they_hold_nothing_nearer():
+    widest, cosines = np.cos([0.2, 0.2, 0.9]), np.cos([[0.5, 1.2, 1.2]])
+    assert neighbours.possible(cosines, np.array([*widest[:2], 2.0]), np.cos([0.6])).tolist() == [[True, False, False]]
+    assert neighbours.possible(cosines, widest, np.array([-2.0])).all() and neighbours.possible(cosines, widest, np.cos([0.31])).tolist() == [[True, False, True]]
+
+
 def test_forest_search_is_sure_enough():
     """Recall against brute force and the share of vectors that are compared: clustered vectors need few, random directions many."""
     rng = np.random.default_rng(18)
