@@ -257,6 +257,28 @@ def test_ranking_is_that_of_bradley_and_terry():
     assert [len(x) for x in quality.pairs_of(2, 5)] == [10, 10]
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """6,000 labelled rows, a thirtieth of them bad: mean, weights and threshold are those of all rows, in one group and in several."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(("A!" if i % 30 == 0 and rng.random() < 0.9 else "b") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30)))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 30 > 0).cast("int").alias("quality"))
+    used = [(r, t) for r, t in rows if zlib.crc32(str(r).encode()) % 5]
+    x, y = np.stack([quality.features(t) for _, t in used]), np.array([r % 30 > 0 for r, _ in used])
+    monkeypatch.setattr(quality, "STRENGTHS", 100)
+    for group in (10_000, 500):
+        monkeypatch.setattr(quality, "GROUP", group)
+        m = quality.fit(docs, labels)
+        assert np.allclose(m.mean, x.mean(axis=0), atol=1e-5) and np.allclose(m.spread, np.maximum(x.std(axis=0), 1e-3), atol=1e-5)
+        s = m.strength(x.astype(np.float32))
+        assert m.threshold == pytest.approx(quality.quantile(np.round(s, 9), np.ones(len(s)), 1 - y.mean()), abs=1e-6)
+        assert ((s > m.threshold) == y).mean() > 0.97
+        if group == 10_000:
+            z = (x.astype(np.float32) - m.mean) / m.spread
+            first, second = quality.pairs_of(int(y.sum()), int((~y).sum()))
+            assert np.allclose(m.weights, quality.train(z[y][first] - z[~y][second]), atol=1e-4)
+
+
 def test_features_do_not_depend_on_parts(monkeypatch):
     rng = random.Random(2)
     text = " ".join("".join(rng.choices("abXY9é|!\n", k=rng.randrange(1, 9))) for _ in range(3000))
