@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -647,10 +648,32 @@ _LINE_SQL = _LINE.format(w="regexp_replace(text, '[^a-zA-Z ]', 'é', 'g')")
 
 
 def _transcripts(spark, d, name: str) -> str:
-    """A folder for each conversation with its turns as lines of one file."""
+    """A folder for each conversation with its turns as lines of one file. Tasks write the files themselves, one open at a time: Spark's writer starts processes for each file, and its driver moves them one by one."""
     line = F.expr(_LINE.format(w="regexp_replace(text, '[^a-zA-Z ]', 'é')"))
     at, c = _scratch(spark, name), views.table(spark, d, "conversations")
-    c.select("conv_id", "turn", line.alias("line")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("line", "conv_id").write.partitionBy("conv_id").text(at)
+
+    def write(batches):
+        file, of, n = None, None, 0
+        made = f".{uuid.uuid4().hex}"  # a repeated task writes beside the first one
+
+        def done():
+            file.close()
+            os.replace(file.name, os.path.join(os.path.dirname(file.name), "part-0.txt"))
+
+        for b in batches:
+            for conv, text in zip(b["conv_id"].to_pylist(), b["line"].to_pylist(), strict=True):
+                if file is None or conv != of:
+                    if file is not None:
+                        done()
+                    os.makedirs(folder := f"{at}/conv_id={conv}", exist_ok=True)
+                    file, of, n = open(f"{folder}/{made}", "wb"), conv, n + 1
+                file.write((text or "").encode() + b"\n")
+        if file is not None:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    os.makedirs(at)
+    c.select("conv_id", "turn", line.alias("line")).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "line").mapInArrow(write, "files long").agg(F.sum("files")).first()
     return at
 
 

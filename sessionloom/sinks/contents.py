@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import percent_decode
+from ..sources.manifest import tasks
 
 #: Bytes of a block, and of the blocks that leave a task together.
 BLOCK, BATCH = 32 << 10, 4 << 20
@@ -58,7 +59,7 @@ def read(files: DataFrame, root: str, block: int = BLOCK) -> DataFrame:
             yield taken(rows)
 
     wanted = files.select("rel_path", "encoded")
-    return wanted.repartition(max(1, -(-wanted.count() // 16)), "rel_path").mapInArrow(run, "rel_path string, encoded boolean, at long, content binary, sha256 string, size long, error string")
+    return wanted.repartition(tasks(wanted.count(), 16, 1024), "rel_path").mapInArrow(run, "rel_path string, encoded boolean, at long, content binary, sha256 string, size long, error string")
 
 
 def split(contents: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -24,12 +24,17 @@ from ..session import cut
 COLUMNS = "rel_path string, encoded boolean, kind string, size long, mtime string, ctime string, atime string, error string"
 _SCHEMA = pa.schema([("raw", pa.binary()), ("rel_path", pa.string()), ("encoded", pa.bool_()), ("kind", pa.string()), ("size", pa.int64()), ("mtime", pa.string()), ("ctime", pa.string()), ("atime", pa.string()), ("error", pa.string())])
 
-#: Directories that one task lists, and files that one task hashes, at least.
-DIRECTORIES, FILES = 64, 64
+#: Directories that one task lists, and files that one task hashes, at least; beyond TASKS tasks each takes more, one after the other.
+DIRECTORIES, FILES, TASKS = 64, 64, 256
 #: Rows that leave a task together.
 ROWS = 4096
 
 
+def tasks(n: int, each: int, most: int = TASKS) -> int:
+    """Tasks for n things, of which one task takes `each` at least."""
+    return max(1, min(most, -(-n // each)))
+
+
 def _stamp(seconds: float) -> str:
     at = datetime.datetime.fromtimestamp(seconds, datetime.UTC)
     return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
@@ -80,7 +85,7 @@ def listing(spark: SparkSession, root: str, depth: int | None = None) -> DataFra
     found, n, level = spark.createDataFrame([], "raw binary, " + COLUMNS), 1, 0
     frontier = spark.createDataFrame([(bytearray(b""),)], "raw binary")
     while n and (depth is None or level < depth):
-        here = cut(frontier.repartition(-(-n // DIRECTORIES), "raw").mapInArrow(listed, "raw binary, " + COLUMNS))
+        here = cut(frontier.repartition(tasks(n, DIRECTORIES), "raw").mapInArrow(listed, "raw binary, " + COLUMNS))
         found, frontier, level = found.unionAll(here), here.where("kind = 'dir'").select("raw"), level + 1
         n = frontier.count()
     return found.drop("raw")
@@ -113,7 +118,7 @@ def hashed(rows: DataFrame, root: str, links: bool = True, chunk: int = 64 << 10
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     wanted = rows.where("kind <> 'dir'")
-    return wanted.repartition(max(1, -(-wanted.count() // FILES)), "rel_path").mapInArrow(each, COLUMNS + ", sha256 string")
+    return wanted.repartition(tasks(wanted.count(), FILES), "rel_path").mapInArrow(each, COLUMNS + ", sha256 string")
 
 
 def manifest(spark: SparkSession, root: str, links: bool = False) -> DataFrame:

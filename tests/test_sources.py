@@ -1,3 +1,4 @@
+import contextlib
 import hashlib
 import json
 import sqlite3
@@ -282,3 +283,22 @@ def test_nested_many_sessions(spark):
     df = spark.range(n).select("id", F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") - 1).alias("parent_id"))
     assert {tuple(r) for r in trees.nested(spark, df).groupBy("depth").count().collect()} == {(k, n // 4) for k in range(4)}
     assert trees.ancestors(spark, df).count() == n // 4 * 6
+
+
+def test_tasks_grow_no_further_than_a_bound():
+    assert [manifest.tasks(n, 64) for n in (0, 64, 65, 10**7)] == [1, 1, 2, manifest.TASKS]
+
+
+def test_transcripts_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """One file in each folder, with lines in order of turns, and no file of Spark's writer beside it."""
+    import os
+
+    from sessionloom.plans import bindings
+
+    monkeypatch.setattr(bindings, "_scratch", lambda spark, name: str(tmp_path / name))
+    rows = [(c, t, "user", f"a{t}" if t else None) for c in range(30) for t in (2, 0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    at = bindings._transcripts(spark, str(tmp_path), "t")
+    assert sorted(os.listdir(at)) == sorted(f"conv_id={c}" for c in range(30)) and {tuple(os.listdir(f"{at}/conv_id={c}")) for c in range(30)} == {("part-0.txt",)}
+    with open(f"{at}/conv_id=7/part-0.txt", "rb") as f:
+        assert f.read().split(b"\n")[1:] == [b'{"turn":1,"role":"user","words":"a\xc3\xa9"}', b'{"turn":2,"role":"user","words":"a\xc3\xa9"}', b""]
