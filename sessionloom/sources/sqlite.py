@@ -4,7 +4,7 @@ Options: path (one file, or several parted by line breaks), table, prefix (of th
 a range), maxBytes (longer values are left null, their length is given), rangeBytes (bytes of a file for each
 range), wal (apply a write-ahead log of up to 256 MiB to a private copy). Only ordinary tables are read; views and virtual tables count as absent.
 
-How many ranges a file has follows from its size alone. Each task asks the database itself for the bounds of its row numbers
+How many ranges a file has follows from sizes alone; where there would be more than RANGES in all, ranges are longer. Each task asks the database itself for the bounds of its row numbers
 and takes its share of them, so the driver opens no database; rows come in order within a range and ranges in order of their
 numbers. A file whose log has to be applied is one range, as each task would need a copy of its own.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
-WAL_CAP, VALUE_CAP, RANGE = 256 << 20, 64 << 20, 128 << 20
+WAL_CAP, VALUE_CAP, RANGE, RANGES = 256 << 20, 64 << 20, 128 << 20, 1024
 
 
 def connect(path: str, immutable: bool = True) -> sqlite3.Connection:
@@ -87,7 +87,7 @@ class _Range(InputPartition):
 
 def _bounds(con: sqlite3.Connection, table: str, number: int, of: int) -> tuple[int, int] | None:
     """The least row number of a range and that of the next one. None where the table is empty."""
-    least, most = con.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+    least, most = con.execute(f"SELECT (SELECT min(rowid) FROM {table}), (SELECT max(rowid) FROM {table})").fetchone()  # both in one SELECT would be a scan
     if least is None:
         return None
     at = lambda k: least + (most - least + 1) * k // of
@@ -111,13 +111,14 @@ class SqliteReader(DataSourceReader):
             yield f  # applied again by Spark
 
     def partitions(self):
-        return [_Range(p, k, n) for p in self.paths for n in [self._ranges(p)] for k in range(n)]
+        length = max(self.range, sum(os.path.getsize(p) for p in self.paths if os.path.exists(p)) // RANGES)
+        return [_Range(p, k, n) for p in self.paths for n in [self._ranges(p, length)] for k in range(n)]
 
-    def _ranges(self, path: str) -> int:
+    def _ranges(self, path: str, length: int) -> int:
         log = path + "-wal"
         if self.wal and os.path.exists(log) and os.path.getsize(log) > 0:
             return 1
-        return max(1, -(-os.path.getsize(path) // self.range)) if os.path.exists(path) else 1
+        return max(1, -(-os.path.getsize(path) // length)) if os.path.exists(path) else 1
 
     def read(self, partition):
         with opened(partition.path, self.wal) as (con, applied):
@@ -133,7 +134,9 @@ class SqliteReader(DataSourceReader):
                 if (bounds := _bounds(con, q(self.table), partition.number, partition.of)) is None:
                     return
                 where, values = [*where, "rowid >= ?", "rowid < ?"], [*values, *bounds]
-            sql = f"SELECT rowid, k, n, CASE WHEN n <= {self.cap} THEN v END FROM (SELECT rowid, {q(self.key)} AS k, CAST({q(self.value)} AS BLOB) AS v, length(CAST({q(self.value)} AS BLOB)) AS n FROM {q(self.table)})"
+            # by an index of keys each range would come to the keys of all ranges
+            rows = q(self.table) + (" NOT INDEXED" if partition.of > 1 and self.equal is None else "")
+            sql = f"SELECT rowid, k, n, CASE WHEN n <= {self.cap} THEN v END FROM (SELECT rowid, {q(self.key)} AS k, CAST({q(self.value)} AS BLOB) AS v, length(CAST({q(self.value)} AS BLOB)) AS n FROM {rows})"
             for rowid, k, n, v in con.execute(sql + (" WHERE " + " AND ".join(where) if where else "") + " ORDER BY rowid", values):
                 yield partition.path, rowid, k.decode("utf-8", "replace") if isinstance(k, bytes) else None if k is None else str(k), n, v, applied
 

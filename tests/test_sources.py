@@ -285,6 +285,42 @@ def test_nested_many_sessions(spark):
     assert trees.ancestors(spark, df).count() == n // 4 * 6
 
 
+def test_ranges_of_a_database_read_their_own_rows(tmp_path, monkeypatch):
+    """No range comes to rows of another one, by the plan that SQLite makes; more ranges than RANGES are put together."""
+    import sqlite3
+
+    path = str(tmp_path / "a.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE kv (key TEXT UNIQUE, value BLOB)")
+        con.executemany("INSERT INTO kv VALUES (?, ?)", [(f"c:{i}" if i % 3 else f"d:{i}", b"v" * 50) for i in range(4000)])
+    con.close()
+    plans, opened = [], sqlite.opened
+
+    class Seen:
+        def __init__(self, con):
+            self.con = con
+
+        def execute(self, sql, values=()):
+            plans.extend(bytes(r[3]).decode() if isinstance(r[3], bytes) else r[3] for r in self.con.execute("EXPLAIN QUERY PLAN " + sql, values))
+            return self.con.execute(sql, values)
+
+    @contextlib.contextmanager
+    def watched(*a):
+        with opened(*a) as (con, applied):
+            yield Seen(con), applied
+
+    monkeypatch.setattr(sqlite, "opened", watched)
+    reader = sqlite.SqliteReader({"path": path, "table": "kv", "prefix": "c:", "rangebytes": "8192"})
+    ranges = reader.partitions()
+    rows = [r for x in ranges for r in reader.read(x)]
+    assert len(ranges) > 10 and [r[1] for r in rows] == [i + 1 for i in range(4000) if i % 3]
+    assert not [p for p in plans if p.startswith(("SCAN kv", "SEARCH kv")) and "INTEGER PRIMARY KEY" in p and "rowid>" not in p and "rowid<" not in p] and not [p for p in plans if "autoindex_kv" in p and "key>" in p]
+    assert not [p for p in plans if p == "SCAN kv"]
+    monkeypatch.setattr(sqlite, "RANGES", 4)
+    fewer = reader.partitions()
+    assert len(fewer) <= 5 and [r for x in fewer for r in reader.read(x)] == rows
+
+
 def test_tasks_grow_no_further_than_a_bound():
     assert [manifest.tasks(n, 64) for n in (0, 64, 65, 10**7)] == [1, 1, 2, manifest.TASKS]
 
