@@ -1,7 +1,7 @@
 """A kept full-text index that is added to, in segments.
 
-A segment holds the tokens of the documents that one call of `add` brought, in folders by hash of the token, and a row for each of these documents with its length and a mark of
-its text. Documents whose mark is known are not taken apart again. Of a document in several segments the newest row counts, so a changed document
+A segment holds the tokens of the documents that one call of `add` brought, in folders by hash of the token, a row for each block of documents and folder, and a row for each of these documents with its length and a mark of
+its text. Both come from one pass over the texts, so each new text is taken apart once. Documents whose mark is known are not taken apart again. Of a document in several segments the newest row counts, so a changed document
 cancels its older tokens, and a row without length takes a document out. A segment counts once it stands in the log, which is written last; what a failed
 call leaves behind is never read. More than MOST segments are merged, rows that were cancelled left out. A query reads the folders of its own tokens alone, in all segments.
 """
@@ -9,17 +9,18 @@ call leaves behind is never read. More than MOST segments are merged, rows that
 from __future__ import annotations
 
 import uuid
-import zlib
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import search
 
-#: Folders of a segment by hash of the token, files of a folder by hash of the document, segments that may stand side by side.
-BUCKETS, SPLITS, MOST = 64, 16, 8
+#: Files of a folder by hash of the block, segments that may stand side by side. Folders are the buckets of the token table's pages.
+SPLITS, MOST = 16, 8
 
 _DOCS = "doc long, length long, mark long"
+_PAGES = search.PAGE.format(doc="long")
 _LOG = "number long, name string, documents long, cancels long, replaced array<string>"
 
 
@@ -40,7 +41,7 @@ class Index:
 
     def _read(self, part: str, schema: str) -> DataFrame:
         """Rows of a part of all segments, with the number of the segment."""
-        out = self.spark.createDataFrame([], f"{schema}, segment long")
+        out = self.spark.range(0).selectExpr(*(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in f"{schema}, segment long".split(", ")))).where("false")  # known to be empty as it is planned
         for number, name, _ in self.segments():
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{part}").withColumn("segment", F.lit(number).cast("long")))
         return out
@@ -63,7 +64,9 @@ class Index:
         found = rows.join(known, "doc", "left").where(~F.coalesce(F.col("there") & (F.col("was") == F.col("mark")), F.lit(False)))
         named = found.select("doc", "mark", F.col("was").isNotNull().alias("again"), *(F.col(f"field {i}").alias(f) for i, f in enumerate(fields)))
         name = f"segment-{uuid.uuid4().hex}"
-        kept = search.lengths(named.withColumn("key", F.struct("doc", "mark", "again")), "key", fields).select("doc.doc", "length", "doc.mark", "doc.again")
+        self._tokens(search.postings(named, "doc", fields, ("mark", "again")), name)
+        blocks = self.spark.read.schema(f"{_PAGES}, mark array<long>, again array<boolean>").parquet(f"{self.path}/{name}/tokens").where(F.col("bucket") == search.WHOLE)
+        kept = blocks.select(F.inline(F.arrays_zip("doc", "pos", "mark", "again"))).select("doc", F.col("pos").cast("long").alias("length"), "mark", "again")
         if whole:
             gone = known.where("there").join(rows.select("doc"), "doc", "left_anti").select("doc", F.lit(None).cast("long").alias("length"), F.lit(0).cast("long").alias("mark"), F.lit(True).alias("again"))
             kept = kept.unionByName(gone)
@@ -71,38 +74,44 @@ class Index:
         some = self.spark.read.parquet(f"{self.path}/{name}/documents").agg(F.count("*").alias("n"), F.count("length").alias("new"), F.count_if("again").alias("cancels")).first()
         if not some["n"]:
             return 0
-        self._tokens(search.postings(named, "doc", fields), name)
         self._log(name, some["n"], some["cancels"], [])
         if len(self.segments()) > MOST:
             self.merge()
         return some["new"]
 
-    def _tokens(self, rows: DataFrame, name: str) -> None:
-        """Writes a token table in folders by hash of the token. The rows of a frequent token are dealt to several files by document."""
-        bucket = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BUCKETS)).cast("int")
-        rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{self.path}/{name}/tokens")
+    def _tokens(self, pages: DataFrame, name: str) -> None:
+        """Writes a token table in folders by bucket. The pages of one are dealt to several files by block."""
+        pages.repartition("bucket", F.pmod(F.xxhash64(F.get("doc", F.lit(0))), F.lit(SPLITS))).sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/tokens")
 
     def _log(self, name: str, n: int, cancels: int, replaced: list[str]) -> None:
         number = max((k for k, _, _ in self.segments()), default=0) + 1
         self.spark.createDataFrame([(number, name, n, cancels, replaced)], _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
-    def _postings(self, wanted: list[str] | None) -> DataFrame:
+    def _places(self, wanted: list[str] | None) -> DataFrame:
         """doc, field, pos, token of the documents that count; of the tokens that are wanted, read from their folders alone."""
-        rows = self._read("tokens", "doc long, field string, pos int, token string, bucket int")
-        if wanted is not None:
-            rows = rows.where(F.col("bucket").isin(*{zlib.crc32(t.encode()) % BUCKETS for t in wanted}) & F.col("token").isin(*set(wanted)))
+        rows = search.places(self._read("tokens", _PAGES), wanted, "bucket", "segment")
         if any(cancels for _, _, cancels in self.segments()):
             rows = rows.join(self.documents().where("length is not null").select("doc", "segment"), ["doc", "segment"], "left_semi")
-        return rows.select("doc", "field", "pos", "token")
+        return rows.select("doc", "field", "pos", "token", "bucket")
 
     def phrase(self, query: str) -> DataFrame:
         """doc, field, n of the documents that hold the query as a phrase."""
-        return search.phrase(self._postings(search.query_tokens(query)), query)
+        return search.adjacent(self._places(search.query_tokens(query)), query)
 
     def merge(self) -> None:
         """Puts all segments together into one; older ones are no longer read."""
         old, name = [n for _, n, _ in self.segments()], f"segment-{uuid.uuid4().hex}"
-        self._tokens(self._postings(None), name)
+        places = self._places(None)
+        dealt = places.repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS))).sortWithinPartitions("bucket", "field", "token", "doc", "pos")
+        self._tokens(dealt.mapInArrow(_paged, _PAGES), name)
         live = self.documents().where("length is not null").select("doc", "length", "mark")
         live.write.parquet(f"{self.path}/{name}/documents")
         self._log(name, live.count(), 0, old)
+
+
+def _paged(batches):
+    """Pages of places that come in order of field and token."""
+    for batch in batches:
+        for field in batch.column("field").unique().to_pylist():
+            some = batch.filter(pc.equal(batch.column("field"), field))
+            yield search.pages(field, some.column("token"), some.column("doc"), some.column("pos").to_numpy(), {})

@@ -8,7 +8,10 @@ the query's tokens as plain text first and takes only texts that hold them all a
 import functools
 import re
 import unicodedata
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from ..session import cut
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+#: Tokens of a block of documents, which ends with the document that brings it to so many; pages of a block by hash of the token, and the mark of the page that lists its documents.
+BLOCK, BUCKETS, WHOLE = 1 << 18, 64, -1
+#: A page: the places of some tokens in a field of a block. ends: of each token the end of its places among all.
+PAGE = "bucket int, field string, token array<string>, ends array<int>, doc array<{doc}>, pos array<int>"
 
 
 @functools.cache
@@ -41,10 +48,66 @@ def tokens_of(text):
     return F.regexp_extract_all(folded(text), F.lit(TOKEN), 0)
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The token table of several fields, in one pass over the documents."""
-    texts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
-    return docs.select(F.col(key).alias("doc"), F.explode(texts).alias("x")).select("doc", "x.field", F.posexplode(tokens_of(F.col("x.text"))).alias("pos", "token"))
+def postings(docs: DataFrame, key: str, fields: list[str], beside: tuple[str, ...] = ()) -> DataFrame:
+    """The token table of several fields as pages, in one pass over the documents.
+
+    The page WHOLE of a block has no tokens: it lists all the documents, those without tokens too, with the number of tokens of each as pos and the columns beside as further lists."""
+    rows = docs.select(F.col(key).alias("doc"), *beside, *(F.coalesce(tokens_of(F.col(f).cast("string")), F.array().cast("array<string>")).alias(f"_tokens {i}") for i, f in enumerate(fields)))
+    of = {c: rows.schema[c].dataType.simpleString() for c in ("doc", *beside)}
+
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(f"_tokens {i}") for i in range(len(fields))]
+            sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]
+            all_ = np.sum(sizes, axis=0, dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(all_) // BLOCK)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(all_)], strict=True):
+                doc, more = batch.column("doc").slice(start, end - start), {c: batch.column(c).slice(start, end - start) for c in beside}
+                if len(doc):
+                    yield _pages([WHOLE], None, pa.array([], pa.string()), [], [0, 0], doc, all_[start:end], [0, len(doc)], more)
+                for field, tokens, size in zip(fields, lists, sizes, strict=True):
+                    n = size[start:end]
+                    row = np.repeat(np.arange(len(n)), n)
+                    pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    yield pages(field, tokens.slice(start, end - start).flatten(), doc.take(pa.array(row)), pos, {c: x.slice(0, 0) for c, x in more.items()})
+
+    return rows.mapInArrow(run, PAGE.format(doc=of["doc"]) + "".join(f", `{c}` array<{of[c]}>" for c in beside))
+
+
+def pages(field: str, tokens: pa.Array, doc: pa.Array, pos: np.ndarray, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The pages of some places in a field, one for each bucket: places grouped by token, else in their order."""
+    words = tokens.dictionary_encode()
+    bucket = np.array([zlib.crc32(t) for t in words.dictionary.cast(pa.binary()).to_pylist()], np.int64) % BUCKETS
+    by_bucket = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(by_bucket)
+    rank[by_bucket] = np.arange(len(by_bucket))
+    code = rank[words.indices.to_numpy()]
+    order = np.argsort(code, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(rank)))])
+    some, first = np.unique(bucket[by_bucket], return_index=True)
+    cuts = np.append(first, len(rank))  # of the tokens, between buckets
+    within = ends[1:] - np.repeat(ends[cuts[:-1]], np.diff(cuts))
+    return _pages(some, field, words.dictionary.take(pa.array(by_bucket)), within, cuts, doc.take(pa.array(order)), pos[order], ends[cuts], more)
+
+
+def _pages(buckets, field: str | None, tokens: pa.Array, ends, cuts, doc: pa.Array, pos, doc_cuts, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Pages from their lists end to end; cuts and doc_cuts are where those of tokens and of documents begin and end. More is for a single page, or empty."""
+    lists = {"token": (tokens, cuts), "ends": (pa.array(ends, pa.int32()), cuts), "doc": (doc, doc_cuts), "pos": (pa.array(pos, pa.int32()), doc_cuts)}
+    lists |= {c: (x, np.linspace(0, len(x), len(buckets) + 1)) for c, x in more.items()}
+    columns = {"bucket": pa.array(buckets, pa.int32()), "field": pa.array([field] * len(buckets), pa.string())}
+    return pa.RecordBatch.from_pydict(columns | {c: pa.ListArray.from_arrays(pa.array(np.asarray(at, np.int32)), x) for c, (x, at) in lists.items()})
+
+
+def places(table: DataFrame, wanted: list[str] | None, *keep: str) -> DataFrame:
+    """A row for each place in a token table: token, field, doc, pos and what else is to be kept; of the tokens that are wanted."""
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    size = lambda i: F.get("ends", i) - start(i)
+    of = lambda t, i: F.struct(t.alias("token"), F.slice("doc", start(i) + 1, size(i)).alias("doc"), F.slice("pos", start(i) + 1, size(i)).alias("pos"))
+    rows = table.where(F.col("bucket") != WHOLE)
+    if wanted is not None:
+        rows = rows.where(F.col("bucket").isin(*{zlib.crc32(t.encode()) % BUCKETS for t in wanted}))
+    each = F.transform("token", lambda t, i: of(t, i) if wanted is None else F.when(t.isin(*set(wanted)), of(t, i)))
+    return rows.select(*keep, "field", F.inline(F.filter(each, lambda x: x.isNotNull()))).select(*keep, "token", "field", F.inline(F.arrays_zip("doc", "pos")))
 
 
 def lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -81,13 +144,17 @@ def phrases(docs: DataFrame, key: str, fields: list[str], query: str) -> DataFra
 
 
 def phrase(index_: DataFrame, query: str) -> DataFrame:
-    """doc, field, n: from a token table, where the query's tokens follow each other. One pass: a hit of token i at place p votes for a start at p - i."""
+    """doc, field, n: from a token table, where the query's tokens follow each other."""
+    return adjacent(places(index_, query_tokens(query)), query)
+
+
+def adjacent(found: DataFrame, query: str) -> DataFrame:
+    """doc, field, n: from the places of a query's tokens, where they follow each other. One pass: a hit of token i at place p votes for a start at p - i."""
     wanted = query_tokens(query)
     if not wanted:
-        return index_.sparkSession.createDataFrame([], "doc long, field string, n long")
-    hits = index_.where(F.col("token").isin(*set(wanted)))
+        return found.sparkSession.createDataFrame([], "doc long, field string, n long")
     votes = F.filter(F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(wanted))), lambda x: F.when(x["t"] == F.col("token"), F.col("pos") - x["i"])), lambda x: x.isNotNull())
-    starts = hits.select("doc", "field", F.explode(votes).alias("start")).groupBy("doc", "field", "start").count().where(F.col("count") == len(wanted))
+    starts = found.select("doc", "field", F.explode(votes).alias("start")).groupBy("doc", "field", "start").count().where(F.col("count") == len(wanted))
     return starts.groupBy("doc", "field").agg(F.count("*").alias("n"))
 
 

@@ -76,6 +76,31 @@ def test_an_index_that_is_added_to_is_like_a_fresh_one(spark, tmp_path, monkeypa
     assert hits(kept.phrase("of")) == brute([*rows, (999, "the", None)], "of")
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_a_text_is_taken_apart_once_and_kept_in_pages(spark, tmp_path, monkeypatch, block):
+    """The token table has a row for each bucket of a block of documents, not one for each place; blocks of any size give the same."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    calls, plain = [], search.tokens_of
+    monkeypatch.setattr(search, "tokens_of", lambda text: calls.append(1) or plain(text))
+    rng, kept = random.Random(block), Index(spark, str(tmp_path / "index"))
+    rows = [*random_rows(rng, range(12)), (12, "the of " * 5000, "a a a"), (13, "of", None), (14, None, None), (15, "", " - ")]
+    assert kept.add(docs(spark, rows).coalesce(1), "id", ["text", "more"]) == len(rows)
+    assert len(calls) == 2  # once a field
+    table = spark.read.parquet(f"{kept.path}/{kept.segments()[0][1]}/tokens")
+    assert table.count() <= table.where("bucket = -1").count() * (2 * len(WORDS) + 1) < 10_000
+    found = {(r.doc, r.length) for r in kept.lengths().collect()}
+    assert found == {(r.doc, r.length) for r in search.lengths(docs(spark, rows), "id", ["text", "more"]).collect()} and len(found) == len(rows)
+    for q in QUERIES[:5]:
+        assert hits(kept.phrase(q)) == brute(rows, q), q
+
+
+def test_a_row_without_id_is_found(spark, tmp_path):
+    kept, rows = Index(spark, str(tmp_path / "index")), [(1, "the", None), (None, "of the the", "a")]
+    kept.add(docs(spark, rows[:1]), "id", ["text", "more"])
+    kept.add(docs(spark, rows), "id", ["text", "more"], whole=True)
+    assert hits(kept.phrase("the")) == brute(rows, "the") and hits(kept.phrase("a")) == {(None, "more", 1)}
+
+
 def test_snippets_find_any_spelling(spark):
     df = spark.createDataFrame([("one LE THÉ two",), ("le thé",), ("les thes",)], "t string")
     assert [r[0] for r in df.select(search.snippet(F.col("t"), "le thé")).collect()] == ["one [LE THÉ] two", "[le thé]", None]
